@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from tidemark.llm.bpe import op6_bpe
 from tidemark.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from tidemark.llm.fingerprints import op10_fingerprints
+from tidemark.llm.license_scan import op1_license_scan
+from tidemark.llm.packing import op8_packing
 from tidemark.llm.sharding import op9_sharding
+from tidemark.llm.url_filter import OP2_SQL, op2_url_filter
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op9_sharding, op10_fingerprints)}
-ORACLES = {"op4_exact_dedup": OP4_SQL}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_url_filter, op4_exact_dedup, op6_bpe, op8_packing, op9_sharding, op10_fingerprints)}
+ORACLES = {"op2_url_filter": OP2_SQL, "op4_exact_dedup": OP4_SQL}
