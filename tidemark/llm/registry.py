@@ -7,10 +7,11 @@ from tidemark.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from tidemark.llm.fingerprints import op10_fingerprints
 from tidemark.llm.jaccard import op5_jaccard
 from tidemark.llm.license_scan import op1_license_scan
+from tidemark.llm.lm import op7_lm_score
 from tidemark.llm.packing import op8_packing
 from tidemark.llm.quality import op3_quality
 from tidemark.llm.sharding import op9_sharding
 from tidemark.llm.url_filter import OP2_SQL, op2_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_url_filter, op3_quality, op4_exact_dedup, op5_jaccard, op6_bpe, op8_packing, op9_sharding, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_url_filter, op3_quality, op4_exact_dedup, op5_jaccard, op6_bpe, op7_lm_score, op8_packing, op9_sharding, op10_fingerprints)}
 ORACLES = {"op2_url_filter": OP2_SQL, "op4_exact_dedup": OP4_SQL}
