@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tidemark.llm.bpe import op6_bpe
 from tidemark.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from tidemark.llm.fingerprints import op10_fingerprints
@@ -14,4 +15,5 @@ from tidemark.llm.sharding import op9_sharding
 from tidemark.llm.url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_url_filter, op3_quality, op4_exact_dedup, op5_jaccard, op6_bpe, op7_lm_score, op8_packing, op9_sharding, op10_fingerprints)}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {"op2_url_filter": OP2_SQL, "op4_exact_dedup": OP4_SQL}
