@@ -10,6 +10,8 @@ from counts of salted groups, so neither the planning nor the assignment gathers
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -19,6 +21,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -153,36 +156,73 @@ def plan_packing(counts: Mapping[int, int], capacity: int = CAPACITY, width: int
     return best
 
 
-def tokenize_pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: int, kept_words: int = 300_000) -> DataFrame:
-    """Pieces of at most ``capacity`` tokens: ``id_col``, piece, start, length, ids_crc32.
+#: Words of these characters only are split and lower-cased alike by the vocabulary's own steps and by those below.
+_PLAIN = re.compile("[\x21-\x7e\u00c0-\u00ff]+").fullmatch
+#: Fixed value: the vocabulary's split pattern.
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+#: Byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for the characters from U+0100 on.
+_SHOWN = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+_LETTER = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
-    The vocabulary never looks across white space, so each distinct run of other characters is encoded once in a
-    task and reused.
+
+class WordEncoder:
+    """Token ids (little-endian unsigned 32-bit) of words between ASCII white space, each encoded once.
+
+    The vocabulary drops white space and never looks across it. Plain words are cut and lower-cased here and only
+    their distinct parts go to the model; others go through the whole tokenizer.
     """
+
+    def __init__(self, vocabulary: str, kept: int):
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_str(vocabulary)
+        self.tokenize, self.kept = self.whole.model.tokenize, kept
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def learn(self, words: set[bytes]) -> None:
+        if len(self.words) > self.kept:
+            self.words.clear()
+        if len(self.parts) > self.kept:
+            self.parts.clear()
+        parts, other = self.parts, []
+        for word in [w for w in words if w not in self.words]:
+            text = word.decode("utf-8", "replace")
+            if not _PLAIN(text):
+                other.append((word, text))
+                continue
+            ids = []
+            for part in _SPLIT(text.lower()):
+                known = parts.get(part)
+                if known is None:
+                    shown = part if part.isascii() else part.encode().decode("latin-1").translate(_LETTER)
+                    known = parts[part] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(shown)])
+                ids.append(known)
+            self.words[word] = b"".join(ids)
+        for at in range(0, len(other), 5000):
+            few = other[at : at + 5000]
+            for (word, _), e in zip(few, self.whole.encode_batch([t for _, t in few], add_special_tokens=False), strict=True):
+                self.words[word] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def encode(self, words: list[bytes]) -> bytes:
+        return b"".join(map(self.words.__getitem__, words))
+
+
+def tokenize_pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: int, kept_words: int = 500_000) -> DataFrame:
+    """Pieces of at most ``capacity`` tokens: ``id_col``, piece, start, length, ids_crc32. The driver reads the vocabulary."""
     with open(vocabulary, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-        from tokenizers import Tokenizer
-
-        encoder = Tokenizer.from_str(sent.value)
-        known: dict[bytes, bytes] = {}
+        encoder = WordEncoder(sent.value, kept_words)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = (value.as_py() or b"").split()  # ASCII white space
-                if len(known) > kept_words:
-                    known.clear()
-                if new := [w for w in dict.fromkeys(words) if w not in known]:
-                    for at in range(0, len(new), 5000):
-                        part = new[at : at + 5000]
-                        for w, e in zip(part, encoder.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                            known[w] = np.array(e.ids, dtype="<u4").tobytes()
-                ids = b"".join(map(known.__getitem__, words)) + END.to_bytes(4, "little")
+                words = (value.as_py() or b"").split()
+                encoder.learn(set(words))
+                ids = encoder.encode(words) + END.to_bytes(4, "little")
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
