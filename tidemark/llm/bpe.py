@@ -36,13 +36,11 @@ class MergeReplay:
         self.ranks = ranks
         self.tokens = {v: k for k, v in ranks.items()}
         self._bytes = [ranks[bytes([b])] for b in range(256)]
-        self._merged: dict[tuple[int, int], int] = {}
+        self._merged: dict[int, int] = {}
 
-    def _merge_of(self, a: int, b: int) -> int:
-        """The token that two tokens merge into, -1 for none."""
-        to = self._merged.get((a, b))
-        if to is None:
-            to = self._merged[a, b] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
+    def _merge_of(self, pair: int) -> int:
+        """The token that two tokens (first << 24 | second) merge into, -1 for none; kept for the next time."""
+        to = self._merged[pair] = self.ranks.get(self.tokens[pair >> 24] + self.tokens[pair & 0xFFFFFF], -1)
         return to
 
     def encode(self, pieces: Iterable[bytes]) -> list[list[int]]:
@@ -57,10 +55,16 @@ class MergeReplay:
         after = list(range(1, len(chain) + 1))
         before = list(range(-1, len(chain) - 1))
         index: dict[int, list[int]] = defaultdict(list)  # by the rank of the pair's merge
-        for i in range(len(chain) - 1):
-            a, b = chain[i], chain[i + 1]
-            if a >= 0 and b >= 0 and (to := self._merge_of(a, b)) >= 0:
-                index[to].append(i)
+        known, merge_of = self._merged.get, self._merge_of
+        a = -1
+        for i, b in enumerate(chain):
+            if a >= 0 and b >= 0:
+                to = known(a << 24 | b)
+                if to is None:
+                    to = merge_of(a << 24 | b)
+                if to >= 0:
+                    index[to].append(i - 1)
+            a = b
         queue = list(index)
         heapq.heapify(queue)
         while queue:
@@ -70,16 +74,24 @@ class MergeReplay:
                 continue
             places.sort()  # of overlapping places, the leftmost merges
             for n, i in enumerate(places):
-                j = after[i]
-                if chain[i] < 0 or chain[j] < 0 or self._merge_of(chain[i], chain[j]) != to:
+                a, j = chain[i], after[i]
+                b = chain[j]
+                if a < 0 or b < 0 or known(a << 24 | b) != to:
                     continue
                 k, h = after[j], before[i]
                 chain[i], chain[j], after[i], before[k] = to, -2, k, i
                 least = to + 1
-                if chain[k] >= 0:
-                    least = min(least, self._note(index, queue, to, chain[k], i))
-                if h >= 0 and chain[h] >= 0:
-                    least = min(least, self._note(index, queue, chain[h], to, h))
+                for at, pair in ((i, to << 24 | chain[k] if chain[k] >= 0 else -1), (h, chain[h] << 24 | to if h >= 0 and chain[h] >= 0 else -1)):
+                    if pair >= 0:
+                        new = known(pair)
+                        if new is None:
+                            new = merge_of(pair)
+                        if new >= 0:
+                            if new not in index:
+                                heapq.heappush(queue, new)
+                            index[new].append(at)
+                            if new < least:
+                                least = new
                 if least <= to:  # a neighbour merges before the places that are left
                     if n + 1 < len(places):
                         index[to] += places[n + 1 :]
@@ -94,20 +106,10 @@ class MergeReplay:
             out.append(ids)
         return out
 
-    def _note(self, index: dict[int, list[int]], queue: list[int], a: int, b: int, at: int) -> int:
-        """Enter a new pair; the rank of its merge, or a number above all ranks."""
-        to = self._merge_of(a, b)
-        if to < 0:
-            return 1 << 62
-        if to not in index:
-            heapq.heappush(queue, to)
-        index[to].append(at)
-        return to
-
 
 def encode_column(
     docs: DataFrame, text_col: str = "text", to: str = "ids", ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN,
-    block_chars: int = 4_000_000, kept_pieces: int = 300_000,
+    block_chars: int = 4_000_000, kept_pieces: int = 500_000,
 ) -> DataFrame:
     """Add binary ``to``: the token ids of the whole text as little-endian unsigned 32-bit integers.
 
