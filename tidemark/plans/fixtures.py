@@ -56,9 +56,9 @@ def oracle(sql: str) -> str:
     used = [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
     views = [f"{v} AS ({_words(VIEWS[v], r'CAST(floor(epoch(\1)) AS BIGINT)', r"arg_min(\1, {'k': \2, 'x': \1})", r"arg_max(\1, {'k': \2, 'x': \1})")})" for v in used]
     body = sql.strip()
-    if body.upper().startswith("WITH "):
-        views, body = [*views, body[5:].strip()], ""
-        return "WITH " + ",\n".join(views) + body
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(head):
+            return head + ",\n".join([*views, body[len(head) :].strip()])
     return ("WITH " + ",\n".join(views) + "\n" if views else "") + body
 
 

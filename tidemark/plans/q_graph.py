@@ -62,9 +62,9 @@ def h5_hub_degrees(view, table):
     return G.hub_degrees(by_window(view), ["e1", "e2", "e3"], ["window"]).withColumnRenamed("window", "win")
 
 
-@query(f"{_WE}, {_WD}, t AS (SELECT a.win, count(*) AS t FROM e a JOIN e b ON a.win = b.win AND a.dst = b.src JOIN e c ON a.win = c.win AND a.src = c.src AND b.dst = c.dst GROUP BY 1), w AS (SELECT win, sum(degree * (degree - 1) / 2) AS w FROM d GROUP BY 1) SELECT w.win, round(coalesce(3 * t / nullif(w, 0), 0), 6) AS transitivity FROM w LEFT JOIN t ON w.win = t.win")
+@query(f"{_WE}, {_WD}, t AS (SELECT a.win, count(*) AS t FROM e a JOIN e b ON a.win = b.win AND a.dst = b.src JOIN e c ON a.win = c.win AND a.src = c.src AND b.dst = c.dst GROUP BY 1), w AS (SELECT win, sum(degree * (degree - 1) / 2) AS w FROM d GROUP BY 1) SELECT w.win, round(coalesce(3 * t / nullif(w, 0), 0), 4) AS transitivity FROM w LEFT JOIN t ON w.win = t.win")
 def h6_transitivity(view, table):
-    return G.transitivity(by_window(view), ["window"]).select(F.col("window").alias("win"), r6("transitivity").alias("transitivity"))
+    return G.transitivity(by_window(view), ["window"]).select(F.col("window").alias("win"), r6("transitivity", 4).alias("transitivity"))
 
 
 @query(f"{_WE}, {_WD}, r AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY weighted, node) AS i FROM d) SELECT win, round(2 * sum(i * weighted) / (count(*) * sum(weighted)) - (count(*) + 1) / count(*), 6) + 0.0 AS gini FROM r GROUP BY 1")

@@ -1 +1,45 @@
-"""Queries."""
+"""Queries that run the streaming operators over the events, replayed from files. Append mode gives a window when the
+watermark has passed it, so results are compared on windows that end three days before the last event."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.plans.registry import query, r6
+from tidemark.streaming import streams as L
+
+_HR = "timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({} AS TIMESTAMP_NTZ))"
+
+
+def signals(view, *columns):
+    return view("v_signal").withColumn("ts", F.col("ts").cast("timestamp")).select("ts", *columns)
+
+
+def _until(view):
+    return view("v_signal").agg((F.max("hr") - 72).alias("_last"))
+
+
+@query("""WITH e AS (SELECT max(hr) - 72 AS last FROM v_signal) SELECT asset, hr, count(*) AS volume, round(coalesce(sum(sentiment * impact) / nullif(sum(impact), 0), 0), 6) + 0.0 AS sentiment_weighted FROM v_signal, e WHERE hr < last GROUP BY 1, 2""")
+def l1_stream_tumbling(view, table):
+    out = L.replay(signals(view, "asset", "sentiment", "impact"), lambda s: L.tumbling_sentiment(s, "48 hours"))
+    out = out.withColumn("hr", F.expr(_HR.format("start"))).join(F.broadcast(_until(view))).where("hr < _last")
+    return out.select("asset", "hr", "volume", r6("sentiment_weighted").alias("sentiment_weighted"))
+
+
+@query("""WITH e AS (SELECT max(hr) - 72 AS last FROM v_signal), x AS (SELECT category, impact, unnest(range(hr + 1, hr + 25)) AS win FROM v_signal) SELECT category, win, count(*) AS n, sum(impact) AS impact FROM x, e WHERE win < last GROUP BY 1, 2""")
+def l2_stream_sliding(view, table):
+    out = L.replay(signals(view, "category", "impact"), lambda s: L.sliding_counts(s, "48 hours"))
+    return out.withColumn("win", F.expr(_HR.format("end"))).join(F.broadcast(_until(view))).where("win < _last").select("category", "win", "n", "impact")
+
+
+@query("SELECT count(DISTINCT (k, category)) AS n FROM v_signal")
+def l3_stream_dedup(view, table):
+    s = signals(view, "k", "category")
+    return L.replay(s, lambda x: L.dedup_stream(x, ["k", "category"], "60 days")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT asset, count(*) AS n, count(name) AS known FROM v_signal LEFT JOIN (SELECT 'a0' AS asset, 'zero' AS name UNION ALL SELECT 'a1', 'one') s USING (asset) GROUP BY 1")
+def l4_stream_enrich(view, table):
+    s = signals(view, "asset")
+    names = s.sparkSession.createDataFrame([("a0", "zero"), ("a1", "one")], "asset string, name string")
+    return L.replay(s, lambda x: L.enrich(x, F.broadcast(names), "asset")).groupBy("asset").agg(F.count(F.lit(1)).alias("n"), F.count("name").alias("known"))
