@@ -189,3 +189,23 @@ def test_upsert_keeps_the_latest(spark, tmp_path):
     L.upsert_sink(stream, f"{tmp_path}/out", "id", f"{tmp_path}/state").start().awaitTermination()
     last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out").iterdir())
     assert {r.id: r.v for r in spark.read.parquet(f"{tmp_path}/out/version={last}").collect()} == {1: "new", 2: "two"}
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    rows = [("2024-01-01 00:00:00", "a", 1.0, 1.0), ("2024-01-03 00:00:00", "a", 1.0, 1.0), ("2024-01-03 01:00:00", "a", 1.0, 1.0), ("2024-01-01 01:00:00", "a", 1.0, 1.0), ("2024-01-04 00:00:00", "a", 1.0, 1.0)]
+    for r in rows:  # rows are late by the watermark that the batch before began with
+        df = spark.createDataFrame([r], "ts string, asset string, sentiment double, impact double").withColumn("ts", F.to_timestamp("ts"))
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = L.tumbling_sentiment(stream).writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert L.dropped_late(query) == 1 and spark.table("late").count() == 3
+
+
+def test_hooks(spark):
+    from tidemark.functions import hooks
+
+    df = spark.createDataFrame([("good good bad",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(hooks.text_scorer(hooks.lexicon())("t")).collect()] == [pytest.approx(1 / 3), 0.0, 0.0]
+    v = [r[0] for r in df.select(hooks.text_embedder(hooks.hashed_counts(8))("t")).collect()]
+    assert abs(sum(x * x for x in v[0]) - 1) < 1e-5 and v[1] == [0.0] * 8

@@ -33,6 +33,12 @@ def event_pairs(m: DataFrame, event: str = "event_id", carry: Sequence[str] = ()
     return a.join(b, event).where("src < dst").withColumn("gap", F.abs(F.col("_s") - F.col("_d"))).drop("_s", "_d")
 
 
+def pairs_of(names: Column | str) -> Column:
+    """All pairs (src, dst) of a sorted array of distinct names, as an array: for explode, where there is no table of mentions."""
+    c = F.col(names) if isinstance(names, str) else names
+    return F.flatten(F.transform(c, lambda a: F.transform(F.filter(c, lambda b: b > a), lambda b: F.struct(a.alias("src"), b.alias("dst")))))
+
+
 def cooccurrence(m: DataFrame, least: int = 3, event: str = "event_id") -> DataFrame:
     edges = event_pairs(m, event).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"), F.avg("gap").alias("avg_gap"))
     return edges.where(F.col("weight") >= least)
