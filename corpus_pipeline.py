@@ -22,16 +22,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id; of rows that repeat that too, one."""
-    kept = exact_dedup(docs).where("kept").select("digest", _id().alias("_id")).distinct()
-    rows = docs.withColumns({"digest": text_digest(), "_id": _id()}).join(kept, ["digest", "_id"], "left_semi")
-    return rows.dropDuplicates(["digest", "_id"]).select(docs.columns)
+    kept = exact_dedup(docs).where("kept").select(F.col("digest").alias("__digest"), _id().alias("__id")).distinct()
+    rows = docs.withColumns({"__digest": text_digest(), "__id": _id()}).join(kept, ["__digest", "__id"], "left_semi")
+    return rows.dropDuplicates(["__digest", "__id"]).select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest doc_id; rows that share an id stay together."""
     found = jaccard_components(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(_id().alias("_id")).distinct()
-    return docs.withColumn("_id", _id()).join(kept, "_id", "left_semi").select(docs.columns)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(_id().alias("__id")).distinct()
+    return docs.withColumn("__id", _id()).join(kept, "__id", "left_semi").select(docs.columns)
 
 
 def _id() -> Column:

@@ -111,12 +111,14 @@ def encode_column(
     docs: DataFrame, text_col: str = "text", to: str = "ids", ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN,
     block_chars: int = 4_000_000, kept_pieces: int = 500_000,
 ) -> DataFrame:
-    """Add binary ``to``: the token ids of the whole text as little-endian unsigned 32-bit integers.
+    """Add binary ``to`` (in place of a column of that name): the token ids of the whole text as little-endian unsigned
+    32-bit integers.
 
     Each match of ``pattern`` is encoded separately. A null text counts as empty (no ids). A task holds about
     ``block_chars`` of text at a time, and ids of up to ``kept_pieces`` pieces between blocks. The rank file is read
     by the driver.
     """
+    docs = docs.drop(to)
     sent = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks))
     at = docs.columns.index(text_col)
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, `{to}` binary"
@@ -152,7 +154,8 @@ def blocks(batch: pa.RecordBatch, at: int, most: int) -> Iterator[pa.RecordBatch
 
 
 def decode_column(docs: DataFrame, ids_col: str = "ids", to: str = "decoded", ranks: str = RANKS) -> DataFrame:
-    """Add binary ``to``: the bytes that the ids stand for. Null ids decode to nothing."""
+    """Add binary ``to`` (in place of a column of that name): the bytes that the ids stand for. Null ids decode to nothing."""
+    docs = docs.drop(to)
     read = read_ranks(ranks)
     table = [b""] * (max(read.values()) + 1)
     for piece, k in read.items():

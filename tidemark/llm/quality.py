@@ -181,7 +181,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """The rows of ``docs`` that ``classify`` keeps, with their columns."""
     kept = classify(docs, labels, id_col=id_col, text_col=text_col, **settings).where("kept").select("_row")
     row = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    return docs.withColumn("_row", row).join(kept, "_row", "left_semi").drop("_row")
+    return docs.withColumn("__row", row).join(kept.withColumnRenamed("_row", "__row"), "__row", "left_semi").select(docs.columns)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
