@@ -8,31 +8,29 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import TARGETS, TYPES, strip_fence
 
 RESPONSE = "custom_id string, error string, response struct<body:struct<choices:array<struct<message:struct<content:string>,finish_reason:string>>,usage:struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint>>>"
+CONTENT = f"targets {TARGETS.simpleString()}, global_sentiment int, is_fact boolean, _corrupt string"
 REQUIRED = ("targets", "global_sentiment", "is_fact")
 
 
 def parse_annotations(lines: DataFrame, line: str = "value") -> tuple[DataFrame, DataFrame]:
     """Response lines to (parsed, failed). A failed row has the first class that fits in status: api_error, truncated,
     unterminated_json, json_decode_error, missing_fields; a line that is no JSON object itself is unknown."""
-    r = F.from_json(F.col(line), RESPONSE)
+    # a generator of one row keeps the optimizer from repeating a parse wherever its result is used
+    once = lambda c, name: F.explode(F.array(c)).alias(name)
     choice = F.get(F.col("r.response.body.choices"), F.lit(0))
-    rows = lines.withColumn("r", r).withColumns({
-        "custom_id": F.col("r.custom_id"), "usage": F.col("r.response.body.usage"), "content": strip_fence(choice["message"]["content"]), "finish": choice["finish_reason"],
-    })
-    parsed = F.try_parse_json("content")
+    rows = lines.select(line, once(F.from_json(F.col(line), RESPONSE), "r"))
+    rows = rows.select(line, "r.custom_id", "r.error", F.col("r.response.body.usage").alias("usage"), choice["finish_reason"].alias("finish"), once(strip_fence(choice["message"]["content"]), "content"))
+    rows = rows.select("*", once(F.from_json("content", CONTENT, {"columnNameOfCorruptRecord": "_corrupt"}), "doc"))
     missing = F.lit(False)
     for f in REQUIRED:
-        missing = missing | F.get_json_object("content", f"$.{f}").isNull()
+        missing = missing | F.col(f"doc.{f}").isNull()
     status = (
-        F.when(F.col("custom_id").isNull(), "unknown").when(F.col("r.error").isNotNull(), "api_error").when(F.col("finish") == "length", "truncated")
+        F.when(F.col("custom_id").isNull(), "unknown").when(F.col("error").isNotNull(), "api_error").when(F.col("finish") == "length", "truncated")
         .when(F.col("content").isNull(), "unknown").when(~F.col("content").endswith("}"), "unterminated_json")
-        .when(parsed.isNull(), "json_decode_error").when(missing, "missing_fields").otherwise("ok")
+        .when(F.col("doc._corrupt").isNotNull(), "json_decode_error").when(missing, "missing_fields").otherwise("ok")
     )
     rows = rows.withColumn("status", status)
-    ok = rows.where("status = 'ok'").select(
-        "custom_id", "usage", F.from_json(F.get_json_object("content", "$.targets"), TARGETS).alias("targets"),
-        F.get_json_object("content", "$.global_sentiment").try_cast("int").alias("global_sentiment"), F.get_json_object("content", "$.is_fact").try_cast("boolean").alias("is_fact"),
-    )
+    ok = rows.where("status = 'ok'").select("custom_id", "usage", *[F.col(f"doc.{f}").alias(f) for f in REQUIRED])
     return ok, rows.where("status <> 'ok'").select("custom_id", "status", line)
 
 
