@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.components import connected_components
@@ -73,9 +74,12 @@ def band_of(n: int) -> int:
     return int(np.searchsorted(band_ends(max(n, 1)), n))
 
 
-def allocation(band: int, spread: float = 1.35, wanted: float = 3.0) -> tuple[int, int]:
+def allocation(band: int, spread: float = 2.5, wanted: float = 3.0) -> tuple[int, int]:
     """(segments, neighbourhoods) of a band: how many segments, and how many of the first have one-deletion entries.
 
+    A set keeps its H + 1 segments of most rare shingles, so more segments than that leave it a choice: with 2.5 times as
+    many, a passage that many sets share may fill two thirds of a set before it decides any entry alone.
+
     An entry costs its row, and a comparison with each other set that shares it by chance, which falls with the number
     of shingles it holds. Whole segments need H + 1 entries of about size / (H + 1) shingles; neighbourhoods need half as
     many segments and as many more entries as there are shingles, each of twice the shingles. Short sets have few
@@ -254,6 +258,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+#: Place of a node among equal parts.
+_PART = lambda node="node": F.pmod(F.xxhash64(node), F.lit(1 << 20))
+
+
 def _links(blocks: DataFrame, sets: DataFrame) -> DataFrame:
     """``blocks``: star, qb, mb, role, node, comp. The sets are brought in by node and each block is compared by one task."""
     rows = blocks.join(sets, "node").select("star", "qb", "mb", "role", "node", "comp", "sh")
@@ -262,8 +270,8 @@ def _links(blocks: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, common_share: float = 0.01,
-    entries_per_task: int = 1_000_000, block: int = 2_000, query_block: int = 500, broadcast_ids: int = 2_000_000,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, common_share: float = 0.002,
+    entries_per_task: int = 1_000_000, first_turns: int = 6, block: int = 2_000, query_block: int = 500, broadcast_ids: int = 2_000_000,
 ) -> DataFrame:
     """Component of every document under links of similarity 0.8 or more: ``id_col``, n_shingles, component_id.
 
@@ -306,26 +314,23 @@ def jaccard_components(
     chosen = texts.join(F.broadcast(wanted) if small else wanted, texts["_id"].eqNullSafe(F.col("first"))).select("node", "_text")
     sets = materialize(chosen.mapInArrow(_sets(words), "node bigint, sh array<bigint>").dropDuplicates(["node"]), "sets")
 
-    star = stars.select(F.col("leader").alias("star"), F.col("member").alias("node"))
-    parts = F.pmod(F.xxhash64("node"), F.lit(1 << 20))
-    sizes = star.groupBy("star").agg(F.count(F.lit(1)).alias("size"))
-    cut = star.join(sizes, "star").withColumn("mbs", F.ceil(F.col("size") / block).cast("int"))
-    members = cut.select("star", F.lit(0).alias("qb"), (parts % F.col("mbs")).cast("int").alias("mb"), F.lit(1).alias("role"), "node", F.lit(1).cast("bigint").alias("comp"))
-    leaders = sizes.select("star", F.lit(0).alias("qb"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / block).cast("int") - 1)).alias("mb"), F.lit(0).alias("role"), F.col("star").alias("node"), F.lit(0).cast("bigint").alias("comp"))
-    # here comp only says that the leader and its members are to be compared; each member is one of its own
-    links = materialize(_links(leaders.unionByName(members.withColumn("comp", F.col("node"))), sets), "links")
+    # first, each member with the few least nodes that it meets; then with those still in another component
+    order = W.partitionBy("member").orderBy(F.xxhash64("leader"), "leader")
+    ranked = materialize(stars.withColumn("turn", F.row_number().over(order)), "ranked")
+    links = materialize(_star_links(ranked.where(F.col("turn") <= first_turns), sets, block), "links")
+    apart = _placed(ranked.where(F.col("turn") > first_turns).select("leader", "member"), connected_components(links)).where("lc <> mc")
+    links = links.unionByName(materialize(_star_links(apart.select("leader", "member"), sets, block), "links"))
 
+    # a star whose members are in one component is done; in others, what is outside the largest one meets the rest
     roots = connected_components(links)
-    everyone = star.unionByName(sizes.where("size >= 2").select("star", F.col("star").alias("node")))
-    placed = everyone.join(sizes.where("size >= 2").select("star"), "star").join(roots, "node", "left")
-    placed = materialize(placed.select("star", "node", F.coalesce("root", "node").alias("comp")), "placed")
-    cells = placed.groupBy("star", "comp").agg(F.count(F.lit(1)).alias("k"))
-    open_ = cells.groupBy("star").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("of"), F.max(F.struct("k", "comp")).alias("top")).where("comps > 1")
-    open_ = open_.select("star", F.col("top.comp").alias("major"), F.ceil(F.col("of") / block).cast("int").alias("mbs"), F.ceil((F.col("of") - F.col("top.k")) / query_block).cast("int").alias("qbs"))
-    rest = materialize(placed.join(open_, "star"), "rest")
-    queries = rest.where("comp <> major").select("star", (parts % F.col("qbs")).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("mbs") - 1)).alias("mb"), F.lit(0).alias("role"), "node", "comp")
-    against = rest.select("star", F.explode(F.sequence(F.lit(0), F.col("qbs") - 1)).alias("qb"), (parts % F.col("mbs")).cast("int").alias("mb"), F.lit(1).alias("role"), "node", "comp")
-    links = links.unionByName(materialize(_links(queries.unionByName(against), sets), "more_links"))
+    placed = _placed(stars, roots)
+    open_ = placed.where("lc <> mc").select(F.col("leader").alias("star")).distinct()
+    rows_of = placed.select(F.col("leader").alias("star"), F.col("member").alias("node"), F.col("mc").alias("comp")).unionByName(
+        placed.select(F.col("leader").alias("star"), F.col("leader").alias("node"), F.col("lc").alias("comp")).distinct()
+    )
+    rest = materialize(rows_of.join(open_, "star"), "rest")
+    units = _cheaper_units(rest)
+    links = links.unionByName(materialize(_rest_links(units, sets, block, query_block), "links"))
 
     roots = connected_components(links)
     named = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
@@ -336,6 +341,59 @@ def jaccard_components(
     )
 
 
+def _placed(stars: DataFrame, roots: DataFrame) -> DataFrame:
+    """leader, member and the components that both are in (lc, mc)."""
+    of = lambda end, name: roots.select(F.col("node").alias(end), F.col("root").alias(name))
+    found = stars.select("leader", "member").join(of("leader", "lc"), "leader", "left").join(of("member", "mc"), "member", "left")
+    return found.select("leader", "member", F.coalesce("lc", "leader").alias("lc"), F.coalesce("mc", "member").alias("mc"))
+
+
+def _star_links(pairs: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """Links among pairs of leader and member."""
+    sizes = pairs.groupBy(F.col("leader").alias("star")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("mbs"))
+    zero = F.lit(0)
+    members = pairs.withColumnRenamed("leader", "star").join(sizes, "star").select(
+        "star", zero.alias("qb"), (_PART("member") % F.col("mbs")).cast("int").alias("mb"), F.lit(1).alias("role"), F.col("member").alias("node"), F.col("member").alias("comp")
+    )
+    leaders = sizes.select(
+        "star", zero.alias("qb"), F.explode(F.sequence(zero, F.col("mbs") - 1)).alias("mb"), zero.alias("role"), F.col("star").alias("node"), F.col("star").alias("comp")
+    )
+    return _links(leaders.unionByName(members), sets)
+
+
+def _open_units(rest: DataFrame) -> DataFrame:
+    """Of each star with several components: the largest one, its rows and how many of them are in others."""
+    cells = rest.groupBy("star", "comp").agg(F.count(F.lit(1)).alias("k"))
+    sums = cells.groupBy("star").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("of"), F.max("k").alias("top"), F.max_by("comp", F.struct("k", "comp")).alias("major"))
+    return sums.where("comps > 1").select("star", "major", "of", (F.col("of") - F.col("top")).alias("out"))
+
+
+def _cheaper_units(rest: DataFrame) -> DataFrame:
+    """star, node, comp with the open stars of a cluster put together where that takes fewer comparisons.
+
+    Stars that share nodes form a cluster. Comparing within it covers all of its stars, once for each pair.
+    """
+    clusters = connected_components(rest.select(F.col("star").alias("a"), F.col("node").alias("b")))
+    tagged = rest.join(clusters.withColumnsRenamed({"node": "star", "root": "cluster"}), "star")
+    alone = _open_units(rest).join(clusters.withColumnsRenamed({"node": "star", "root": "cluster"}), "star").groupBy("cluster").agg(F.sum(F.col("of") * F.col("out")).alias("alone"))
+    whole = tagged.select(F.col("cluster").alias("star"), "node", "comp").distinct()
+    together = _open_units(whole).select(F.col("star").alias("cluster"), (F.col("of") * F.col("out")).alias("together"))
+    merge = alone.join(together, "cluster").select("cluster", (F.col("together") <= F.col("alone")).alias("merge"))
+    chosen = tagged.join(merge, "cluster").select(F.when(F.col("merge"), F.col("cluster")).otherwise(F.col("star")).alias("star"), "node", "comp")
+    return materialize(chosen.distinct(), "units")
+
+
+def _rest_links(units: DataFrame, sets: DataFrame, block: int, query_block: int) -> DataFrame:
+    """Links between each unit's rows outside its largest component and all of its rows in other components than theirs."""
+    open_ = _open_units(units).select("star", "major", F.ceil(F.col("of") / block).cast("int").alias("mbs"), F.ceil(F.col("out") / query_block).cast("int").alias("qbs"))
+    rest = materialize(units.join(open_, "star"), "open")
+    qb, mb = (_PART() % F.col("qbs")).cast("int"), (_PART() % F.col("mbs")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    queries = rest.where("comp <> major").select("star", qb.alias("qb"), every("mbs").alias("mb"), F.lit(0).alias("role"), "node", "comp")
+    against = rest.select("star", every("qbs").alias("qb"), mb.alias("mb"), F.lit(1).alias("role"), "node", "comp")
+    return _links(queries.unionByName(against), sets)
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
