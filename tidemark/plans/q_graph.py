@@ -77,12 +77,11 @@ def h8_topk_stability(view, table):
     return G.topk_jaccard(G.degrees(by_window(view), ["window"]), "window").where("stability IS NOT NULL").select(F.col("window").alias("win"), r6("stability").alias("stability"))
 
 
-@query(f"""WITH RECURSIVE {_ONE}, p AS (SELECT a.day % 40 AS win, a.entity AS src, b.entity AS dst FROM one a JOIN one b ON a.event_id = b.event_id AND a.entity < b.entity WHERE a.impact >= 9 AND b.impact >= 9),
+@query(f"""WITH RECURSIVE {_ONE}, p AS (SELECT a.day AS win, a.entity AS src, b.entity AS dst FROM one a JOIN one b ON a.event_id = b.event_id AND a.entity < b.entity),
 u AS (SELECT DISTINCT win, src, dst FROM p UNION SELECT DISTINCT win, dst, src FROM p), r AS (SELECT DISTINCT win, src AS node, src AS root FROM u UNION SELECT r.win, u.dst, r.root FROM r JOIN u ON r.win = u.win AND r.node = u.src),
 c AS (SELECT win, node, min(root) AS root FROM r GROUP BY 1, 2) SELECT win, count(DISTINCT root) AS components FROM c GROUP BY 1""")
 def h9_components(view, table):
-    m = one(view).where("impact >= 9").withColumn("day", F.col("day") % 40)
-    e = G.event_pairs(m, carry=["day"]).select(F.col("day").alias("win"), "src", "dst").distinct()
+    e = G.event_pairs(one(view), carry=["day"]).select(F.col("day").alias("win"), "src", "dst").distinct()
     return G.components(e, ["win"])
 
 
@@ -112,7 +111,7 @@ def h13_assortativity(view, table):
 
 @query(None)
 def h14_betweenness(view, table):
-    return G.betweenness(edges(view, 40), sources=20).withColumn("betweenness", r6("betweenness"))
+    return G.betweenness(edges(view)).withColumn("betweenness", r6("betweenness"))
 
 
 @query(f"{_WE}, {_WD}, c AS (SELECT win, degree / nullif(count(*) OVER (PARTITION BY win) - 1, 0) AS c FROM d), m AS (SELECT win, avg(c) AS mu, var_pop(c) AS v FROM c GROUP BY 1) SELECT c.win, round(CASE WHEN max(v) > 1e-18 THEN avg(power(c - mu, 3)) / power(max(v), 1.5) ELSE 0 END, 4) + 0.0 AS skewness, round(max(c), 6) AS most FROM c JOIN m ON c.win = m.win GROUP BY 1")

@@ -173,13 +173,13 @@ def d4_join_ffill(view, table):
     return D.join_ffill(view("v_bars_hourly").select("symbol", "hr"), s, K, "hr", ["k"])
 
 
-@query("""WITH l AS (SELECT msg_id, asset, sec FROM v_signal WHERE k < 20), r AS (SELECT asset, sec, max(value) AS v FROM v_signal WHERE k >= 60 GROUP BY 1, 2),
+@query("""WITH l AS (SELECT msg_id, asset, sec FROM v_signal), r AS (SELECT asset, sec, max(value) AS v FROM v_signal WHERE category = 'purchase' GROUP BY 1, 2),
 c AS (SELECT msg_id, v, row_number() OVER (PARTITION BY msg_id ORDER BY abs(r.sec - l.sec), r.sec DESC) AS n FROM l JOIN r ON l.asset = r.asset AND r.sec BETWEEN l.sec - 1800 AND l.sec + 1800)
 SELECT l.msg_id, v AS value FROM l LEFT JOIN c ON l.msg_id = c.msg_id AND n = 1""")
 def d5_asof_nearest(view, table):
     s = view("v_signal")
-    right = s.where("k >= 60").groupBy("asset", "sec").agg(F.max("value").alias("value"))
-    return D.asof_nearest(s.where("k < 20").select("msg_id", "asset", "sec"), right, ["asset"], "sec", "value", 1800, 86400).select("msg_id", "value")
+    right = s.where("category = 'purchase'").groupBy("asset", "sec").agg(F.max("value").alias("value"))
+    return D.asof_nearest(s.select("msg_id", "asset", "sec"), right, ["asset"], "sec", "value", 1800, 86400).select("msg_id", "value")
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS closed, e AS window_end, count(*) AS n FROM v_signal, LATERAL (SELECT unnest(range(CAST(floor(sec / 3600) AS BIGINT) - 1, CAST(floor(sec / 3600) AS BIGINT) + 27)) * 3600 AS e) WHERE {w} GROUP BY 2" for c, w in (("both", "sec >= e - 86400 AND sec <= e"), ("left", "sec >= e - 86400 AND sec < e"), ("right", "sec > e - 86400 AND sec <= e"))))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,8 +67,3 @@ def append_run(df: DataFrame, path: str) -> None:
 def export_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
     vertices.write.mode("overwrite").parquet(f"{path}/vertices")
     edges.write.mode("overwrite").parquet(f"{path}/edges")
-
-
-def with_line_number(df: DataFrame, order: str) -> DataFrame:
-    """Line numbers of small result tables."""
-    return df.withColumn("line", F.row_number().over(W.orderBy(order)))
