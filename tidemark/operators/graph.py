@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.components import connected_components
+from tidemark.operators.series import corr
 from tidemark.scratch import materialize
 
 
@@ -169,8 +170,7 @@ def assortativity(e: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     d = degrees(e, keys).select(*keys, "node", "weighted")
     x = e.join(d.withColumnsRenamed({"node": "src", "weighted": "_x"}), [*keys, "src"]).join(d.withColumnsRenamed({"node": "dst", "weighted": "_y"}), [*keys, "dst"])
     both = x.select(*keys, "_x", "_y").unionByName(x.select(*keys, F.col("_y").alias("_x"), F.col("_x").alias("_y")))
-    r = F.when((F.var_pop("_x") > 0) & (F.var_pop("_y") > 0), F.corr("_x", "_y"))
-    return both.groupBy(*keys).agg(F.coalesce(r, F.lit(0.0)).alias("assortativity"))
+    return both.groupBy(*keys).agg(F.coalesce(corr("_x", "_y"), F.lit(0.0)).alias("assortativity"))
 
 
 def betweenness(e: DataFrame, sources: int = 100, top: int = 1000, depth: int = 20) -> DataFrame:

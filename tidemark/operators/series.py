@@ -22,6 +22,15 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def corr(x: Column | str, y: Column | str, over=None) -> Column:
+    """Pearson correlation, over a window if one is given; null where either side does not vary."""
+    x, y = _col(x), _col(y)
+    both = x.isNotNull() & y.isNotNull()
+    parts = [F.covar_pop(x, y), F.var_pop(F.when(both, x)), F.var_pop(F.when(both, y))]
+    c, vx, vy = parts if over is None else [p.over(over) for p in parts]
+    return c / F.nullif(F.sqrt(vx * vy), F.lit(0.0))
+
+
 def shifted(c: Column | str, k: int, keys: Sequence[str], order: str, step: int | None = None) -> Column:
     """Value ``k`` rows back (ahead if negative); with ``step``, only if its row is ``k`` steps away."""
     w = _w(keys, order)
@@ -123,7 +132,7 @@ def regime_flags(df: DataFrame, c: str, vol: str, w: int, keys: Sequence[str], o
 
 def rolling_corr(x: str, y: str, w: int, keys: Sequence[str], order: str) -> Column:
     over = _w(keys, order).rowsBetween(1 - w, 0)
-    return F.when(F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).over(over) == w, F.corr(x, y).over(over))
+    return F.when(F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).over(over) == w, corr(x, y, over))
 
 
 def rolling_avg_pair_corr(long: DataFrame, c: str, w: int, entity: str, order: str) -> DataFrame:
@@ -132,7 +141,7 @@ def rolling_avg_pair_corr(long: DataFrame, c: str, w: int, entity: str, order: s
     b = long.select(F.col(entity).alias("_b"), order, F.col(c).alias("_y"))
     pairs = a.join(b, order).where("_a < _b AND _x IS NOT NULL AND _y IS NOT NULL")
     over = W.partitionBy("_a", "_b").orderBy(order).rowsBetween(-w, -1)
-    rolled = pairs.withColumn("_r", F.when(F.count(F.lit(1)).over(over) == w, F.corr("_x", "_y").over(over)))
+    rolled = pairs.withColumn("_r", F.when(F.count(F.lit(1)).over(over) == w, corr("_x", "_y", over)))
     return rolled.groupBy(order).agg(F.avg("_r").alias("avg_corr"))
 
 
@@ -147,7 +156,7 @@ def autocorr(df: DataFrame, c: str, lags: Sequence[int], keys: Sequence[str], or
     w = _w(keys, order)
     wide = df.select(*keys, F.col(c).alias("_x"), *[F.lag(c, k).over(w).alias(f"_{k}") for k in lags])
     long = wide.select(*keys, "_x", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_{k}").alias("_y")) for k in lags])).alias("z")).select(*keys, "_x", "z.*")
-    return long.where("_x IS NOT NULL AND _y IS NOT NULL").groupBy(*keys, "lag").agg(F.corr("_x", "_y").alias("r"))
+    return long.where("_x IS NOT NULL AND _y IS NOT NULL").groupBy(*keys, "lag").agg(corr("_x", "_y").alias("r"))
 
 
 def persistence(c: str, keys: Sequence[str], order: str, step: int | None = None) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.dist import chi2_pvalue, f_pvalue, t_pvalue, t_two_sided
+from tidemark.operators.series import corr
 
 
 def complete(long: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def _corr_p(df: DataFrame, least: int) -> DataFrame:
 
 
 def pearson_cells(long: DataFrame, keys: Sequence[str], least: int = 30) -> DataFrame:
-    return _corr_p(complete(long).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r")), least)
+    return _corr_p(complete(long).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), corr("x", "y").alias("r")), least)
 
 
 def average_rank(c: str, keys: Sequence[str]) -> Column:
@@ -127,7 +128,7 @@ def segment_correlations(df: DataFrame, segments: dict[str, Column], least: int
     """Correlation in each of several, possibly overlapping segments: a row goes into an array of its tags."""
     tags = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in segments.items()]), lambda t: t.isNotNull())
     long = complete(df).select(F.explode(tags).alias("segment"), "x", "y")
-    return long.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r")).where(F.col("n") >= least)
+    return long.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), corr("x", "y").alias("r")).where(F.col("n") >= least)
 
 
 def stability(long: DataFrame, keys: Sequence[str], split: str) -> DataFrame:
