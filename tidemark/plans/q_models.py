@@ -38,7 +38,7 @@ def predictions(view):
 _P = f"WITH {_L}, q AS (SELECT cell, day, avg(y) OVER (PARTITION BY cell ORDER BY day ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS p, lead(y) OVER (PARTITION BY cell ORDER BY day) AS y FROM l), n AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY day) AS rn, count(*) OVER (PARTITION BY cell) AS n FROM q WHERE y IS NOT NULL), t AS (SELECT * FROM (SELECT *, floor(n / 6) AS size, n - (6 - fold) * floor(n / 6) AS b FROM n CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS fold)) WHERE rn > b AND rn <= b + size)"
 
 
-@query(f"WITH {_L}, {_N} SELECT cell, day, CASE WHEN rn <= floor(0.8 * n) THEN 'train' ELSE 'test' END AS split FROM n")
+@query(f"WITH {_L}, {_N} SELECT cell, day, CASE WHEN rn <= floor(CAST(0.8 AS DOUBLE) * n) THEN 'train' ELSE 'test' END AS split FROM n")
 def j1_time_split(view, table):
     return M.time_split(cells(view), 0.8, K, "day").select("cell", "day", "split")
 
@@ -48,7 +48,7 @@ def j2_walk_forward(view, table):
     return folds(view).groupBy("cell", "fold", "role").agg(F.count(F.lit(1)).alias("n"), F.min("day").alias("first"), F.max("day").alias("last"))
 
 
-@query(f"WITH {_L}, {_N}, {_F}, t AS (SELECT cell, fold, row_number() OVER (PARTITION BY cell, fold ORDER BY day) AS i, count(*) OVER (PARTITION BY cell, fold) AS k FROM r WHERE role = 'train') SELECT cell, CAST(fold AS INT) AS fold, CASE WHEN i <= floor(0.85 * k) THEN 'fit' ELSE 'validate' END AS part, count(*) AS n FROM t GROUP BY 1, 2, 3")
+@query(f"WITH {_L}, {_N}, {_F}, t AS (SELECT cell, fold, row_number() OVER (PARTITION BY cell, fold ORDER BY day) AS i, count(*) OVER (PARTITION BY cell, fold) AS k FROM r WHERE role = 'train') SELECT cell, CAST(fold AS INT) AS fold, CASE WHEN i <= floor(CAST(0.85 AS DOUBLE) * k) THEN 'fit' ELSE 'validate' END AS part, count(*) AS n FROM t GROUP BY 1, 2, 3")
 def j3_inner_tail(view, table):
     return M.inner_tail(folds(view).where("role = 'train'"), 0.85, ["cell", "fold"], "day").groupBy("cell", "fold", "part").agg(F.count(F.lit(1)).alias("n"))
 
@@ -152,7 +152,7 @@ def j15_horizon_sweep(view, table):
     return out.groupBy("horizon").agg(r6(F.avg("r2"), 4).alias("r2"))
 
 
-@query(f"""WITH {_L}, {_N}, s AS (SELECT *, rn <= floor(0.7 * n) AS tr FROM n WHERE cell = 'A'), z AS (SELECT 'x' AS feature, tr, x AS v, y FROM s UNION ALL SELECT 'c', tr, c, y FROM s),
+@query(f"""WITH {_L}, {_N}, s AS (SELECT *, rn <= floor(CAST(0.7 AS DOUBLE) * n) AS tr FROM n WHERE cell = 'A'), z AS (SELECT 'x' AS feature, tr, x AS v, y FROM s UNION ALL SELECT 'c', tr, c, y FROM s),
 g AS (SELECT feature, count(*) FILTER (WHERE tr) AS n, avg(v) FILTER (WHERE tr) AS mx, avg(y) FILTER (WHERE tr) AS my, var_pop(v) FILTER (WHERE tr) AS vx, covar_pop(v, y) FILTER (WHERE tr) AS c FROM z GROUP BY 1),
 b AS (SELECT feature, c / (vx + 1.0 / n) AS slope, my - c / (vx + 1.0 / n) * mx AS icpt FROM g)
 SELECT b.feature, round(slope, 6) + 0.0 AS slope, round(1 - avg(power(y - icpt - slope * v, 2)) FILTER (WHERE tr) / var_pop(y) FILTER (WHERE tr), 5) + 0.0 AS train_r2,

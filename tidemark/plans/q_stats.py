@@ -139,7 +139,7 @@ def i16_sensitivity(view, table):
     return r.groupBy("cell").agg(F.count(F.lit(1)).alias("specs"), r6(F.min("r")).alias("least"), r6(F.max("r")).alias("most"), r6(F.percentile("r", 0.5)).alias("median"))
 
 
-_SPLIT = "s AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY cell ORDER BY day) <= floor(0.7 * count(*) OVER (PARTITION BY cell)) THEN 'train' ELSE 'test' END AS split FROM l)"
+_SPLIT = "s AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY cell ORDER BY day) <= floor(CAST(0.7 AS DOUBLE) * count(*) OVER (PARTITION BY cell)) THEN 'train' ELSE 'test' END AS split FROM l)"
 
 
 def split(view):
