@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.stats import gram, unpack
+from tidemark.scratch import materialize
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -75,8 +76,8 @@ def coordinate_descent(g: np.ndarray, xy: np.ndarray, n: float, alpha: float, l1
     return b
 
 
-def nested_linear_cv(df: DataFrame, features: Sequence[str], y: str, order: str, alphas: Sequence[float], outer: int = 5, inner: int = 3, l1: float = 1.0) -> DataFrame:
-    """Penalised regression with its penalty chosen by inner walk-forward folds: fold, alpha, intercept, betas.
+def nested_linear_cv(df: DataFrame, features: Sequence[str], y: str, order: str, alphas: Sequence[float], outer: int = 5, inner: int = 3, l1: float = 1.0, keys: Sequence[str] = ()) -> DataFrame:
+    """Penalised regression of each cell with its penalty chosen by inner walk-forward folds: keys, fold, alpha, intercept, betas.
 
     Products are summed by blocks of time in one Spark aggregate; every outer and inner fold's matrix is a sum of those
     of its blocks, as folds are runs of blocks, so rows are read once and only small matrices are solved. Features are
@@ -85,10 +86,10 @@ def nested_linear_cv(df: DataFrame, features: Sequence[str], y: str, order: str,
     _require(df, features)
     cols = ["_y", "_one", *features]
     k = len(cols)
-    d = numbered(df.where(" AND ".join(f"{c} IS NOT NULL" for c in [y, *features])), [], order).withColumns({"_y": F.col(y).cast("double"), "_one": F.lit(1.0)})
+    d = numbered(df.where(" AND ".join(f"{c} IS NOT NULL" for c in [y, *features])), keys, order).withColumns({"_y": F.col(y).cast("double"), "_one": F.lit(1.0)})
     parts = (outer + 1) * (inner + 1) * 4
     d = d.withColumn("_block", F.least(F.floor((F.col("_rn") - 1) * parts / F.col("_n")), F.lit(parts - 1)).cast("int"))
-    blocks = gram(d, ["_block"], cols).select(F.lit(1).alias("g0"), "_block", "n", "g")
+    blocks = gram(d, [*keys, "_block"], cols)
     grid = sorted(alphas, reverse=True)
 
     def standardised(m: np.ndarray):
@@ -113,6 +114,7 @@ def nested_linear_cv(df: DataFrame, features: Sequence[str], y: str, order: str,
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         m = {r["_block"]: unpack(r.g, k) for _, r in pdf.iterrows()}
+        cell = pdf.iloc[0][list(keys)].tolist()
         total = lambda lo, hi: sum((m[i] for i in range(lo, hi) if i in m), np.zeros((k, k)))
         size, rows = parts // (outer + 1), []
         for fold in range(1, outer + 1):
@@ -127,10 +129,11 @@ def nested_linear_cv(df: DataFrame, features: Sequence[str], y: str, order: str,
             c = fit(total(0, begin), grid[: best + 1])[-1]
             test = total(begin, begin + size)
             tss = test[0, 0] - test[0, 1] ** 2 / max(test[1, 1], 1)
-            rows.append((fold, grid[best], float(c[0]), c[1:].tolist(), mse(test, c), float(1 - mse(test, c) * test[1, 1] / tss) if tss > 0 else None, int(test[1, 1])))
-        return pd.DataFrame(rows, columns=["fold", "alpha", "intercept", "betas", "mse", "r2", "n_test"])
+            rows.append((*cell, fold, grid[best], float(c[0]), c[1:].tolist(), mse(test, c), float(1 - mse(test, c) * test[1, 1] / tss) if tss > 0 else None, int(test[1, 1])))
+        return pd.DataFrame(rows, columns=[*keys, "fold", "alpha", "intercept", "betas", "mse", "r2", "n_test"])
 
-    return blocks.groupBy("g0").applyInPandas(run, "fold int, alpha double, intercept double, betas array<double>, mse double, r2 double, n_test long")
+    types = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keys)
+    return blocks.groupBy(*keys).applyInPandas(run, types + "fold int, alpha double, intercept double, betas array<double>, mse double, r2 double, n_test long")
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -149,31 +152,40 @@ def regressor(kind: str, y: str, seed: int = 7, **settings):
     return GBTRegressor(labelCol=y, seed=seed, maxIter=settings.get("trees", 10), maxDepth=settings.get("depth", 3))
 
 
-def fit_predict(df: DataFrame, features: Sequence[str], y: str, kind: str, folds: int, **settings) -> DataFrame:
-    """Predictions on each fold's test rows: all columns, fold, prediction. One Spark fit for each fold."""
-    data = assemble(fold_scale(df, features, ["fold"]), features)
+def _fold_rows(data: DataFrame, by: Sequence[str]):
+    """Train and test rows of each cell and fold that has both; ``data`` is written once, as every fit reads it again."""
+    data = materialize(data, "folds")
+    has = data.groupBy(*by).agg(F.count_if(F.col("role") == "train").alias("_a"), F.count_if(F.col("role") == "test").alias("_b"))
+    for cell in has.where("_a > 0 AND _b > 0").orderBy(*by).collect():  # as many rows as fits
+        rows = data
+        for c in by:
+            rows = rows.where(F.col(c).eqNullSafe(F.lit(cell[c])))
+        yield rows.where("role = 'train'"), rows.where("role = 'test'")
+
+
+def fit_predict(df: DataFrame, features: Sequence[str], y: str, kind: str, keys: Sequence[str] = (), **settings) -> DataFrame:
+    """Predictions on each fold's test rows: all columns, fold, prediction. One Spark fit for each cell and fold."""
+    by = [*keys, "fold"]
     out = None
-    for fold in range(1, folds + 1):
-        rows = data.where(F.col("fold") == fold)
-        model = Pipeline(stages=[regressor(kind, y, **settings)]).fit(rows.where("role = 'train'"))
-        found = model.transform(rows.where("role = 'test'")).drop("features")
+    for train, test in _fold_rows(assemble(fold_scale(df, features, by), features), by):
+        found = Pipeline(stages=[regressor(kind, y, **settings)]).fit(train).transform(test).drop("features")
         out = found if out is None else out.unionByName(found)
-    return out
+    return df.limit(0).withColumn("prediction", F.lit(0.0)) if out is None else out
 
 
-def fit_spike_classifier(df: DataFrame, features: Sequence[str], y: str, folds: int, seed: int = 7) -> DataFrame:
-    """Random forest with balanced weights n / (2 n_c): fold, y, score and prediction of test rows."""
-    data = assemble(df, features)
+def fit_spike_classifier(df: DataFrame, features: Sequence[str], y: str, keys: Sequence[str] = (), seed: int = 7) -> DataFrame:
+    """Random forest with balanced weights n / (2 n_c), one for each cell and fold: keys, fold, y, score and prediction of test rows."""
+    by = [*keys, "fold"]
     out = None
-    for fold in range(1, folds + 1):
-        train = data.where((F.col("fold") == fold) & (F.col("role") == "train"))
+    for train, test in _fold_rows(assemble(df, features), by):
         n, pos = train.agg(F.count(F.lit(1)), F.coalesce(F.sum(y), F.lit(0))).first()
         weight = F.when(F.col(y) == 1, n / (2.0 * max(pos, 1))).otherwise(n / (2.0 * max(n - pos, 1)))
         model = RandomForestClassifier(labelCol=y, weightCol="_w", seed=seed, numTrees=20).fit(train.withColumn("_w", weight))
-        found = model.transform(data.where((F.col("fold") == fold) & (F.col("role") == "test"))).withColumn("score", vector_to_array("probability")[1])
-        found = found.select("fold", F.col(y).cast("int").alias("y"), "score", F.col("prediction").cast("int").alias("prediction"))
+        score = F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0))  # without spikes in train rows there is one class
+        found = model.transform(test).withColumn("score", score)
+        found = found.select(*by, F.col(y).cast("int").alias("y"), "score", F.col("prediction").cast("int").alias("prediction"))
         out = found if out is None else out.unionByName(found)
-    return out
+    return df.limit(0).select(*by, F.col(y).cast("int").alias("y"), F.lit(0.0).alias("score"), F.lit(0).alias("prediction")) if out is None else out
 
 
 def regression_metrics(preds: DataFrame, keys: Sequence[str], y: str = "y", p: str = "prediction") -> DataFrame:
@@ -208,11 +220,11 @@ def directional_accuracy(preds: DataFrame, keys: Sequence[str], y: str = "y", p:
     return preds.groupBy(*keys).agg(F.avg(((F.col(y) > 0) == (F.col(p) > 0)).cast("double")).alias("accuracy"))
 
 
-def univariate_fit(df: DataFrame, features: Sequence[str], y: str, alpha: float) -> DataFrame:
-    """Ridge slope of each single feature, and R2 on train and test, from aggregates: feature, slope, train_r2, test_r2."""
-    long = df.select("split", F.col(y).alias("_y"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("_x")) for c in features])).alias("z")).select("split", "_y", "z.*")
-    s = long.groupBy("feature", "split").agg(F.count(F.lit(1)).alias("n"), F.avg("_x").alias("mx"), F.avg("_y").alias("my"), F.var_pop("_x").alias("vx"), F.var_pop("_y").alias("vy"), F.covar_pop("_x", "_y").alias("c"))
-    w = s.groupBy("feature").pivot("split", ["train", "test"]).agg(*[F.first(c).alias(c) for c in ("n", "mx", "my", "vx", "vy", "c")])
+def univariate_fit(df: DataFrame, features: Sequence[str], y: str, alpha: float, keys: Sequence[str] = ()) -> DataFrame:
+    """Ridge slope of each cell's single features, and R2 on train and test, from aggregates: keys, feature, slope, train_r2, test_r2."""
+    long = df.select(*keys, "split", F.col(y).alias("_y"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("_x")) for c in features])).alias("z")).select(*keys, "split", "_y", "z.*")
+    s = long.groupBy(*keys, "feature", "split").agg(F.count(F.lit(1)).alias("n"), F.avg("_x").alias("mx"), F.avg("_y").alias("my"), F.var_pop("_x").alias("vx"), F.var_pop("_y").alias("vy"), F.covar_pop("_x", "_y").alias("c"))
+    w = s.groupBy(*keys, "feature").pivot("split", ["train", "test"]).agg(*[F.first(c).alias(c) for c in ("n", "mx", "my", "vx", "vy", "c")])
     b = F.col("train_c") / (F.col("train_vx") + alpha / F.col("train_n"))
 
     def r2(part: str) -> Column:
@@ -220,7 +232,7 @@ def univariate_fit(df: DataFrame, features: Sequence[str], y: str, alpha: float)
         mse = F.col(f"{part}_vy") - 2 * F.col("slope") * F.col(f"{part}_c") + F.col("slope") * F.col("slope") * F.col(f"{part}_vx") + shift * shift
         return 1 - mse / F.nullif(F.col(f"{part}_vy"), F.lit(0.0))
 
-    return w.withColumn("slope", b).select("feature", "slope", r2("train").alias("train_r2"), r2("test").alias("test_r2"))
+    return w.withColumn("slope", b).select(*keys, "feature", "slope", r2("train").alias("train_r2"), r2("test").alias("test_r2"))
 
 
 def feature_sets(ranked: DataFrame, sizes: Sequence[int], key: str = "target") -> DataFrame:
@@ -235,15 +247,15 @@ def top_coefficients(model, features: Sequence[str], spark) -> DataFrame:
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, values, strict=True)], "feature string, value double").orderBy(F.desc(F.abs("value")), "feature")
 
 
-def ablation(df: DataFrame, sets: dict[str, Sequence[str]], kinds: Sequence[str], y: str, folds: int, order: str, **settings) -> DataFrame:
-    """Metrics of every feature set and model on the same rows: those where all features of all sets are there."""
+def ablation(df: DataFrame, sets: dict[str, Sequence[str]], kinds: Sequence[str], y: str, folds: int, order: str, keys: Sequence[str] = (), **settings) -> DataFrame:
+    """Metrics of every cell, feature set and model on the same rows: those where all features of all sets are there."""
     every = sorted({c for cs in sets.values() for c in cs})
     _require(df, every)
-    rows = walk_forward(df.where(" AND ".join(f"{c} IS NOT NULL" for c in [y, *every])), folds, [], order)
+    rows = walk_forward(df.where(" AND ".join(f"{c} IS NOT NULL" for c in [y, *every])), folds, keys, order)
     out = None
     for name, cs in sets.items():
         for kind in kinds:
-            m = regression_metrics(fit_predict(rows, cs, y, kind, folds, **settings), ["fold"], y).withColumns({"features": F.lit(name), "model": F.lit(kind)})
+            m = regression_metrics(fit_predict(rows, cs, y, kind, keys, **settings), [*keys, "fold"], y).withColumns({"features": F.lit(name), "model": F.lit(kind)})
             out = m if out is None else out.unionByName(m)
     return out
 

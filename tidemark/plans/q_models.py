@@ -8,6 +8,7 @@ from tidemark.operators import model as M
 from tidemark.operators import series as S
 from tidemark.operators import stats as I
 from tidemark.plans.registry import query, r6
+from tidemark.scratch import materialize
 
 K = ["cell"]
 _L = "l AS (SELECT symbol AS cell, day, volume AS x, (high - low) / close AS y, close AS c FROM v_bars)"
@@ -24,9 +25,9 @@ def folds(view):
 
 
 def features(view):
-    """One row a day of symbol A: lagged features and the next day's range as y."""
-    d = cells(view).where("cell = 'A'")
-    return d.select("day", F.col("y").alias("own"), "x", "c", S.rolling_mean("y", 5, [], "day").alias("ma5"), S.forward_value("y", 1, [], "day").alias("y")).where("y IS NOT NULL")
+    """One row a cell and day: lagged features and the next day's range as y."""
+    d = cells(view)
+    return d.select("cell", "day", F.col("y").alias("own"), "x", "c", S.rolling_mean("y", 5, K, "day").alias("ma5"), S.forward_value("y", 1, K, "day").alias("y")).where("y IS NOT NULL")
 
 
 def predictions(view):
@@ -68,32 +69,32 @@ def m6_purged_folds(view, table):
 
 @query(None)
 def j5_linear_models(view, table):
-    rows = M.walk_forward(features(view), 3, [], "day")
+    rows = M.walk_forward(features(view), 5, K, "day")
     out = None
     for kind in ("linear", "lasso", "ridge", "elastic"):
-        m = M.regression_metrics(M.fit_predict(rows, ["own", "x", "ma5"], "y", kind, 3), ["fold"]).withColumn("model", F.lit(kind))
+        m = M.regression_metrics(M.fit_predict(rows, ["own", "x", "ma5"], "y", kind, K), ["cell", "fold"]).withColumn("model", F.lit(kind))
         out = m if out is None else out.unionByName(m)
-    return out.select("model", "fold", "n", r6("r2", 4).alias("r2"), r6("mse").alias("mse"))
+    return out.select("cell", "model", "fold", "n", r6("r2", 4).alias("r2"), r6("mse").alias("mse"))
 
 
 @query(None)
 def j6_nested_linear_cv(view, table):
-    out = M.nested_linear_cv(features(view), ["own", "x", "c", "ma5"], "y", "day", [10 ** (-4 + 5 * i / 49) for i in range(50)])
-    return out.select("fold", r6("alpha").alias("alpha"), "n_test", r6("mse").alias("mse"), r6("r2", 4).alias("r2"))
+    out = M.nested_linear_cv(features(view), ["own", "x", "c", "ma5"], "y", "day", [10 ** (-4 + 5 * i / 49) for i in range(50)], keys=K)
+    return out.select("cell", "fold", r6("alpha").alias("alpha"), "n_test", r6("mse").alias("mse"), r6("r2", 4).alias("r2"))
 
 
 @query(None)
 def j7_tree_models(view, table):
-    rows = M.walk_forward(features(view), 2, [], "day")
-    parts = [M.regression_metrics(M.fit_predict(rows, ["own", "x", "ma5"], "y", k, 2, trees=5), ["fold"]).withColumn("model", F.lit(k)) for k in ("forest", "boosting")]
-    return parts[0].unionByName(parts[1]).select("model", "fold", "n", r6("r2", 4).alias("r2"))
+    rows = M.walk_forward(features(view), 5, K, "day")
+    parts = [M.regression_metrics(M.fit_predict(rows, ["own", "x", "ma5"], "y", k, K), ["cell", "fold"]).withColumn("model", F.lit(k)) for k in ("forest", "boosting")]
+    return parts[0].unionByName(parts[1]).select("cell", "model", "fold", "n", r6("r2", 4).alias("r2"))
 
 
 @query(None)
 def j8_spike_classifier(view, table):
-    d = S.spike_flags(features(view).withColumn("g", F.lit(1)), "y", [1.5], ["g"]).withColumn("label", F.col("spike_1_5").cast("double"))
-    preds = M.fit_spike_classifier(M.walk_forward(d, 2, [], "day"), ["own", "x", "ma5"], "label", 2)
-    return M.classification_metrics(preds, ["fold"]).select("fold", "n", *[r6(c, 4).alias(c) for c in ("precision", "recall", "f1", "auc")])
+    d = S.spike_flags(features(view), "y", [1.5], K).withColumn("label", F.col("spike_1_5").cast("double"))
+    preds = M.fit_spike_classifier(M.walk_forward(d, 5, K, "day"), ["own", "x", "ma5"], "label", K)
+    return M.classification_metrics(preds, ["cell", "fold"]).select("cell", "fold", "n", *[r6(c, 4).alias(c) for c in ("precision", "recall", "f1", "auc")])
 
 
 @query(f"{_P}, m AS (SELECT cell, fold, count(*) AS n, 1 - sum(power(y - p, 2)) / (var_pop(y) * count(*)) AS r2, avg(power(y - p, 2)) AS mse, avg(abs(y - p)) AS mae FROM t GROUP BY 1, 2) SELECT cell, round(avg(r2), 6) + 0.0 AS r2_mean, round(stddev_pop(r2), 6) AS r2_std, round(avg(mse), 4) AS mse_mean, round(avg(mae), 6) AS mae_mean FROM m GROUP BY 1")
@@ -129,8 +130,12 @@ def j12_feature_sets(view, table):
 @query(None)
 def j13_top_coefficients(view, table):
     cols = ["own", "x", "c", "ma5"]
-    d = M.assemble(features(view), cols)
-    return M.top_coefficients(M.regressor("forest", "y", trees=5).fit(d), cols, d.sparkSession).withColumn("value", r6("value", 4))
+    d = materialize(M.assemble(features(view), cols), "features")
+    out = None
+    for r in d.select("cell").distinct().orderBy("cell").collect():
+        m = M.top_coefficients(M.regressor("forest", "y").fit(d.where(F.col("cell") == r["cell"])), cols, d.sparkSession).withColumn("cell", F.lit(r["cell"]))
+        out = m if out is None else out.unionByName(m)
+    return out.select("cell", "feature", r6("value", 4).alias("value"))
 
 
 _SETS = {"Baseline": ["own"], "Volume": ["x"], "Combined": ["own", "x", "ma5"]}
@@ -138,18 +143,18 @@ _SETS = {"Baseline": ["own"], "Volume": ["x"], "Combined": ["own", "x", "ma5"]}
 
 @query(None)
 def j14_ablation(view, table):
-    return M.ablation(features(view), _SETS, ["linear", "lasso"], "y", 2, "day").select("features", "model", "fold", "n", r6("r2", 4).alias("r2"))
+    return M.ablation(features(view), _SETS, ["linear", "lasso"], "y", 5, "day", K).select("cell", "features", "model", "fold", "n", r6("r2", 4).alias("r2"))
 
 
 @query(None)
 def j15_horizon_sweep(view, table):
-    d = cells(view).where("cell = 'A'")
+    d = cells(view)
     out = None
     for h in (1, 5, 10):
-        rows = d.select("day", F.col("y").alias("own"), "x", S.forward_value("y", h, [], "day").alias("y")).where("y IS NOT NULL")
-        m = M.nested_linear_cv(rows, ["own", "x"], "y", "day", [0.001, 0.01, 0.1]).withColumn("horizon", F.lit(h))
+        rows = d.select("cell", "day", F.col("y").alias("own"), "x", S.forward_value("y", h, K, "day").alias("y")).where("y IS NOT NULL")
+        m = M.nested_linear_cv(rows, ["own", "x"], "y", "day", [0.001, 0.01, 0.1], keys=K).withColumn("horizon", F.lit(h))
         out = m if out is None else out.unionByName(m)
-    return out.groupBy("horizon").agg(r6(F.avg("r2"), 4).alias("r2"))
+    return out.groupBy("cell", "horizon").agg(r6(F.avg("r2"), 4).alias("r2"))
 
 
 @query(f"""WITH {_L}, {_N}, s AS (SELECT *, rn <= floor(CAST(0.7 AS DOUBLE) * n) AS tr FROM n WHERE cell = 'A'), z AS (SELECT 'x' AS feature, tr, x AS v, y FROM s UNION ALL SELECT 'c', tr, c, y FROM s),
@@ -162,6 +167,17 @@ def j16_univariate_fit(view, table):
     return M.univariate_fit(d, ["x", "c"], "y", 1.0).select("feature", r6("slope").alias("slope"), r6("train_r2", 5).alias("train_r2"), r6("test_r2", 5).alias("test_r2"))
 
 
+@query(f"""WITH {_L}, {_N}, s AS (SELECT *, rn <= floor(CAST(0.7 AS DOUBLE) * n) AS tr FROM n), z AS (SELECT cell, 'x' AS feature, tr, x AS v, y FROM s UNION ALL SELECT cell, 'c', tr, c, y FROM s),
+g AS (SELECT cell, feature, count(*) FILTER (WHERE tr) AS n, avg(v) FILTER (WHERE tr) AS mx, avg(y) FILTER (WHERE tr) AS my, var_pop(v) FILTER (WHERE tr) AS vx, covar_pop(v, y) FILTER (WHERE tr) AS c FROM z GROUP BY 1, 2),
+b AS (SELECT cell, feature, c / (vx + 1.0 / n) AS slope, my - c / (vx + 1.0 / n) * mx AS icpt FROM g)
+SELECT b.cell, b.feature, round(slope, 6) + 0.0 AS slope, round(1 - avg(power(y - icpt - slope * v, 2)) FILTER (WHERE tr) / var_pop(y) FILTER (WHERE tr), 5) + 0.0 AS train_r2,
+round(1 - avg(power(y - icpt - slope * v, 2)) FILTER (WHERE NOT tr) / var_pop(y) FILTER (WHERE NOT tr), 5) + 0.0 AS test_r2 FROM z JOIN b ON z.cell = b.cell AND z.feature = b.feature GROUP BY b.cell, b.feature, slope""")
+def j16_univariate_fit_cells(view, table):
+    """j16 for every symbol; j16's SQL reads one."""
+    d = M.time_split(cells(view), 0.7, K, "day")
+    return M.univariate_fit(d, ["x", "c"], "y", 1.0, K).select("cell", "feature", r6("slope").alias("slope"), r6("train_r2", 5).alias("train_r2"), r6("test_r2", 5).alias("test_r2"))
+
+
 @query(f"""WITH f AS (SELECT asset AS symbol, hr, sum(sentiment * impact) / sum(impact) AS s, count(*) AS n FROM v_signal GROUP BY 1, 2),
 j AS (SELECT f.symbol, f.hr, s, n, (high - low) / close AS v FROM f JOIN v_bars_hourly b ON f.symbol = b.symbol AND f.hr = b.hr),
 x AS (SELECT symbol, 'sentiment' AS feature, s AS x, lead(v) OVER (PARTITION BY symbol ORDER BY hr) AS y FROM j UNION ALL SELECT symbol, 'volume', n, lead(v) OVER (PARTITION BY symbol ORDER BY hr) FROM j)

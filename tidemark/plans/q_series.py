@@ -195,6 +195,14 @@ def d7_events_before_spikes(view, table):
     return D.events_before_spikes(view("v_mention").select("event_id", "day").distinct(), spikes, "day").select("event_id", "day", "spike_day")
 
 
+@query("""WITH t AS (SELECT symbol, avg(volume) + 1.5 * stddev_samp(volume) AS least FROM v_bars GROUP BY 1), s AS (SELECT b.symbol, day FROM v_bars b JOIN t ON b.symbol = t.symbol WHERE volume > least)
+SELECT DISTINCT symbol, event_id, m.day, m.day + 1 AS spike_day FROM v_mention m JOIN s ON s.day = m.day + 1""")
+def d7_events_before_spikes_cells(view, table):
+    """d7 for every symbol's own spikes; d7's SQL reads one symbol."""
+    spikes = S.spike_flags(view("v_bars"), "volume", [1.5], K).where("spike_1_5").select("symbol", "day")
+    return D.events_before_spikes(view("v_mention").select("event_id", "day").distinct(), spikes, "day").select("symbol", "event_id", "day", "spike_day")
+
+
 @query("SELECT x.event_id, x.entity AS a, y.entity AS b FROM (SELECT DISTINCT event_id, entity FROM v_mention) x JOIN (SELECT DISTINCT event_id, entity FROM v_mention) y ON x.event_id = y.event_id AND x.entity < y.entity")
 def d8_unordered_pairs(view, table):
     return D.unordered_pairs(view("v_mention"), ["event_id"], "entity")
