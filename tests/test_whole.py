@@ -38,3 +38,12 @@ def test_cells_are_fitted_apart(spark):
     assert preds.where(F.abs(F.col("prediction") - F.col("y")) > 1e-6).count() == 0
     labelled = M.walk_forward(df.withColumn("y", F.lit(0.0)), 2, ["cell"], "day").where("cell = 'p'")
     assert {r.score for r in M.fit_spike_classifier(labelled, ["x"], "y", ["cell"]).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("name", ["l1_stream_tumbling_all", "l2_stream_sliding_all"])
+def test_last_windows_are_there(spark, name):
+    col = "hr" if name.startswith("l1") else "win"
+    last = fixtures.view(spark, SMALL, "v_signal").agg(F.max("hr")).first()[0]
+    got = catalog.QUERIES[name](spark, SMALL).toPandas()
+    assert got[col].max() == last + (0 if col == "hr" else 24)
+    assert got["asset" if col == "hr" else "category"].notna().all()

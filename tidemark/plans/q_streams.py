@@ -1,5 +1,6 @@
 """Queries that run the streaming operators over the events, replayed from files. Append mode gives a window when the
-watermark has passed it, so results are compared on windows that end three days before the last event."""
+watermark has passed it: l1 and l2 are compared, as in their SQL, on windows that end three days before the last event;
+their forms for all windows close the stream with marker rows."""
 
 from __future__ import annotations
 
@@ -32,6 +33,18 @@ def l2_stream_sliding(view, table):
     return out.withColumn("win", F.expr(_HR.format("end"))).join(F.broadcast(_until(view))).where("win < _last").select("category", "win", "n", "impact")
 
 
+@query("""SELECT asset, hr, count(*) AS volume, round(coalesce(sum(sentiment * impact) / nullif(sum(impact), 0), 0), 6) + 0.0 AS sentiment_weighted FROM v_signal GROUP BY 1, 2""")
+def l1_stream_tumbling_all(view, table):
+    out = L.replay(signals(view, "asset", "sentiment", "impact"), lambda s: L.tumbling_sentiment(s, "48 hours"), close="72 hours")
+    return out.select("asset", F.expr(_HR.format("start")).alias("hr"), "volume", r6("sentiment_weighted").alias("sentiment_weighted"))
+
+
+@query("""WITH x AS (SELECT category, impact, unnest(range(hr + 1, hr + 25)) AS win FROM v_signal) SELECT category, win, count(*) AS n, sum(impact) AS impact FROM x GROUP BY 1, 2""")
+def l2_stream_sliding_all(view, table):
+    out = L.replay(signals(view, "category", "impact"), lambda s: L.sliding_counts(s, "48 hours"), close="73 hours")
+    return out.select("category", F.expr(_HR.format("end")).alias("win"), "n", "impact")
+
+
 @query("SELECT count(DISTINCT (k, category)) AS n FROM v_signal")
 def l3_stream_dedup(view, table):
     s = signals(view, "k", "category")

@@ -56,8 +56,10 @@ def upsert_sink(stream: DataFrame, path: str, key: str, checkpoint: str):
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def replay(df: DataFrame, transform: Callable[[DataFrame], DataFrame], files: int = 4, order: str = "ts", mode: str = "append") -> DataFrame:
-    """Run ``transform`` as a stream over ``df`` split into files by ``order``, and give what it wrote."""
+def replay(df: DataFrame, transform: Callable[[DataFrame], DataFrame], files: int = 4, order: str = "ts", mode: str = "append", close: str | None = None) -> DataFrame:
+    """Run ``transform`` as a stream over ``df`` split into files by ``order``, and give what it wrote. ``close`` is how long
+    after the last event marker rows (null but for ``order``) follow: if that is the lateness and a window's width or more,
+    the watermark passes every window with events, and the markers' own windows stay open."""
     spark: SparkSession = df.sparkSession
     base = scratch_dir(spark)
     at = F.unix_micros(order)
@@ -65,6 +67,11 @@ def replay(df: DataFrame, transform: Callable[[DataFrame], DataFrame], files: in
     for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):  # one after the other: files are taken up by age
         part = df if lo is None else df.where(at >= lo)
         (part if hi is None else part.where(at < hi)).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    if close:
+        last = df.agg((F.max(order) + F.expr(f"INTERVAL {close}")).alias(order)).where(F.col(order).isNotNull())
+        marker = last.select(*[(F.col(order) if f.name == order else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema])
+        for _ in range(2):  # the second file's batch is the first to see the watermark that the first one moved
+            marker.coalesce(1).write.mode("append").parquet(f"{base}/in")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     out = transform(stream)
     query = out.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
