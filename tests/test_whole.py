@@ -47,3 +47,9 @@ def test_last_windows_are_there(spark, name):
     got = catalog.QUERIES[name](spark, SMALL).toPandas()
     assert got[col].max() == last + (0 if col == "hr" else 24)
     assert got["asset" if col == "hr" else "category"].notna().all()
+
+
+def test_fill_takes_every_signal(spark):
+    want = {(r.asset, r.hr): r.k for r in fixtures.view(spark, SMALL, "v_signal").groupBy("asset", "hr").agg(F.max("k").alias("k")).collect()}
+    got = {(r.symbol, r.hr): r.k for r in catalog.QUERIES["d4_join_ffill_all"](spark, SMALL).collect()}
+    assert {h: got[h] for h in want} == want and len(got) > len(want)

@@ -173,6 +173,15 @@ def d4_join_ffill(view, table):
     return D.join_ffill(view("v_bars_hourly").select("symbol", "hr"), s, K, "hr", ["k"])
 
 
+@query("""WITH s AS (SELECT asset, hr, max(k) AS k FROM v_signal GROUP BY 1, 2), g AS (SELECT symbol, unnest(range(min(hr), max(hr) + 1)) AS hr FROM v_bars_hourly GROUP BY 1)
+SELECT g.symbol, g.hr, last_value(k IGNORE NULLS) OVER (PARTITION BY g.symbol ORDER BY g.hr ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM g LEFT JOIN s ON g.symbol = s.asset AND g.hr = s.hr""")
+def d4_join_ffill_all(view, table):
+    """d4 over every signal, whose hours without events are the gaps; d4's SQL reads a ninth of them."""
+    s = view("v_signal").groupBy(F.col("asset").alias("symbol"), "hr").agg(F.max("k").alias("k"))
+    grid = S.complete_grid(view("v_bars_hourly").select("symbol", "hr"), K, "hr").select("symbol", "hr")
+    return D.join_ffill(grid, s, K, "hr", ["k"])
+
+
 @query("""WITH l AS (SELECT msg_id, asset, sec FROM v_signal), r AS (SELECT asset, sec, max(value) AS v FROM v_signal WHERE category = 'purchase' GROUP BY 1, 2),
 c AS (SELECT msg_id, v, row_number() OVER (PARTITION BY msg_id ORDER BY abs(r.sec - l.sec), r.sec DESC) AS n FROM l JOIN r ON l.asset = r.asset AND r.sec BETWEEN l.sec - 1800 AND l.sec + 1800)
 SELECT l.msg_id, v AS value FROM l LEFT JOIN c ON l.msg_id = c.msg_id AND n = 1""")
