@@ -209,3 +209,9 @@ def test_hooks(spark):
     assert [r[0] for r in df.select(hooks.text_scorer(hooks.lexicon())("t")).collect()] == [pytest.approx(1 / 3), 0.0, 0.0]
     v = [r[0] for r in df.select(hooks.text_embedder(hooks.hashed_counts(8))("t")).collect()]
     assert abs(sum(x * x for x in v[0]) - 1) < 1e-5 and v[1] == [0.0] * 8
+
+
+def test_inversions_in_high_bits(spark):
+    rows = [("a", 1.0, 1 << 21), ("a", 2.0, 3), ("a", 3.0, (1 << 21) + 1), ("a", 4.0, 0), ("b", 1.0, 0), ("b", 2.0, 0)]
+    got = {r.c: r._d for r in I.inversions(spark.createDataFrame(rows, "c string, x double, _q int"), ["c"]).collect()}
+    assert got == {"a": 4, "b": 0}

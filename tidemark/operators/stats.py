@@ -45,19 +45,25 @@ def spearman_cells(long: DataFrame, keys: Sequence[str], least: int = 30) -> Dat
     return pearson_cells(ranked, keys, least)
 
 
-def kendall_cells(long: DataFrame, keys: Sequence[str], bits: int = 20) -> DataFrame:
-    """tau-b. Discordant pairs are inversions of y's rank in x's order, counted bit by bit of the rank: two ranks are
-    ordered by the first bit in which they differ, so each bit needs one running sum, and no pairs are formed."""
-    d = complete(long)
-    n0 = lambda k: k * (k - 1) / 2
-    tie = lambda cols, name: d.groupBy(*keys, *cols).agg(F.count(F.lit(1)).alias("_k")).groupBy(*keys).agg(F.sum(n0(F.col("_k"))).alias(name))
-    ranked = d.withColumn("_q", F.dense_rank().over(W.partitionBy(*keys).orderBy("y")) - 1).select(*keys, "x", "_q")
-    level = ranked.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
+def inversions(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pairs with x rising and the whole number _q (0 or more) falling, as _d by cell, counted bit by bit of _q: two numbers are
+    ordered by the first bit in which they differ, so each bit up to the cell's largest _q needs one running sum."""
+    top = F.length(F.bin(F.max("_q").over(W.partitionBy(*keys)))) - 1
+    level = ranked.withColumn("_top", top).withColumn("_l", F.explode(F.sequence(F.lit(0), "_top")))
     prefix = F.expr("shiftright(_q, _l + 1)")
     bit = F.expr("shiftright(_q, _l) & 1")
     ones = F.coalesce(F.sum("_b").over(W.partitionBy(*keys, "_l", "_p").orderBy("_x").rangeBetween(W.unboundedPreceding, -1)), F.lit(0))
     coded = level.withColumns({"_p": prefix, "_b": bit, "_x": F.dense_rank().over(W.partitionBy(*keys, "_l").orderBy("x"))})
-    inv = coded.withColumn("_o", F.when(F.col("_b") == 0, ones)).groupBy(*keys).agg(F.sum("_o").alias("_d"))
+    return coded.withColumn("_o", F.when(F.col("_b") == 0, ones)).groupBy(*keys).agg(F.coalesce(F.sum("_o"), F.lit(0)).alias("_d"))
+
+
+def kendall_cells(long: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """tau-b. Discordant pairs are inversions of y's rank in x's order; no pairs are formed."""
+    d = complete(long)
+    n0 = lambda k: k * (k - 1) / 2
+    tie = lambda cols, name: d.groupBy(*keys, *cols).agg(F.count(F.lit(1)).alias("_k")).groupBy(*keys).agg(F.sum(n0(F.col("_k"))).alias(name))
+    ranked = d.withColumn("_q", F.dense_rank().over(W.partitionBy(*keys).orderBy("y")) - 1).select(*keys, "x", "_q")
+    inv = inversions(ranked, keys)
     base = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     out = base.join(tie(["x"], "_n1"), list(keys)).join(tie(["y"], "_n2"), list(keys)).join(tie(["x", "y"], "_n3"), list(keys)).join(inv, list(keys))
     pairs = n0(F.col("n"))
