@@ -64,7 +64,7 @@ def best_fit_decreasing(counts: Mapping[int, int], capacity: int) -> list[Patter
     return [(n, p) for at in open_.values() for p, n in at.items()]
 
 
-def fillings(counts: Mapping[int, int], lengths: list[int], room: int, most: int, steps: int) -> list[tuple[int, ...]]:
+def fillings(counts: Mapping[int, int], lengths: list[int], room: int, most: int, steps: int, reach: int = 12) -> list[tuple[int, ...]]:
     """Up to ``most`` maximal fillings of ``room``, least waste first; of equal waste, the one with larger pieces.
 
     ``lengths`` ascend. A filling that leaves room for a piece still there is dominated by the one with it and is not
@@ -84,7 +84,7 @@ def fillings(counts: Mapping[int, int], lengths: list[int], room: int, most: int
                 found.append((room_left, chosen))
                 exact += room_left == 0
             continue
-        for k in range(max(0, top - 12), top):  # the largest that fits is taken up last, so it is looked at first
+        for k in range(max(0, top - reach), top):  # the largest that fits is taken up last, so it is looked at first
             x = lengths[k]
             if chosen.count(x) < counts[x]:
                 stack.append((room_left - x, k + 1, (*chosen, x)))
@@ -104,7 +104,9 @@ def plan_packing(counts: Mapping[int, int], capacity: int = CAPACITY, width: int
 
     Depth-first: at each node the largest length left is completed by its ``width`` best fillings. A branch ends where
     its waste exceeds what a solution with one sequence less than the incumbent may have; the search ends at the
-    lower bound, total length over capacity, or after ``budget`` nodes.
+    lower bound, total length over capacity, or after ``budget`` nodes. A first search applies each filling as often as
+    the counts allow. If it ends above the lower bound, a second one with the same budget also applies fillings half as
+    often and once, takes four times the fillings and steps, and tries pieces of every length.
     """
     counts = {k: n for k, n in counts.items() if n}
     if not counts:
@@ -114,45 +116,49 @@ def plan_packing(counts: Mapping[int, int], capacity: int = CAPACITY, width: int
     best = best_fit_decreasing(counts, capacity)
     fewest = sum(n for n, _ in best)
 
-    def options(left: Mapping[int, int]) -> list[Pattern]:
+    def options(left: Mapping[int, int], wide: bool) -> list[Pattern]:
         largest = max(left)
         rest = dict(left)
         rest[largest] -= 1
         lengths = sorted(k for k, n in rest.items() if n)
         out = []
-        for filling in fillings(rest, lengths, capacity - largest, width, steps) or [()]:
+        for filling in fillings(rest, lengths, capacity - largest, width * (4 if wide else 1), steps * (4 if wide else 1), len(lengths) if wide else 12) or [()]:
             pattern = (largest, *filling)
             out.append((min(left[k] // n for k, n in Counter(pattern).items()), pattern))
+        if wide:
+            out += sorted({(k, p) for n, p in out for k in (n // 2, 1) if 0 < k < n}, reverse=True)
         return out[::-1]
 
-    path: list[Pattern] = []
-    left, waste, bins = dict(counts), 0, 0
-    stack = [options(left)]
-    while stack and fewest > lower and budget > 0:
-        budget -= 1
-        if not stack[-1]:
-            stack.pop()
-            if path:
-                n, pattern = path.pop()
-                waste, bins = waste - n * (capacity - sum(pattern)), bins - n
-                for k in pattern:
-                    left[k] = left.get(k, 0) + n
-            continue
-        n, pattern = stack[-1].pop()
-        more = n * (capacity - sum(pattern))
-        if waste + more > (fewest - 1) * capacity - total:
-            continue
-        path.append((n, pattern))
-        waste, bins = waste + more, bins + n
-        for k in pattern:
-            left[k] -= n
-            if not left[k]:
-                del left[k]
-        if left:
-            stack.append(options(left))
-        else:
-            best, fewest = list(path), bins
-            stack.append([])
+    for wide in (False, True):
+        nodes = budget
+        path: list[Pattern] = []
+        left, waste, bins = dict(counts), 0, 0
+        stack = [options(left, wide)]
+        while stack and fewest > lower and nodes > 0:
+            nodes -= 1
+            if not stack[-1]:
+                stack.pop()
+                if path:
+                    n, pattern = path.pop()
+                    waste, bins = waste - n * (capacity - sum(pattern)), bins - n
+                    for k in pattern:
+                        left[k] = left.get(k, 0) + n
+                continue
+            n, pattern = stack[-1].pop()
+            more = n * (capacity - sum(pattern))
+            if waste + more > (fewest - 1) * capacity - total:
+                continue
+            path.append((n, pattern))
+            waste, bins = waste + more, bins + n
+            for k in pattern:
+                left[k] -= n
+                if not left[k]:
+                    del left[k]
+            if left:
+                stack.append(options(left, wide))
+            else:
+                best, fewest = list(path), bins
+                stack.append([])
     return best
 
 
