@@ -297,29 +297,77 @@ def test_bpe_equals_tiktoken(spark, docs, awkward, empty):
 # 7
 
 
-def test_lm_equals_plain_counts(spark, docs, awkward, empty):
+def plain_scores(texts, held, priors):
+    """Base and model log10 probabilities of token lists by the definition, from plain counters; and p(token | context)."""
+    counts = collections.Counter()
+    for t, h in zip(texts, held):
+        if not h:
+            for i, w in enumerate(t):
+                counts[w,] += 1
+                for k in range(2, min(i + 1, len(priors)) + 2):
+                    counts[(*(["<s>"] + t)[i + 2 - k : i + 1], w)] += 1
+    n, v = sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
+    counts["<s>",] = counts[None,]
+
+    def p(context, w):
+        if not context:
+            return ((counts[w,] if w != "<s>" else 0) + 0.1) / (n + 0.1 * (v + 1))
+        m = priors[len(context) - 1]
+        return (counts[(*context, w)] + m * p(context[1:], w)) / (counts[context] + m)
+
+    def score(t):
+        padded = ["<s>", *t]
+        return sum(math.log10(p(tuple(padded[max(0, i + 1 - len(priors)) : i + 1]), w)) for i, w in enumerate(t))
+
+    return counts, n, p, score
+
+
+@pytest.mark.parametrize("priors", [(150.0,), (150.0, 25.0), (9.0, 4.0, 2.0)])
+def test_lm_equals_plain_counts(spark, docs, awkward, empty, priors):
     for df in (docs, awkward):
         data = [(r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()]
         tokens = [re.findall(r"[^\x20\x09-\x0D]+", t.translate(LOW)) + [None] for _, t in data]
         held = [zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0 for d, _ in data]
-        one, two = collections.Counter(), collections.Counter()
-        for t, h in zip(tokens, held):
-            if not h:
-                one.update(t)
-                two.update(zip(["<s>", *t[:-1]], t))
-        n, v = sum(one.values()), len(one)
-        state = one.copy()
-        state["<s>"] = one[None]
+        counts, n, p, score = plain_scores(tokens, held, priors)
         want = collections.Counter()
         for (d, _), t, h in zip(data, tokens, held):
-            p = [(one[w] + 0.1) / (n + 0.1 * (v + 1)) for w in t]
-            s = [q if not state[a] else (two[a, w] + 150 * q) / (state[a] + 150) for a, w, q in zip(["<s>", *t[:-1]], t, p)]
-            want[d, h, len(t), sum(one[w] > 0 for w in t), n, f"{sum(map(math.log10, p)):.8e}", f"{sum(map(math.log10, s)):.8e}"] += 1
-        out = lm.score_texts(df, block_bytes=60_000, shard_bytes=40_000, least_blocks=3).collect()
+            want[d, h, len(t), sum(counts[w,] > 0 for w in t), n, f"{sum(math.log10(p((), w)) for w in t):.8e}", f"{score(t):.8e}"] += 1
+        out = lm.score_texts(df, priors=priors, block_bytes=60_000, shard_bytes=40_000, least_blocks=3, stride=37).collect()
         assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, f"{r.base_score:.8e}", f"{r.score:.8e}") for r in out) == want
     assert lm.score_texts(empty).count() == 0
 
 
+def test_automaton_arcs_add_up_to_one():
+    import pyarrow as pa
+
+    texts = [b"a b a b c", b"b c a", b"", b"a b c c c a b d"]
+    grams = lm.Grams(pa.array(texts), np.zeros(len(texts), dtype=bool), 3)
+    n = len(grams.keys[1])
+    tokens, types = int(grams.local[1].sum()), n
+    grams.totals = grams.local
+    a = lm.Automaton(grams, tokens, types, 0.1, (5.0, 2.0))
+    every = np.arange(len(a.fail))
+    over, _ = a.step(every.copy(), np.full(len(every), np.searchsorted(grams.keys[1], lm.END)))
+    for state in set(every) - set(over):  # a text's end is never left
+        _, w = a.step(np.full(n, state), np.arange(n))
+        unknown, s = math.log10(0.1 / (tokens + 0.1 * (types + 1))), state
+        while s:
+            unknown, s = unknown + a.fail_weight[s], int(a.fail[s])
+        assert abs((10.0**w).sum() + 10.0**unknown - 1) < 1e-9
+
+
+def test_copies_score_higher(spark):
+    """Texts that training holds once more stand out from those it does not: the model is the corpus's."""
+    rng = random.Random(8)
+    make = lambda: " ".join(f"w{min(int(rng.paretovariate(0.6)), 4000)}" for _ in range(120))
+    texts = [make() for _ in range(400)]
+    texts += texts[:60]
+    out = lm.score_texts(spark.createDataFrame(rows(texts), SCHEMA), least_blocks=5).where("held_out").collect()
+    twice = [r.score / r.n_tokens for r in out if r.doc_id < 60 or r.doc_id >= 400]
+    once = [r.score / r.n_tokens for r in out if 60 <= r.doc_id < 400]
+    assert min(twice) > max(once)
+
+
 # 8
 
 

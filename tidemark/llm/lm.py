@@ -1,181 +1,285 @@
 """Scoring by a weighted backoff automaton learned from the corpus.
 
-The root state has an arc for every training token, each token is a state, and a state u has an arc for every token that
-follows u in training; where there is none, a failure arc leads back to the root. Weights are log10 probabilities,
-smoothed towards the root by a Dirichlet prior: a seen arc weighs (c(u,w) + m p(w)) / (c(u) + m), the failure arc
-m / (c(u) + m). Scoring a text is one traversal from left to right that carries the state.
-
-The automaton of a whole corpus fits in no single task, so it is met piecewise. Documents form blocks of bounded size. A
-block sends its distinct n-grams, with their training counts, to shards by hash; a shard adds up what all blocks say of
-an n-gram and answers each block in the order it asked; and the block, now holding the part of the automaton that its own
-texts can reach, traverses them. Every n-gram travels once for each block that has it, so no token is hot, and nothing
-that grows with the corpus is broadcast or gathered.
+States are the contexts seen in training: the root, every token, and every longer n-gram short of the model's order. A
+state has an arc for each token that follows it in training, weighted with its smoothed log10 probability, and a failure
+arc to the state of its longest proper suffix, weighted with what is left for tokens that do not follow. Weights are
+interpolated with a Dirichlet prior: an arc from context h on w weighs (c(h w) + m p(w | shorter h)) / (c(h) + m), the
+failure arc m / (c(h) + m). The root has an arc for every token, by add-``add`` counts. Scoring a text is one traversal
+from left to right that carries the state and adds up the weights of the arcs it takes.
+
+The automaton of a whole corpus fits in no single task, so it is met piecewise (see ``exchange``): documents form blocks
+of bounded size, a block learns the corpus's counts of its own n-grams from shards, builds the part of the automaton that
+its texts can reach, and traverses it. Counts go by order: an n-gram of order 3 or more is asked for only if both its
+context and its suffix stand in other blocks too; else the block's own count is the corpus's.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from tidemark.llm.exchange import U64, follow, pack_keys, pack_numbers, shard_bounds, unpack_keys, unpack_numbers
 from tidemark.scratch import materialize
 
-_U = np.uint64
-START, END = _U(0x5BD1E9955BD1E995), _U(0xC2B2AE3D27D4EB4F)
-_LOW = _U((1 << 40) - 1)
-
-
-def _grams(texts: pa.ChunkedArray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of tokens of each text; for all tokens in turn, unigram and bigram keys that sort by shard."""
-    sizes, parts = [], []
-    for value in texts:
-        words = (value.as_py() or b"").lower().split()  # ASCII white space
-        sizes.append(len(words) + 1)
-        parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=_U, count=len(words)))
-        parts.append(np.array([END], dtype=_U))
-    sizes = np.array(sizes, dtype=np.int64)
-    word = np.concatenate(parts)
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    before[np.cumsum(sizes) - sizes] = START
-    pair = before * _U(0x9E3779B97F4A7C15) ^ (word + (before >> _U(29)))
-    pair = (pair ^ (pair >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    pair ^= pair >> _U(32)
-    # of a pair, the shard and 40 more bits are kept: shards grow with the corpus, so chance meetings stay as rare
-    return sizes, word, (_shard(pair, shards) << _U(40)) | (pair & _LOW)
-
+START, END = U64(0x5BD1E9955BD1E995), U64(0xC2B2AE3D27D4EB4F)
 
-def _shard(key: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of a key; it never falls as the key rises."""
-    return ((key >> _U(40)) * _U(shards)) >> _U(24)
 
+class Grams:
+    """The n-grams of a block of texts, by order: for each token in turn the number of the n-gram that ends there.
 
-def _distinct(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    found, at = np.unique(keys, return_inverse=True)
-    return found, at, np.bincount(at, weights=weight, minlength=len(found)).astype(np.uint64)
-
+    A text's start is one symbol before it. ``ids[k]`` is -1 where a text has no n-gram of order k yet; ``keys[k]`` are
+    the distinct ones, sorted, ``first[k]`` a place of each and ``local[k]`` their counts in the block's training texts.
+    """
 
-def _five(low: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+    def __init__(self, texts: Sequence[pa.Scalar], held_out: np.ndarray, order: int):
+        sizes, parts = [], []
+        for value in texts:
+            words = (value.as_py() or b"").lower().split()  # ASCII white space
+            sizes.append(len(words) + 1)
+            parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=U64, count=len(words)))
+            parts.append(np.array([END], dtype=U64))
+        self.order, self.sizes = order, np.array(sizes, dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        word = np.concatenate(parts)
+        training = np.repeat(~held_out, self.sizes)
+        place = np.arange(len(word)) - np.repeat(self.starts, self.sizes)
+        self.keys, self.ids, self.first, self.local = {}, {}, {}, {}
+        key = word
+        for k in range(1, order + 1):
+            if k > 1:
+                before = np.empty_like(key)
+                before[1:] = key[:-1]
+                if k == 2:
+                    before[self.starts] = START
+                key = follow(before, word)
+            valid = place >= k - 2
+            found, first, at = np.unique(key[valid], return_index=True, return_inverse=True)
+            ids = np.full(len(word), -1, dtype=np.int32)
+            ids[valid] = at
+            self.keys[k], self.ids[k], self.first[k] = found, ids, np.flatnonzero(valid)[first]
+            self.local[k] = np.bincount(at, weights=training[valid], minlength=len(found)).astype(np.int64)
+
+    def context(self, k: int) -> np.ndarray:
+        """Number of the context of each distinct n-gram of order ``k``; the start of a text is the number after all tokens."""
+        at = self.first[k]
+        if k > 2:
+            return self.ids[k - 1][at - 1]
+        begins = np.isin(at, self.starts)
+        return np.where(begins, len(self.keys[1]), self.ids[1][at - 1])
+
+    def suffix(self, k: int) -> np.ndarray:
+        return self.ids[k - 1][self.first[k]]
+
+    def asked(self, k: int) -> np.ndarray:
+        """Which distinct n-grams of order ``k`` other blocks may have too."""
+        if k < 3:
+            return np.ones(len(self.keys[k]), dtype=bool)
+        return self.shared[k - 1][self.context(k)] & self.shared[k - 1][self.suffix(k)]
+
+    def learn(self, answers: pa.Table, upto: int) -> None:
+        """Take the corpus's counts of orders up to ``upto`` from the answers, which come by shard in key order, as
+        ``totals``, and as ``shared`` which n-grams stand in other blocks too."""
+        answers, self.totals, self.shared = answers.sort_by([("order", "ascending"), ("shard", "ascending")]), {}, {}
+        of = np.array(answers.column("order").to_pylist(), dtype=np.int64)
+        raw = answers.column("totals").to_pylist()
+        for k in range(1, upto + 1):
+            asked = self.asked(k)
+            told = np.concatenate([np.zeros(0, np.int64), *(unpack_numbers(raw[i], "<i8") for i in np.flatnonzero(of == k))])
+            self.totals[k], self.shared[k] = self.local[k].copy(), np.zeros(len(asked), dtype=bool)
+            self.totals[k][asked], self.shared[k][asked] = told >> 1, told & 1
+
+
+class Automaton:
+    """The automaton of the n-grams of a block: arcs sorted by (state, token), failure arcs, and the root's arcs by token."""
+
+    def __init__(self, grams: Grams, tokens: int, types: int, add: float, priors: Sequence[float]):
+        n, totals = len(grams.keys[1]), grams.totals
+        p = (totals[1] + add) / (tokens + add * (types + 1))
+        self.order, self.width, self.root = grams.order, n + 1, np.log10(p)
+        # states: the root, then tokens with the start of a text as the last, then longer contexts
+        count = np.append(totals[1], totals[1][np.searchsorted(grams.keys[1], END)])
+        base = {1: 1}
+        for k in range(2, grams.order):
+            base[k] = base[k - 1] + len(grams.keys[k - 1]) + (k == 2)
+        self.root_to = np.where(totals[1] > 0, base[1] + np.arange(n), 0)
+        self.start = base[1] + n if count[n] else 0
+        keys, weights, to = [], [], []
+        self.fail, self.fail_weight = [np.zeros(1, np.int64)], [np.zeros(1)]
+        back = np.zeros(n + 1, dtype=np.int64)
+        for k in range(2, grams.order + 1):
+            m = priors[k - 2]
+            self.fail.append(back)
+            self.fail_weight.append(np.log10(m / (count + m)))
+            context, suffix, c = grams.context(k), grams.suffix(k), totals[k]
+            p = (c + m * p[suffix]) / (count[context] + m)
+            seen = np.flatnonzero(c)
+            keys.append((base[k - 1] + context[seen]) * np.int64(self.width) + grams.ids[1][grams.first[k][seen]])
+            weights.append(np.log10(p[seen]))
+            to.append(base[k] + seen if k < grams.order else base[k - 1] + suffix[seen])
+            back, count = base[k - 1] + suffix, c
+        self.fail, self.fail_weight = np.concatenate(self.fail), np.concatenate(self.fail_weight)
+        self.keys, self.weight, self.to = (np.concatenate(x) for x in (keys, weights, to))
+        order = np.argsort(self.keys)
+        self.keys, self.weight, self.to = np.append(self.keys[order], np.iinfo(np.int64).max), self.weight[order], self.to[order]
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states and the weights of the arcs taken, for many walks side by side."""
+        weight, after, open_ = np.zeros(len(state)), np.empty_like(state), np.arange(len(state))
+        while len(open_):
+            s, t = state[open_], token[open_]
+            at_root = s == 0
+            done = open_[at_root]
+            weight[done] += self.root[t[at_root]]
+            after[done] = self.root_to[t[at_root]]
+            open_, s, t = open_[~at_root], s[~at_root], t[~at_root]
+            want = s * np.int64(self.width) + t
+            at = np.searchsorted(self.keys, want)
+            hit = self.keys[at] == want
+            weight[open_[hit]] += self.weight[at[hit]]
+            after[open_[hit]] = self.to[at[hit]]
+            open_, s = open_[~hit], s[~hit]
+            weight[open_] += self.fail_weight[s]
+            state[open_] = self.fail[s]
+        return after, weight
+
+    def score(self, token: np.ndarray, starts: np.ndarray, sizes: np.ndarray, stride: int) -> np.ndarray:
+        """log10 probability of each text. Texts, and long ones in stretches of ``stride`` tokens, are walked side by side:
+        the state depends on the last ``order`` - 1 tokens, so a stretch reads that many before it to come into its state."""
+        of = np.repeat(np.arange(len(sizes)), -(-sizes // stride))
+        turn = np.arange(len(of)) - np.repeat(np.cumsum(-(-sizes // stride)) - -(-sizes // stride), -(-sizes // stride))
+        begin = starts[of] + turn * stride
+        end = np.minimum(begin + stride, starts[of] + sizes[of])
+        warm = np.maximum(starts[of], begin - (self.order - 1))
+        by = np.argsort(warm - end, kind="stable")
+        of, begin, end, warm = of[by], begin[by], end[by], warm[by]
+        length = end - warm
+        state = np.where(warm == starts[of], self.start, 0)
+        total = np.zeros(len(of))
+        for t in range(int(length.max(initial=0))):
+            live = int(np.searchsorted(-length, -t, side="left"))
+            at = warm[:live] + t
+            state[:live], weight = self.step(state[:live], token[at])
+            total[:live] += np.where(at >= begin[:live], weight, 0.0)
+        return np.bincount(of, weights=total, minlength=len(sizes))
+
+
+_ASK = pa.schema([("order", pa.int32()), ("shard", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_ASK_SQL = "order int, shard int, block int, keys binary, counts binary"
+_ANSWER = pa.schema([("block", pa.int32()), ("order", pa.int32()), ("shard", pa.int32()), ("totals", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64())])
+_ANSWER_SQL = "block int, order int, shard int, totals binary, tokens bigint, types bigint"
+
+
+def _requests(grams: Grams, orders: Sequence[int], block: int, shards: int) -> pa.Table:
+    rows = []
+    for k in orders:
+        mask = grams.asked(k)
+        keys, counts = grams.keys[k][mask], grams.local[k][mask]
+        bounds = shard_bounds(keys, shards)
+        for s in np.flatnonzero(np.diff(bounds)):
+            part = slice(bounds[s], bounds[s + 1])
+            rows.append((k, int(s), block, pack_keys(keys[part]), pack_numbers(counts[part])))
+    columns = zip(*rows, strict=True) if rows else ([] for _ in _ASK)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ASK, strict=True)], schema=_ASK)
 
 
 def _ask(shards: int):
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("k1", pa.binary()), ("c1", pa.binary()), ("k2", pa.binary()), ("c2", pa.binary())])
+    """Requests for the first two orders."""
 
     def run(table: pa.Table) -> pa.Table:
-        sizes, word, pair = _grams(table.column("_text"), shards)
-        weight = np.repeat(~table.column("held_out").to_numpy(), sizes).astype(np.float64)
-        one, _, c1 = _distinct(word, weight)
-        two, _, c2 = _distinct(pair, weight)
-        at1, at2 = (np.searchsorted(s, np.arange(shards + 1, dtype=np.uint64)) for s in (_shard(one, shards), two >> _U(40)))
-        block, rows = table.column("block")[0].as_py(), []
-        for s in np.flatnonzero((np.diff(at1) > 0) | (np.diff(at2) > 0)):
-            a, b, c, d = at1[s], at1[s + 1], at2[s], at2[s + 1]
-            rows.append((int(s), block, one[a:b].tobytes(), c1[a:b].tobytes(), _five(two[c:d] & _LOW).tobytes(), c2[c:d].tobytes()))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        grams = Grams(table.column("_text"), table.column("held_out").to_numpy(), 2)
+        return _requests(grams, (1, 2), table.column("block")[0].as_py(), shards)
 
     return run
 
 
-_ANSWER = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("t1", pa.binary()), ("t2", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64())])
+def _ask_next(shards: int, k: int):
+    """Requests for order ``k`` of blocks that know the lower ones."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return _ASK.empty_table()
+        grams = Grams(docs.column("_text"), docs.column("held_out").to_numpy(), k)
+        grams.learn(answers, k - 1)
+        return _requests(grams, (k,), docs.column("block")[0].as_py(), shards)
+
+    return run
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Totals in the order of each block's keys; with the first block's answer go the shard's tokens and types."""
-    blocks = table.column("block").to_pylist()
-
-    def totals(keys: str, counts: str, wide: int) -> tuple[list[bytes], np.ndarray]:
-        raw = [np.frombuffer(v.as_py(), np.uint8).reshape(-1, wide) for v in table.column(keys)]
-        full = np.zeros((sum(map(len, raw)), 8), dtype=np.uint8)
-        full[:, :wide] = np.concatenate(raw)
-        n = np.concatenate([np.frombuffer(v.as_py(), "<u8") for v in table.column(counts)])
-        found, at = np.unique(full.view("<u8").ravel(), return_inverse=True)
-        every = np.zeros(len(found), dtype="<u8")
-        np.add.at(every, at, n)
-        ends = np.cumsum([len(r) for r in raw])
-        return [x.tobytes() for x in np.split(every[at], ends[:-1])], every
-
-    t1, every = totals("k1", "c1", 8)
-    t2, _ = totals("k2", "c2", 5)
-    rest = [0] * (len(blocks) - 1)
-    return pa.Table.from_arrays(
-        [
-            pa.array(blocks, pa.int32()), table.column("shard").combine_chunks(), pa.array(t1, pa.binary()), pa.array(t2, pa.binary()),
-            pa.array([int(every.sum()), *rest], pa.int64()), pa.array([int((every > 0).sum()), *rest], pa.int64()),
-        ],
-        schema=_ANSWER,
-    )
-
-
-def _traverse(shards: int, tokens: int, types: int, add: float, prior: float, id_type: pa.DataType):
+    """Twice the total, and one more if several blocks asked, in the order of each block's keys; with the first block's
+    answer go the shard's tokens and types."""
+    asked = [unpack_keys(v.as_py()) for v in table.column("keys")]
+    counts = np.concatenate([unpack_numbers(v.as_py()) for v in table.column("counts")]).astype(np.int64)
+    found, at = np.unique(np.concatenate(asked), return_inverse=True)
+    every = np.zeros(len(found), dtype=np.int64)
+    np.add.at(every, at, counts)
+    told = every * 2 + (np.bincount(at, minlength=len(found)) > 1)
+    parts = np.split(told[at], np.cumsum([len(a) for a in asked])[:-1])
+    rest, k = [0] * (table.num_rows - 1), table.column("order")[0].as_py()
+    columns = [
+        table.column("block").to_pylist(), [k] * table.num_rows, table.column("shard").to_pylist(), [pack_numbers(x, "<i8") for x in parts],
+        [int(every.sum()) if k == 1 else 0, *rest], [int((every > 0).sum()) if k == 1 else 0, *rest],
+    ]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ANSWER, strict=True)], schema=_ANSWER)
+
+
+def _traverse(order: int, tokens: int, types: int, add: float, priors: Sequence[float], stride: int, id_type: pa.DataType):
     schema = pa.schema([("_id", id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
-        sizes, word, pair = _grams(docs.column("_text"), shards)
-        answers = answers.sort_by("shard")
-        one, at1 = np.unique(word, return_inverse=True)
-        _, at2 = np.unique(pair, return_inverse=True)
-        t1, t2 = (np.frombuffer(b"".join(v.as_py() for v in answers.column(c)), "<u8").astype(np.float64) for c in ("t1", "t2"))
-        count = t1[at1]
-        starts = np.cumsum(sizes) - sizes
-        root = np.log10((count + add) / (tokens + add * (types + 1)))
-        # the state before each token is the token to its left; before the first, the start, left once by each text
-        end = np.searchsorted(one, END)
-        state = np.empty_like(count)
-        state[1:] = count[:-1]
-        state[starts] = t1[end]
-        arc = t2[at2]
-        failed = np.log10(prior / (state + prior)) + root
-        taken = np.log10((arc + prior * 10.0**root) / (state + prior))
-        weight = np.where(state > 0, np.where(arc > 0, taken, failed), root)
-        return pa.Table.from_arrays(
-            [
-                docs.column("_id").combine_chunks(), docs.column("held_out").combine_chunks(), pa.array(sizes),
-                pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(root, starts)), pa.array(np.add.reduceat(weight, starts)),
-            ],
-            schema=schema,
-        )
+        grams = Grams(docs.column("_text"), docs.column("held_out").to_numpy(), order)
+        grams.learn(answers, order)
+        automaton = Automaton(grams, tokens, types, add, priors)
+        token = grams.ids[1].astype(np.int64)
+        known = np.add.reduceat((grams.totals[1][token] > 0).astype(np.int64), grams.starts)
+        base = np.add.reduceat(automaton.root[token], grams.starts)
+        score = automaton.score(token, grams.starts, grams.sizes, stride)
+        columns = [docs.column("_id").combine_chunks(), docs.column("held_out").combine_chunks(), *map(pa.array, (grams.sizes, known, base, score))]
+        return pa.Table.from_arrays(columns, schema=schema)
 
     return run
 
 
 def score_texts(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", add: float = 0.1, prior: float = 150.0,
-    block_bytes: int = 12 << 20, shard_bytes: int = 6 << 20, least_blocks: int = 24,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", add: float = 0.1, priors: Sequence[float] = (300.0, 25.0),
+    block_bytes: int = 8 << 20, shard_bytes: int = 16 << 20, least_blocks: int = 24, stride: int = 1024,
 ) -> DataFrame:
     """``id_col``, held_out, n_tokens, n_known, train_tokens, base_score and score of every text.
 
     Training texts are those whose crc32 of the id as text is not 0 modulo 10; all others are held out. Tokens are
     lower-cased (A-Z) runs between ASCII white space and one end. base_score sums log10 of the add-``add`` unigram
-    probabilities, score is the automaton's log10 probability; ``prior`` is the weight m of the Dirichlet prior. A null
-    text has the end only; a null id counts as an empty one, which is held out; repeated rows count and are scored
-    each for itself. An empty input gives no rows.
+    probabilities, score is the automaton's log10 probability; ``priors`` holds the weight m of the prior for each order
+    from 2 on, and so the model's order. A null text has the end only; a null id counts as an empty one, which is held
+    out; repeated rows count and are scored each for itself; rows that repeat both id and text share one block. An empty
+    input gives no rows.
     """
-    spark = docs.sparkSession
+    order = len(priors) + 1
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    n_blocks, shards = max(least_blocks, -(-size // block_bytes)), min((1 << 24) - 1, max(1, -(-size // shard_bytes)))
+    n_blocks, shards = max(least_blocks, -(-size // block_bytes)), max(1, -(-size // shard_bytes))
     rows = docs.select(
         F.col(id_col).alias("_id"),
         F.col(text_col).cast("binary").alias("_text"),
         (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0).alias("held_out"),
-        F.pmod(F.xxhash64(F.col(id_col), F.length(text_col)), F.lit(n_blocks)).cast("int").alias("block"),
-    )
-    asked = rows.groupBy("block").applyInArrow(_ask(shards), "shard int, block int, k1 binary, c1 binary, k2 binary, c2 binary")
-    answers = materialize(
-        asked.groupBy("shard").applyInArrow(_answer, "block int, shard int, t1 binary, t2 binary, tokens bigint, types bigint"), "answers"
+        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n_blocks)).cast("int").alias("block"),
     )
+    answered = lambda asked: materialize(asked.groupBy("order", "shard").applyInArrow(_answer, _ANSWER_SQL), "answers")
+    answers = answered(rows.groupBy("block").applyInArrow(_ask(shards), _ASK_SQL))
     tokens, types = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-    kind, arrow = docs.schema[id_col].dataType, pa.int64() if docs.schema[id_col].dataType.simpleString() == "bigint" else None
-    if arrow is None:
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        arrow = to_arrow_type(kind)
-    scored = rows.groupBy("block").cogroup(answers.select("block", "shard", "t1", "t2").groupBy("block")).applyInArrow(
-        _traverse(shards, tokens, types, add, prior, arrow),
+    answers = answers.select("block", "order", "shard", "totals")
+    for k in range(3, order + 1):
+        asked = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_ask_next(shards, k), _ASK_SQL)
+        answers = answers.unionByName(answered(asked).select("block", "order", "shard", "totals"))
+    kind = docs.schema[id_col].dataType
+    scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        _traverse(order, tokens, types, add, priors, stride, to_arrow_type(kind)),
         f"_id {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double",
     )
     return scored.select(F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
