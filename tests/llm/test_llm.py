@@ -142,18 +142,73 @@ def kneser_ney(texts, order, base, alphabet):
     return p
 
 
+def stretch_of(text, order):
+    import pyarrow as pa
+
+    return quality.Stretch(*next(quality.stretches(pa.array([text]), order, 10**6)), order)
+
+
+def plain_perplexity(texts, order):
+    """Perplexity of a text under the model of ``texts``, by the definition."""
+    base = len(set("".join(texts))) + 2
+    alphabet = {c: i + 1 for i, c in enumerate(sorted(set("".join(texts))))}
+    p = kneser_ney(texts, order, base, alphabet)
+
+    def of(text):
+        s = [0] * (order - 1) + [alphabet.get(c, base - 1) for c in text] + [0]
+        return 10 ** (-sum(math.log10(p(tuple(s[i : i + order]))) for i in range(len(text) + 1)) / (len(text) + 1))
+
+    return p, base, alphabet, of
+
+
 def test_model_equals_the_definition(spark):
-    texts = ["the cat sat on the mat", "the dog sat", "a cat", "", "aaa aab"]
+    texts = ["the cat sat on the mat", "the dog sat", "a cat", "", "aaa aab", "日本"]
+    asked = ["the cat", "zzz", "", "a dog sat on", "mat é", "日", "the cat sat on the mat " * 7]
     model = quality.train(spark.createDataFrame([(t,) for t in texts], "_text string"), order=3)
-    alphabet = {chr(c): i + 1 for i, c in enumerate(model.alphabet)}
-    p = kneser_ney(texts, 3, model.base, alphabet)
-    for t in ["the cat", "zzz", "", "a dog sat on", "mat é"]:
-        s = [0, 0, *(alphabet.get(c, model.base - 1) for c in t), 0]
-        want = sum(math.log10(p(tuple(s[i : i + 3]))) for i in range(len(s) - 2))
-        got, n = model.score(t)
-        assert n == len(t) + 1 and abs(got - want) < 1e-4
+    p, base, alphabet, of = plain_perplexity(texts, 3)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id bigint, text string")
+    for stretch in (5, 1000):  # long texts are cut
+        out = quality.score(df, model, "doc_id", "text", [F.col("doc_id").alias("_id")], order=3, least_blocks=3, stretch=stretch).collect()
+        assert len(out) == len(asked) and all(r.n_symbols == len(asked[r._id]) + 1 and abs(r.perplexity / of(asked[r._id]) - 1) < 1e-4 for r in out)
     s = [0] + [alphabet["t"]]
-    assert abs(sum(p((*s, x)) for x in range(model.base)) - 1) < 1e-9
+    assert abs(sum(p((*s, x)) for x in range(base)) - 1) < 1e-9
+
+
+def test_verdicts_equal_brute_force(spark):
+    """Perplexities, thresholds by language and length, and who stays; de has few trusted documents, fr none."""
+    rng = random.Random(3)
+    words = {"en": ["tree", "stone", "river", "cloud"], "de": ["baum", "stein", "fluss"], "fr": ["arbre", "roche"]}
+    data = [(i, " ".join(rng.choice(words[g]) for _ in range(rng.randrange(1, 30))), g) for i, g in enumerate(["en"] * 60 + ["de"] * 9 + ["fr"] * 5)]
+    data += [(100 + i, "".join(rng.choice("xqz#% ") for _ in range(40)), g) for i, g in enumerate(["en", "de", "fr"] * 3)]
+    good = [i for i, _, g in data if i < 100 and g != "fr"]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in good] + [(100, 0, 0)], "doc_id bigint, quality int, toxic int")
+    out = {r.doc_id: r for r in quality.classify(docs, labels, quantile=0.9, order=3).collect()}
+    of = plain_perplexity([t for i, t, _ in data if i in good], 3)[3]
+    value = {i: of(t) for i, t, _ in data}
+    band = {i: int(math.log2(len(t) + 1) / 2) for i, t, _ in data}
+    at = lambda ids: sorted(value[i] for i in ids)[math.ceil(0.9 * len(ids)) - 1]
+    for i, t, g in data:
+        own = [j for j, _, h in data if j in good and h == g]
+        long = [j for j in own if band[j] == band[i]]
+        limit = at(long) if len(long) >= 10 else at(own) if own else at(good)
+        r = out[i]
+        assert abs(r.perplexity / value[i] - 1) < 1e-4 and abs(r.threshold / limit - 1) < 1e-4
+        assert r.kept == (value[i] <= limit * (1 + 1e-6))
+    assert not any(out[i].kept for i in value if i >= 100) and len({out[i].threshold for i in good if band[i] == 3}) > 1
+
+
+def test_large_alphabets(spark):
+    """6,000 different characters, as mixed Chinese and Japanese text has."""
+    texts = ["".join(chr(0x4E00 + (7 * i + j) % 6000) for j in range(300)) for i in range(0, 6000, 30)]
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(texts))], "doc_id bigint, quality int, toxic int")
+    assert quality.classify(docs, labels).where("kept AND perplexity < 50").count() > 190
+
+
+def test_languages_have_their_own_thresholds(spark):
+    found = registry.QUERIES["op3_quality"](spark, "/root/testdata/sf0.01").where("n_symbols > 1000").groupBy("lang").agg(F.min("threshold").alias("t")).collect()
+    assert len(found) >= 4 and len({r.t for r in found}) == len(found)
 
 
 def test_quality_keeps_clean_text(spark):
@@ -165,9 +220,9 @@ def test_quality_keeps_clean_text(spark):
 
 def test_quality_edges(spark, awkward, empty):
     labels = spark.createDataFrame([(5, 1, 0), (5, 0, 0), (6, 1, 0), (7, 1, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
-    out = quality.classify(awkward, labels, least=1)
+    out = quality.classify(awkward, labels)
     assert out.count() == awkward.count() and out.where("kept IS NULL").count() == 0
-    assert quality.keep_quality(awkward, labels, least=1).columns == awkward.columns
+    assert quality.keep_quality(awkward, labels).columns == awkward.columns
     no_labels = labels.where("quality = 9")
     assert quality.classify(awkward, no_labels).where("kept AND perplexity IS NULL").count() == awkward.count()
     assert quality.classify(empty, labels).count() == 0
@@ -255,7 +310,7 @@ def test_jaccard_equals_brute_force(spark, awkward, docs, empty):
         data = [tuple(r) for r in df.select("doc_id", "text").collect()]
         got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect())
         assert got == components(data)
-    small_blocks = jaccard.jaccard_components(made, first_turns=1, block=7, query_block=3, broadcast_ids=0)
+    small_blocks = jaccard.jaccard_components(made, first_turns=1, block=7, query_block=3)
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in small_blocks.collect()) == components([tuple(r) for r in made.select("doc_id", "text").collect()])
 
 
