@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.llm.exchange import mix
 from tidemark.operators.components import connected_components
 from tidemark.scratch import materialize, shuffle_partitions
 
@@ -34,15 +35,6 @@ NUM, DEN = 4, 5
 _U = np.uint64
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser."""
-    x = x ^ (x >> _U(30))
-    x = x * _U(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> _U(27))
-    x = x * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of lower-cased (A-Z) words between ASCII white space."""
     parts = (text or b"").lower().split()
@@ -271,7 +263,7 @@ def _links(blocks: DataFrame, sets: DataFrame) -> DataFrame:
 
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, common_share: float = 0.002,
-    entries_per_task: int = 1_000_000, first_turns: int = 6, block: int = 2_000, query_block: int = 500, broadcast_ids: int = 2_000_000,
+    entries_per_task: int = 1_000_000, first_turns: int = 6, block: int = 2_000, query_block: int = 500,
 ) -> DataFrame:
     """Component of every document under links of similarity 0.8 or more: ``id_col``, n_shingles, component_id.
 
@@ -291,9 +283,11 @@ def jaccard_components(
     total, clash = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max(F.col("g0") != F.col("g1")), F.lit(False))).first()
     if clash:
         raise ValueError("two different shingle sets share a 64-bit hash")
-    # a bounded list: a shingle is on it only if it stands in a share of some batch's documents; it only orders segments
-    common = described.where("common IS NOT NULL").groupBy("common").agg(F.sum("n").alias("n"))
-    common = common.orderBy(F.desc("n"), "common").limit(200_000).select("common").toArrow().column(0).to_numpy()
+    # it only orders segments; documents have ``total`` shingles, so at most total / (share of them) reach the share: the
+    # list is bounded by the mean size of a document's set, however many documents there are
+    documents = F.lit(common_share * rows.where("node IS NOT NULL").count())
+    common = described.where("common IS NOT NULL").groupBy("common").agg(F.sum("n").alias("n")).where(F.col("n") >= documents)
+    common = common.select("common").toArrow().column(0).to_numpy()
     common = np.sort(common.astype(np.int64).view(_U))
 
     found = texts.select("_text").mapInArrow(_index(common, words), "sig bigint, leader bigint, member bigint")
@@ -310,8 +304,8 @@ def jaccard_components(
 
     wanted = stars.select(F.col("leader").alias("node")).unionByName(stars.select(F.col("member").alias("node"))).distinct()
     wanted = materialize(wanted.join(nodes, "node").select("node", "first"), "wanted")
-    small = wanted.count() <= broadcast_ids
-    chosen = texts.join(F.broadcast(wanted) if small else wanted, texts["_id"].eqNullSafe(F.col("first"))).select("node", "_text")
+    # one way at every size: texts are shuffled once more, by id, to the few ids that are compared
+    chosen = texts.join(wanted.hint("shuffle_hash"), texts["_id"].eqNullSafe(F.col("first"))).select("node", "_text")
     sets = materialize(chosen.mapInArrow(_sets(words), "node bigint, sh array<bigint>").dropDuplicates(["node"]), "sets")
 
     # first, each member with the few least nodes that it meets; then with those still in another component
@@ -374,13 +368,14 @@ def _cheaper_units(rest: DataFrame) -> DataFrame:
     Stars that share nodes form a cluster. Comparing within it covers all of its stars, once for each pair.
     """
     clusters = connected_components(rest.select(F.col("star").alias("a"), F.col("node").alias("b")))
-    tagged = rest.join(clusters.withColumnsRenamed({"node": "star", "root": "cluster"}), "star")
+    # each join on a star or cluster ends in a table, so that the adaptive skew join may split a hot one
+    tagged = materialize(rest.join(clusters.withColumnsRenamed({"node": "star", "root": "cluster"}), "star"), "tagged")
     alone = _open_units(rest).join(clusters.withColumnsRenamed({"node": "star", "root": "cluster"}), "star").groupBy("cluster").agg(F.sum(F.col("of") * F.col("out")).alias("alone"))
     whole = tagged.select(F.col("cluster").alias("star"), "node", "comp").distinct()
     together = _open_units(whole).select(F.col("star").alias("cluster"), (F.col("of") * F.col("out")).alias("together"))
     merge = alone.join(together, "cluster").select("cluster", (F.col("together") <= F.col("alone")).alias("merge"))
     chosen = tagged.join(merge, "cluster").select(F.when(F.col("merge"), F.col("cluster")).otherwise(F.col("star")).alias("star"), "node", "comp")
-    return materialize(chosen.distinct(), "units")
+    return materialize(materialize(chosen, "chosen").distinct(), "units")
 
 
 def _rest_links(units: DataFrame, sets: DataFrame, block: int, query_block: int) -> DataFrame:
