@@ -48,7 +48,7 @@ class Grams:
         self.starts = np.cumsum(self.sizes) - self.sizes
         word = np.concatenate(parts)
         training = np.repeat(~held_out, self.sizes)
-        place = np.arange(len(word)) - np.repeat(self.starts, self.sizes)
+        place = (np.arange(len(word)) - np.repeat(self.starts, self.sizes)).astype(np.int32)
         self.keys, self.ids, self.first, self.local = {}, {}, {}, {}
         key = word
         for k in range(1, order + 1):
@@ -58,12 +58,12 @@ class Grams:
                 if k == 2:
                     before[self.starts] = START
                 key = follow(before, word)
-            valid = place >= k - 2
+            valid = np.flatnonzero(place >= k - 2).astype(np.int32)
             found, first, at = np.unique(key[valid], return_index=True, return_inverse=True)
             ids = np.full(len(word), -1, dtype=np.int32)
             ids[valid] = at
-            self.keys[k], self.ids[k], self.first[k] = found, ids, np.flatnonzero(valid)[first]
-            self.local[k] = np.bincount(at, weights=training[valid], minlength=len(found)).astype(np.int64)
+            self.keys[k], self.ids[k], self.first[k] = found, ids, valid[first]
+            self.local[k] = np.bincount(at, weights=training[valid], minlength=len(found)).astype(np.int32)
 
     def context(self, k: int) -> np.ndarray:
         """Number of the context of each distinct n-gram of order ``k``; the start of a text is the number after all tokens."""
@@ -91,7 +91,7 @@ class Grams:
         for k in range(1, upto + 1):
             asked = self.asked(k)
             told = np.concatenate([np.zeros(0, np.int64), *(unpack_numbers(raw[i], "<i8") for i in np.flatnonzero(of == k))])
-            self.totals[k], self.shared[k] = self.local[k].copy(), np.zeros(len(asked), dtype=bool)
+            self.totals[k], self.shared[k] = self.local[k].astype(np.int64), np.zeros(len(asked), dtype=bool)
             self.totals[k][asked], self.shared[k][asked] = told >> 1, told & 1
 
 
@@ -119,14 +119,15 @@ class Automaton:
             context, suffix, c = grams.context(k), grams.suffix(k), totals[k]
             p = (c + m * p[suffix]) / (count[context] + m)
             seen = np.flatnonzero(c)
-            keys.append((base[k - 1] + context[seen]) * np.int64(self.width) + grams.ids[1][grams.first[k][seen]])
+            arcs = (base[k - 1] + context[seen].astype(np.int64)) * self.width + grams.ids[1][grams.first[k][seen]]
+            by = np.argsort(arcs)  # states of higher orders have higher numbers, so the parts follow each other
+            seen = seen[by]
+            keys.append(arcs[by])
             weights.append(np.log10(p[seen]))
             to.append(base[k] + seen if k < grams.order else base[k - 1] + suffix[seen])
             back, count = base[k - 1] + suffix, c
         self.fail, self.fail_weight = np.concatenate(self.fail), np.concatenate(self.fail_weight)
-        self.keys, self.weight, self.to = (np.concatenate(x) for x in (keys, weights, to))
-        order = np.argsort(self.keys)
-        self.keys, self.weight, self.to = np.append(self.keys[order], np.iinfo(np.int64).max), self.weight[order], self.to[order]
+        self.keys, self.weight, self.to = (np.concatenate(x) for x in ([*keys, [np.iinfo(np.int64).max]], weights, to))
 
     def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Next states and the weights of the arcs taken, for many walks side by side."""
@@ -250,7 +251,7 @@ def _traverse(order: int, tokens: int, types: int, add: float, priors: Sequence[
 
 def score_texts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", add: float = 0.1, priors: Sequence[float] = (300.0, 25.0),
-    block_bytes: int = 8 << 20, shard_bytes: int = 16 << 20, least_blocks: int = 24, stride: int = 1024,
+    block_bytes: int = 5 << 20, shard_bytes: int = 10 << 20, least_blocks: int = 24, stride: int = 1024,
 ) -> DataFrame:
     """``id_col``, held_out, n_tokens, n_known, train_tokens, base_score and score of every text.
 
