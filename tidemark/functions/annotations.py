@@ -12,9 +12,10 @@ CONTENT = f"targets {TARGETS.simpleString()}, global_sentiment int, is_fact bool
 REQUIRED = ("targets", "global_sentiment", "is_fact")
 
 
-def parse_annotations(lines: DataFrame, line: str = "value") -> tuple[DataFrame, DataFrame]:
-    """Response lines to (parsed, failed). A failed row has the first class that fits in status: api_error, truncated,
-    unterminated_json, json_decode_error, missing_fields; a line that is no JSON object itself is unknown."""
+def classify_annotations(lines: DataFrame, line: str = "value") -> DataFrame:
+    """Response lines, parsed once: custom_id, status, usage, the annotation's fields, and the line. status is ok or the first
+    class that fits: api_error, truncated, unterminated_json, json_decode_error, missing_fields; a line that is no JSON
+    object itself is unknown."""
     # a generator of one row keeps the optimizer from repeating a parse wherever its result is used
     once = lambda c, name: F.explode(F.array(c)).alias(name)
     choice = F.get(F.col("r.response.body.choices"), F.lit(0))
@@ -29,9 +30,13 @@ def parse_annotations(lines: DataFrame, line: str = "value") -> tuple[DataFrame,
         .when(F.col("content").isNull(), "unknown").when(~F.col("content").endswith("}"), "unterminated_json")
         .when(F.col("doc._corrupt").isNotNull(), "json_decode_error").when(missing, "missing_fields").otherwise("ok")
     )
-    rows = rows.withColumn("status", status)
-    ok = rows.where("status = 'ok'").select("custom_id", "usage", *[F.col(f"doc.{f}").alias(f) for f in REQUIRED])
-    return ok, rows.where("status <> 'ok'").select("custom_id", "status", line)
+    return rows.select("custom_id", status.alias("status"), "usage", *[F.col(f"doc.{f}").alias(f) for f in REQUIRED], line)
+
+
+def parse_annotations(lines: DataFrame, line: str = "value") -> tuple[DataFrame, DataFrame]:
+    """``classify_annotations`` as two tables, the parsed rows and the failed ones. Each is a pass of its own over the lines."""
+    rows = classify_annotations(lines, line)
+    return rows.where("status = 'ok'").drop("status", line), rows.where("status <> 'ok'").select("custom_id", "status", line)
 
 
 def bad_target(t: Column) -> Column:

@@ -16,17 +16,25 @@ NEGATIVE = ("bad", "loss", "drop", "bearish", "down", "fail", "weak")
 
 
 def text_scorer(load: Callable[[], Callable[[Sequence[str]], Sequence[float]]]):
-    """UDF from text to score. ``load`` runs once in each task and gives a function of a batch; a batch that it fails on
-    is scored 0, nulls too."""
+    """UDF from text to score. ``load`` runs once in each task and gives a function of a batch; a batch that it fails on is
+    scored text by text, and those it fails on alone are 0, nulls too."""
+
+    def one(score: Callable[[Sequence[str]], Sequence[float]], text: str) -> float:
+        try:
+            return float(score([text])[0])
+        except (ValueError, RuntimeError):
+            return 0.0
 
     @F.pandas_udf("double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = load()
         for texts in parts:
+            batch = texts.fillna("").tolist()
             try:
-                yield pd.Series(np.asarray(score(texts.fillna("").tolist()), dtype=float), index=texts.index).where(texts.notna(), 0.0)
+                found = np.asarray(score(batch), dtype=float)
             except (ValueError, RuntimeError):
-                yield pd.Series(0.0, index=texts.index)
+                found = np.array([one(score, t) for t in batch])
+            yield pd.Series(found, index=texts.index).where(texts.notna(), 0.0)
 
     return run
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.scratch import materialize
+
 
 def dedup_keep(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: str = "first") -> DataFrame:
     """One row for each key, the first or last in ``order``, which should name a unique column last."""
@@ -47,6 +49,16 @@ def with_position(df: DataFrame, order: str, buckets: int = 64) -> DataFrame:
     return ranked.join(F.broadcast(first), "_b").withColumn("_pos", F.col("_first") + F.col("_r")).drop("_b", "_r", "_first")
 
 
+def with_place(df: DataFrame, column: str, *order: Column) -> DataFrame:
+    """Add ``column``, the global place in any order from 0: rows are range-partitioned and written, ranked within their
+    range, and moved on by the sizes of the ranges before."""
+    dealt = materialize(df.repartitionByRange(*order).withColumn("_b", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_b").agg(F.count(F.lit(1)).alias("_k"))  # one row for each range
+    first = sizes.select("_b", F.coalesce(F.sum("_k").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    ranked = dealt.withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy(*order)) - 1)
+    return ranked.join(F.broadcast(first), "_b").withColumn(column, F.col("_first") + F.col("_r")).drop("_b", "_r", "_first")
+
+
 def assign_batches(df: DataFrame, n: int, order: str) -> DataFrame:
     """batch 0 to n - 1 of contiguous rows, total // n each; the last takes the remainder."""
     total = df.count()

@@ -82,21 +82,26 @@ def hub_degrees(e: DataFrame, hubs: Sequence[str], keys: Sequence[str]) -> DataF
     return every.join(d.groupBy(*keys).pivot("node", list(hubs)).agg(F.first("degree")), list(keys), "left").fillna(0, list(hubs))
 
 
-def triangles(e: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Triangles by keys. Edges are turned from the end of lower degree, so a hub starts few wedges."""
-    d = degrees(e, keys).select(*keys, "node", "degree")
+def triangles(e: DataFrame, keys: Sequence[str] = (), d: DataFrame | None = None) -> DataFrame:
+    """Triangles by keys: for each edge, how many neighbours its ends share. Edges are turned from the end of lower
+    degree, so no list of neighbours is longer than the root of twice the edges, and each triangle counts once."""
     pairs = e.select(*keys, "src", "dst").distinct()
+    d = (degrees(e, keys) if d is None else d).select(*keys, "node", "degree")
     with_d = pairs.join(d.withColumnsRenamed({"node": "src", "degree": "_ds"}), [*keys, "src"]).join(d.withColumnsRenamed({"node": "dst", "degree": "_dd"}), [*keys, "dst"])
     up = F.struct("_ds", "src") < F.struct("_dd", "dst")
-    o = with_d.select(*keys, F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b"))
-    wedges = o.join(o.withColumnRenamed("b", "c"), [*keys, "a"]).where("b < c")
-    return wedges.join(pairs.withColumnsRenamed({"src": "b", "dst": "c"}), [*keys, "b", "c"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("triangles"))
+    out = with_d.select(*keys, F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b"))
+    lists = materialize(out.groupBy(*keys, "a").agg(F.collect_list("b").alias("of_a")), "neighbours")
+    edges = lists.select(*keys, "of_a", F.explode("of_a").alias("b"))
+    both = edges.join(lists.withColumnsRenamed({"a": "b", "of_a": "of_b"}), [*keys, "b"])
+    return both.groupBy(*keys).agg(F.sum(F.size(F.array_intersect("of_a", "of_b"))).alias("triangles"))
 
 
 def transitivity(e: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Three times the triangles over the connected triples, 0 without triples."""
-    triples = degrees(e, keys).groupBy(*keys).agg(F.sum(F.col("degree") * (F.col("degree") - 1) / 2).alias("triples"))
-    t = triangles(e, keys)
+    """Three times the triangles over the connected triples, 0 without triples. The edges are made once and written."""
+    e = materialize(e.select(*keys, "src", "dst").distinct(), "edges")
+    d = materialize(degrees(e, keys), "degrees")
+    triples = d.groupBy(*keys).agg(F.sum(F.col("degree") * (F.col("degree") - 1) / 2).alias("triples"))
+    t = triangles(e, keys, d)
     joined = triples.join(t, list(keys), "left") if keys else triples.crossJoin(t)  # one row each
     return joined.select(*keys, F.coalesce(3 * F.col("triangles") / F.nullif("triples", F.lit(0.0)), F.lit(0.0)).alias("transitivity"))
 
@@ -125,33 +130,68 @@ def components(e: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return roots.select("root").distinct().groupBy(*back).agg(F.count(F.lit(1)).alias("components"))
 
 
-def pagerank(e: DataFrame, damping: float = 0.85, rounds: int = 40, tolerance: float = 1e-8) -> DataFrame:
-    """Weighted PageRank of an undirected graph; every node has an edge, so none dangles."""
+def pagerank(e: DataFrame, damping: float = 0.85, rounds: int = 500, tolerance: float = 1e-10) -> DataFrame:
+    """Weighted PageRank of an undirected graph; every node has an edge, so none dangles. Raises if ranks still change by
+    more than n * ``tolerance`` in sum after ``rounds`` rounds."""
     both = e.select("src", "dst", "weight").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     out = both.groupBy("src").agg(F.sum("weight").alias("_all"))
     share = materialize(both.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_all")).alias("p")), "transitions")
-    n = out.count()
-    ranks = out.select(F.col("src").alias("node"), F.lit(1.0 / max(n, 1)).alias("rank"))
+    nodes = share.select(F.col("src").alias("node")).distinct()
+    n = nodes.count()
+    ranks = nodes.select("node", F.lit(1.0 / max(n, 1)).alias("rank"))
     for k in range(rounds):
-        moved = share.join(ranks.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg((F.lit((1 - damping) / n) + damping * F.sum(F.col("p") * F.col("rank"))).alias("rank"))
+        moved = share.join(ranks.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg((F.lit((1 - damping) / max(n, 1)) + damping * F.sum(F.col("p") * F.col("rank"))).alias("rank"))
         if k % 5 == 4:
             moved = materialize(moved, "ranks")
             change = moved.join(ranks.withColumnRenamed("rank", "_o"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("_o")))).first()[0]
             if change is None or change < n * tolerance:
                 return moved
         ranks = moved
-    return ranks
-
-
-def communities(e: DataFrame, rounds: int = 8) -> DataFrame:
-    """(node, community) by weighted label propagation; ties go to the least label, and half of the nodes move at a time."""
-    both = materialize(e.select("src", "dst", "weight").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "both")
-    labels = both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
-    for k in range(rounds):
-        votes = both.join(labels.withColumnsRenamed({"node": "dst", "community": "_c"}), "dst").groupBy("src", "_c").agg(F.sum("weight").alias("_w"))
-        best = votes.groupBy("src").agg(F.min_by("_c", F.struct((-F.col("_w")).alias("w"), F.col("_c").alias("c"))).alias("_best"))
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == k % 2
-        labels = materialize(labels.join(best.withColumnRenamed("src", "node"), "node").select("node", F.when(turn, F.col("_best")).otherwise(F.col("community")).alias("community")), "labels")
+    raise RuntimeError(f"PageRank did not converge in {rounds} rounds")
+
+
+def _local_moves(e: DataFrame, total: float, rounds: int) -> DataFrame:
+    """(node, community): nodes move to the neighbouring community of greatest gain in modularity, about a third of them at a
+    time (other ones in each round), until none would gain; at most ``rounds`` rounds. ``e`` has each edge both ways and self
+    loops once."""
+    degree = materialize(e.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")), "strength")
+    labels = degree.select("node", F.col("node").alias("community"), "k")
+    for r in range(rounds):
+        size = labels.groupBy("community").agg(F.sum("k").alias("_tot"))
+        links = e.where("src <> dst").join(labels.select(F.col("node").alias("dst"), F.col("community").alias("_to")), "dst").groupBy("src", "_to").agg(F.sum("weight").alias("_w"))
+        own = labels.select(F.col("node").alias("src"), F.col("community").alias("_own"), "k")
+        stay = own.select("src", F.col("_own").alias("_to"), F.lit(0.0).alias("_w"))
+        near = links.unionByName(stay).groupBy("src", "_to").agg(F.sum("_w").alias("_w")).join(own, "src").join(size.withColumnRenamed("community", "_to"), "_to")
+        rest = F.col("_tot") - F.when(F.col("_to") == F.col("_own"), F.col("k")).otherwise(0.0)
+        gain = F.col("_w") - F.col("k") * rest / F.lit(total)
+        # a move needs a gain beyond rounding; equal ones go to the least label
+        best = near.groupBy("src").agg(F.max(F.when(F.col("_to") == F.col("_own"), gain)).alias("_stay"), F.max_by("_to", F.struct(F.round(gain, 9).alias("g"), F.xxhash64("_to").alias("h"))).alias("_best"), F.max(gain).alias("_gain"))
+        gains, turn = F.col("_gain") > F.col("_stay") + 1e-9, F.pmod(F.xxhash64("node", F.lit(r)), F.lit(3)) == 0
+        moved = labels.join(best.withColumnRenamed("src", "node"), "node")
+        moved = materialize(moved.select("node", F.when(gains & turn, F.col("_best")).otherwise(F.col("community")).alias("community"), "k", gains.alias("_gains")), "labels")
+        labels = moved.drop("_gains")
+        if not moved.agg(F.max("_gains")).first()[0]:
+            break
+    return labels.select("node", "community")
+
+
+def communities(e: DataFrame, rounds: int = 30) -> DataFrame:
+    """(node, community) by modularity: local moves of nodes, then of the communities found as nodes of a smaller graph, for as
+    long as modularity rises. A level that does not settle in ``rounds`` rounds counts only if it raises it too."""
+    e = materialize(e.select("src", "dst", F.col("weight").cast("double").alias("weight")), "edges")
+    total = 2 * (e.agg(F.sum("weight")).first()[0] or 0.0)
+    both = materialize(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "both")
+    labels, best = both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")), None
+    while total:
+        moves = _local_moves(both, total, rounds)
+        up = moves.select(F.col("node").alias("community"), F.col("community").alias("_up"))
+        found = materialize(labels.join(up, "community").select("node", F.col("_up").alias("community")), "communities")
+        q = modularity(e, found).first()[0]
+        if best is not None and q <= best + 1e-12:
+            break
+        labels, best = found, q
+        to = lambda end: moves.select(F.col("node").alias(end), F.col("community").alias(f"_{end}"))
+        both = materialize(both.join(to("src"), "src").join(to("dst"), "dst").groupBy(F.col("_src").alias("src"), F.col("_dst").alias("dst")).agg(F.sum("weight").alias("weight")), "both")
     return labels
 
 
@@ -173,9 +213,10 @@ def assortativity(e: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return both.groupBy(*keys).agg(F.coalesce(corr("_x", "_y"), F.lit(0.0)).alias("assortativity"))
 
 
-def betweenness(e: DataFrame, sources: int = 100, top: int = 1000, depth: int = 20) -> DataFrame:
+def betweenness(e: DataFrame, sources: int = 100, top: int = 1000) -> DataFrame:
     """Sampled betweenness on the subgraph of the ``top`` nodes by degree: shortest paths from ``sources`` nodes of
-    lowest hash, all at once, level by level out and back. Scaled to all sources; the subgraph bounds the work."""
+    lowest hash, all at once, level by level out, however deep they go, and back. Scaled to all sources; the subgraph
+    bounds the work."""
     keep = degrees(e).orderBy(F.desc("degree"), "node").limit(top).select("node")
     sub = e.join(keep.withColumnRenamed("node", "src"), "src", "left_semi").join(keep.withColumnRenamed("node", "dst"), "dst", "left_semi")
     both = materialize(sub.select("src", "dst").unionByName(sub.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "adjacency")
@@ -184,7 +225,8 @@ def betweenness(e: DataFrame, sources: int = 100, top: int = 1000, depth: int =
     n, k = nodes.count(), start.count()
     seen = start.select(F.col("node").alias("root"), "node", F.lit(0).alias("level"), F.lit(1.0).alias("paths"))
     levels = 0
-    for level in range(depth):
+    while True:
+        level = levels
         step = seen.where(F.col("level") == level).join(both, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
         new = step.join(seen, ["root", "node"], "left_anti").select("root", "node", F.lit(level + 1).alias("level"), "paths")
         grown = materialize(seen.unionByName(new), "levels")
@@ -244,6 +286,16 @@ def graph_report(v: DataFrame, e: DataFrame) -> DataFrame:
     return v.groupBy(F.lit("vertex").alias("kind"), "label").agg(F.count(F.lit(1)).alias("n")).unionByName(e.groupBy(F.lit("edge").alias("kind"), F.col("type").alias("label")).agg(F.count(F.lit(1)).alias("n")))
 
 
+def mentions_per_category(m: DataFrame, category: str = "category") -> DataFrame:
+    return m.groupBy(F.col(category).alias("category")).agg(F.count(F.lit(1)).alias("mentions"))
+
+
+def spikes_per_year(spikes: DataFrame, day: str, value: str) -> DataFrame:
+    """Spikes and their mean size by calendar year; ``day`` counts days since 1970."""
+    year = F.year(F.date_from_unix_date(F.col(day).cast("int"))).alias("year")
+    return spikes.groupBy(year).agg(F.count(F.lit(1)).alias("spikes"), F.avg(value).alias("mean_size"))
+
+
 def temporal_follows(m: DataFrame, entity: str, time: str, event: str, most: int) -> DataFrame:
     """Consecutive events of one entity at most ``most`` apart."""
     w = W.partitionBy(entity).orderBy(time, event)
@@ -269,23 +321,35 @@ def sessions(df: DataFrame, key: str, time: str, gap: int) -> DataFrame:
 
 
 def text_novelty(df: DataFrame, day: str, days: int, least: float, key: str = "msg_id", text: str = "text", words: int = 3) -> DataFrame:
-    """new, update or reprint of each message against those of the ``days`` before.
+    """new, update or reprint of each message by its greatest Jaccard likeness to those of the ``days`` before: reprint from
+    0.95 on, update from ``least`` on. likeness is exact where it reaches ``least`` and 0 below.
 
-    Messages that share a rare-enough band of MinHash values are compared exactly: reprint from 0.95 on, update from
-    ``least`` on. Candidates are found by an equi join on band and day.
+    Two sets of likeness ``least`` share one of the rarest shingles of both: a set of n keeps its n - ceil(least n) + 1
+    rarest, which meet in an equi join. Equal texts are compared once, whatever their number.
     """
     w = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
     grams = F.when(F.size(w) < words, F.array(F.array_join(w, " "))).otherwise(
         F.transform(F.sequence(F.lit(0), F.size(w) - words), lambda i: F.array_join(F.slice(w, i + 1, words), " "))
     )
-    sets = materialize(df.select(key, day, F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))).alias("g")), "grams")
-    bands = [F.struct(F.lit(b).alias("b"), F.xxhash64(*[F.array_min(F.transform("g", lambda x, s=2 * b + i: F.xxhash64(x, F.lit(s)))) for i in range(2)]).alias("h")) for b in range(16)]
-    sig = sets.select(key, day, F.explode(F.array(*bands)).alias("x")).select(key, day, "x.*")
-    past = sig.select(F.col(key).alias("_p"), F.explode(F.sequence(F.col(day) + 1, F.col(day) + days)).alias(day), "b", "h")
-    pairs = sig.join(past, [day, "b", "h"]).select(key, "_p").distinct()
-    a, b = sets.select(key, F.col("g").alias("_a")), sets.select(F.col(key).alias("_p"), F.col("g").alias("_b"))
+    sets = df.select(key, day, F.array_sort(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))).alias("g"))
+    rows = materialize(sets.withColumn("h", F.xxhash64("g")), "grams")
+    kinds = materialize(rows.groupBy("h").agg(F.any_value("g").alias("g")), "kinds")
+    flat = kinds.select("h", F.size("g").alias("n"), F.explode("g").alias("x"))
+    rank = F.row_number().over(W.partitionBy("h").orderBy("_f", "x"))
+    rare = flat.join(flat.groupBy("x").agg(F.count(F.lit(1)).alias("_f")), "x").withColumn("_r", rank)
+    rare = materialize(rare.where(F.col("_r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("h", "n", "x"), "rare")
+    other = rare.select(F.col("h").alias("p"), F.col("n").alias("m"), "x")
+    fits = (F.col("h") < F.col("p")) & (F.col("n") >= F.col("m") * least - 1e-9) & (F.col("m") >= F.col("n") * least - 1e-9)
+    pairs = rare.join(other, "x").where(fits).select("h", "p").distinct()
+    a, b = kinds.select("h", F.col("g").alias("_a")), kinds.select(F.col("h").alias("p"), F.col("g").alias("_b"))
     both = F.size(F.array_intersect("_a", "_b"))
-    likeness = pairs.join(a, key).join(b, "_p").select(key, (both / (F.size("_a") + F.size("_b") - both)).alias("s"))
-    best = likeness.groupBy(key).agg(F.max("s").alias("likeness"))
+    like = pairs.join(a, "h").join(b, "p").select("h", "p", (both / (F.size("_a") + F.size("_b") - both)).alias("s")).where(F.col("s") >= least)
+    like = materialize(like, "likeness")
+    equal = kinds.where("g IS NOT NULL").select("h", F.col("h").alias("p"), F.lit(1.0).alias("s"))
+    every = like.unionByName(like.select(F.col("p").alias("h"), F.col("h").alias("p"), "s")).unionByName(equal)
+    seen = rows.select("h", day).distinct()
+    past = seen.select(F.col("h").alias("p"), F.explode(F.sequence(F.col(day) + 1, F.col(day) + days)).alias(day)).distinct()
+    best = seen.join(every, "h").join(past, ["p", day]).groupBy("h", day).agg(F.max("s").alias("likeness"))
     status = F.when(F.col("likeness") >= 0.95, "reprint").when(F.col("likeness") >= least, "update").otherwise("new")
-    return df.select(key).join(best, key, "left").withColumn("likeness", F.coalesce("likeness", F.lit(0.0))).withColumn("status", status)
+    found = rows.select(key, "h", day).join(best, ["h", day], "left").select(key, F.coalesce("likeness", F.lit(0.0)).alias("likeness"))
+    return found.withColumn("status", status)

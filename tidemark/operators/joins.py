@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.dedup import with_place
+
 
 def join_market(features: DataFrame, market: DataFrame, keys: Sequence[str]) -> DataFrame:
     return features.join(market, list(keys), "inner")
@@ -89,7 +91,7 @@ def entity_index(df: DataFrame, column: str, by: str = "frequency") -> DataFrame
     """Dense ids from 0 of the distinct values, by falling frequency (then value) or by value."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     order = [F.desc("n"), F.col(column)] if by == "frequency" else [F.col(column)]
-    return counts.select(column, "n", (F.row_number().over(W.orderBy(*order)) - 1).alias("id"))
+    return with_place(counts, "id", *order).select(column, "n", "id")
 
 
 def known_event_entities(events: DataFrame, entities: DataFrame, key: str = "event") -> DataFrame:

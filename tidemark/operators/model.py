@@ -76,19 +76,30 @@ def coordinate_descent(g: np.ndarray, xy: np.ndarray, n: float, alpha: float, l1
     return b
 
 
+def fold_bounds(n, outer: int, inner: int, div) -> list:
+    """Last rows of the train and validation parts of all folds of ``n`` rows; for numbers and for columns."""
+    out = []
+    for fold in range(1, outer + 1):
+        begin = n - div(n, outer + 1) * (outer + 1 - fold)
+        out += [begin - div(begin, inner + 1) * j for j in range(inner + 1)]
+    return out
+
+
 def nested_linear_cv(df: DataFrame, features: Sequence[str], y: str, order: str, alphas: Sequence[float], outer: int = 5, inner: int = 3, l1: float = 1.0, keys: Sequence[str] = ()) -> DataFrame:
     """Penalised regression of each cell with its penalty chosen by inner walk-forward folds: keys, fold, alpha, intercept, betas.
 
-    Products are summed by blocks of time in one Spark aggregate; every outer and inner fold's matrix is a sum of those
-    of its blocks, as folds are runs of blocks, so rows are read once and only small matrices are solved. Features are
-    standardised within each fit.
+    Products are summed by blocks of time in one Spark aggregate. Blocks are cut at the bounds of the folds, outer ones
+    and inner ones (each of n // (k + 1) rows, as in ``walk_forward``), so every fold's matrix is a sum of those of its
+    blocks, rows are read once and only small matrices are solved. Features are standardised within each fit.
     """
     _require(df, features)
     cols = ["_y", "_one", *features]
     k = len(cols)
     d = numbered(df.where(" AND ".join(f"{c} IS NOT NULL" for c in [y, *features])), keys, order).withColumns({"_y": F.col(y).cast("double"), "_one": F.lit(1.0)})
-    parts = (outer + 1) * (inner + 1) * 4
-    d = d.withColumn("_block", F.least(F.floor((F.col("_rn") - 1) * parts / F.col("_n")), F.lit(parts - 1)).cast("int"))
+    block = F.lit(0)
+    for bound in fold_bounds(F.col("_n"), outer, inner, lambda a, b: F.floor(a / b)):
+        block = block + (F.col("_rn") > bound).cast("int")
+    d = d.withColumn("_block", block)
     blocks = gram(d, [*keys, "_block"], cols)
     grid = sorted(alphas, reverse=True)
 
@@ -115,10 +126,17 @@ def nested_linear_cv(df: DataFrame, features: Sequence[str], y: str, order: str,
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         m = {r["_block"]: unpack(r.g, k) for _, r in pdf.iterrows()}
         cell = pdf.iloc[0][list(keys)].tolist()
-        total = lambda lo, hi: sum((m[i] for i in range(lo, hi) if i in m), np.zeros((k, k)))
-        size, rows = parts // (outer + 1), []
+        n = int(sum(x[1, 1] for x in m.values()))
+        bounds, rows = fold_bounds(n, outer, inner, lambda a, b: a // b), []
+
+        def total(lo: int, hi: int) -> np.ndarray:
+            """Products of the rows after the lo-th up to the hi-th; both are bounds, 0 or n."""
+            first, last = sum(b <= lo for b in bounds) if lo else 0, sum(b < hi for b in bounds)
+            return sum((x for i, x in m.items() if first <= i <= last), np.zeros((k, k)))
+
+        size = n // (outer + 1)
         for fold in range(1, outer + 1):
-            begin = parts - (outer + 1 - fold) * size
+            begin = n - (outer + 1 - fold) * size
             step = begin // (inner + 1)
             errors = np.zeros(len(grid))
             for j in range(1, inner + 1):
@@ -203,10 +221,11 @@ def over_folds(metrics: DataFrame, keys: Sequence[str], columns: Sequence[str])
 
 def classification_metrics(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
     """precision, recall, f1 and auc (Mann-Whitney by average ranks; 0.5 with one class) of y, prediction, score."""
-    rank = F.rank().over(W.partitionBy(*keys).orderBy("score")) + (F.count(F.lit(1)).over(W.partitionBy(*keys, "score")) - 1) / 2
     y, p = F.col("y") == 1, F.col("prediction") == 1
-    agg = preds.withColumn("_r", rank).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(y).alias("_n1"), F.count_if(y & p).alias("_tp"), F.count_if(p).alias("_p"), F.coalesce(F.sum(F.when(y, F.col("_r"))), F.lit(0.0)).alias("_sum")
+    scores = preds.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("_k"), F.count_if(y).alias("_y"), F.count_if(y & p).alias("_yp"), F.count_if(p).alias("_q"))
+    before = F.coalesce(F.sum("_k").over(W.partitionBy(*keys).orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    agg = scores.withColumn("_r", before + (F.col("_k") + 1) / 2).groupBy(*keys).agg(
+        F.sum("_k").alias("n"), F.sum("_y").alias("_n1"), F.sum("_yp").alias("_tp"), F.sum("_q").alias("_p"), F.sum(F.col("_y") * F.col("_r")).alias("_sum")
     )
     over = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
     n1, n0 = F.col("_n1"), F.col("n") - F.col("_n1")
@@ -260,6 +279,32 @@ def ablation(df: DataFrame, sets: dict[str, Sequence[str]], kinds: Sequence[str]
     return out
 
 
+def linear_ablation(
+    df: DataFrame, sets: dict[str, Sequence[str]], y: str, order: str, alphas: Sequence[float], outer: int = 5, keys: Sequence[str] = (), models: dict[str, float] | None = None,
+) -> DataFrame:
+    """Nested penalised fits of every cell and feature set on the same rows, those where all features of all sets are there:
+    keys, fold, features, model, alpha, mse, r2, n_test. ``models`` maps names to the share of the l1 penalty."""
+    every = sorted({c for cs in sets.values() for c in cs})
+    _require(df, every)
+    rows = df.where(" AND ".join(f"{c} IS NOT NULL" for c in [y, *every]))
+    out = None
+    for name, cs in sets.items():
+        for model, l1 in (models or {"ridge": 0.0, "lasso": 1.0}).items():
+            m = nested_linear_cv(rows, cs, y, order, alphas, outer, l1=l1, keys=keys).withColumns({"features": F.lit(name), "model": F.lit(model)})
+            out = m if out is None else out.unionByName(m)
+    return out
+
+
+def horizon_sweep(df: DataFrame, base: Sequence[str], features: Sequence[str], level: str, horizons: Sequence[int], order: str, alphas: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    """Fits of ``level`` so many rows ahead, with ``features`` and with the ``base`` ones alone: keys, horizon, base_r2, r2,
+    delta (means over folds). The horizon is exploded into rows, so all of them are fitted in two jobs."""
+    ahead = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lead(level, h).over(W.partitionBy(*keys).orderBy(order)).alias("_ahead")) for h in horizons])
+    rows = materialize(df.withColumn("_h", ahead).select("*", F.inline("_h")).drop("_h"), "horizons")
+    fit = lambda cs, name: linear_ablation(rows, {name: cs, "all": features}, "_ahead", order, alphas, keys=[*keys, "horizon"], models={"lasso": 1.0})
+    mean = fit(list(base), "base").groupBy(*keys, "horizon").pivot("features", ["base", "all"]).agg(F.avg("r2"))
+    return mean.select(*keys, "horizon", F.col("base").alias("base_r2"), F.col("all").alias("r2"), (F.col("all") - F.col("base")).alias("delta"))
+
+
 def lift(metrics: DataFrame, base: str) -> DataFrame:
     """Gain in R2 and percent cut in MSE of each feature set over ``base``, by model."""
     b = metrics.where(F.col("features") == base).select("model", F.col("r2").alias("_r2"), F.col("mse").alias("_mse"))

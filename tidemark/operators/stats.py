@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dist import chi2_pvalue, f_pvalue, t_pvalue, t_two_sided
 from tidemark.operators.series import corr
+from tidemark.scratch import materialize
 
 
 def complete(long: DataFrame) -> DataFrame:
@@ -168,12 +169,26 @@ def regime_share(df: DataFrame, c: str, split: str, p: float = 0.75) -> DataFram
     return df.join(F.broadcast(q)).groupBy(split).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(c) > F.col("_q")).cast("double")).alias("share"))
 
 
-def gram(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """For each cell the sums of products of all pairs of columns, and n: one aggregate, however long the series."""
+def gram(df: DataFrame, keys: Sequence[str], columns: Sequence[str], rows: Column | None = None, *besides: Column) -> DataFrame:
+    """For each cell the sums of products of all pairs of columns, and n: one aggregate, however long the series. With
+    ``rows``, the sums are over the rows for which it holds, and ``besides`` are aggregates over all rows of the cell."""
     cols = list(columns)
-    d = df.where(" AND ".join(f"{c} IS NOT NULL" for c in cols))
-    sums = [F.sum(F.col(a) * F.col(b)) for i, a in enumerate(cols) for b in cols[i:]]
-    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("g"))
+    if rows is None:
+        df, rows = df.where(" AND ".join(f"{c} IS NOT NULL" for c in cols)), F.lit(True)
+    sums = [F.coalesce(F.sum(F.when(rows, F.col(a) * F.col(b))), F.lit(0.0)) for i, a in enumerate(cols) for b in cols[i:]]
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("g"), *besides)
+
+
+def gram_sets(df: DataFrame, keys: Sequence[str], sets: dict[int, Sequence[str]], label: str) -> DataFrame:
+    """``gram`` for several sets of columns in one aggregate, each over the rows that have all of its columns: keys, label, n, g."""
+    parts = []
+    for name, cols in sets.items():
+        whole = F.lit(True)
+        for c in cols:
+            whole = whole & F.col(c).isNotNull()
+        sums = [F.sum(F.when(whole, F.col(a) * F.col(b))) for i, a in enumerate(cols) for b in list(cols)[i:]]
+        parts.append(F.struct(F.lit(name).alias(label), F.count_if(whole).alias("n"), F.array(*sums).alias("g")))
+    return df.groupBy(*keys).agg(F.array(*parts).alias("_z")).select(*keys, F.inline("_z"))
 
 
 def unpack(g: Sequence[float], k: int) -> np.ndarray:
@@ -190,79 +205,138 @@ def solve(m: np.ndarray, y: int, xs: Sequence[int]) -> tuple[np.ndarray, float,
     return beta, float(m[y, y] - beta @ m[xs, y]), inv
 
 
+def lagged_rows(values: Sequence[Sequence[float]], lags: int) -> np.ndarray:
+    """A row (value, 1, its first to ``lags``-th lag, then those of the next column) for each place of a short piece of
+    series; 0 where a lag is before the piece."""
+    v = np.asarray(values, dtype=float).reshape(len(values), -1)
+    out = [v[:, 0], np.ones(len(v))]
+    for c in range(v.shape[1]):
+        out += [np.concatenate([np.zeros(min(j, len(v))), v[: max(0, len(v) - j), c]]) for j in range(1, lags + 1)]
+    return np.stack(out, axis=1)
+
+
 def granger_screen(long: DataFrame, keys: Sequence[str], order: str, lags: int = 7) -> DataFrame:
-    """F test of y on its own lags with and without those of x, for each number of lags: keys, lag, n, f, p."""
+    """F test of y on its own lags with and without those of x, for each number of lags: keys, lag, n, f, p.
+
+    Products are summed once, over the rows that have all lags; what a smaller number of lags has besides are each
+    cell's first rows, which travel with the sums."""
     w = W.partitionBy(*keys).orderBy(order)
-    d = complete(long).select(*keys, order, "x", "y")
-    d = d.withColumns({"one": F.lit(1.0), **{f"{c}{j}": F.lag(c, j).over(w) for c in "yx" for j in range(1, lags + 1)}})
-    parts = []
-    for p in range(1, lags + 1):
-        cols = ["y", "one", *[f"y{j}" for j in range(1, p + 1)], *[f"x{j}" for j in range(1, p + 1)]]
-        parts.append(gram(d, keys, cols).withColumn("lag", F.lit(p)))
-    cells = parts[0]
-    for part in parts[1:]:
-        cells = cells.unionByName(part)
-
-    @F.pandas_udf("double")
-    def f_of(n: pd.Series, lag: pd.Series, g: pd.Series) -> pd.Series:
+    d = complete(long).select(*keys, order, "x", "y").withColumns({"_rn": F.row_number().over(w), "one": F.lit(1.0)})
+    past = [f"{c}{j}" for c in "yx" for j in range(1, lags + 1)]
+    d = d.withColumns({f"{c}{j}": F.lag(c, j).over(w) for c in "yx" for j in range(1, lags + 1)})
+    head = F.array_sort(F.collect_list(F.when(F.col("_rn") <= lags, F.struct("_rn", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x")))))
+    cells = gram(d, keys, ["y", "one", *past], F.col("_rn") > lags, head.alias("head"), F.count(F.lit(1)).alias("rows"))
+
+    @F.pandas_udf("array<struct<lag:int,n:bigint,f:double>>")
+    def f_of(rows: pd.Series, g: pd.Series, head: pd.Series) -> pd.Series:
         out = []
-        for n_, p, v in zip(n, lag, g, strict=True):
-            m = unpack(v, 2 + 2 * p)
-            own = solve(m, 0, list(range(1, 2 + p)))[1]
-            both = solve(m, 0, list(range(1, 2 + 2 * p)))[1]
-            free = n_ - 2 * p - 1
-            out.append(((own - both) / p) / (both / free) if free > 0 and both > 0 else math.nan)
+        for n_rows, v, first in zip(rows, g, head, strict=True):
+            full, cell = unpack(v, 2 + 2 * lags), []
+            early = lagged_rows([(r["y"], r["x"]) for r in first], lags)
+            for p in range(1, lags + 1):
+                m, n = full + early[p:].T @ early[p:], max(int(n_rows) - p, 0)
+                own = [1, *range(2, 2 + p)]
+                less, more = solve(m, 0, own)[1], solve(m, 0, [*own, *range(2 + lags, 2 + lags + p)])[1]
+                free = n - 2 * p - 1
+                cell.append({"lag": p, "n": n, "f": ((less - more) / p) / (more / free) if free > 0 and more > 0 else math.nan})
+            out.append(cell)
         return pd.Series(out)
 
-    out = cells.withColumn("f", f_of("n", "lag", "g")).drop("g")
+    out = cells.withColumn("z", F.explode(f_of("rows", "g", "head"))).select(*keys, "z.*").where("n > 0")
     return out.withColumn("p", f_pvalue("f", "lag", F.col("n") - 2 * F.col("lag") - 1))
 
 
 #: Response surface of the ADF statistic with a constant (1, 5, 10 %: limit, 1/n, 1/n^2 terms), and KPSS levels with their p.
 ADF_CONSTANT = ((0.01, -3.43035, -6.5393, -16.786), (0.05, -2.86154, -2.8903, -4.234), (0.10, -2.56677, -1.5384, -2.809))
 KPSS_LEVEL = ((0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01))
+#: P of the ADF statistic with a constant is the normal probability of a polynomial, by rising powers; the first up to -1.61, the second to 2.74.
+ADF_P = ((2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368))
+
+
+def adf_pvalue(t: float) -> float:
+    if t > 2.74 or t < -18.83:
+        return 1.0 if t > 0 else 0.0
+    z = sum(c * t**i for i, c in enumerate(ADF_P[0 if t <= -1.61 else 1]))
+    return 0.5 * math.erfc(-z / math.sqrt(2))
+
+
+def adf_lags(n: Column) -> Column:
+    """Most lags to try: ceil(12 (n / 100)^(1/4)), and few enough to leave rows."""
+    return F.greatest(F.least(F.ceil(12 * F.pow(n / 100, F.lit(0.25))), F.floor(n / 2) - 2), F.lit(0)).cast("int")
 
 
-def stationarity_screen(long: DataFrame, keys: Sequence[str], order: str, max_lag: int = 6, least: int = 30) -> DataFrame:
-    """ADF with constant (lags by AIC on a common sample, then refitted) and KPSS of column y: keys, n, adf, adf_lag,
-    adf_critical (5 %), kpss, kpss_p, stationary. A series is stationary if ADF rejects at 5 % and KPSS's p exceeds
-    0.05; shorter ones than ``least`` count as not."""
+def adf_screen(d: DataFrame, keys: Sequence[str], order: str, max_lag: int | None = None) -> DataFrame:
+    """ADF with constant of column y, lags by AIC on a common sample, then refitted: keys, n, adf, adf_lag, adf_critical (5 %), adf_p.
+
+    One aggregate over the common sample; the rows that a smaller number of lags has besides are each cell's first ones."""
     w = W.partitionBy(*keys).orderBy(order)
-    d = long.where("y IS NOT NULL").select(*keys, order, "y").withColumn("d0", F.col("y") - F.lag("y").over(w))
-    d = d.withColumns({"one": F.lit(1.0), "y1": F.lag("y").over(w), **{f"d{j}": F.lag("d0", j).over(w) for j in range(1, max_lag + 1)}})
-    common = gram(d, keys, ["d0", "one", "y1", *[f"d{j}" for j in range(1, max_lag + 1)]]).withColumnsRenamed({"g": "gc", "n": "nc"})
-    own = [gram(d, keys, ["d0", "one", "y1", *[f"d{j}" for j in range(1, p + 1)]]).withColumnsRenamed({"g": f"g{p}", "n": f"n{p}"}) for p in range(max_lag + 1)]
-    n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("_mean"))
-    cells = n.join(common, list(keys))
-    for part in own:
-        cells = cells.join(part, list(keys))
-
-    @F.pandas_udf("adf double, adf_lag int, adf_critical double")
-    def adf(nc: pd.Series, gc: pd.Series, *own: pd.Series) -> pd.DataFrame:
+    d = d.select(*keys, order, F.col("y").cast("double").alias("y")).withColumns({"_rn": F.row_number().over(w), "_n": F.count(F.lit(1)).over(W.partitionBy(*keys))})
+    d = d.withColumn("_most", F.lit(max_lag) if max_lag is not None else adf_lags(F.col("_n")))
+    most = d.agg(F.max("_most")).first()[0] or 0
+    d = d.withColumns({"d0": F.col("y") - F.lag("y").over(w), "one": F.lit(1.0), "y1": F.lag("y").over(w)})
+    d = d.withColumns({f"d{j}": F.coalesce(F.lag("d0", j).over(w), F.lit(0.0)) for j in range(1, most + 1)})
+    head = F.array_sort(F.collect_list(F.when(F.col("_rn") <= F.col("_most") + 1, F.struct("_rn", "y"))))
+    columns = ["d0", "one", "y1", *[f"d{j}" for j in range(1, most + 1)]]
+    cells = gram(d, keys, columns, F.col("_rn") > F.col("_most") + 1, head.alias("head"), F.max("_most").alias("most"), F.max("_n").alias("rows"))
+
+    @F.pandas_udf("adf double, adf_lag int, adf_critical double, adf_p double")
+    def adf(rows: pd.Series, tried: pd.Series, g: pd.Series, head: pd.Series) -> pd.DataFrame:
         out = []
-        for i in range(len(nc)):
-            m, best = unpack(gc.iloc[i], 3 + max_lag), (math.inf, 0)
-            for p in range(max_lag + 1):
+        for n_rows, top, v, first in zip(rows, tried, g, head, strict=True):
+            m, best, nc = unpack(v, 3 + most), (math.inf, 0), int(n_rows) - int(top) - 1
+            if nc < 4:
+                out.append((None, None, None, None))
+                continue
+            for p in range(int(top) + 1):
                 rss = max(solve(m, 0, list(range(1, 3 + p)))[1], 1e-300)
-                best = min(best, (nc.iloc[i] * math.log(rss / nc.iloc[i]) + 2 * (2 + p), p))
+                best = min(best, (nc * math.log(rss / nc) + 2 * (2 + p), p))
             p = best[1]
-            n_, g = own[2 * p].iloc[i], unpack(own[2 * p + 1].iloc[i], 3 + p)
-            beta, rss, inv = solve(g, 0, list(range(1, 3 + p)))
-            se = math.sqrt(max(rss / max(n_ - 2 - p, 1) * inv[1, 1], 1e-300))
+            y = np.array([r["y"] for r in first])
+            for t in range(p + 1, len(y)):  # rows before the common sample
+                step = np.diff(y[: t + 1])[::-1]
+                row = np.zeros(3 + most)
+                row[: 3 + p] = [step[0], 1.0, y[t - 1], *step[1 : 1 + p]]
+                m = m + np.outer(row, row)
+            n = int(n_rows) - p - 1
+            beta, rss, inv = solve(m, 0, list(range(1, 3 + p)))
+            t = beta[1] / math.sqrt(max(rss / max(n - 2 - p, 1) * inv[1, 1], 1e-300))
             _, a, b, c = ADF_CONSTANT[1]
-            out.append((beta[1] / se, p, a + b / n_ + c / n_**2))
-        return pd.DataFrame(out, columns=["adf", "adf_lag", "adf_critical"])
-
-    tested = cells.withColumn("z", adf("nc", "gc", *[x for p in range(max_lag + 1) for x in (f"n{p}", f"g{p}")])).select(*keys, "n", "_mean", "z.*")
-    e = d.join(n, list(keys)).select(*keys, order, "n", (F.col("y") - F.col("_mean")).alias("e"))
-    part = e.withColumn("_s", F.sum("e").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    part = part.withColumns({f"_l{j}": F.lag("e", j).over(w) for j in range(1, 13)})
-    sums = part.groupBy(*keys).agg(F.max("n").alias("_n"), F.sum(F.col("_s") * F.col("_s")).alias("_eta"), F.sum(F.col("e") * F.col("e")).alias("_g0"), *[F.coalesce(F.sum(F.col("e") * F.col(f"_l{j}")), F.lit(0.0)).alias(f"_g{j}") for j in range(1, 13)])
-    lag_n = F.least(F.floor(4 * F.pow(F.col("_n") / 100, F.lit(0.25))), F.lit(12))
-    s2 = F.col("_g0")
-    for j in range(1, 13):
-        s2 = s2 + F.when(F.lit(j) <= lag_n, 2 * (1 - F.lit(j) / (lag_n + 1)) * F.col(f"_g{j}")).otherwise(0.0)
-    kpss = sums.select(*keys, (F.col("_eta") / (F.col("_n") * F.nullif(s2, F.lit(0.0)))).alias("kpss"))
+            out.append((t, p, a + b / n + c / n**2, adf_pvalue(t)))
+        return pd.DataFrame(out, columns=["adf", "adf_lag", "adf_critical", "adf_p"])
+
+    return cells.withColumn("z", adf("rows", "most", "g", "head")).select(*keys, F.col("rows").alias("n"), "z.*")
+
+
+def kpss_screen(d: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """KPSS of column y around its level: keys, kpss_lags, kpss, kpss_p (clipped to 0.01 and 0.1). The number of lags
+    follows the series' own first n^(2/9) autocovariances: 1.1447 (s1 / s0)^(2/3) n^(1/3)."""
+    w = W.partitionBy(*keys).orderBy(order)
+    whole = W.partitionBy(*keys)
+    e = d.withColumns({"_n": F.count(F.lit(1)).over(whole), "e": F.col("y") - F.avg("y").over(whole)}).select(*keys, order, "_n", "e")
+    e = materialize(e.withColumn("_s", F.sum("e").over(w.rowsBetween(W.unboundedPreceding, 0))), "residuals")
+
+    def products(upto: int) -> DataFrame:
+        lagged = e.withColumns({f"_l{j}": F.lag("e", j).over(w) for j in range(1, upto + 1)})
+        return lagged.groupBy(*keys).agg(
+            F.max("_n").alias("_n"), F.sum(F.col("_s") * F.col("_s")).alias("_eta"), F.sum(F.col("e") * F.col("e")).alias("_g0"),
+            F.array(*[F.coalesce(F.sum(F.col("e") * F.col(f"_l{j}")), F.lit(0.0)) for j in range(1, upto + 1)]).cast("array<double>").alias("_g"),
+        )
+
+    def weighted(upto: Column, weight) -> Column:
+        """Sum over lags j up to ``upto`` of weight(j) g_j."""
+        g = F.slice("_g", 1, upto)
+        return F.aggregate(F.transform(g, lambda x, i: weight(i + 1) * x), F.lit(0.0), lambda a, x: a + x)
+
+    few = F.floor(F.pow("_n", F.lit(2 / 9))).cast("int")
+    n_most = e.agg(F.max("_n")).first()[0] or 0
+    first = products(int(math.floor(n_most ** (2 / 9) + 1e-9)))
+    s0 = F.col("_g0") / F.col("_n") + weighted(few, lambda j: F.lit(1.0)) * 2 / F.col("_n")
+    s1 = weighted(few, lambda j: j.cast("double")) * 2 / F.col("_n")
+    auto = F.floor(1.1447 * F.pow(F.pow(s1 / F.nullif(s0, F.lit(0.0)), F.lit(2.0)), F.lit(1 / 3)) * F.pow("_n", F.lit(1 / 3)))
+    lags = materialize(first.select(*keys, F.coalesce(F.least(auto, F.col("_n") - 1), F.lit(0)).cast("int").alias("kpss_lags")), "lags")
+    found = products(max(1, lags.agg(F.max("kpss_lags")).first()[0] or 0)).join(lags, list(keys))
+    s2 = F.col("_g0") + 2 * weighted(F.col("kpss_lags"), lambda j: 1 - j / (F.col("kpss_lags") + 1))
+    found = found.select(*keys, "kpss_lags", (F.col("_eta") / (F.col("_n") * F.nullif(s2, F.lit(0.0)))).alias("kpss"))
     (x0, p0), *rest = KPSS_LEVEL
     k, p, steps = F.col("kpss"), F.lit(0.01), []
     for x1, p1 in rest:
@@ -270,9 +344,15 @@ def stationarity_screen(long: DataFrame, keys: Sequence[str], order: str, max_la
         x0, p0 = x1, p1
     for x1, value in reversed(steps):
         p = F.when(k <= x1, value).otherwise(p)
-    p = F.when(k <= KPSS_LEVEL[0][0], 0.10).otherwise(p)
-    out = tested.join(kpss, list(keys)).withColumn("kpss_p", p).drop("_mean")
-    return out.withColumn("stationary", (F.col("n") >= least) & (F.col("adf") < F.col("adf_critical")) & (F.col("kpss_p") > 0.05))
+    return found.withColumn("kpss_p", F.when(k <= KPSS_LEVEL[0][0], 0.10).otherwise(p))
+
+
+def stationarity_screen(long: DataFrame, keys: Sequence[str], order: str, max_lag: int | None = None, least: int = 30) -> DataFrame:
+    """ADF and KPSS of column y. A series is stationary if the p of ADF is below 0.05 and that of KPSS above; shorter ones
+    than ``least`` count as not. ``max_lag`` replaces the rule for the most lags of ADF."""
+    d = long.where("y IS NOT NULL")
+    out = adf_screen(d, keys, order, max_lag).join(kpss_screen(d, keys, order), list(keys))
+    return out.withColumn("stationary", (F.col("n") >= least) & F.coalesce((F.col("adf_p") < 0.05) & (F.col("kpss_p") > 0.05), F.lit(False)))
 
 
 def make_stationary(long: DataFrame, keys: Sequence[str], order: str, **settings) -> DataFrame:
@@ -285,9 +365,12 @@ def make_stationary(long: DataFrame, keys: Sequence[str], order: str, **settings
 
 def regress_cells(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
     """OLS with a constant on several regressors: keys, term, beta, se, t, p, n, r2_adj."""
-    cols = ["_y", "_one", *xs]
     d = df.withColumns({"_y": F.col(y).cast("double"), "_one": F.lit(1.0)})
-    cells = gram(d, keys, cols)
+    return fit_cells(gram(d, keys, ["_y", "_one", *xs]), keys, xs)
+
+
+def fit_cells(cells: DataFrame, keys: Sequence[str], xs: Sequence[str]) -> DataFrame:
+    """Least squares from the products of y, a constant and ``xs``: keys, n, term, beta, se, t, p, r2_adj."""
     names, k = ["const", *xs], len(xs) + 2
 
     @F.pandas_udf("array<struct<term:string,beta:double,se:double,t:double,p:double,r2_adj:double>>")
@@ -308,16 +391,12 @@ def regress_cells(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str])
 
 
 def controlled_lag_regression(df: DataFrame, keys: Sequence[str], order: str, y: str, feature: str, control: str, lags: Sequence[int]) -> DataFrame:
-    """y on its own lag k, the control's and the feature's, for each k; all p values are kept and BH-corrected."""
+    """y on its own lag k, the control's and the feature's, for each k, in one pass over the rows; all p values are kept and
+    BH-corrected."""
     w = W.partitionBy(*keys).orderBy(order)
-    parts = []
-    for k in lags:
-        lagged = df.select(*keys, F.col(y).alias("_t"), F.lag(y, k).over(w).alias("own"), F.lag(control, k).over(w).alias("control"), F.lag(feature, k).over(w).alias("feature"))
-        parts.append(regress_cells(lagged, keys, "_t", ["own", "control", "feature"]).where("term = 'feature'").withColumn("lag", F.lit(k)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return fdr_bh(out, keys, "p", ["lag"])
+    lagged = df.select(*keys, F.col(y).cast("double").alias("_y"), F.lit(1.0).alias("_one"), *[F.lag(c, k).over(w).alias(f"{n}_{k}") for k in lags for n, c in (("own", y), ("control", control), ("feature", feature))])
+    cells = gram_sets(lagged, keys, {k: ["_y", "_one", f"own_{k}", f"control_{k}", f"feature_{k}"] for k in lags}, "lag").where("n > 0")
+    return fdr_bh(fit_cells(cells, [*keys, "lag"], ["own", "control", "feature"]).where("term = 'feature'"), keys, "p", ["lag"])
 
 
 def var_irf(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], lags: int, horizon: int) -> DataFrame:

@@ -62,9 +62,7 @@ _STATUS = "CASE WHEN msg_id % 23 = 0 THEN 'api_error' WHEN msg_id % 17 = 0 THEN
 
 @query(f"SELECT msg_id, {_STATUS} AS status FROM v_signal")
 def b4_b6_parse_annotations(view, table):
-    ok, failed = A.parse_annotations(_responses(view))
-    both = C.union_results(ok.select("custom_id", F.lit("ok").alias("status")), failed.select("custom_id", "status"))
-    return both.select(T.parse_msg_id("custom_id").alias("msg_id"), "status")
+    return A.classify_annotations(_responses(view)).select(T.parse_msg_id("custom_id").alias("msg_id"), "status")
 
 
 @query(f"SELECT msg_id, k % 17 <> 0 AND k % 19 <> 0 AS valid, CASE WHEN k % 17 = 0 OR k % 19 = 0 THEN 0 END AS first_bad, 'T' || k AS names, 1 AS num_targets, false AS has_conflict, CASE WHEN k % 19 = 0 THEN 12.0 ELSE impact END AS avg_impact, CASE WHEN k % 17 = 0 THEN 'PLANET' ELSE 'CRYPTO' END AS types FROM v_signal WHERE {_STATUS} = 'ok'")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import dedup as C
 from tidemark.operators import graph as G
+from tidemark.operators import series as S
 from tidemark.plans.registry import query, r6
 
 _ONE = "one AS (SELECT event_id, day, entity, sentiment, impact FROM (SELECT *, row_number() OVER (PARTITION BY event_id, entity ORDER BY pos DESC, l_partkey DESC, impact DESC, sentiment DESC) AS n FROM v_mention) WHERE n = 1)"
@@ -85,7 +86,10 @@ def h9_components(view, table):
     return G.components(e, ["win"])
 
 
-@query(None)
+@query(f"""{_E.format(5).replace("WITH ", "WITH RECURSIVE ", 1)}, b AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e), o AS (SELECT src, sum(weight) AS w, count(*) OVER () AS n FROM b GROUP BY 1),
+t AS (SELECT b.src, b.dst, CAST(weight AS DOUBLE) / w AS p, n FROM b JOIN o ON b.src = o.src),
+r AS (SELECT 0 AS k, src AS node, 1 / CAST(n AS DOUBLE) AS rank FROM o UNION ALL SELECT r.k + 1, t.dst, CAST(0.15 AS DOUBLE) / max(t.n) + CAST(0.85 AS DOUBLE) * sum(r.rank * t.p) FROM r JOIN t ON r.node = t.src WHERE r.k < 150 GROUP BY 1, 2)
+SELECT node, round(rank, 6) AS rank FROM r WHERE k = 150""")
 def h10_pagerank(view, table):
     return G.pagerank(edges(view, 5)).withColumn("rank", r6("rank"))
 
@@ -157,6 +161,18 @@ def e17_graph_report(view, table):
     return G.graph_report(v, edges(view).withColumn("type", F.when(F.col("weight") >= 20, "strong").otherwise("weak")))
 
 
+@query("SELECT category, count(*) AS mentions FROM v_mention GROUP BY 1")
+def e17_mentions_per_category(view, table):
+    return G.mentions_per_category(view("v_mention"))
+
+
+@query("""WITH s AS (SELECT symbol, avg(volume) + 1.5 * stddev_samp(volume) AS t FROM v_bars GROUP BY 1)
+SELECT year(DATE '1970-01-01' + CAST(day AS INT)) AS year, count(*) AS spikes, round(avg(volume), 6) AS mean_size FROM v_bars b JOIN s ON b.symbol = s.symbol WHERE volume > t GROUP BY 1""")
+def e17_spikes_per_year(view, table):
+    spikes = S.spike_flags(view("v_bars"), "volume", [1.5], ["symbol"]).where("spike_1_5")
+    return G.spikes_per_year(spikes, "day", "volume").withColumn("mean_size", r6("mean_size"))
+
+
 @query("WITH l AS (SELECT user_id, msg_id, sec, lag(msg_id) OVER (PARTITION BY user_id ORDER BY sec, msg_id) AS before, sec - lag(sec) OVER (PARTITION BY user_id ORDER BY sec, msg_id) AS delta FROM v_signal) SELECT * FROM l WHERE delta <= 86400")
 def m1_temporal_follows(view, table):
     return G.temporal_follows(view("v_signal"), "user_id", "sec", "msg_id", 86400)
@@ -174,6 +190,11 @@ def l7_sessions(view, table):
     return G.sessions(view("v_signal"), "user_id", "sec", 21600)
 
 
-@query(None)
+@query("""WITH w AS (SELECT msg_id, day, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM v_message),
+s AS (SELECT msg_id, day, list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS g FROM w),
+x AS (SELECT msg_id, day, len(g) AS n, unnest(g) AS x FROM s),
+p AS (SELECT a.msg_id, a.n, b.n AS m, count(*) AS c FROM x a JOIN x b ON a.x = b.x AND b.day BETWEEN a.day - 7 AND a.day - 1 GROUP BY a.msg_id, a.n, b.msg_id, b.n),
+t AS (SELECT msg_id, max(c / (n + m - c)) AS s FROM p GROUP BY 1)
+SELECT CASE WHEN s >= 0.95 THEN 'reprint' WHEN s >= 0.5 THEN 'update' ELSE 'new' END AS status, count(*) AS n FROM v_message v LEFT JOIN t ON v.msg_id = t.msg_id GROUP BY 1""")
 def m7_text_novelty(view, table):
     return G.text_novelty(view("v_message"), "day", 7, 0.5).groupBy("status").agg(F.count(F.lit(1)).alias("n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import graph as G
 from tidemark.operators import model as M
 from tidemark.operators import series as S
 from tidemark.operators import stats as I
@@ -146,6 +147,52 @@ def j14_ablation(view, table):
     return M.ablation(features(view), _SETS, ["linear", "lasso"], "y", 5, "day", K).select("cell", "features", "model", "fold", "n", r6("r2", 4).alias("r2"))
 
 
+_HUBS = ("e1", "e2", "e3")
+
+
+def graph_features(view):
+    """A row for each symbol and day: own volatility, the mentions' sentiment and volume for the symbol, the day's graph
+    numbers, and how often each hub is mentioned; 0 on days without mentions."""
+    m = view("v_mention")
+    sentiment = m.groupBy(F.col("category").alias("cell"), "day").agg((F.sum(F.col("sentiment") * F.col("impact")) / F.sum("impact")).alias("sentiment"), F.count(F.lit(1)).alias("volume"))
+    graph = G.daily_degree(m).select("day", "entities", "avg_degree", "std_degree")
+    hubs = m.groupBy("day").agg(*[F.count_if(F.col("entity") == h).alias(h) for h in _HUBS])
+    d = cells(view).select("cell", "day", F.col("y").alias("own"), "x").join(sentiment, ["cell", "day"], "left").join(graph, "day", "left").join(hubs, "day", "left")
+    return d.fillna(0, ["sentiment", "volume", "entities", "avg_degree", "std_degree", *_HUBS])
+
+
+_SENTIMENT, _GRAPH = ["own", "sentiment", "volume"], ["own", "entities", "avg_degree", "std_degree"]
+_ABLATED = {"Baseline": ["own"], "Sentiment": _SENTIMENT, "Graph": _GRAPH, "Hubs": ["own", *_HUBS], "Combined": [*_SENTIMENT, *_GRAPH[1:], *_HUBS]}
+
+
+@query(None)
+def j14_ablation_sets(view, table):
+    """Baseline, Sentiment, Graph, Hubs and Combined on the same rows, with ridge and lasso."""
+    rows = materialize(graph_features(view).withColumn("y", S.forward_value("own", 1, K, "day")), "features")
+    return M.linear_ablation(rows, _ABLATED, "y", "day", [0.001, 0.01, 0.1], keys=K).select("cell", "features", "model", "fold", "n_test", r6("mse").alias("mse"), r6("r2", 4).alias("r2"))
+
+
+@query(None)
+def j15_horizons_against_baseline(view, table):
+    """Horizons from 1 to 72 days, the combined features against the series' own value."""
+    out = M.horizon_sweep(graph_features(view), ["own"], _ABLATED["Combined"], "own", (1, 2, 3, 6, 12, 24, 48, 72), "day", [0.001, 0.01, 0.1], K)
+    return out.select("cell", "horizon", *[r6(c, 4).alias(c) for c in ("base_r2", "r2", "delta")])
+
+
+@query(None)
+def j17_asset_models(view, table):
+    """Messages to features to bars to screen to models for every asset: features that the screen ranks, fitted by nested folds."""
+    f = view("v_signal").groupBy(F.col("asset").alias("symbol"), "hr").agg((F.sum(F.col("sentiment") * F.col("impact")) / F.sum("impact")).alias("sentiment"), F.count(F.lit(1)).cast("double").alias("volume"))
+    rows = f.join(view("v_bars_hourly").drop("volume"), ["symbol", "hr"]).withColumn("own", S.range_vol())
+    rows = materialize(rows.withColumn("y", S.forward_value("own", 1, ["symbol"], "hr")).where("y IS NOT NULL"), "assets")
+    names = ["sentiment", "volume", "own"]
+    long = rows.select("symbol", "y", F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in names])))
+    screen = I.pearson_cells(long, ["symbol", "feature"]).groupBy("symbol").agg(F.max_by("feature", F.struct(F.abs("r"), "feature")).alias("strongest"))
+    fits = M.linear_ablation(rows, {"Baseline": ["own"], "Sentiment": ["sentiment", "volume"], "Combined": names}, "y", "hr", [0.001, 0.01, 0.1], keys=["symbol"], models={"lasso": 1.0})
+    means = fits.groupBy("symbol", "features").agg(F.count(F.lit(1)).alias("folds"), r6(F.avg("mse")).alias("mse"), r6(F.avg("r2"), 4).alias("r2"))
+    return means.join(screen, "symbol")
+
+
 @query(None)
 def j15_horizon_sweep(view, table):
     d = cells(view)

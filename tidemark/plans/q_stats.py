@@ -68,7 +68,23 @@ def i6_fdr(view, table):
 @query(None)
 def i7_stationarity(view, table):
     out = I.stationarity_screen(cells(view), K, "day")
-    return out.select("cell", "n", "adf_lag", "stationary", *[r6(c, 4).alias(c) for c in ("adf", "adf_critical", "kpss", "kpss_p")])
+    return out.select("cell", "n", "adf_lag", "stationary", "kpss_lags", *[r6(c, 4).alias(c) for c in ("adf", "adf_critical", "adf_p", "kpss", "kpss_p")])
+
+
+@query(f"""WITH {_L}, e AS (SELECT cell, y - avg(y) OVER (PARTITION BY cell) AS e, row_number() OVER (PARTITION BY cell ORDER BY day) AS rn, count(*) OVER (PARTITION BY cell) AS n FROM l),
+s AS (SELECT *, sum(e) OVER (PARTITION BY cell ORDER BY rn ROWS UNBOUNDED PRECEDING) AS s FROM e), t AS (SELECT cell, max(n) AS n, sum(e * e) AS g0, sum(s * s) AS eta FROM s GROUP BY 1),
+g AS (SELECT a.cell, a.rn - b.rn AS j, sum(a.e * b.e) AS g FROM e a JOIN e b ON a.cell = b.cell AND b.rn BETWEEN a.rn - 400 AND a.rn - 1 GROUP BY 1, 2),
+k AS (SELECT t.cell, CAST(floor(1.1447 * power(power((sum(j * g) * 2 / max(n)) / (max(g0) / max(n) + sum(g) * 2 / max(n)), 2), 1 / 3) * power(max(n), 1 / 3)) AS INT) AS lags FROM t JOIN g ON t.cell = g.cell AND j <= floor(power(n, 2 / 9)) GROUP BY 1)
+SELECT t.cell, max(lags) AS kpss_lags, round(max(eta) / (max(n) * (max(g0) + 2 * coalesce(sum(g * (1 - j / (lags + 1))) FILTER (WHERE j <= lags), 0))), 4) AS kpss FROM t JOIN k ON t.cell = k.cell LEFT JOIN g ON t.cell = g.cell GROUP BY 1""")
+def i7_kpss(view, table):
+    return I.kpss_screen(cells(view).where("y IS NOT NULL"), K, "day").select("cell", "kpss_lags", r6("kpss", 4).alias("kpss"))
+
+
+@query(f"""WITH {_L}, d AS (SELECT cell, y - lag(y) OVER w AS d, lag(y) OVER w AS y1 FROM l WINDOW w AS (PARTITION BY cell ORDER BY day)),
+r AS (SELECT cell, count(*) AS n, regr_slope(d, y1) AS b, var_pop(d) AS vd, var_pop(y1) AS vy, covar_pop(d, y1) AS c FROM d WHERE d IS NOT NULL GROUP BY 1)
+SELECT cell, round(b / sqrt(n * (vd - c * c / vy) / (n - 2) / (n * vy)), 4) + 0.0 AS adf FROM r""")
+def i7_adf_without_lags(view, table):
+    return I.adf_screen(cells(view).where("y IS NOT NULL"), K, "day", max_lag=0).select("cell", r6("adf", 4).alias("adf"))
 
 
 @query(None)
@@ -81,6 +97,24 @@ def i9_granger(view, table):
     return I.granger_screen(cells(view), K, "day").select("cell", "lag", "n", r6("f", 4).alias("f"), r6("p", 4).alias("p"))
 
 
+@query(f"""WITH {_L}, d AS (SELECT cell, y, lag(y) OVER w AS a, lag(x) OVER w AS b FROM l WINDOW w AS (PARTITION BY cell ORDER BY day)),
+m AS (SELECT cell, count(*) AS n, var_pop(y) AS yy, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(y, a) AS ya, covar_pop(y, b) AS yb, covar_pop(a, b) AS ab FROM d WHERE a IS NOT NULL GROUP BY 1),
+r AS (SELECT *, n * (yy - ya * ya / aa) AS own, n * (yy - (ya * ya * bb - 2 * ya * yb * ab + yb * yb * aa) / (aa * bb - ab * ab)) AS both_ FROM m)
+SELECT cell, n, round((own - both_) / (both_ / (n - 3)), 4) + 0.0 AS f FROM r""")
+def i9_granger_one_lag(view, table):
+    return I.granger_screen(cells(view), K, "day", 1).select("cell", "n", r6("f", 4).alias("f"))
+
+
+@query(" UNION ALL ".join(f"""SELECT cell, {k} AS lag, n, round(pc / pf / sqrt((py - pc * pc / pf) / (n - 4) / pf), 4) + 0.0 AS t FROM (
+SELECT cell, n, yf - (ya * (af * cc - cf * ac) + yc * (cf * aa - af * ac)) / det AS pc, ff - (af * (af * cc - cf * ac) + cf * (cf * aa - af * ac)) / det AS pf, yy - (ya * (ya * cc - yc * ac) + yc * (yc * aa - ya * ac)) / det AS py FROM (
+SELECT *, aa * cc - ac * ac AS det FROM (SELECT cell, count(*) AS n, var_pop(y) AS yy, var_pop(a) AS aa, var_pop(c) AS cc, var_pop(f) AS ff, covar_pop(y, a) AS ya, covar_pop(y, c) AS yc, covar_pop(y, f) AS yf, covar_pop(a, c) AS ac, covar_pop(a, f) AS af, covar_pop(c, f) AS cf
+FROM (SELECT cell, y, lag(y, {k}) OVER w AS a, lag(close, {k}) OVER w AS c, lag(x, {k}) OVER w AS f FROM (SELECT symbol AS cell, day, volume AS x, (high - low) / close AS y, close FROM v_bars) WINDOW w AS (PARTITION BY cell ORDER BY day)) WHERE a IS NOT NULL GROUP BY 1)))""" for k in range(1, 8)))
+def i10_controlled_t(view, table):
+    """The t statistics behind i10's p values."""
+    out = I.controlled_lag_regression(cells(view), K, "day", "y", "x", "close", range(1, 8))
+    return out.select("cell", "lag", "n", r6("t", 4).alias("t"))
+
+
 @query(None)
 def i10_controlled_lags(view, table):
     out = I.controlled_lag_regression(cells(view), K, "day", "y", "x", "close", range(1, 8))

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query, r6
+from tidemark.scratch import scratch_dir
 from tidemark.streaming import streams as L
 
 _HR = "timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({} AS TIMESTAMP_NTZ))"
@@ -56,3 +57,37 @@ def l4_stream_enrich(view, table):
     s = signals(view, "asset")
     names = s.sparkSession.createDataFrame([("a0", "zero"), ("a1", "one")], "asset string, name string")
     return L.replay(s, lambda x: L.enrich(x, F.broadcast(names), "asset")).groupBy("asset").agg(F.count(F.lit(1)).alias("n"), F.count("name").alias("known"))
+
+
+@query("""WITH g AS (SELECT user_id, sec, CASE WHEN sec - lag(sec) OVER w < 21600 THEN 0 ELSE 1 END AS b FROM v_signal WINDOW w AS (PARTITION BY user_id ORDER BY sec)),
+r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY sec ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT user_id, min(sec) AS first, count(*) AS n FROM r GROUP BY user_id, run""")
+def l7_stream_sessions(view, table):
+    s = signals(view, "user_id")
+    out = L.replay(s, lambda x: L.entity_sessions(x, "user_id", "6 hours", "48 hours"), close="72 hours")
+    return out.select("user_id", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(first AS TIMESTAMP_NTZ))").alias("first"), "n")
+
+
+@query("SELECT user_id, max(sec) AS sec FROM v_signal GROUP BY 1")
+def l5_stream_upsert(view, table):
+    """The latest row of each user after a replay in four batches."""
+    s = signals(view, "user_id", "sec")
+    base = scratch_dir(s.sparkSession)
+    L.write_in_order(s, base)
+    stream = s.sparkSession.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    query = L.upsert_sink(stream, f"{base}/out", "user_id", f"{base}/state").start()
+    query.awaitTermination()
+    return s.sparkSession.read.schema(s.schema).parquet(f"{base}/out/version={query.lastProgress['batchId']}").select("user_id", "sec")
+
+
+@query("""WITH c AS (SELECT max(ts) AS last FROM v_signal) SELECT count(DISTINCT (asset, hr)) AS late FROM v_signal, c WHERE (hr + 1) * 3600 <= epoch(last) - 7200""")
+def l6_late_groups(view, table):
+    """Windows of assets that come late as a whole: all events once more, two hours and more behind a watermark that they moved."""
+    s = signals(view, "asset", "sentiment", "impact")
+    spark, base = s.sparkSession, scratch_dir(s.sparkSession)
+    last = s.agg(F.max("ts").alias("ts")).select("ts", *[F.lit(None).cast(s.schema[c].dataType).alias(c) for c in s.columns[1:]])
+    for part in (last, last, s):  # the third batch begins with the watermark that the first one moved
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    out = L.tumbling_sentiment(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    out.awaitTermination()
+    return spark.createDataFrame([(L.dropped_late(out),)], "late bigint")

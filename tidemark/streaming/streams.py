@@ -42,12 +42,12 @@ def entity_sessions(signals: DataFrame, key: str, gap: str, late: str = "2 hours
 
 
 def upsert_sink(stream: DataFrame, path: str, key: str, checkpoint: str):
-    """Keep the latest row of each key in a Parquet table. Each batch writes a new version from the last and itself;
+    """Keep the latest row of each key (of equal times, one by hash) in a Parquet table. Each batch writes a new version from the last and itself;
     version n is batch n's, so a batch that is run again writes the same one."""
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, n: int) -> None:
-        latest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.col("ts")).alias("r")).select("r.*")
+        latest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct("ts", F.xxhash64(*batch.columns))).alias("r")).select("r.*")
         if n:
             old = spark.read.parquet(f"{path}/version={n - 1}")
             latest = latest.unionByName(old.join(latest.select(key), key, "left_anti"))
@@ -56,17 +56,22 @@ def upsert_sink(stream: DataFrame, path: str, key: str, checkpoint: str):
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+def write_in_order(df: DataFrame, base: str, files: int = 4, order: str = "ts") -> None:
+    """Rows as ``files`` Parquet files in ``base``/in, written one after the other in ``order``: a stream takes them up by age."""
+    at = F.unix_micros(order)
+    cuts = df.agg(F.percentile_approx(at, [i / files for i in range(1, files)])).first()[0] or []
+    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
+        part = df if lo is None else df.where(at >= lo)
+        (part if hi is None else part.where(at < hi)).coalesce(1).write.mode("append").parquet(f"{base}/in")
+
+
 def replay(df: DataFrame, transform: Callable[[DataFrame], DataFrame], files: int = 4, order: str = "ts", mode: str = "append", close: str | None = None) -> DataFrame:
     """Run ``transform`` as a stream over ``df`` split into files by ``order``, and give what it wrote. ``close`` is how long
     after the last event marker rows (null but for ``order``) follow: if that is the lateness and a window's width or more,
     the watermark passes every window with events, and the markers' own windows stay open."""
     spark: SparkSession = df.sparkSession
     base = scratch_dir(spark)
-    at = F.unix_micros(order)
-    cuts = df.agg(F.percentile_approx(at, [i / files for i in range(1, files)])).first()[0] or []
-    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):  # one after the other: files are taken up by age
-        part = df if lo is None else df.where(at >= lo)
-        (part if hi is None else part.where(at < hi)).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    write_in_order(df, base, files, order)
     if close:
         last = df.agg((F.max(order) + F.expr(f"INTERVAL {close}")).alias(order)).where(F.col(order).isNotNull())
         marker = last.select(*[(F.col(order) if f.name == order else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema])
