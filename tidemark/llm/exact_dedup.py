@@ -2,8 +2,9 @@
 
 The index is a Parquet table bucketed and sorted by the SHA-256 of the text. A batch of documents is first
 reduced to one row per digest (map-side combined, so a text that fills a third of the batch costs one row per
-task), the digests that the index lacks are found with a sort-merge anti-join in which the index side needs
-neither shuffle nor sort, and those are appended as one sorted file per bucket.
+task), the digests that the index lacks are found with a sort-merge anti-join in which the index side is not shuffled,
+and those are appended as one sorted file per bucket. Spark sorts a bucket of several files again; with
+``spark.sql.legacy.bucketedTableScan.outputOrdering`` on, a compacted index, of one file per bucket, is not sorted either.
 """
 
 from __future__ import annotations
@@ -38,6 +39,20 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def _append(self, rows: DataFrame) -> None:
+        dealt = rows.select("digest", "keep_id", "group_size", "batch").repartition(self.buckets, "digest")
+        dealt.write.mode("append").format("parquet").option("path", self.path).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
+
+    def compact(self, path: str) -> DigestIndex:
+        """The same index at a new path, with one file per bucket: batches each add one. This one stays as it is."""
+        found = DigestIndex(self.spark, path, self.buckets)
+        found._append(self.spark.read.schema(self.rows().schema).parquet(self.path))  # as plain files, so that they are dealt anew
+        return found
+
+    def close(self) -> None:
+        """Take the table's name out of the catalog; the files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Deduplicate ``docs`` against the index and within themselves; append what is new.
 
@@ -50,26 +65,27 @@ class DigestIndex:
         docs = materialize(docs.select(F.col(id_col).cast("long").alias("_id"), text_digest(text_col).alias("digest")), "digests")
         groups = docs.groupBy("digest").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         fresh = groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
-        (
-            fresh.withColumn("batch", F.lit(uuid.uuid4().hex))
-            .select("digest", "keep_id", "group_size", "batch")
-            .repartition(self.buckets, "digest")
-            .write.mode("append").format("parquet").option("path", self.path)
-            .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
-        )
-        present = docs.groupBy("digest").agg(F.lit(1).alias("_one")).select("digest")
-        resolved = materialize(present.join(self.rows().hint("merge"), "digest").select("digest", "keep_id", "group_size"), "resolved")
-        # both sides are read from plain files, so a text with many copies is split by the adaptive skew join
-        return docs.join(resolved.hint("merge"), "digest").select(
-            F.col("_id").alias(id_col), "digest", "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept")
+        self._append(fresh.withColumn("batch", F.lit(uuid.uuid4().hex)))
+        present = docs.groupBy("digest").agg(F.count(F.lit(1)).alias("_n"))
+        resolved = materialize(present.join(self.rows().hint("merge"), "digest").select("digest", "keep_id", "group_size", "_n"), "resolved")
+        # texts with more rows than a quarter of an even task are broadcast: there are at most four for each task
+        most = max(100, docs.count() // (4 * shuffle_partitions(self.spark)))
+        hot, rest = resolved.where(F.col("_n") > most), resolved.where(F.col("_n") <= most)
+        found = docs.join(F.broadcast(hot), "digest").unionByName(
+            docs.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(rest.hint("merge"), "digest")
         )
+        return found.select(F.col("_id").alias(id_col), "digest", "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
     """``DigestIndex.add`` on ``index``, or on a new empty index in the shared folder."""
+    if index is not None:
+        return index.add(docs, id_col, text_col)
     spark = docs.sparkSession
-    index = index or DigestIndex(spark, f"{scratch_dir(spark)}/digest_index", shuffle_partitions(spark))
-    return index.add(docs, id_col, text_col)
+    own = DigestIndex(spark, f"{scratch_dir(spark)}/digest_index", shuffle_partitions(spark))
+    found = own.add(docs, id_col, text_col)
+    own.close()
+    return found
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
