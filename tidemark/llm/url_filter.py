@@ -59,7 +59,7 @@ def _h1(key: Column) -> Column:
 
 
 def _h2(key: Column) -> Column:
-    return F.xxhash64(key, F.lit(1))
+    return F.xxhash64(F.lit(1), key)  # another seed: keys that share the first hash don't share this one
 
 
 def _places(h1: np.ndarray, h2: np.ndarray, level: int, k: int, bits: int) -> np.ndarray:
