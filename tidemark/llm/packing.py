@@ -4,7 +4,7 @@ Every document becomes tokens, documents beyond a sequence are cut, and the piec
 the search finds. Pieces of one length are interchangeable, so the packing is planned on the histogram of lengths, which
 has one entry for each length however large the corpus is: best-fit decreasing gives the incumbent, and bin completion
 enumerates the undominated fillings around the largest piece, applies each as often as the counts allow, and prunes
-by the waste that a better solution may have. The plan says which ranks of each length go where; pieces get their ranks
+by the waste that a better solution may have and by a lower bound on the sequences for what is left. The plan says which ranks of each length go where; pieces get their ranks
 from counts of salted groups, so neither the planning nor the assignment gathers documents.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator, Mapping
 
@@ -64,18 +64,47 @@ def best_fit_decreasing(counts: Mapping[int, int], capacity: int) -> list[Patter
     return [(n, p) for at in open_.values() for p, n in at.items()]
 
 
-def fillings(counts: Mapping[int, int], lengths: list[int], room: int, most: int, steps: int, reach: int = 12) -> list[tuple[int, ...]]:
-    """Up to ``most`` maximal fillings of ``room``, least waste first; of equal waste, the one with larger pieces.
+def lower_bound(counts: Mapping[int, int], capacity: int) -> int:
+    """Sequences that the pieces need at least: their total length, or, for some a, those too long to share a sequence
+    with a piece of length a, and those over half (one each), and what of the pieces from a on exceeds their room."""
+    n = np.zeros(capacity + 2, dtype=np.int64)
+    for length, k in counts.items():
+        n[length] = k
+    size = n * np.arange(capacity + 2)
+    many, total = np.cumsum(n), np.cumsum(size)  # up to and with each length
+    half, a = capacity // 2, np.arange(capacity // 2 + 1)
+    alone = many[capacity] - many[capacity - a]
+    over = many[capacity - a] - many[half]
+    room = over * capacity - (total[capacity - a] - total[half])
+    rest = total[half] - np.concatenate([[0], total[: len(a) - 1]])
+    return int((alone + over + np.maximum(0, -((room - rest) // capacity))).max())
+
+
+def dominated(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Whether the pieces of filling ``a`` fit, largest first, into pieces of ``b``: then ``b`` is never the worse choice."""
+    rooms = sorted(b)
+    for x in sorted(a, reverse=True):
+        k = bisect_left(rooms, x)
+        if k == len(rooms):
+            return False
+        insort(rooms, rooms.pop(k) - x)
+    return True
+
+
+def fillings(counts: Mapping[int, int], lengths: list[int], room: int, most: int, steps: int, reach: int) -> tuple[list[tuple[int, ...]], int]:
+    """Up to ``most`` undominated fillings of ``room``, least waste first (of equal waste, the one with larger pieces), and
+    the steps taken.
 
     ``lengths`` ascend. A filling that leaves room for a piece still there is dominated by the one with it and is not
-    given. The search looks at larger pieces first and ends after ``steps`` or with enough exact fillings.
+    given. The search looks at larger pieces first, at the ``reach`` largest lengths that fit at each place, and ends
+    after ``steps`` or with enough exact fillings.
     """
     found: list[tuple[int, tuple[int, ...]]] = []
     smallest = lengths[0] if lengths else room + 1
     stack: list[tuple[int, int, tuple[int, ...]]] = [(room, len(lengths), ())]
-    exact = 0
-    while stack and steps > 0 and exact < most:
-        steps -= 1
+    exact = taken = 0
+    while stack and taken < steps and exact < most:
+        taken += 1
         room_left, top, chosen = stack.pop()
         top = bisect_right(lengths, room_left, 0, top)
         if not top:
@@ -95,47 +124,56 @@ def fillings(counts: Mapping[int, int], lengths: list[int], room: int, most: int
         if k < top and lengths[k] == room_left and chosen.count(room_left) < counts[room_left]:
             found.append((0, (*chosen, room_left)))
             exact += 1
-    found = sorted(set(found), key=lambda f: (f[0], [-x for x in f[1]]))
-    return [f for _, f in found[:most]]
+    kept: list[tuple[int, ...]] = []
+    for _, f in sorted(set(found), key=lambda f: (f[0], [-x for x in f[1]])):
+        if len(kept) < most and not any(dominated(f, b) for b in kept):
+            kept.append(f)
+    return kept, taken
 
 
-def plan_packing(counts: Mapping[int, int], capacity: int = CAPACITY, width: int = 3, steps: int = 400, budget: int = 20_000) -> list[Pattern]:
+def plan_packing(
+    counts: Mapping[int, int], capacity: int = CAPACITY, width: int = 3, steps: int = 400, reach: int = 12, budget: int = 1_000_000
+) -> list[Pattern]:
     """Sequences for ``counts`` pieces of each length; every piece is in exactly one.
 
     Depth-first: at each node the largest length left is completed by its ``width`` best fillings. A branch ends where
-    its waste exceeds what a solution with one sequence less than the incumbent may have; the search ends at the
-    lower bound, total length over capacity, or after ``budget`` nodes. A first search applies each filling as often as
-    the counts allow. If it ends above the lower bound, a second one with the same budget also applies fillings half as
-    often and once, takes four times the fillings and steps, and tries pieces of every length.
+    its waste exceeds what a solution with one sequence less than the incumbent may have, or where the lower bound on
+    what is left leaves no gain; the search ends at the lower bound of all or after ``budget`` steps. Two searches are
+    made. The first applies each filling as often as the counts allow. If it ends above the lower bound, the second also
+    applies fillings half as often and once, takes four times the fillings and steps, and looks at every length. A plan
+    above the bound is not proven least unless the second search came to its end.
     """
     counts = {k: n for k, n in counts.items() if n}
     if not counts:
         return []
     total = sum(k * n for k, n in counts.items())
-    lower = -(-total // capacity)
+    lower = lower_bound(counts, capacity)
     best = best_fit_decreasing(counts, capacity)
     fewest = sum(n for n, _ in best)
 
-    def options(left: Mapping[int, int], wide: bool) -> list[Pattern]:
+    def options(left: Mapping[int, int], wide: bool) -> tuple[list[Pattern], int]:
         largest = max(left)
         rest = dict(left)
         rest[largest] -= 1
         lengths = sorted(k for k, n in rest.items() if n)
         out = []
-        for filling in fillings(rest, lengths, capacity - largest, width * (4 if wide else 1), steps * (4 if wide else 1), len(lengths) if wide else 12) or [()]:
+        found, taken = fillings(rest, lengths, capacity - largest, width * (4 if wide else 1), steps * (4 if wide else 1), len(lengths) if wide else reach)
+        for filling in found or [()]:
             pattern = (largest, *filling)
             out.append((min(left[k] // n for k, n in Counter(pattern).items()), pattern))
         if wide:
             out += sorted({(k, p) for n, p in out for k in (n // 2, 1) if 0 < k < n}, reverse=True)
-        return out[::-1]
+        return out[::-1], taken
 
     for wide in (False, True):
-        nodes = budget
+        if fewest == lower:
+            break
         path: list[Pattern] = []
         left, waste, bins = dict(counts), 0, 0
-        stack = [options(left, wide)]
-        while stack and fewest > lower and nodes > 0:
-            nodes -= 1
+        first, spent = options(left, wide)
+        stack = [first]
+        while stack and fewest > lower and spent < budget:
+            spent += 10  # a node's own cost
             if not stack[-1]:
                 stack.pop()
                 if path:
@@ -154,11 +192,15 @@ def plan_packing(counts: Mapping[int, int], capacity: int = CAPACITY, width: int
                 left[k] -= n
                 if not left[k]:
                     del left[k]
-            if left:
-                stack.append(options(left, wide))
-            else:
+            if not left:
                 best, fewest = list(path), bins
                 stack.append([])
+            elif bins + lower_bound(left, capacity) >= fewest:
+                stack.append([])
+            else:
+                more_options, taken = options(left, wide)
+                spent += taken
+                stack.append(more_options)
     return best
 
 
@@ -252,7 +294,8 @@ def pack(
     A null or empty text has only the end token. Repeated rows are packed each for itself; null ids are kept; other
     columns are ignored; an empty input gives no rows.
     """
-    pieces = materialize(tokenize_pieces(docs, id_col, text_col, vocabulary, capacity), "pieces")
+    # a number fixed once written tells rows that repeat id and text apart
+    pieces = materialize(tokenize_pieces(docs, id_col, text_col, vocabulary, capacity).withColumn("_deal", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     used: Counter[int] = Counter()
     spans, base = [], 0  # (length, rank, sequence, offset): ranks from this one on go to sequences from that one on
@@ -276,7 +319,7 @@ def pack(
         return pd.DataFrame({"sequence_id": sequence0[at] + rank.to_numpy() - rank0[at], "offset": offset0[at]})
 
     salts = max(least_salts, -(-sum(histogram.values()) // rows_per_salt))
-    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("_deal"), F.lit(salts)).cast("int"))
     cells = pieces.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy("length").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
