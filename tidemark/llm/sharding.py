@@ -35,13 +35,13 @@ def sampled_splitters(keyed: DataFrame, ranges: int, per_range: int, weight_sum:
 
 def shard_by_bytes(
     docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text",
-    rows_per_range: int = 200_000, least_ranges: int = 128, per_range: int = 64, together: float = 0.001,
+    rows_per_range: int = 200_000, least_ranges: int = 128, per_range: int = 64, together: float = 0.02,
 ) -> DataFrame:
     """Shard and place of each record: ``id_col``, size, text_crc32, shard (0 to ``shards`` - 1), slot (gapless from 0).
 
     size is the UTF-8 length plus 1 (null text: 1). Shards differ by about one record in bytes. Equal texts stay in
-    one shard where their bytes are at most ``together`` of a shard; larger groups are cut at the boundary. Ties
-    are ordered by id. The number of ranges follows the row count, so that no task sorts more than a few hundred
+    one shard where their bytes are at most ``together`` of a shard, which may make a shard that much larger or smaller;
+    larger groups are cut at the boundary. Ties are ordered by id. The number of ranges follows the row count, so that no task sorts more than a few hundred
     thousand narrow rows. Null ids are ordered first, repeated rows each get a place of their own, and an empty
     input gives no rows.
     """
@@ -52,6 +52,7 @@ def shard_by_bytes(
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
             F.xxhash64(text).alias("_key"),
+            F.monotonically_increasing_id().alias("_deal"),  # fixed once written: tells rows that repeat id and text apart
         ),
         "sizes",
     )
@@ -63,7 +64,7 @@ def shard_by_bytes(
     cut = Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol="_k", outputCol="_range").transform(keyed)
     full = cut.groupBy("_range").agg(F.sum("_w").alias("_full"))
     parts = F.ceil(F.col("_full") * ranges / 2 / 2).cast("int")  # two even ranges' worth stays whole
-    cut = cut.join(F.broadcast(full), "_range").withColumn("_sub", F.pmod(F.xxhash64("_id", F.lit(11)), F.greatest(parts, F.lit(1))).cast("int"))
+    cut = cut.join(F.broadcast(full), "_range").withColumn("_sub", F.pmod(F.xxhash64("_deal", F.lit(11)), F.greatest(parts, F.lit(1))).cast("int"))
 
     cells = cut.groupBy("_range", "_sub").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
     before = W.orderBy("_range", "_sub").rowsBetween(W.unboundedPreceding, -1)
