@@ -22,16 +22,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id; of rows that repeat that too, one."""
-    kept = exact_dedup(docs).where("kept").select(F.col("digest").alias("__digest"), _id().alias("__id")).distinct()
-    rows = docs.withColumns({"__digest": text_digest(), "__id": _id()}).join(kept, ["__digest", "__id"], "left_semi")
-    return rows.dropDuplicates(["__digest", "__id"]).select(docs.columns)
+    digest, own = _unused(docs, 2)
+    kept = exact_dedup(docs).where("kept").select(F.col("digest").alias(digest), _id().alias(own)).distinct()
+    rows = docs.withColumns({digest: text_digest(), own: _id()}).join(kept, [digest, own], "left_semi")
+    return rows.dropDuplicates([digest, own]).select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest doc_id; rows that share an id stay together."""
+    (own,) = _unused(docs, 1)
     found = jaccard_components(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(_id().alias("__id")).distinct()
-    return docs.withColumn("__id", _id()).join(kept, "__id", "left_semi").select(docs.columns)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(_id().alias(own)).distinct()
+    return docs.withColumn(own, _id()).join(kept, own, "left_semi").select(docs.columns)
 
 
 def _id() -> Column:
@@ -39,6 +41,12 @@ def _id() -> Column:
     return F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
 
 
+def _unused(docs: DataFrame, n: int) -> list[str]:
+    """Names that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    return [c for c in (f"_key{i}" for i in range(len(taken) + n)) if c not in taken][:n]
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens."""
     return pack(docs)
