@@ -7,7 +7,7 @@ from conftest import SMALL
 from tidemark.operators import model as M
 from tidemark.plans import catalog, fixtures
 
-FITS = {"j5_linear_models": 5, "j6_nested_linear_cv": 5, "j7_tree_models": 5, "j8_spike_classifier": 5, "j13_top_coefficients": 0, "j14_ablation": 5, "j15_horizon_sweep": 0, "j16_univariate_fit_cells": 0, "d7_events_before_spikes_cells": 0}
+FITS = {"j5_linear_models": 5, "j6_nested_linear_cv": 5, "j7_tree_models": 5, "j8_spike_classifier": 5, "j13_top_coefficients": 0, "j14_ablation": 5, "j15_horizon_sweep": 0, "j16_univariate_fit": 0, "d7_events_before_spikes": 0}
 
 
 @pytest.mark.parametrize("name", sorted(FITS))
@@ -40,7 +40,7 @@ def test_cells_are_fitted_apart(spark):
     assert {r.score for r in M.fit_spike_classifier(labelled, ["x"], "y", ["cell"]).collect()} == {0.0}
 
 
-@pytest.mark.parametrize("name", ["l1_stream_tumbling_all", "l2_stream_sliding_all"])
+@pytest.mark.parametrize("name", ["l1_stream_tumbling", "l2_stream_sliding"])
 def test_last_windows_are_there(spark, name):
     col = "hr" if name.startswith("l1") else "win"
     last = fixtures.view(spark, SMALL, "v_signal").agg(F.max("hr")).first()[0]
@@ -51,5 +51,5 @@ def test_last_windows_are_there(spark, name):
 
 def test_fill_takes_every_signal(spark):
     want = {(r.asset, r.hr): r.k for r in fixtures.view(spark, SMALL, "v_signal").groupBy("asset", "hr").agg(F.max("k").alias("k")).collect()}
-    got = {(r.symbol, r.hr): r.k for r in catalog.QUERIES["d4_join_ffill_all"](spark, SMALL).collect()}
+    got = {(r.symbol, r.hr): r.k for r in catalog.QUERIES["d4_join_ffill"](spark, SMALL).collect()}
     assert {h: got[h] for h in want} == want and len(got) > len(want)

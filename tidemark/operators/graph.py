@@ -77,9 +77,8 @@ def degree_centrality(e: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def hub_degrees(e: DataFrame, hubs: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Degree of named nodes, a column each, 0 where a node is absent."""
-    d = degrees(e, keys).where(F.col("node").isin(*hubs))
-    every = e.select(*keys).distinct()
-    return every.join(d.groupBy(*keys).pivot("node", list(hubs)).agg(F.first("degree")), list(keys), "left").fillna(0, list(hubs))
+    count = lambda h: F.coalesce(F.max(F.when(F.col("node") == h, F.col("degree"))), F.lit(0)).alias(h)
+    return degrees(e, keys).groupBy(*keys).agg(*[count(h) for h in hubs])
 
 
 def triangles(e: DataFrame, keys: Sequence[str] = (), d: DataFrame | None = None) -> DataFrame:
@@ -207,7 +206,8 @@ def modularity(e: DataFrame, labels: DataFrame) -> DataFrame:
 
 def assortativity(e: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Pearson correlation of the weighted degrees at both ends, each edge both ways; 0 where undefined."""
-    d = degrees(e, keys).select(*keys, "node", "weighted")
+    e = materialize(e.select(*keys, "src", "dst", "weight"), "edges")
+    d = materialize(degrees(e, keys).select(*keys, "node", "weighted"), "degrees")
     x = e.join(d.withColumnsRenamed({"node": "src", "weighted": "_x"}), [*keys, "src"]).join(d.withColumnsRenamed({"node": "dst", "weighted": "_y"}), [*keys, "dst"])
     both = x.select(*keys, "_x", "_y").unionByName(x.select(*keys, F.col("_y").alias("_x"), F.col("_x").alias("_y")))
     return both.groupBy(*keys).agg(F.coalesce(corr("_x", "_y"), F.lit(0.0)).alias("assortativity"))

@@ -166,17 +166,10 @@ def d3_join_outer_all(view, table):
     return D.join_outer_all({s: bars.where(F.col("symbol") == s) for s in "ANR"}, "day", "close")
 
 
-@query("""WITH s AS (SELECT asset, hr, max(k) AS k FROM v_signal WHERE k % 9 = 0 GROUP BY 1, 2)
-SELECT b.symbol, b.hr, last_value(k IGNORE NULLS) OVER (PARTITION BY b.symbol ORDER BY b.hr ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM v_bars_hourly b LEFT JOIN s ON b.symbol = s.asset AND b.hr = s.hr""")
-def d4_join_ffill(view, table):
-    s = view("v_signal").where("k % 9 = 0").groupBy(F.col("asset").alias("symbol"), "hr").agg(F.max("k").alias("k"))
-    return D.join_ffill(view("v_bars_hourly").select("symbol", "hr"), s, K, "hr", ["k"])
-
-
 @query("""WITH s AS (SELECT asset, hr, max(k) AS k FROM v_signal GROUP BY 1, 2), g AS (SELECT symbol, unnest(range(min(hr), max(hr) + 1)) AS hr FROM v_bars_hourly GROUP BY 1)
 SELECT g.symbol, g.hr, last_value(k IGNORE NULLS) OVER (PARTITION BY g.symbol ORDER BY g.hr ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM g LEFT JOIN s ON g.symbol = s.asset AND g.hr = s.hr""")
-def d4_join_ffill_all(view, table):
-    """d4 over every signal, whose hours without events are the gaps; d4's SQL reads a ninth of them."""
+def d4_join_ffill(view, table):
+    """Hours without events are the gaps that are filled."""
     s = view("v_signal").groupBy(F.col("asset").alias("symbol"), "hr").agg(F.max("k").alias("k"))
     grid = S.complete_grid(view("v_bars_hourly").select("symbol", "hr"), K, "hr").select("symbol", "hr")
     return D.join_ffill(grid, s, K, "hr", ["k"])
@@ -197,17 +190,10 @@ def d6_sliding_assign(view, table):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("""WITH s AS (SELECT day FROM v_bars WHERE symbol = 'A' AND volume > (SELECT avg(volume) + 1.5 * stddev_samp(volume) FROM v_bars WHERE symbol = 'A'))
-SELECT DISTINCT event_id, m.day, m.day + 1 AS spike_day FROM v_mention m JOIN s ON s.day = m.day + 1""")
-def d7_events_before_spikes(view, table):
-    spikes = S.spike_flags(view("v_bars").where("symbol = 'A'"), "volume", [1.5], K).where("spike_1_5").select("day")
-    return D.events_before_spikes(view("v_mention").select("event_id", "day").distinct(), spikes, "day").select("event_id", "day", "spike_day")
-
-
 @query("""WITH t AS (SELECT symbol, avg(volume) + 1.5 * stddev_samp(volume) AS least FROM v_bars GROUP BY 1), s AS (SELECT b.symbol, day FROM v_bars b JOIN t ON b.symbol = t.symbol WHERE volume > least)
 SELECT DISTINCT symbol, event_id, m.day, m.day + 1 AS spike_day FROM v_mention m JOIN s ON s.day = m.day + 1""")
-def d7_events_before_spikes_cells(view, table):
-    """d7 for every symbol's own spikes; d7's SQL reads one symbol."""
+def d7_events_before_spikes(view, table):
+    """Events the day before a spike of each symbol's volume."""
     spikes = S.spike_flags(view("v_bars"), "volume", [1.5], K).where("spike_1_5").select("symbol", "day")
     return D.events_before_spikes(view("v_mention").select("event_id", "day").distinct(), spikes, "day").select("symbol", "event_id", "day", "spike_day")
 

@@ -1,6 +1,5 @@
 """Queries that run the streaming operators over the events, replayed from files. Append mode gives a window when the
-watermark has passed it: l1 and l2 are compared, as in their SQL, on windows that end three days before the last event;
-their forms for all windows close the stream with marker rows."""
+watermark has passed it, so marker rows after the last event close the stream and every window is given."""
 
 from __future__ import annotations
 
@@ -17,31 +16,14 @@ def signals(view, *columns):
     return view("v_signal").withColumn("ts", F.col("ts").cast("timestamp")).select("ts", *columns)
 
 
-def _until(view):
-    return view("v_signal").agg((F.max("hr") - 72).alias("_last"))
-
-
-@query("""WITH e AS (SELECT max(hr) - 72 AS last FROM v_signal) SELECT asset, hr, count(*) AS volume, round(coalesce(sum(sentiment * impact) / nullif(sum(impact), 0), 0), 6) + 0.0 AS sentiment_weighted FROM v_signal, e WHERE hr < last GROUP BY 1, 2""")
-def l1_stream_tumbling(view, table):
-    out = L.replay(signals(view, "asset", "sentiment", "impact"), lambda s: L.tumbling_sentiment(s, "48 hours"))
-    out = out.withColumn("hr", F.expr(_HR.format("start"))).join(F.broadcast(_until(view))).where("hr < _last")
-    return out.select("asset", "hr", "volume", r6("sentiment_weighted").alias("sentiment_weighted"))
-
-
-@query("""WITH e AS (SELECT max(hr) - 72 AS last FROM v_signal), x AS (SELECT category, impact, unnest(range(hr + 1, hr + 25)) AS win FROM v_signal) SELECT category, win, count(*) AS n, sum(impact) AS impact FROM x, e WHERE win < last GROUP BY 1, 2""")
-def l2_stream_sliding(view, table):
-    out = L.replay(signals(view, "category", "impact"), lambda s: L.sliding_counts(s, "48 hours"))
-    return out.withColumn("win", F.expr(_HR.format("end"))).join(F.broadcast(_until(view))).where("win < _last").select("category", "win", "n", "impact")
-
-
 @query("""SELECT asset, hr, count(*) AS volume, round(coalesce(sum(sentiment * impact) / nullif(sum(impact), 0), 0), 6) + 0.0 AS sentiment_weighted FROM v_signal GROUP BY 1, 2""")
-def l1_stream_tumbling_all(view, table):
+def l1_stream_tumbling(view, table):
     out = L.replay(signals(view, "asset", "sentiment", "impact"), lambda s: L.tumbling_sentiment(s, "48 hours"), close="72 hours")
     return out.select("asset", F.expr(_HR.format("start")).alias("hr"), "volume", r6("sentiment_weighted").alias("sentiment_weighted"))
 
 
 @query("""WITH x AS (SELECT category, impact, unnest(range(hr + 1, hr + 25)) AS win FROM v_signal) SELECT category, win, count(*) AS n, sum(impact) AS impact FROM x GROUP BY 1, 2""")
-def l2_stream_sliding_all(view, table):
+def l2_stream_sliding(view, table):
     out = L.replay(signals(view, "category", "impact"), lambda s: L.sliding_counts(s, "48 hours"), close="73 hours")
     return out.select("category", F.expr(_HR.format("end")).alias("win"), "n", "impact")
 
