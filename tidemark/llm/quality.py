@@ -51,48 +51,50 @@ def stretches(texts: Sequence[pa.Scalar], order: int, most: int) -> Iterator[tup
 
 
 def gram_keys(codes: np.ndarray, order: int) -> list[np.ndarray]:
-    """64-bit keys of the n-grams of order 1 to ``order`` that end at each symbol from the ``order``-th on."""
+    """64-bit keys of all n-grams of order 1 to ``order``: the i-th of order k has the symbols from the i-th on."""
     symbol = codes.astype(U64)
     keys = [mix(symbol + U64(0x2545F4914F6CDD1D))]
-    for _ in range(order - 1):
-        keys.append(follow(keys[-1][:-1], symbol[len(codes) - len(keys[-1]) + 1 :]))
-    n = len(keys[-1])
-    return [k[len(k) - n :] for k in keys]
+    for k in range(1, order):
+        keys.append(follow(keys[-1][:-1], symbol[k:]))
+    return keys
 
 
 class Stretch:
     """The distinct n-grams of the highest order in a stretch, with the keys of all their suffixes and contexts."""
 
     def __init__(self, codes: np.ndarray, owner: np.ndarray, order: int):
-        owner = owner[order - 1 :]
         keys = gram_keys(codes, order)
-        at = np.flatnonzero(owner >= 0)
-        self.owner = owner[at]
+        at = np.flatnonzero(owner[order - 1 :] >= 0).astype(np.int32)
+        self.owner = owner[order - 1 :][at]
         _, first, self.of = np.unique(keys[-1][at], return_index=True, return_inverse=True)
         self.place = at[first]
-        self.suffixes = [k[self.place] for k in keys]
+        self.suffixes = [key[self.place + (order - 1 - k)] for k, key in enumerate(keys)]
         # the context of a suffix of k + 1 symbols is the n-gram of k symbols that ends one place before
-        before = gram_keys(codes[:-1], order - 1)
-        self.contexts = [k[self.place] for k in before]
+        self.contexts = [key[self.place + (order - 2 - k)] for k, key in enumerate(keys[:-1])]
 
 
 class Model:
-    """Part of the model that a block has asked for: log10 probabilities and backoff weights by key; NaN where unseen."""
+    """Part of the model that a block has asked for: log10 probabilities and backoff weights by sorted key; NaN where unseen."""
 
     def __init__(self, keys: np.ndarray, log_p: np.ndarray, back: np.ndarray, unseen: float):
-        self.keys, self.log_p, self.back, self.unseen = keys, log_p, back, unseen
+        nan = np.float32(np.nan)
+        self.keys, self.log_p, self.back, self.unseen = np.append(keys, U64(2**64 - 1)), np.append(log_p, nan), np.append(back, nan), unseen
+
+    def look_up(self, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[at] == keys, values[at], np.float32(np.nan))
 
     def score(self, stretch: Stretch) -> np.ndarray:
         """log10 probability of each predicted symbol of the stretch."""
         order = len(stretch.suffixes)
         total, open_ = np.zeros(len(stretch.place)), np.arange(len(stretch.place))
         for k in range(order - 1, -1, -1):
-            p = self.log_p[np.searchsorted(self.keys, stretch.suffixes[k][open_])]
+            p = self.look_up(stretch.suffixes[k][open_], self.log_p)
             seen = ~np.isnan(p)
             total[open_[seen]] += p[seen]
             open_ = open_[~seen]
             if k:
-                b = self.back[np.searchsorted(self.keys, stretch.contexts[k - 1][open_])]
+                b = self.look_up(stretch.contexts[k - 1][open_], self.back)
                 total[open_] += np.where(np.isnan(b), 0.0, b)
         total[open_] += self.unseen
         return total[stretch.of]
@@ -107,7 +109,7 @@ def trusted_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     return materialize(texts.join(F.broadcast(sizes.withColumnRenamed("_lang", "_l")), F.col("_lang").eqNullSafe(F.col("_l"))).where(drawn).select("_text"), "trusted")
 
 
-def train(texts: DataFrame, order: int = ORDER, stretch: int = 1_000_000) -> tuple[DataFrame, float] | None:
+def train(texts: DataFrame, order: int = ORDER, stretch: int = 500_000) -> tuple[DataFrame, float] | None:
     """Model of the column _text as rows (gram, log_p, back), gram being the code points as 32-bit numbers, and the log10
     probability of a symbol never seen; None without any text. Any alphabet will do; the tables grow with the text."""
     if texts.isEmpty():
@@ -177,7 +179,7 @@ def block_keys(texts: Sequence[pa.Scalar], order: int, stretch: int) -> np.ndarr
     for codes, owner in stretches(texts, order, stretch):
         part = Stretch(codes, owner, order)
         held += [np.unique(k) for k in (*part.suffixes, *part.contexts)]
-        if sum(map(len, held)) > 4 * stretch:
+        if sum(map(len, held)) > 8 * stretch:
             found, held = np.unique(np.concatenate([found, *held])), []
     return np.unique(np.concatenate([found, *held]))
 
@@ -204,24 +206,25 @@ def _keyed(shards: int, order: int):
     return run
 
 
-_ANSWER = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("log_p", pa.binary()), ("back", pa.binary())])
+_ANSWER = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("log_p", pa.binary()), ("back", pa.binary())])
 
 
 def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
-    """What the shard knows of each block's keys, in their order."""
+    """Those of each block's keys that the shard knows, with what it knows of them."""
     if not asked.num_rows:
         return _ANSWER.empty_table()
     key = model.column("key").to_numpy().view(U64)
     order = np.argsort(key)
     key = np.append(key[order], U64(2**64 - 1))
-    values = [np.append(model.column(c).to_numpy()[order].astype(np.float32), np.float32(np.nan)) for c in ("log_p", "back")]
-    out: list[list] = [[], []]
+    values = [model.column(c).to_numpy()[order].astype(np.float32) for c in ("log_p", "back")]
+    out: list[list] = [[], [], []]
     for raw in asked.column("keys"):
         keys = unpack_keys(raw.as_py())
         at = np.searchsorted(key, keys)
         hit = key[at] == keys
-        for column, value in zip(out, values, strict=True):
-            column.append(pack_numbers(np.where(hit, value[at], np.float32(np.nan)), "<f4"))
+        out[0].append(pack_keys(keys[hit]))
+        for column, value in zip(out[1:], values, strict=True):
+            column.append(pack_numbers(value[at[hit]], "<f4"))
     return pa.Table.from_arrays([asked.column("block").combine_chunks(), asked.column("shard").combine_chunks(), *(pa.array(c, pa.binary()) for c in out)], schema=_ANSWER)
 
 
@@ -230,8 +233,9 @@ def _perplexity(order: int, stretch: int, unseen: float, schema: pa.Schema):
         if not docs.num_rows:
             return schema.empty_table()
         texts, answers = docs.column("_text"), answers.sort_by("shard")
+        keys = np.concatenate([np.zeros(0, U64), *(unpack_keys(v.as_py()) for v in answers.column("keys"))])
         p, back = (np.concatenate([np.zeros(0, np.float32), *(unpack_numbers(v.as_py(), "<f4") for v in answers.column(c))]) for c in ("log_p", "back"))
-        model = Model(block_keys(texts, order, stretch), p, back, unseen)
+        model = Model(keys, p, back, unseen)
         total, n = np.zeros(docs.num_rows), np.zeros(docs.num_rows, dtype=np.int64)
         for codes, owner in stretches(texts, order, stretch):
             part = Stretch(codes, owner, order)
@@ -245,7 +249,7 @@ def _perplexity(order: int, stretch: int, unseen: float, schema: pa.Schema):
 
 def score(
     docs: DataFrame, model: tuple[DataFrame, float], id_col: str, text_col: str, carry: list[Column], order: int = ORDER,
-    block_bytes: int = 48 << 20, least_blocks: int = 12, stretch: int = 1_000_000,
+    block_bytes: int = 48 << 20, least_blocks: int = 12, stretch: int = 500_000,
 ) -> DataFrame:
     """The ``carry`` columns, n_symbols and perplexity of each row's whole text. Texts are shuffled once: the blocks that
     ask and the blocks that score are the same exchange."""
@@ -259,7 +263,7 @@ def score(
     schema = pa.schema([*((f.name, to_arrow_type(f.dataType)) for f in kept), ("n_symbols", pa.int64()), ("perplexity", pa.float64())])
     asked = rows.groupBy("block").applyInArrow(_ask(order, stretch, blocks), "shard int, block int, keys binary")
     sharded = table.mapInArrow(_keyed(blocks, order), "shard int, key bigint, log_p double, back double")
-    answers = asked.groupBy("shard").cogroup(sharded.groupBy("shard")).applyInArrow(_answer, "block int, shard int, log_p binary, back binary")
+    answers = asked.groupBy("shard").cogroup(sharded.groupBy("shard")).applyInArrow(_answer, "block int, shard int, keys binary, log_p binary, back binary")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _perplexity(order, stretch, unseen, schema), f"{kinds}, n_symbols bigint, perplexity double"
