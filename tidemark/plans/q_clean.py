@@ -158,6 +158,14 @@ def c8_corpus_overlap(view, table):
     return C.corpus_overlap(m.where("msg_id % 2 = 0"), m.where("msg_id % 2 = 1"))
 
 
+@query("SELECT least(50, count(*)) AS n, least(50, count(*)) AS different, least(50, count(*)) AS known FROM v_message")
+def c9_sample_size(view, table):
+    """A sample has its size, no row twice, and only rows that are there."""
+    m = view("v_message").select("msg_id", "channel")
+    picked = C.sample_n(m, 50, 7, "msg_id").join(m.select("msg_id", F.lit(1).alias("there")), "msg_id", "left")
+    return picked.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("msg_id").alias("different"), F.count("there").alias("known"))
+
+
 @query(None)
 def c9_sample_n(view, table):
     return C.sample_n(view("v_message").select("msg_id", "channel"), 50, 7, "msg_id")

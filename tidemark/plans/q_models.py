@@ -68,6 +68,39 @@ def m6_purged_folds(view, table):
     return rows.where("role = 'train'").groupBy("cell", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _one_feature(rows: str, features, key="cell", order="day"):
+    """SQL of unpenalised fits on single features in walk-forward folds: s has key, fold, features, n_test, mse, r2. ``rows``
+    defines q with the key, the order, the features and y."""
+    parts = " UNION ALL ".join(f"SELECT {key}, fold, '{c}' AS features, {c} AS v, y, rn <= b AS tr, rn > b AND rn <= b + size AS te FROM f" for c in features)
+    return f"""WITH {rows}, n AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS rn, count(*) OVER (PARTITION BY {key}) AS n FROM q WHERE y IS NOT NULL),
+f AS (SELECT *, floor(n / 6) AS size, n - (6 - fold) * floor(n / 6) AS b FROM n CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS fold)), z AS ({parts}),
+c AS (SELECT {key}, fold, features, regr_slope(y, v) FILTER (WHERE tr) AS slope, regr_intercept(y, v) FILTER (WHERE tr) AS icpt FROM z GROUP BY 1, 2, 3),
+s AS (SELECT z.{key}, CAST(z.fold AS INT) AS fold, z.features, count(*) AS n_test, avg(power(y - icpt - slope * v, 2)) AS mse, 1 - sum(power(y - icpt - slope * v, 2)) / (var_pop(y) * count(*)) AS r2
+FROM z JOIN c ON z.{key} = c.{key} AND z.fold = c.fold AND z.features = c.features WHERE te GROUP BY 1, 2, 3)"""
+
+
+_Q = f"{_L}, q AS (SELECT cell, day, y AS own, x, lead(y) OVER (PARTITION BY cell ORDER BY day) AS y FROM l)"
+
+
+@query(f"{_one_feature(_Q, ['own'])} SELECT cell, fold, n_test AS n, round(mse, 4) + 0.0 AS mse, round(r2, 4) + 0.0 AS r2 FROM s")
+def j5_linear_one_feature(view, table):
+    rows = M.walk_forward(features(view), 5, K, "day")
+    m = M.regression_metrics(M.fit_predict(rows, ["own"], "y", "linear", K), ["cell", "fold"])
+    return m.select("cell", "fold", "n", r6("mse", 4).alias("mse"), r6("r2", 4).alias("r2"))
+
+
+@query(f"{_one_feature(_Q, ['own'])} SELECT cell, fold, n_test, round(mse, 4) + 0.0 AS mse, round(r2, 4) + 0.0 AS r2 FROM s")
+def j6_unpenalised(view, table):
+    out = M.nested_linear_cv(features(view), ["own"], "y", "day", [0.0], keys=K)
+    return out.select("cell", "fold", "n_test", r6("mse", 4).alias("mse"), r6("r2", 4).alias("r2"))
+
+
+@query(f"{_one_feature(_Q, ['own', 'x'])} SELECT cell, fold, features, 'ols' AS model, n_test, round(mse, 4) + 0.0 AS mse, round(r2, 4) + 0.0 AS r2 FROM s")
+def j14_single_features(view, table):
+    out = M.linear_ablation(features(view), {"own": ["own"], "x": ["x"]}, "y", "day", [0.0], keys=K, models={"ols": 0.0})
+    return out.select("cell", "fold", "features", "model", "n_test", r6("mse", 4).alias("mse"), r6("r2", 4).alias("r2"))
+
+
 @query(None)
 def j5_linear_models(view, table):
     rows = M.walk_forward(features(view), 5, K, "day")
@@ -165,6 +198,16 @@ _SENTIMENT, _GRAPH = ["own", "sentiment", "volume"], ["own", "entities", "avg_de
 _ABLATED = {"Baseline": ["own"], "Sentiment": _SENTIMENT, "Graph": _GRAPH, "Hubs": ["own", *_HUBS], "Combined": [*_SENTIMENT, *_GRAPH[1:], *_HUBS]}
 
 
+_H = f"{_L}, q AS (SELECT cell || '/' || h AS cell, day, y AS own, x, CASE h WHEN 1 THEN lead(y, 1) OVER w WHEN 5 THEN lead(y, 5) OVER w ELSE lead(y, 20) OVER w END AS y FROM l CROSS JOIN (SELECT unnest([1, 5, 20]) AS h) WINDOW w AS (PARTITION BY cell, h ORDER BY day))"
+
+
+@query(f"{_one_feature(_H, ['own', 'x'])}, m AS (SELECT cell, features, avg(r2) AS r2 FROM s GROUP BY 1, 2) SELECT split_part(a.cell, '/', 1) AS cell, CAST(split_part(a.cell, '/', 2) AS INT) AS horizon, round(a.r2, 4) + 0.0 AS base_r2, round(b.r2, 4) + 0.0 AS r2, round(b.r2 - a.r2, 4) + 0.0 AS delta FROM m a JOIN m b ON a.cell = b.cell AND a.features = 'own' AND b.features = 'x'")
+def j15_single_features(view, table):
+    rows = cells(view).select("cell", "day", F.col("y").alias("own"), "x")
+    out = M.horizon_sweep(rows, ["own"], ["x"], "own", (1, 5, 20), "day", [0.0], K)
+    return out.select("cell", "horizon", *[r6(c, 4).alias(c) for c in ("base_r2", "r2", "delta")])
+
+
 @query(None)
 def j14_ablation_sets(view, table):
     """Baseline, Sentiment, Graph, Hubs and Combined on the same rows, with ridge and lasso."""
@@ -179,12 +222,28 @@ def j15_horizons_against_baseline(view, table):
     return out.select("cell", "horizon", *[r6(c, 4).alias(c) for c in ("base_r2", "r2", "delta")])
 
 
+_A = """g AS (SELECT asset AS symbol, hr, sum(sentiment * impact) / sum(impact) AS sentiment, CAST(count(*) AS DOUBLE) AS volume FROM v_signal GROUP BY 1, 2),
+j AS (SELECT g.symbol, g.hr, sentiment, g.volume, (high - low) / close AS own FROM g JOIN v_bars_hourly b ON g.symbol = b.symbol AND g.hr = b.hr),
+q AS (SELECT *, lead(own) OVER (PARTITION BY symbol ORDER BY hr) AS y FROM j)"""
+
+
+def asset_rows(view):
+    f = view("v_signal").groupBy(F.col("asset").alias("symbol"), "hr").agg((F.sum(F.col("sentiment") * F.col("impact")) / F.sum("impact")).alias("sentiment"), F.count(F.lit(1)).cast("double").alias("volume"))
+    rows = f.join(view("v_bars_hourly").drop("volume"), ["symbol", "hr"]).withColumn("own", S.range_vol())
+    return materialize(rows.withColumn("y", S.forward_value("own", 1, ["symbol"], "hr")).where("y IS NOT NULL"), "assets")
+
+
+@query(f"{_one_feature(_A, ['sentiment', 'own'], 'symbol', 'hr')} SELECT symbol, features, count(*) AS folds, round(avg(mse), 4) + 0.0 AS mse, round(avg(r2), 4) + 0.0 AS r2 FROM s GROUP BY 1, 2")
+def j17_asset_single_features(view, table):
+    """Messages to features to bars to models for every asset, on single features."""
+    fits = M.linear_ablation(asset_rows(view), {"sentiment": ["sentiment"], "own": ["own"]}, "y", "hr", [0.0], keys=["symbol"], models={"ols": 0.0})
+    return fits.groupBy("symbol", "features").agg(F.count(F.lit(1)).alias("folds"), r6(F.avg("mse"), 4).alias("mse"), r6(F.avg("r2"), 4).alias("r2"))
+
+
 @query(None)
 def j17_asset_models(view, table):
     """Messages to features to bars to screen to models for every asset: features that the screen ranks, fitted by nested folds."""
-    f = view("v_signal").groupBy(F.col("asset").alias("symbol"), "hr").agg((F.sum(F.col("sentiment") * F.col("impact")) / F.sum("impact")).alias("sentiment"), F.count(F.lit(1)).cast("double").alias("volume"))
-    rows = f.join(view("v_bars_hourly").drop("volume"), ["symbol", "hr"]).withColumn("own", S.range_vol())
-    rows = materialize(rows.withColumn("y", S.forward_value("own", 1, ["symbol"], "hr")).where("y IS NOT NULL"), "assets")
+    rows = asset_rows(view)
     names = ["sentiment", "volume", "own"]
     long = rows.select("symbol", "y", F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in names])))
     screen = I.pearson_cells(long, ["symbol", "feature"]).groupBy("symbol").agg(F.max_by("feature", F.struct(F.abs("r"), "feature")).alias("strongest"))
