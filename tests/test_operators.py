@@ -187,8 +187,10 @@ def test_upsert_keeps_the_latest(spark, tmp_path):
     two.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(one.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     L.upsert_sink(stream, f"{tmp_path}/out", "id", f"{tmp_path}/state").start().awaitTermination()
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out").iterdir())
-    assert {r.id: r.v for r in spark.read.parquet(f"{tmp_path}/out/version={last}").collect()} == {1: "new", 2: "two"}
+    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out" / "list").iterdir())
+    assert {r.id: r.v for r in L.read_upserts(spark, f"{tmp_path}/out", one.schema, last).collect()} == {1: "new", 2: "two"}
+    versions = L.bucket_versions(spark, f"{tmp_path}/out", last)
+    assert sorted(versions.values()) == [0, 1]  # the bucket that the second batch did not hit is as it was
 
 
 def test_late_rows_are_counted(spark, tmp_path):

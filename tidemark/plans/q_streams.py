@@ -58,7 +58,7 @@ def l5_stream_upsert(view, table):
     stream = s.sparkSession.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     query = L.upsert_sink(stream, f"{base}/out", "user_id", f"{base}/state").start()
     query.awaitTermination()
-    return s.sparkSession.read.schema(s.schema).parquet(f"{base}/out/version={query.lastProgress['batchId']}").select("user_id", "sec")
+    return L.read_upserts(s.sparkSession, f"{base}/out", s.schema, query.lastProgress["batchId"]).select("user_id", "sec")
 
 
 @query("""WITH c AS (SELECT max(ts) AS last FROM v_signal) SELECT count(DISTINCT (asset, hr)) AS late FROM v_signal, c WHERE (hr + 1) * 3600 <= epoch(last) - 7200""")

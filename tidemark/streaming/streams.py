@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.buckets import weighted_avg
-from tidemark.scratch import scratch_dir
+from tidemark.scratch import materialize, scratch_dir
 
 
 def tumbling_sentiment(signals: DataFrame, late: str = "2 hours", width: str = "1 hour") -> DataFrame:
@@ -41,21 +41,39 @@ def entity_sessions(signals: DataFrame, key: str, gap: str, late: str = "2 hours
     return signals.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("first"), "n")
 
 
-def upsert_sink(stream: DataFrame, path: str, key: str, checkpoint: str):
-    """Keep the latest row of each key (of equal times, one by hash) in a Parquet table. Each batch writes a new version from the last and itself;
-    version n is batch n's, so a batch that is run again writes the same one."""
-    spark = stream.sparkSession
+def upsert_sink(stream: DataFrame, path: str, key: str, checkpoint: str, buckets: int = 32):
+    """Keep the latest row of each key (of equal times, one by hash). Rows lie in buckets by key; a batch rewrites the
+    buckets that its keys are in, and a list of each bucket's last version is written with it. Version n is batch n's, so a
+    batch that is run again writes the same one. ``read_upserts`` gives the rows."""
+    spark, schema = stream.sparkSession, stream.schema
 
     def merge(batch: DataFrame, n: int) -> None:
         latest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct("ts", F.xxhash64(*batch.columns))).alias("r")).select("r.*")
-        if n:
-            old = spark.read.parquet(f"{path}/version={n - 1}")
-            latest = latest.unionByName(old.join(latest.select(key), key, "left_anti"))
-        latest.write.mode("overwrite").parquet(f"{path}/version={n}")
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        new = materialize(latest.withColumn("_bucket", bucket), "batch")
+        hit = {r[0] for r in new.select("_bucket").distinct().collect()}  # at most ``buckets``
+        last = bucket_versions(spark, path, n - 1) if n else {}
+        old = [f"{path}/rows/version={v}/_bucket={b}" for b, v in last.items() if b in hit]
+        if old:
+            kept = spark.read.schema(schema).parquet(*old).join(new.select(key), key, "left_anti").withColumn("_bucket", bucket)
+            new = new.unionByName(kept.select(new.columns))
+        new.repartition(max(1, len(hit)), "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/rows/version={n}")
+        rows = sorted({**last, **dict.fromkeys(hit, n)}.items())
+        spark.createDataFrame(rows, "bucket int, version bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}/list/version={n}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+def bucket_versions(spark: SparkSession, path: str, n: int) -> dict[int, int]:
+    return {r["bucket"]: r["version"] for r in spark.read.schema("bucket int, version bigint").parquet(f"{path}/list/version={n}").collect()}
+
+
+def read_upserts(spark: SparkSession, path: str, schema, n: int) -> DataFrame:
+    """The table as of batch ``n``."""
+    paths = [f"{path}/rows/version={v}/_bucket={b}" for b, v in bucket_versions(spark, path, n).items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def write_in_order(df: DataFrame, base: str, files: int = 4, order: str = "ts") -> None:
     """Rows as ``files`` Parquet files in ``base``/in, written one after the other in ``order``: a stream takes them up by age."""
     at = F.unix_micros(order)
