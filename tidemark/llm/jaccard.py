@@ -373,7 +373,7 @@ def _cheaper_units(rest: DataFrame) -> DataFrame:
     alone = _open_units(rest).join(clusters.withColumnsRenamed({"node": "star", "root": "cluster"}), "star").groupBy("cluster").agg(F.sum(F.col("of") * F.col("out")).alias("alone"))
     whole = tagged.select(F.col("cluster").alias("star"), "node", "comp").distinct()
     together = _open_units(whole).select(F.col("star").alias("cluster"), (F.col("of") * F.col("out")).alias("together"))
-    merge = alone.join(together, "cluster").select("cluster", (F.col("together") <= F.col("alone")).alias("merge"))
+    merge = materialize(alone.join(together, "cluster").select("cluster", (F.col("together") <= F.col("alone")).alias("merge")), "merge")
     chosen = tagged.join(merge, "cluster").select(F.when(F.col("merge"), F.col("cluster")).otherwise(F.col("star")).alias("star"), "node", "comp")
     return materialize(materialize(chosen, "chosen").distinct(), "units")
 
