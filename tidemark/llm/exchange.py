@@ -8,6 +8,9 @@ once for each block that has it, so no n-gram is hot, and nothing that grows wit
 from __future__ import annotations
 
 import numpy as np
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 
@@ -56,3 +59,16 @@ def pack_numbers(x: np.ndarray, kind: str = "<u4") -> bytes:
 
 def unpack_numbers(raw: bytes, kind: str = "<u4") -> np.ndarray:
     return _unplanes(raw, kind)
+
+
+def own_place(docs: DataFrame) -> Column:
+    """Number of a row in its file, which any job that reads the file finds again; 0 if ``docs`` do not come from files.
+
+    It tells rows apart that repeat all their columns, so that blocks by hash do not put them together.
+    """
+    place = F.col("_metadata.row_index")
+    try:
+        docs.select(place)
+    except AnalysisException:
+        return F.lit(0)
+    return place

@@ -89,8 +89,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     edges = [-math.inf, *(sorted({*cuts}) or [0.0]), math.inf]
     docs = Bucketizer(splits=edges, inputCol="_rank", outputCol="_b").transform(docs.withColumn("_rank", rank))
     docs = docs.select("_id", "_text", F.col("_b").cast("int").alias("_run"))
-    # one small row per run
-    first = sorted((r["_run"], r["_first"]) for r in docs.groupBy("_run").agg(F.min("_id").alias("_first")).collect())
+    # one small row per run; structs, since a plain minimum would pass over null ids
+    first = sorted((r["_run"], r["_first"]["_id"]) for r in docs.groupBy("_run").agg(F.min(F.struct("_id")).alias("_first")).collect())
     ghosts = [(at, own, first[k - 1][0]) for k, (own, at) in enumerate(first)]
     small = spark.createDataFrame(ghosts, "_id long, _run int, _before int")
     joined = docs.join(F.broadcast(small), docs["_id"].eqNullSafe(small["_id"]) & (docs["_run"] == small["_run"]), "left")

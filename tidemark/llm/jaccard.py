@@ -127,6 +127,8 @@ def _entries(mixed: np.ndarray, rare: np.ndarray, band: int, apart: int) -> np.n
     return whole
 
 
+#: Names that are not to be used, and the bits of a name.
+Shared = tuple[frozenset[int], int]
 _PAIRS = pa.schema([("sig", pa.int64()), ("leader", pa.int64()), ("member", pa.int64())])
 
 
@@ -143,7 +145,7 @@ def _stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return sig, leader, node
 
 
-def _index(common: np.ndarray, words: int):
+def _index(common: np.ndarray, words: int, shared: Shared):
     """Texts to entries. What meets within a batch is joined to its least node here; only that node travels on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +153,7 @@ def _index(common: np.ndarray, words: int):
             sigs, nodes, seen = [], [], set()
             for value in batch.column(0):
                 sh = shingles(value.as_py(), words)
-                if len(sh) and (node := node_of(sh)[0]) not in seen:  # copies index once
+                if len(sh) and (node := node_of(sh, shared)[0]) not in seen:  # copies index once
                     seen.add(node)
                     found = entries(sh, common).view(np.int64)
                     sigs.append(found)
@@ -178,19 +180,24 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(np.full(pair.shape[1], kind, dtype=np.int32))], names=["leader", "member", "inner"])
 
 
-def node_of(sh: np.ndarray) -> tuple[int, int]:
-    """Two hashes of a whole shingle set; the first identifies it, the second guards against collisions."""
-    data = sh.tobytes()
-    return int(np.uint64(xxhash.xxh3_64_intdigest(data)).astype(np.int64)), int(np.uint64(xxhash.xxh64_intdigest(data)).astype(np.int64))
+def node_of(sh: np.ndarray, shared: Shared = (frozenset(), 64)) -> tuple[int, int]:
+    """The name of a whole shingle set, and a hash that tells sets apart that would share a name.
+
+    ``shared``: names that several sets had, and the bits of a name. Such a set takes its next hash that is none of them.
+    """
+    data, (taken, bits), seed = sh.tobytes(), shared, 0
+    while (name := int(np.uint64(xxhash.xxh3_64_intdigest(data, seed) >> (64 - bits)).astype(np.int64))) in taken:
+        seed += 1
+    return name, int(np.uint64(xxhash.xxh64_intdigest(data)).astype(np.int64))
 
 
-def _describe(words: int, least_share: float):
+def _describe(words: int, least_share: float, shared: Shared):
     """A row for each document (n, node, guard), and rows (shingle, n) for shingles common within a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(v.as_py(), words) for v in batch.column(1)]
-            nodes = [node_of(sh) if len(sh) else (None, None) for sh in sets]
+            nodes = [node_of(sh, shared) if len(sh) else (None, None) for sh in sets]
             every, n = np.unique(np.concatenate([np.zeros(0, _U), *sets]), return_counts=True)
             often = n >= max(3, least_share * len(sets))
             k, j = len(sets), int(often.sum())
@@ -263,7 +270,7 @@ def _links(blocks: DataFrame, sets: DataFrame) -> DataFrame:
 
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, common_share: float = 0.002,
-    entries_per_task: int = 1_000_000, first_turns: int = 6, block: int = 2_000, query_block: int = 500,
+    entries_per_task: int = 1_000_000, first_turns: int = 6, block: int = 2_000, query_block: int = 500, name_bits: int = 64,
 ) -> DataFrame:
     """Component of every document under links of similarity 0.8 or more: ``id_col``, n_shingles, component_id.
 
@@ -274,15 +281,20 @@ def jaccard_components(
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    described = materialize(texts.mapInArrow(_describe(words, common_share), "_id bigint, n bigint, node bigint, guard bigint, common bigint"), "described")
-    rows = described.where("common IS NULL").drop("common")
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("_id").alias("first"), F.max("n").alias("n"), F.min("guard").alias("g0"), F.max("guard").alias("g1")
-    )
-    nodes = materialize(nodes, "nodes")
-    total, clash = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max(F.col("g0") != F.col("g1")), F.lit(False))).first()
-    if clash:
-        raise ValueError("two different shingle sets share a 64-bit hash")
+    # sets that share a name (of n sets some n^2 / 2^65 pairs do) get other ones, until no name is shared
+    taken: frozenset[int] = frozenset()
+    while True:
+        shared = (taken, name_bits)
+        described = materialize(texts.mapInArrow(_describe(words, common_share, shared), "_id bigint, n bigint, node bigint, guard bigint, common bigint"), "described")
+        rows = described.where("common IS NULL").drop("common")
+        nodes = rows.where("node IS NOT NULL").groupBy("node").agg(
+            F.min("_id").alias("first"), F.max("n").alias("n"), F.min("guard").alias("g0"), F.max("guard").alias("g1")
+        )
+        nodes = materialize(nodes, "nodes")
+        total, clashes = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("g0") != F.col("g1"))).first()
+        if not clashes:
+            break
+        taken |= {r["node"] for r in nodes.where("g0 <> g1").select("node").collect()}
     # it only orders segments; documents have ``total`` shingles, so at most total / (share of them) reach the share: the
     # list is bounded by the mean size of a document's set, however many documents there are
     documents = F.lit(common_share * rows.where("node IS NOT NULL").count())
@@ -290,7 +302,7 @@ def jaccard_components(
     common = common.select("common").toArrow().column(0).to_numpy()
     common = np.sort(common.astype(np.int64).view(_U))
 
-    found = texts.select("_text").mapInArrow(_index(common, words), "sig bigint, leader bigint, member bigint")
+    found = texts.select("_text").mapInArrow(_index(common, words, shared), "sig bigint, leader bigint, member bigint")
     key = F.when(F.col("leader") == F.col("member"), F.col("sig")).otherwise(F.xxhash64("sig", "member"))
     tasks = max(shuffle_partitions(spark), -(-int(0.4 * total) // entries_per_task))
     pairs = materialize(
@@ -306,7 +318,7 @@ def jaccard_components(
     wanted = materialize(wanted.join(nodes, "node").select("node", "first"), "wanted")
     # one way at every size: texts are shuffled once more, by id, to the few ids that are compared
     chosen = texts.join(wanted.hint("shuffle_hash"), texts["_id"].eqNullSafe(F.col("first"))).select("node", "_text")
-    sets = materialize(chosen.mapInArrow(_sets(words), "node bigint, sh array<bigint>").dropDuplicates(["node"]), "sets")
+    sets = materialize(chosen.mapInArrow(_sets(words, shared), "node bigint, sh array<bigint>").dropDuplicates(["node"]), "sets")
 
     # first, each member with the few least nodes that it meets; then with those still in another component
     order = W.partitionBy("member").orderBy(F.xxhash64("leader"), "leader")
@@ -389,13 +401,13 @@ def _rest_links(units: DataFrame, sets: DataFrame, block: int, query_block: int)
     return _links(queries.unionByName(against), sets)
 
 
-def _sets(words: int):
+def _sets(words: int, shared: Shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets, nodes = [], []
             for node, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 sh = shingles(value.as_py(), words)
-                if len(sh) and node_of(sh)[0] == node:  # of rows that repeat an id, the one meant
+                if len(sh) and node_of(sh, shared)[0] == node:  # of rows that repeat an id, the one meant
                     sets.append(sh.view(np.int64))
                     nodes.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "sh"])

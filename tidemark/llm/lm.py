@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.llm.exchange import U64, follow, pack_keys, pack_numbers, shard_bounds, unpack_keys, unpack_numbers
+from tidemark.llm.exchange import U64, follow, own_place, pack_keys, pack_numbers, shard_bounds, unpack_keys, unpack_numbers
 from tidemark.scratch import materialize
 
 START, END = U64(0x5BD1E9955BD1E995), U64(0xC2B2AE3D27D4EB4F)
@@ -259,8 +259,8 @@ def score_texts(
     lower-cased (A-Z) runs between ASCII white space and one end. base_score sums log10 of the add-``add`` unigram
     probabilities, score is the automaton's log10 probability; ``priors`` holds the weight m of the prior for each order
     from 2 on, and so the model's order. A null text has the end only; a null id counts as an empty one, which is held
-    out; repeated rows count and are scored each for itself; rows that repeat both id and text share one block. An empty
-    input gives no rows.
+    out; repeated rows count and are scored each for itself; rows that repeat both id and text are dealt to different blocks
+    if ``docs`` come from files, else they share one. An empty input gives no rows.
     """
     order = len(priors) + 1
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
@@ -269,7 +269,7 @@ def score_texts(
         F.col(id_col).alias("_id"),
         F.col(text_col).cast("binary").alias("_text"),
         (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0).alias("held_out"),
-        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n_blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), own_place(docs)), F.lit(n_blocks)).cast("int").alias("block"),
     )
     answered = lambda asked: materialize(asked.groupBy("order", "shard").applyInArrow(_answer, _ANSWER_SQL), "answers")
     answers = answered(rows.groupBy("block").applyInArrow(_ask(shards), _ASK_SQL))

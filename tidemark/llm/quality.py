@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.llm.exchange import U64, follow, mix, pack_keys, pack_numbers, shard_bounds, unpack_keys, unpack_numbers
+from tidemark.llm.exchange import U64, follow, mix, own_place, pack_keys, pack_numbers, shard_bounds, unpack_keys, unpack_numbers
 from tidemark.scratch import materialize
 
 ORDER = 5
@@ -257,7 +257,7 @@ def score(
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     blocks = max(least_blocks, -(-size // block_bytes))  # shards hold a block's worth of requests each
     text = F.coalesce(F.col(text_col), F.lit(""))
-    block = F.pmod(F.xxhash64(F.col(id_col), text, F.lit(5)), F.lit(blocks)).cast("int").alias("block")
+    block = F.pmod(F.xxhash64(F.col(id_col), text, own_place(docs)), F.lit(blocks)).cast("int").alias("block")
     rows = docs.select(text.alias("_text"), block, *carry)
     kept = [f for f in rows.schema if f.name not in ("_text", "block")]
     schema = pa.schema([*((f.name, to_arrow_type(f.dataType)) for f in kept), ("n_symbols", pa.int64()), ("perplexity", pa.float64())])
@@ -310,8 +310,9 @@ def classify(
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` that ``classify`` keeps, with their columns."""
-    kept = classify(docs, labels, id_col=id_col, text_col=text_col, **settings).where("kept").select("_row")
-    return docs.join(kept, F.xxhash64(docs[id_col], F.coalesce(docs[text_col], F.lit(""))) == kept["_row"], "left_semi")
+    kept = classify(docs, labels, id_col=id_col, text_col=text_col, **settings).where("kept").select("_row", F.col(id_col).alias("_own"))
+    same = (F.xxhash64(docs[id_col], F.coalesce(docs[text_col], F.lit(""))) == kept["_row"]) & docs[id_col].eqNullSafe(kept["_own"])
+    return docs.join(kept, same, "left_semi")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
