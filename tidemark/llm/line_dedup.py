@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.scratch import scratch_dir, shuffle_partitions
+from tidemark.scratch import materialize, scratch_dir, shuffle_partitions
 
 _BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -172,7 +172,9 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, batches: int = 4, fanout: in
     runs = LineRuns(spark, f"{scratch_dir(spark)}/line_runs", shuffle_partitions(spark), min_docs, fanout)
     for k in range(batches):
         runs.add(docs.where(F.pmod(F.xxhash64(id_col), F.lit(batches)) == k), id_col, text_col)
-    found = drop_lines(docs, runs.frequent(), id_col, text_col)
+    # as a table, so that both sides of the join are plain exchanges and the skew join may split a line of very many documents
+    frequent = materialize(runs.frequent(), "frequent")
+    found = drop_lines(docs, frequent, id_col, text_col)
     runs.close()
     return found
 
