@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -149,59 +150,156 @@ def pagerank(e: DataFrame, damping: float = 0.85, rounds: int = 500, tolerance:
     raise RuntimeError(f"PageRank did not converge in {rounds} rounds")
 
 
-def _local_moves(e: DataFrame, total: float, rounds: int) -> DataFrame:
-    """(node, community): nodes move to the neighbouring community of greatest gain in modularity, about a third of them at a
-    time (other ones in each round), until none would gain; at most ``rounds`` rounds. ``e`` has each edge both ways and self
-    loops once."""
-    degree = materialize(e.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")), "strength")
-    labels = degree.select("node", F.col("node").alias("community"), "k")
+def _local_moves(e: DataFrame, keys: Sequence[str], rounds: int) -> DataFrame:
+    """(keys, node, community): nodes move to the neighbouring community of greatest gain in modularity, about a third of them
+    at a time (other ones in each round). A graph in which no node would gain is settled and leaves the loop, so later
+    rounds touch the others only; at most ``rounds`` rounds. ``e`` has each edge both ways and self loops once."""
+    degree = e.groupBy(*keys, F.col("src").alias("node")).agg(F.sum("weight").alias("k"))
+    labels = materialize(degree.withColumn("_total", F.sum("k").over(W.partitionBy(*keys))).select(*keys, "node", F.col("node").alias("community"), "k", "_total"), "strength")
+    settled = []
     for r in range(rounds):
-        size = labels.groupBy("community").agg(F.sum("k").alias("_tot"))
-        links = e.where("src <> dst").join(labels.select(F.col("node").alias("dst"), F.col("community").alias("_to")), "dst").groupBy("src", "_to").agg(F.sum("weight").alias("_w"))
-        own = labels.select(F.col("node").alias("src"), F.col("community").alias("_own"), "k")
-        stay = own.select("src", F.col("_own").alias("_to"), F.lit(0.0).alias("_w"))
-        near = links.unionByName(stay).groupBy("src", "_to").agg(F.sum("_w").alias("_w")).join(own, "src").join(size.withColumnRenamed("community", "_to"), "_to")
+        size = labels.groupBy(*keys, "community").agg(F.sum("k").alias("_tot"))
+        to = labels.select(*keys, F.col("node").alias("dst"), F.col("community").alias("_to"))
+        links = e.where("src <> dst").join(to, [*keys, "dst"]).groupBy(*keys, "src", "_to").agg(F.sum("weight").alias("_w"))
+        own = labels.select(*keys, F.col("node").alias("src"), F.col("community").alias("_own"), "k", "_total")
+        stay = own.select(*keys, "src", F.col("_own").alias("_to"), F.lit(0.0).alias("_w"))
+        near = links.unionByName(stay).groupBy(*keys, "src", "_to").agg(F.sum("_w").alias("_w")).join(own, [*keys, "src"]).join(size.withColumnRenamed("community", "_to"), [*keys, "_to"])
         rest = F.col("_tot") - F.when(F.col("_to") == F.col("_own"), F.col("k")).otherwise(0.0)
-        gain = F.col("_w") - F.col("k") * rest / F.lit(total)
+        gain = F.col("_w") - F.col("k") * rest / F.col("_total")
         # a move needs a gain beyond rounding; equal ones go to the least label
-        best = near.groupBy("src").agg(F.max(F.when(F.col("_to") == F.col("_own"), gain)).alias("_stay"), F.max_by("_to", F.struct(F.round(gain, 9).alias("g"), F.xxhash64("_to").alias("h"))).alias("_best"), F.max(gain).alias("_gain"))
+        best = near.groupBy(*keys, F.col("src").alias("node")).agg(
+            F.max(F.when(F.col("_to") == F.col("_own"), gain)).alias("_stay"), F.max_by("_to", F.struct(F.round(gain, 9).alias("g"), F.xxhash64("_to").alias("h"))).alias("_best"), F.max(gain).alias("_gain")
+        )
         gains, turn = F.col("_gain") > F.col("_stay") + 1e-9, F.pmod(F.xxhash64("node", F.lit(r)), F.lit(3)) == 0
-        moved = labels.join(best.withColumnRenamed("src", "node"), "node")
-        moved = materialize(moved.select("node", F.when(gains & turn, F.col("_best")).otherwise(F.col("community")).alias("community"), "k", gains.alias("_gains")), "labels")
-        labels = moved.drop("_gains")
-        if not moved.agg(F.max("_gains")).first()[0]:
+        moved = labels.join(best, [*keys, "node"]).select(*keys, "node", F.when(gains & turn, F.col("_best")).otherwise(F.col("community")).alias("community"), "k", "_total", gains.alias("_gains"))
+        moved = materialize(moved.withColumn("_open", F.max("_gains").over(W.partitionBy(*keys))), "labels")
+        settled.append(moved.where("NOT _open").select(*keys, "node", "community"))
+        labels = moved.where("_open").drop("_gains", "_open")
+        if labels.isEmpty():
             break
-    return labels.select("node", "community")
-
-
-def communities(e: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, community) by modularity: local moves of nodes, then of the communities found as nodes of a smaller graph, for as
-    long as modularity rises. A level that does not settle in ``rounds`` rounds counts only if it raises it too."""
-    e = materialize(e.select("src", "dst", F.col("weight").cast("double").alias("weight")), "edges")
-    total = 2 * (e.agg(F.sum("weight")).first()[0] or 0.0)
-    both = materialize(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "both")
-    labels, best = both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")), None
+        e = e.join(labels.select(*keys).distinct(), list(keys), "left_semi")
+    settled.append(labels.select(*keys, "node", "community"))
+    out = settled[0]
+    for part in settled[1:]:
+        out = out.unionByName(part)
+    return materialize(out, "moves")
+
+
+def _gain_moves(near: list[dict[int, float]], strength: list[float], total: float) -> list[int]:
+    """Community of each node after moves one by one to the neighbouring community of greatest gain, until none gains."""
+    of, held, moved = list(range(len(near))), strength.copy(), True
+    while moved:
+        moved = False
+        for v, links in enumerate(near):
+            to: dict[int, float] = {}
+            for u, w in links.items():
+                if u != v:
+                    to[of[u]] = to.get(of[u], 0.0) + w
+            own = best = of[v]
+            held[own] -= strength[v]
+            gain = to.get(own, 0.0) - strength[v] * held[own] / total + 1e-9 * strength[v]
+            for c in sorted(to):
+                if (g := to[c] - strength[v] * held[c] / total) > gain:
+                    best, gain = c, g
+            held[best] += strength[v]
+            moved, of[v] = moved or best != own, best
+    return of
+
+
+def _partition(table: pa.Table, keys: Sequence[str]) -> pa.Table:
+    """(keys, node, community) of one graph that fits a task: moves of nodes, then of the communities found, until none gains."""
+    ends = pa.concat_arrays([*table.column("src").chunks, *table.column("dst").chunks]).dictionary_encode()
+    names, code = ends.dictionary, ends.indices.to_numpy()
+    m = table.num_rows
+    near: list[dict[int, float]] = [{} for _ in range(len(names))]
+    for a, b, w in zip(code[:m].tolist(), code[m:].tolist(), table.column("weight").to_pylist(), strict=True):
+        near[a][b] = near[a].get(b, 0.0) + w
+        near[b][a] = near[b].get(a, 0.0) + w
+    total, label = sum(sum(x.values()) for x in near), list(range(len(near)))
     while total:
-        moves = _local_moves(both, total, rounds)
-        up = moves.select(F.col("node").alias("community"), F.col("community").alias("_up"))
-        found = materialize(labels.join(up, "community").select("node", F.col("_up").alias("community")), "communities")
-        q = modularity(e, found).first()[0]
-        if best is not None and q <= best + 1e-12:
+        of = _gain_moves(near, [sum(x.values()) for x in near], total)
+        if of == list(range(len(near))):
             break
-        labels, best = found, q
-        to = lambda end: moves.select(F.col("node").alias(end), F.col("community").alias(f"_{end}"))
-        both = materialize(both.join(to("src"), "src").join(to("dst"), "dst").groupBy(F.col("_src").alias("src"), F.col("_dst").alias("dst")).agg(F.sum("weight").alias("weight")), "both")
-    return labels
-
-
-def modularity(e: DataFrame, labels: DataFrame) -> DataFrame:
-    """Sum over communities of (inner weight / m - (degrees / 2m) squared)."""
-    of = lambda end, name: labels.select(F.col("node").alias(end), F.col("community").alias(name))
-    inner = e.join(of("src", "_a"), "src").join(of("dst", "_b"), "dst").groupBy(F.col("_a").alias("community")).agg(F.sum(F.when(F.col("_a") == F.col("_b"), F.col("weight")).otherwise(0)).alias("_in"))
-    deg = degrees(e).join(labels, "node").groupBy("community").agg(F.sum("weighted").alias("_d"))
-    m = e.agg(F.sum("weight").alias("_m"))
-    each = deg.join(inner, "community", "left").join(F.broadcast(m))
-    return each.agg(F.sum(F.coalesce("_in", F.lit(0)) / F.col("_m") - F.pow(F.col("_d") / (2 * F.col("_m")), F.lit(2))).alias("modularity"))
+        dense = {c: k for k, c in enumerate(sorted(set(of)))}
+        of = [dense[c] for c in of]
+        label, merged = [of[c] for c in label], [{} for _ in dense]
+        for v, links in enumerate(near):
+            for u, w in links.items():
+                merged[of[v]][of[u]] = merged[of[v]].get(of[u], 0.0) + w
+        near = merged
+    least: dict[int, int] = {}
+    for v, c in enumerate(label):
+        least.setdefault(c, v)
+    same = [pa.array([table.column(c)[0].as_py()] * len(names), table.schema.field(c).type) for c in keys]
+    return pa.Table.from_arrays([*same, names, names.take(pa.array([least[c] for c in label]))], names=[*keys, "node", "community"])
+
+
+def communities(e: DataFrame, keys: Sequence[str] = (), rounds: int = 30, small: int = 100_000) -> DataFrame:
+    """(keys, node, community) by modularity, of all graphs at once; a community is named by one of its nodes.
+
+    A graph of at most ``small`` edges is solved by one task, as windows of a long history are many small graphs. Larger
+    ones are solved together in Spark: local moves of nodes, then of the communities found as nodes of a smaller graph, for as
+    long as a graph's modularity rises; it then leaves with the labels before. A level that does not settle in ``rounds``
+    rounds counts only if it raises modularity too. Graphs without weight keep a community a node."""
+    if not keys:
+        return communities(e.withColumn("_graph", F.lit(0)), ["_graph"], rounds, small).drop("_graph")
+    keys = list(keys)
+    e = materialize(e.select(*keys, "src", "dst", F.col("weight").cast("double").alias("weight")), "edges")
+    sizes = materialize(e.groupBy(*keys).agg((F.count(F.lit(1)) <= small).alias("_small")), "sizes")
+    pick = lambda which: e.join(sizes.where(which).select(*keys), keys, "left_semi")
+    of = lambda c, t: f"`{c}` {e.schema[t].dataType.simpleString()}"
+    kinds = ", ".join([*(of(c, c) for c in keys), of("node", "src"), of("community", "src")])
+    done = [pick("_small").groupBy(*keys).applyInArrow(lambda t: _partition(t, keys), kinds)]
+    if not (large := sizes.where("NOT _small")).isEmpty():
+        done.append(_large_communities(e.join(large.select(*keys), keys, "left_semi"), keys, rounds))
+    return done[0] if len(done) == 1 else done[0].unionByName(done[1])
+
+
+def _large_communities(e: DataFrame, keys: Sequence[str], rounds: int) -> DataFrame:
+    e = materialize(e, "edges")
+    both = materialize(e.unionByName(e.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "both")
+    labels, best, done = both.select(*keys, F.col("src").alias("node"), F.col("src").alias("community")).distinct(), None, []
+    while not e.isEmpty():
+        moves = _local_moves(both, keys, rounds)
+        up = moves.select(*keys, F.col("node").alias("community"), F.col("community").alias("_up"))
+        found = materialize(labels.join(up, [*keys, "community"]).select(*keys, "node", F.col("_up").alias("community")), "communities")
+        q = modularity(e, found, keys)
+        if best is not None:
+            q = q.join(best.withColumnRenamed("modularity", "_before"), keys, "left")
+        better = F.lit(True) if best is None else F.coalesce(F.col("modularity") > F.col("_before") + 1e-12, F.lit(False))
+        q = materialize(q.select(*keys, "modularity", better.alias("_up")), "modularity")
+        best, flat = q.where("_up").drop("_up"), q.where("NOT _up").select(*keys)
+        done.append(labels.join(flat, keys, "left_semi"))
+        open_ = best.select(*keys)
+        labels, e, moves = (d.join(open_, keys, "left_semi") for d in (found, e, moves))
+        to = lambda end: moves.select(*keys, F.col("node").alias(end), F.col("community").alias(f"_{end}"))  # noqa: E731, B023
+        both = materialize(both.join(to("src"), [*keys, "src"]).join(to("dst"), [*keys, "dst"]).groupBy(*keys, F.col("_src").alias("src"), F.col("_dst").alias("dst")).agg(F.sum("weight").alias("weight")), "both")
+        labels, e = materialize(labels, "open_labels"), materialize(e, "open_edges")
+    out = labels
+    for part in done:
+        out = out.unionByName(part.select(out.columns))
+    return out
+
+
+def modularity(e: DataFrame, labels: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, modularity): sum over communities of (inner weight / m - (degrees / 2m) squared)."""
+    of = lambda end, name: labels.select(*keys, F.col("node").alias(end), F.col("community").alias(name))
+    ends = e.join(of("src", "_a"), [*keys, "src"]).join(of("dst", "_b"), [*keys, "dst"])
+    part = lambda end, inner: ends.select(*keys, F.col(end).alias("community"), "weight", inner.alias("_in"))
+    # an edge counts in the degrees of both ends and, if they are together, once as inner weight
+    both = part("_a", F.when(F.col("_a") == F.col("_b"), F.col("weight")).otherwise(0)).unionByName(part("_b", F.lit(0)))
+    each = both.groupBy(*keys, "community").agg(F.sum("weight").alias("_d"), F.sum("_in").alias("_in"))
+    found = each.groupBy(*keys).agg((F.sum("_d") / 2).alias("_m"), F.sum("_in").alias("_in"), F.sum(F.col("_d") * F.col("_d").cast("double")).alias("_dd"))
+    return found.select(*keys, (F.col("_in") / F.col("_m") - F.col("_dd") / (4 * F.col("_m") * F.col("_m"))).alias("modularity"))
+
+
+def community_stats(e: DataFrame, keys: Sequence[str], rounds: int = 30) -> DataFrame:
+    """(keys, communities, modularity) of every graph: how many communities there are and the modularity of that
+    partition."""
+    e = materialize(e.select(*keys, "src", "dst", "weight"), "windows")
+    labels = materialize(communities(e, keys, rounds), "labels")
+    counts = labels.groupBy(*keys).agg(F.countDistinct("community").alias("communities"))
+    return counts.join(modularity(e, labels, keys), list(keys))
 
 
 def assortativity(e: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

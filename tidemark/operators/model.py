@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators import trees as T
 from tidemark.operators.stats import gram, unpack
 from tidemark.scratch import materialize
 
@@ -61,8 +60,11 @@ def _require(df: DataFrame, columns: Sequence[str]) -> None:
         raise ValueError(f"unknown features: {missing}")
 
 
-def coordinate_descent(g: np.ndarray, xy: np.ndarray, n: float, alpha: float, l1: float, start: np.ndarray, rounds: int = 500) -> np.ndarray:
-    """Minimiser of (1 / 2n) |y - Xb|^2 + alpha (l1 |b|_1 + (1 - l1) / 2 |b|^2) from X'X and X'y."""
+def coordinate_descent(g: np.ndarray, xy: np.ndarray, n: float, alpha: float, l1: float, start: np.ndarray, rounds: int = 100_000) -> np.ndarray:
+    """Minimiser of (1 / 2n) |y - Xb|^2 + alpha (l1 |b|_1 + (1 - l1) / 2 |b|^2) from X'X and X'y. Without an l1 part it is
+    solved directly (the shortest of several solutions); with one, raises if ``rounds`` rounds do not settle it."""
+    if alpha * l1 == 0:
+        return np.linalg.lstsq(g + n * alpha * np.eye(len(xy)), xy, rcond=None)[0]
     b = start.copy()
     for _ in range(rounds):
         old = b.copy()
@@ -71,9 +73,29 @@ def coordinate_descent(g: np.ndarray, xy: np.ndarray, n: float, alpha: float, l1
                 continue
             rho = (xy[j] - g[j] @ b + g[j, j] * b[j]) / n
             b[j] = np.sign(rho) * max(abs(rho) - alpha * l1, 0) / (g[j, j] / n + alpha * (1 - l1))
-        if np.abs(b - old).max(initial=0) < 1e-10:
-            break
-    return b
+        if np.abs(b - old).max(initial=0) < 1e-10 * max(1.0, np.abs(b).max(initial=0)):
+            return b
+    raise RuntimeError(f"coordinate descent did not converge in {rounds} rounds")
+
+
+def standardised(m: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray, np.ndarray, np.ndarray]:
+    """From products of (y, 1, features): n, means, y's mean, deviations, and X'X and X'y of centred and scaled features."""
+    n = m[1, 1]
+    mean, my = m[1, 2:] / n, m[0, 1] / n
+    sd = np.sqrt(np.maximum(np.diag(m)[2:] / n - mean**2, 0))
+    sd = np.where(sd > 1e-12, sd, 1)
+    g = (m[2:, 2:] - n * np.outer(mean, mean)) / np.outer(sd, sd)
+    return n, mean, my, sd, g, (m[0, 2:] - n * my * mean) / sd
+
+
+def penalised_fit(m: np.ndarray, path: Sequence[float], l1: float) -> list[np.ndarray]:
+    """Intercept and slopes for each penalty of a falling ``path``, each started from the one before."""
+    n, mean, my, sd, g, xy = standardised(m)
+    b, out = np.zeros(len(mean)), []
+    for a in path:
+        b = coordinate_descent(g, xy, n, a, l1, b)
+        out.append(np.concatenate([[my - (b / sd) @ mean], b / sd]))
+    return out
 
 
 def fold_bounds(n, outer: int, inner: int, div) -> list:
@@ -103,25 +125,12 @@ def nested_linear_cv(df: DataFrame, features: Sequence[str], y: str, order: str,
     blocks = gram(d, [*keys, "_block"], cols)
     grid = sorted(alphas, reverse=True)
 
-    def standardised(m: np.ndarray):
-        n = m[1, 1]
-        mean, my = m[1, 2:] / n, m[0, 1] / n
-        sd = np.sqrt(np.maximum(np.diag(m)[2:] / n - mean**2, 0))
-        sd = np.where(sd > 1e-12, sd, 1)
-        g = (m[2:, 2:] - n * np.outer(mean, mean)) / np.outer(sd, sd)
-        return n, mean, my, sd, g, (m[0, 2:] - n * my * mean) / sd
-
     def mse(m: np.ndarray, c: np.ndarray) -> float:
         v = np.concatenate([[1.0], -c])
         return float(v @ m @ v) / max(m[1, 1], 1)
 
     def fit(m: np.ndarray, path: Sequence[float]) -> list[np.ndarray]:
-        n, mean, my, sd, g, xy = standardised(m)
-        b, out = np.zeros(k - 2), []
-        for a in path:
-            b = coordinate_descent(g, xy, n, a, l1, b)
-            out.append(np.concatenate([[my - (b / sd) @ mean], b / sd]))
-        return out
+        return penalised_fit(m, path, l1)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         m = {r["_block"]: unpack(r.g, k) for _, r in pdf.iterrows()}
@@ -159,51 +168,72 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(df)
 
 
-def regressor(kind: str, y: str, seed: int = 7, **settings):
-    """linear, lasso, ridge, elastic, forest or boosting. Penalties follow (1 / 2n) |y - Xb|^2 + alpha (...); see README."""
-    if kind in ("linear", "lasso", "ridge", "elastic"):
-        mix = {"linear": 0.0, "lasso": 1.0, "ridge": 0.0, "elastic": settings.get("l1", 0.5)}[kind]
-        alpha = 0.0 if kind == "linear" else settings.get("alpha", 0.01)
-        return LinearRegression(labelCol=y, regParam=alpha, elasticNetParam=mix, standardization=False)
-    if kind == "forest":
-        return RandomForestRegressor(labelCol=y, seed=seed, numTrees=settings.get("trees", 20), maxDepth=settings.get("depth", 5))
-    return GBTRegressor(labelCol=y, seed=seed, maxIter=settings.get("trees", 10), maxDepth=settings.get("depth", 3))
-
-
-def _fold_rows(data: DataFrame, by: Sequence[str]):
-    """Train and test rows of each cell and fold that has both; ``data`` is written once, as every fit reads it again."""
-    data = materialize(data, "folds")
-    has = data.groupBy(*by).agg(F.count_if(F.col("role") == "train").alias("_a"), F.count_if(F.col("role") == "test").alias("_b"))
-    for cell in has.where("_a > 0 AND _b > 0").orderBy(*by).collect():  # as many rows as fits
-        rows = data
-        for c in by:
-            rows = rows.where(F.col(c).eqNullSafe(F.lit(cell[c])))
-        yield rows.where("role = 'train'"), rows.where("role = 'test'")
+@dataclass(frozen=True)
+class Regressor:
+    """Settings of one kind of model; fits are made for all cells at once."""
 
+    kind: str
+    y: str
+    seed: int
+    settings: dict
 
-def fit_predict(df: DataFrame, features: Sequence[str], y: str, kind: str, keys: Sequence[str] = (), **settings) -> DataFrame:
-    """Predictions on each fold's test rows: all columns, fold, prediction. One Spark fit for each cell and fold."""
-    by = [*keys, "fold"]
-    out = None
-    for train, test in _fold_rows(assemble(fold_scale(df, features, by), features), by):
-        found = Pipeline(stages=[regressor(kind, y, **settings)]).fit(train).transform(test).drop("features")
-        out = found if out is None else out.unionByName(found)
-    return df.limit(0).withColumn("prediction", F.lit(0.0)) if out is None else out
+    def trees(self, train: DataFrame, features: Sequence[str], by: Sequence[str]) -> T.Trees:
+        s = self.settings
+        if self.kind == "forest":
+            return T.fit_trees(train, by, features, self.y, s.get("trees", 20), s.get("depth", 5), least=s.get("least", 1), seed=self.seed)
+        return T.fit_trees(train, by, features, self.y, s.get("trees", 10), s.get("depth", 3), least=s.get("least", 1), rate=s.get("rate", 0.1), seed=self.seed)
+
+    def coefficients(self, train: DataFrame, features: Sequence[str], by: Sequence[str]) -> DataFrame:
+        """by, intercept, betas: products of each cell's rows in one aggregate, a small system for each cell."""
+        l1 = {"linear": 0.0, "lasso": 1.0, "ridge": 0.0, "elastic": self.settings.get("l1", 0.5)}[self.kind]
+        alpha = 0.0 if self.kind == "linear" else self.settings.get("alpha", 0.01)
+        k, by = len(features) + 2, list(by)
+        cols = ["_y", "_one", *features]
+        rows = train.withColumns({"_y": F.col(self.y).cast("double"), "_one": F.lit(1.0), **{c: F.col(c).cast("double") for c in features}})
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            r = pdf.iloc[0]
+            c = penalised_fit(unpack(r.g, k), [alpha], l1)[0]
+            return pd.DataFrame([(*r[by].tolist(), float(c[0]), c[1:].tolist())], columns=[*by, "intercept", "betas"])
 
+        types = "".join(f"`{c}` {train.schema[c].dataType.simpleString()}, " for c in by)
+        return gram(rows, by, cols).groupBy(*by).applyInPandas(run, types + "intercept double, betas array<double>")
 
-def fit_spike_classifier(df: DataFrame, features: Sequence[str], y: str, keys: Sequence[str] = (), seed: int = 7) -> DataFrame:
-    """Random forest with balanced weights n / (2 n_c), one for each cell and fold: keys, fold, y, score and prediction of test rows."""
+
+def regressor(kind: str, y: str, seed: int = 7, **settings) -> Regressor:
+    """linear, lasso, ridge, elastic, forest or boosting. Penalties follow (1 / 2n) |y - Xb|^2 + alpha (...); see README."""
+    return Regressor(kind, y, seed, settings)
+
+
+def fit_predict(df: DataFrame, features: Sequence[str], y: str, kind: str, keys: Sequence[str] = (), **settings) -> DataFrame:
+    """Predictions on each fold's test rows: all columns, fold, prediction. All cells and folds are fitted together: linear
+    models from one aggregate of products, trees from one histogram a level. Features are standardised within each fit
+    of a linear model. Rows with a null feature or y are left out of fits, those with a null feature of predictions."""
+    _require(df, features)
+    by, model = [*keys, "fold"], regressor(kind, y, **settings)
+    df = materialize(df, "folds")
+    train, test = df.where("role = 'train'"), df.where("role = 'test'")
+    if kind in ("forest", "boosting"):
+        return T.predict_trees(test, model.trees(train, features, by))
+    fitted = test.join(model.coefficients(train, features, by), by)
+    x = F.array(*[F.col(c).cast("double") for c in features])
+    value = F.col("intercept") + F.aggregate(F.zip_with("betas", x, lambda b, v: b * v), F.lit(0.0), lambda a, v: a + v)
+    return fitted.withColumn("prediction", value).where("prediction IS NOT NULL").drop("intercept", "betas")
+
+
+def fit_spike_classifier(df: DataFrame, features: Sequence[str], y: str, keys: Sequence[str] = (), seed: int = 7, trees: int = 20, depth: int = 5) -> DataFrame:
+    """Random forest with balanced weights n / (2 n_c), one for each cell and fold: keys, fold, y, score and prediction of test
+    rows. A node tries about the root of the number of features; a fold whose train rows have one class gives that."""
+    _require(df, features)
     by = [*keys, "fold"]
-    out = None
-    for train, test in _fold_rows(assemble(df, features), by):
-        n, pos = train.agg(F.count(F.lit(1)), F.coalesce(F.sum(y), F.lit(0))).first()
-        weight = F.when(F.col(y) == 1, n / (2.0 * max(pos, 1))).otherwise(n / (2.0 * max(n - pos, 1)))
-        model = RandomForestClassifier(labelCol=y, weightCol="_w", seed=seed, numTrees=20).fit(train.withColumn("_w", weight))
-        score = F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0))  # without spikes in train rows there is one class
-        found = model.transform(test).withColumn("score", score)
-        found = found.select(*by, F.col(y).cast("int").alias("y"), "score", F.col("prediction").cast("int").alias("prediction"))
-        out = found if out is None else out.unionByName(found)
-    return df.limit(0).select(*by, F.col(y).cast("int").alias("y"), F.lit(0.0).alias("score"), F.lit(0).alias("prediction")) if out is None else out
+    df = materialize(df, "folds")
+    train = df.where("role = 'train'")
+    counts = train.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"), F.coalesce(F.sum(F.col(y).cast("int")), F.lit(0)).alias("_pos"))
+    share = F.when(F.col(y) == 1, F.col("_pos")).otherwise(F.col("_all") - F.col("_pos"))
+    weighted = train.join(counts, by).withColumn("_weight", F.col("_all") / (2.0 * F.greatest(share, F.lit(1)))).drop("_all", "_pos")
+    fit = T.fit_trees(weighted, by, features, y, trees, depth, share=len(features) ** -0.5, weight="_weight", seed=seed)
+    found = T.predict_trees(df.where("role = 'test'"), fit, "score")
+    return found.select(*by, F.col(y).cast("int").alias("y"), "score", (F.col("score") > 0.5).cast("int").alias("prediction"))
 
 
 def regression_metrics(preds: DataFrame, keys: Sequence[str], y: str = "y", p: str = "prediction") -> DataFrame:
@@ -261,9 +291,9 @@ def feature_sets(ranked: DataFrame, sizes: Sequence[int], key: str = "target") -
     return top.groupBy(key, "size").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "feature"))), lambda x: x["feature"]), ",").alias("features"))
 
 
-def top_coefficients(model, features: Sequence[str], spark) -> DataFrame:
-    values = model.featureImportances.toArray() if hasattr(model, "featureImportances") else model.coefficients.toArray()
-    return spark.createDataFrame([(f, float(v)) for f, v in zip(features, values, strict=True)], "feature string, value double").orderBy(F.desc(F.abs("value")), "feature")
+def top_coefficients(fit: T.Trees) -> DataFrame:
+    """Importances of every cell's features: by, feature, value, greatest first."""
+    return T.importances(fit).orderBy(*fit.by, F.desc("value"), "feature")
 
 
 def ablation(df: DataFrame, sets: dict[str, Sequence[str]], kinds: Sequence[str], y: str, folds: int, order: str, keys: Sequence[str] = (), **settings) -> DataFrame:

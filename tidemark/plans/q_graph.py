@@ -53,9 +53,9 @@ def h4_graph_basics(view, table):
     return G.graph_basics(by_window(view), ["window"]).withColumnRenamed("window", "win").withColumns({c: r6(c) for c in ("avg_degree", "avg_weighted", "density")})
 
 
-@query(f"{_E.format(10)}, {_D} SELECT node, degree, round(degree / ((SELECT count(*) FROM d) - 1), 6) AS centrality FROM d")
+@query(f"{_E.format(3)}, {_D} SELECT node, degree, round(degree / ((SELECT count(*) FROM d) - 1), 6) AS centrality FROM d")
 def h5_degree_centrality(view, table):
-    return G.degree_centrality(edges(view, 10)).withColumn("centrality", r6("centrality"))
+    return G.degree_centrality(edges(view)).withColumn("centrality", r6("centrality"))
 
 
 @query(f"{_WE}, {_WD} SELECT win, coalesce(max(degree) FILTER (WHERE node = 'e1'), 0) AS e1, coalesce(max(degree) FILTER (WHERE node = 'e2'), 0) AS e2, coalesce(max(degree) FILTER (WHERE node = 'e3'), 0) AS e3 FROM d GROUP BY 1")
@@ -86,17 +86,17 @@ def h9_components(view, table):
     return G.components(e, ["win"])
 
 
-@query(f"""{_E.format(5).replace("WITH ", "WITH RECURSIVE ", 1)}, b AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e), o AS (SELECT src, sum(weight) AS w, count(*) OVER () AS n FROM b GROUP BY 1),
+@query(f"""{_E.format(3).replace("WITH ", "WITH RECURSIVE ", 1)}, b AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e), o AS (SELECT src, sum(weight) AS w, count(*) OVER () AS n FROM b GROUP BY 1),
 t AS (SELECT b.src, b.dst, CAST(weight AS DOUBLE) / w AS p, n FROM b JOIN o ON b.src = o.src),
 r AS (SELECT 0 AS k, src AS node, 1 / CAST(n AS DOUBLE) AS rank FROM o UNION ALL SELECT r.k + 1, t.dst, CAST(0.15 AS DOUBLE) / max(t.n) + CAST(0.85 AS DOUBLE) * sum(r.rank * t.p) FROM r JOIN t ON r.node = t.src WHERE r.k < 150 GROUP BY 1, 2)
 SELECT node, round(rank, 6) AS rank FROM r WHERE k = 150""")
 def h10_pagerank(view, table):
-    return G.pagerank(edges(view, 5)).withColumn("rank", r6("rank"))
+    return G.pagerank(edges(view)).withColumn("rank", r6("rank"))
 
 
 @query(None)
 def h11_communities(view, table):
-    e = edges(view, 5)
+    e = edges(view)
     labels = G.communities(e)
     return G.modularity(e, labels).withColumn("modularity", r6("modularity"))
 
@@ -108,6 +108,20 @@ def h12_modularity(view, table):
     return G.modularity(e, labels).withColumn("modularity", r6("modularity"))
 
 
+@query(None)
+def h11_windowed_communities(view, table):
+    """Communities and their modularity of each 3-day window."""
+    return G.community_stats(by_window(view), ["window"]).select(F.col("window").alias("win"), "communities", r6("modularity").alias("modularity"))
+
+
+@query(f"{_WE}, l AS (SELECT win, src, dst, weight, length(src) AS a, length(dst) AS b FROM e), m AS (SELECT win, sum(weight) AS m, sum(CASE WHEN a = b THEN weight ELSE 0 END) AS w FROM l GROUP BY 1), g AS (SELECT win, c, sum(weight) AS d FROM (SELECT win, a AS c, weight FROM l UNION ALL SELECT win, b, weight FROM l) GROUP BY 1, 2), s AS (SELECT win, sum(d * d) AS dd FROM g GROUP BY 1) SELECT m.win, round(w / m - dd / (4 * m * m), 6) + 0.0 AS modularity FROM m JOIN s ON m.win = s.win")
+def h12_windowed_modularity(view, table):
+    """Modularity in each 3-day window of given labels, here the length of the name."""
+    e = by_window(view)
+    labels = G.degrees(e, ["window"]).select("window", "node", F.length("node").alias("community"))
+    return G.modularity(e, labels, ["window"]).select(F.col("window").alias("win"), r6("modularity").alias("modularity"))
+
+
 @query(f"{_WE}, {_WD}, x AS (SELECT e.win, a.weighted AS x, b.weighted AS y FROM e JOIN d a ON e.win = a.win AND src = a.node JOIN d b ON e.win = b.win AND dst = b.node), u AS (SELECT * FROM x UNION ALL SELECT win, y, x FROM x) SELECT win, round(CASE WHEN var_pop(x) > 0 THEN corr(x, y) ELSE 0 END, 6) + 0.0 AS assortativity FROM u GROUP BY 1")
 def h13_assortativity(view, table):
     return G.assortativity(by_window(view), ["window"]).select(F.col("window").alias("win"), r6("assortativity").alias("assortativity"))

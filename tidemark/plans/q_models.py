@@ -163,13 +163,8 @@ def j12_feature_sets(view, table):
 
 @query(None)
 def j13_top_coefficients(view, table):
-    cols = ["own", "x", "c", "ma5"]
-    d = materialize(M.assemble(features(view), cols), "features")
-    out = None
-    for r in d.select("cell").distinct().orderBy("cell").collect():
-        m = M.top_coefficients(M.regressor("forest", "y").fit(d.where(F.col("cell") == r["cell"])), cols, d.sparkSession).withColumn("cell", F.lit(r["cell"]))
-        out = m if out is None else out.unionByName(m)
-    return out.select("cell", "feature", r6("value", 4).alias("value"))
+    fit = M.regressor("forest", "y").trees(features(view), ["own", "x", "c", "ma5"], K)
+    return M.top_coefficients(fit).select("cell", "feature", r6("value", 4).alias("value"))
 
 
 _SETS = {"Baseline": ["own"], "Volume": ["x"], "Combined": ["own", "x", "ma5"]}
