@@ -9,11 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.components import connected_components
+from tidemark.operators.ranges import LEAST, running, value_counts
 from tidemark.operators.series import corr
 from tidemark.scratch import materialize
 
@@ -47,9 +50,36 @@ def cooccurrence(m: DataFrame, least: int = 3, event: str = "event_id") -> DataF
 
 
 def windowed_cooccurrence(m: DataFrame, day: str, days: int, event: str = "event_id") -> DataFrame:
-    """Edges of the events of each day and the ``days`` - 1 before. Pairs are made once and then put into their windows."""
-    pairs = event_pairs(m, event, [day]).withColumn("window", F.explode(F.sequence(F.col(day), F.col(day) + days - 1)))
-    return pairs.groupBy("window", "src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+    """Edges of the events of each day and the ``days`` - 1 before. A pair's daily count enters on its day and leaves ``days``
+    later: two rows however wide the window is, and a running sum over the pair's days, of which the calendar has few."""
+    daily = event_pairs(m, event, [day]).groupBy("src", "dst", day).agg(F.count(F.lit(1)).alias("_k"))
+    change = lambda at, k: F.struct(at.alias("_at"), k.alias("_k"))
+    moves = daily.select("src", "dst", F.inline(F.array(change(F.col(day), F.col("_k")), change(F.col(day) + days, -F.col("_k"))))).groupBy("src", "dst", "_at").agg(F.sum("_k").alias("_k"))
+    w = W.partitionBy("src", "dst").orderBy("_at")
+    spans = moves.select("src", "dst", "_at", F.sum("_k").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("weight"), F.lead("_at").over(w).alias("_next")).where("weight > 0")
+    return spans.select(F.explode(F.sequence("_at", F.col("_next") - 1)).alias("window"), "src", "dst", "weight")
+
+
+def static_adjacency(m: DataFrame, least: int = 2, event: str = "event_id") -> DataFrame:
+    """(src, dst, weight): pairs that occur together more than ``least`` times, both ways, over the greatest of them."""
+    e = materialize(event_pairs(m, event).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least), "edges")
+    top = F.broadcast(e.agg(F.max("n").alias("_top")))  # one row
+    one = e.crossJoin(top).select("src", "dst", (F.col("n") / F.col("_top")).alias("weight"))
+    return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+
+
+def top_pairs(m: DataFrame, k: int = 20, event: str = "event_id") -> DataFrame:
+    """The ``k`` pairs that occur together most often, with how often and their mean difference of sentiment."""
+    e = event_pairs(m, event).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("avg_gap"))
+    return e.orderBy(F.desc("n"), "src", "dst").limit(k)
+
+
+def entities_before_spikes(m: DataFrame, spikes: DataFrame, time: str, most: int, event: str = "event_id") -> DataFrame:
+    """(entity, spikes, events, mean_ahead): what is mentioned in events whose next spike is at most ``most`` ahead."""
+    events = m.select(event, time).distinct()
+    ahead = precedes_spike(events, spikes, time, most).select(event, time, "spike", "ahead")
+    found = m.select(event, time, "entity").distinct().join(ahead, [event, time])
+    return found.groupBy("entity").agg(F.countDistinct("spike").alias("spikes"), F.count(F.lit(1)).alias("events"), F.avg("ahead").alias("mean_ahead"))
 
 
 def _ends(e: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -106,12 +136,14 @@ def transitivity(e: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return joined.select(*keys, F.coalesce(3 * F.col("triangles") / F.nullif("triples", F.lit(0.0)), F.lit(0.0)).alias("transitivity"))
 
 
-def gini(df: DataFrame, c: str, keys: Sequence[str], tie: str) -> DataFrame:
-    """Gini coefficient of the sorted values: 2 sum(i x) / (n sum(x)) - (n + 1) / n; 0 where they add up to 0."""
-    i = F.row_number().over(W.partitionBy(*keys).orderBy(c, tie))
-    n = F.count(F.lit(1))
-    g = 2 * F.sum(F.col("_i") * F.col(c)) / F.nullif(n * F.sum(c), F.lit(0)) - (n + 1) / n
-    return df.withColumn("_i", i).groupBy(*keys).agg(F.coalesce(g, F.lit(0.0)).alias("gini"))
+def gini(df: DataFrame, c: str, keys: Sequence[str], tie: str | None = None) -> DataFrame:
+    """Gini coefficient of the sorted values: 2 sum(i x) / (n sum(x)) - (n + 1) / n; 0 where they add up to 0. Places i come
+    from counts of equal values, which take consecutive places, so ``tie`` decides nothing."""
+    v = value_counts(df, keys, c)
+    places = F.col("_k") * F.col("_below") + F.col("_k") * (F.col("_k") + 1) / 2
+    s = v.groupBy(*keys).agg(F.sum("_k").alias("_n"), F.sum(F.col("_k") * F.col(c)).alias("_all"), F.sum(places * F.col(c)).alias("_i"))
+    g = 2 * F.col("_i") / F.nullif(F.col("_n") * F.col("_all"), F.lit(0)) - (F.col("_n") + 1) / F.col("_n")
+    return s.select(*keys, F.coalesce(g, F.lit(0.0)).alias("gini"))
 
 
 def topk_jaccard(d: DataFrame, window: str, k: int = 10, value: str = "degree") -> DataFrame:
@@ -359,11 +391,11 @@ def negative_pairs(m: DataFrame, event: str = "event_id") -> DataFrame:
 
 
 def snapshot_nodes(m: DataFrame, vectors: DataFrame, window: Column, key: str = "msg_id") -> DataFrame:
-    """Count, total impact and mean vector of each entity and window; the vectors are averaged by dimension."""
+    """Count, total impact and mean vector of each entity and window, in one row for each mention."""
     rows = m.withColumn("window", window)
     base = rows.groupBy("window", "entity").agg(F.count(F.lit(1)).alias("n"), F.sum("impact").alias("impact"))
-    dims = rows.join(vectors, key).select("window", "entity", F.posexplode("vector").alias("d", "v")).groupBy("window", "entity", "d").agg(F.avg("v").alias("v"))
-    mean = dims.groupBy("window", "entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda x: x["v"]).alias("vector"))
+    with_v = rows.join(vectors, key).select("window", "entity", array_to_vector(F.transform("vector", lambda x: x.cast("double"))).alias("v"))
+    mean = with_v.groupBy("window", "entity").agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("vector"))
     return base.join(mean, ["window", "entity"], "left")
 
 
@@ -401,13 +433,18 @@ def temporal_follows(m: DataFrame, entity: str, time: str, event: str, most: int
     return out.where(F.col("delta") <= most)
 
 
-def precedes_spike(events: DataFrame, spikes: DataFrame, time: str, most: int) -> DataFrame:
-    """Each event with the next spike within ``most`` after it. Spikes are few rows for each key, matched by buckets."""
-    at = lambda c: F.floor(c / most)
-    e = events.withColumn("_b", F.explode(F.array(at(F.col(time)), at(F.col(time)) + 1)))
-    s = spikes.select(F.col(time).alias("spike"), at(F.col(time)).alias("_b"))
-    near = e.join(s, "_b").where((F.col("spike") > F.col(time)) & (F.col("spike") - F.col(time) <= most))
-    return near.groupBy(*events.columns).agg(F.min("spike").alias("spike")).withColumn("ahead", F.col("spike") - F.col(time))
+def precedes_spike(events: DataFrame, spikes: DataFrame, time: str, most: int, keys: Sequence[str] = (), least: int = LEAST) -> DataFrame:
+    """Each event with the next spike (of its keys) later than itself and at most ``most`` ahead.
+
+    Events and spikes are laid in one order, latest first, and the last spike seen is carried on: no pairs are formed, and
+    a long history is cut into pieces. ``time`` is a whole number.
+    """
+    e = events.withColumns({"_spike": F.lit(None).cast("long"), "_o": -2 * F.col(time) - 1})  # before a spike of its own time
+    s = spikes.select(*keys, F.col(time).cast("long").alias("_spike"), (-2 * F.col(time)).alias("_o"))
+    laid = materialize(e.unionByName(s, allowMissingColumns=True).withColumn("_event", F.col("_o") % 2 != 0), "laid")
+    seen = running(laid, keys, "_o", lasts={"spike": "_spike"}, least=least)
+    near = seen.where(F.col("_event") & (F.col("spike") - F.col(time) <= most)).drop("_spike", "_o", "_event")
+    return near.withColumn("ahead", F.col("spike") - F.col(time))
 
 
 def sessions(df: DataFrame, key: str, time: str, gap: int) -> DataFrame:

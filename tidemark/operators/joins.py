@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.dedup import with_place
+from tidemark.operators.ranges import LEAST, running
+from tidemark.scratch import materialize
 
 
 def join_market(features: DataFrame, market: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -26,11 +28,11 @@ def join_outer_all(named: dict[str, DataFrame], key: str, value: str) -> DataFra
     return reduce(DataFrame.unionByName, parts).groupBy(key).pivot("_s", list(named)).agg(F.first("_v"))
 
 
-def join_ffill(left: DataFrame, right: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
-    """Left join, then the last value seen so far where there is none."""
-    seen = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+def join_ffill(left: DataFrame, right: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], least: int = LEAST) -> DataFrame:
+    """Left join, then the last value seen so far where there is none. A long series is filled in pieces."""
     joined = left.join(right, [*keys, order], "left")
-    return joined.withColumns({c: F.last(c, ignorenulls=True).over(seen) for c in columns})
+    filled = running(materialize(joined, "joined"), keys, order, lasts={f"_last_{c}": c for c in columns}, least=least)
+    return filled.withColumns({c: F.col(f"_last_{c}") for c in columns}).drop(*[f"_last_{c}" for c in columns])
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, value: str, tolerance: int, bucket: int | None = None) -> DataFrame:
@@ -61,10 +63,33 @@ def sliding_assign(df: DataFrame, time: str, width: int, step: int, closed: str
 
     closed "both": [end - width, end]; "left": [end - width, end); "right": (end - width, end].
     """
+    first, last = sliding_ends(time, width, step, closed)
+    return df.withColumn(name, F.explode(F.sequence(first, last))).withColumn(name, F.col(name) * step)
+
+
+def sliding_ends(time: str, width: int, step: int, closed: str = "left") -> tuple[Column, Column]:
+    """The first and the last window end, in steps, that a row's time falls in; see ``sliding_assign``."""
     t = F.col(time)
     first = F.ceil(t / step) if closed in ("both", "right") else F.floor(t / step) + 1
     last = F.floor((t + width) / step) if closed in ("both", "left") else F.ceil((t + width) / step) - 1
-    return df.withColumn(name, F.explode(F.sequence(first, last))).withColumn(name, F.col(name) * step)
+    return first, last
+
+
+def sliding_sums(df: DataFrame, time: str, width: int, step: int, sums: dict[str, Column], closed: str = "left", keys: Sequence[str] = (), name: str = "window_end") -> DataFrame:
+    """(keys, window end, n, sums) of every sliding window that has rows, without a copy of a row for each window.
+
+    A row enters at its first window end and leaves after its last one: two rows of differences, added up by key and end
+    before the shuffle, and a running sum over the ends, whatever width / step is. Ends between changes are filled in. Sums
+    of whole numbers or decimals are exact; sums of doubles carry the rounding of what has left.
+    """
+    first, last = sliding_ends(time, width, step, closed)
+    sums = {"n": F.lit(1), **sums}
+    change = lambda at, sign: F.struct(at.cast("long").alias("_at"), *[(F.coalesce(c, F.lit(0)) * sign).alias(n) for n, c in sums.items()])
+    changes = df.select(*keys, F.inline(F.array(change(first, 1), change(last + 1, -1)))).groupBy(*keys, "_at").agg(*[F.sum(n).alias(n) for n in sums])
+    w = W.partitionBy(*keys).orderBy("_at")  # one row for each end at which something changes: the calendar bounds them
+    held = [F.sum(n).over(w.rowsBetween(W.unboundedPreceding, 0)).alias(n) for n in sums]
+    spans = changes.select(*keys, "_at", *held, F.lead("_at").over(w).alias("_next")).where("n > 0")
+    return spans.withColumn(name, F.explode(F.sequence("_at", F.col("_next") - 1))).withColumn(name, F.col(name) * step).drop("_at", "_next")
 
 
 def events_before_spikes(events: DataFrame, spikes: DataFrame, day: str, ahead: int = 1) -> DataFrame:

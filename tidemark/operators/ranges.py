@@ -43,15 +43,28 @@ def _place(cuts: str, x: str) -> Column:
     return F.expr(f"aggregate(sequence(1, 40), named_struct('lo', 0, 'hi', size({cuts})), (s, k) -> {step}, s -> s.lo)")
 
 
+def long_keys(df: DataFrame, keys: Sequence[str], least: int = LEAST) -> tuple[DataFrame, int, int]:
+    """The keys of more rows than ``least`` and a quarter of an even task (with _n), that bound, and the most rows of a key (0
+    if none is long). At most four keys for each partition, as their rows are among all rows."""
+    sizes = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    total, largest = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    most = max(least, total // (4 * shuffle_partitions(df.sparkSession)))
+    return sizes.where(F.col("_n") > most), most, largest if largest > most else 0
+
+
+def split_long(df: DataFrame, keys: Sequence[str], least: int = LEAST) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary keys, rows of long ones)."""
+    long, _, largest = long_keys(df, keys, least)
+    if not largest:
+        return df, None
+    return _join(df, long.drop("_n"), keys, "left_anti"), _join(df, long.drop("_n"), keys, "left_semi")
+
+
 def cut(df: DataFrame, keys: Sequence[str], order: str, least: int = LEAST) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ordinary keys, rows of long keys with _piece). Rows of equal ``order`` stay in one piece; nulls are in the first."""
     keys = list(keys)
-    spark = df.sparkSession
-    sizes = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "sizes")
-    most = max(least, (sizes.agg(F.sum("_n")).first()[0] or 0) // (4 * shuffle_partitions(spark)))
-    long = sizes.where(F.col("_n") > most)  # at most four for each partition, as their rows are among all rows
-    largest = long.agg(F.max("_n")).first()[0]
-    if largest is None:
+    long, most, largest = long_keys(df, keys, least)
+    if not largest:
         return df, None
     parts = -(-largest // most)
     of_long = _join(df, long, keys)

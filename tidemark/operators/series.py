@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranges import LEAST, value_counts
+
 
 def _w(keys: Sequence[str], order: str):
     return W.partitionBy(*keys).orderBy(order)
@@ -95,10 +97,11 @@ def lag_matrix(df: DataFrame, c: str, lags: Sequence[int], keys: Sequence[str],
 
 
 def spike_flags(df: DataFrame, c: str, ks: Sequence[float], keys: Sequence[str]) -> DataFrame:
-    """spike_<k> for each k: above mean + k sample deviations of the key's whole series."""
+    """spike_<k> for each k: above mean + k sample deviations of the key's whole series; without keys, of all rows."""
     stats = df.groupBy(*keys).agg(F.avg(c).alias("_m"), F.stddev_samp(c).alias("_s"))
     flags = {f"spike_{str(k).replace('.', '_')}": F.col(c) > F.col("_m") + k * F.col("_s") for k in ks}
-    return df.join(stats, list(keys)).withColumns(flags).drop("_m", "_s")
+    joined = df.join(stats, list(keys)) if keys else df.crossJoin(F.broadcast(stats))  # one row
+    return joined.withColumns(flags).drop("_m", "_s")
 
 
 def causal_spike_flag(c: str, k: float, keys: Sequence[str], order: str) -> Column:
@@ -115,11 +118,13 @@ def zscore_mask(df: DataFrame, columns: Sequence[str], z: float, keys: Sequence[
     return df.join(stats, list(keys)).withColumn("outlier", any_of).drop(*[f"_{p}_{c}" for c in columns for p in "ms"])
 
 
-def winsorize(df: DataFrame, c: str, p: float, keys: Sequence[str], tie: str) -> DataFrame:
-    """``c`` clamped to its order statistics with int(p * n) values cut off at each end."""
-    w = W.partitionBy(*keys).orderBy(c, tie)
-    ranked = df.select(*keys, c, F.row_number().over(w).alias("_r"), F.count(c).over(W.partitionBy(*keys)).alias("_n")).withColumn("_k", F.floor(F.col("_n") * p))
-    ends = ranked.groupBy(*keys).agg(F.min(F.when(F.col("_r") > F.col("_k"), F.col(c))).alias("_lo"), F.max(F.when(F.col("_r") <= F.col("_n") - F.col("_k"), F.col(c))).alias("_hi"))
+def winsorize(df: DataFrame, c: str, p: float, keys: Sequence[str], tie: str | None = None, least: int = LEAST) -> DataFrame:
+    """``c`` clamped to its order statistics with int(p * n) values cut off at each end; they are found from counts of values,
+    so ``tie`` decides nothing."""
+    counts = value_counts(df, keys, c, least)
+    n = counts.groupBy(*keys).agg(F.sum("_k").alias("_n"))
+    cuts = F.floor(F.col("_n") * p)
+    ends = counts.join(n, list(keys)).groupBy(*keys).agg(F.min(F.when(F.col("_below") + F.col("_k") > cuts, F.col(c))).alias("_lo"), F.max(F.when(F.col("_below") < F.col("_n") - cuts, F.col(c))).alias("_hi"))
     return df.join(ends, list(keys)).withColumn(c, F.least(F.greatest(c, "_lo"), "_hi")).drop("_lo", "_hi")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.dist import chi2_pvalue, f_pvalue, t_pvalue, t_two_sided
+from tidemark.operators.ranges import LEAST, average_ranks, running, split_long
 from tidemark.operators.series import corr
 from tidemark.scratch import materialize
 
@@ -41,30 +42,36 @@ def average_rank(c: str, keys: Sequence[str]) -> Column:
     return first + (F.count(F.lit(1)).over(W.partitionBy(*keys, c)) - 1) / 2
 
 
-def spearman_cells(long: DataFrame, keys: Sequence[str], least: int = 30) -> DataFrame:
-    ranked = complete(long).select(*keys, average_rank("x", keys).alias("x"), average_rank("y", keys).alias("y"))
+def spearman_cells(long: DataFrame, keys: Sequence[str], least: int = 30, most: int = LEAST) -> DataFrame:
+    """Correlation of average ranks. Cells of more than ``most`` rows are ranked by counts of their values, cut into pieces."""
+    rest, big = split_long(complete(long).select(*keys, "x", "y"), keys, most)
+    ranked = rest.select(*keys, average_rank("x", keys).alias("x"), average_rank("y", keys).alias("y"))
+    if big is not None:
+        ranked = ranked.unionByName(average_ranks(big, keys, ["x", "y"], most))
     return pearson_cells(ranked, keys, least)
 
 
-def inversions(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
+def inversions(ranked: DataFrame, keys: Sequence[str], most: int = LEAST) -> DataFrame:
     """Pairs with x rising and the whole number _q (0 or more) falling, as _d by cell, counted bit by bit of _q: two numbers are
-    ordered by the first bit in which they differ, so each bit up to the cell's largest _q needs one running sum."""
-    top = F.length(F.bin(F.max("_q").over(W.partitionBy(*keys)))) - 1
-    level = ranked.withColumn("_top", top).withColumn("_l", F.explode(F.sequence(F.lit(0), "_top")))
-    prefix = F.expr("shiftright(_q, _l + 1)")
-    bit = F.expr("shiftright(_q, _l) & 1")
-    ones = F.coalesce(F.sum("_b").over(W.partitionBy(*keys, "_l", "_p").orderBy("_x").rangeBetween(W.unboundedPreceding, -1)), F.lit(0))
-    coded = level.withColumns({"_p": prefix, "_b": bit, "_x": F.dense_rank().over(W.partitionBy(*keys, "_l").orderBy("x"))})
-    return coded.withColumn("_o", F.when(F.col("_b") == 0, ones)).groupBy(*keys).agg(F.coalesce(F.sum("_o"), F.lit(0)).alias("_d"))
-
-
-def kendall_cells(long: DataFrame, keys: Sequence[str]) -> DataFrame:
+    ordered by the first bit in which they differ, so each bit up to the cell's largest _q needs one running sum. Rows that
+    share x and the bits are one row before it, and long sums are taken in pieces."""
+    by = [*keys, "_l", "_p"]
+    top = ranked.groupBy(*keys).agg((F.length(F.bin(F.max("_q"))) - 1).alias("_top"))
+    level = ranked.join(top, list(keys)).withColumn("_l", F.explode(F.sequence(F.lit(0), "_top")))
+    coded = level.withColumns({"_p": F.expr("shiftright(_q, _l + 1)"), "_b": F.expr("shiftright(_q, _l) & 1")})
+    cells = coded.groupBy(*by, "x").agg(F.sum("_b").alias("_ones"), F.sum(1 - F.col("_b")).alias("_zeros"))
+    summed = running(materialize(cells, "levels"), by, "x", {"_before": "_ones"}, least=most)
+    return summed.groupBy(*keys).agg(F.sum(F.col("_before") * F.col("_zeros")).alias("_d"))
+
+
+def kendall_cells(long: DataFrame, keys: Sequence[str], most: int = LEAST) -> DataFrame:
     """tau-b. Discordant pairs are inversions of y's rank in x's order; no pairs are formed."""
     d = complete(long)
     n0 = lambda k: k * (k - 1) / 2
     tie = lambda cols, name: d.groupBy(*keys, *cols).agg(F.count(F.lit(1)).alias("_k")).groupBy(*keys).agg(F.sum(n0(F.col("_k"))).alias(name))
-    ranked = d.withColumn("_q", F.dense_rank().over(W.partitionBy(*keys).orderBy("y")) - 1).select(*keys, "x", "_q")
-    inv = inversions(ranked, keys)
+    values = d.select(*keys, "y").distinct().withColumn("_one", F.lit(1))
+    ranks = materialize(running(materialize(values, "values"), keys, "y", {"_q": "_one"}, least=most).drop("_one"), "ranks")
+    inv = inversions(d.join(ranks, [*keys, "y"]).select(*keys, "x", "_q"), keys, most)
     base = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     out = base.join(tie(["x"], "_n1"), list(keys)).join(tie(["y"], "_n2"), list(keys)).join(tie(["x", "y"], "_n3"), list(keys)).join(inv, list(keys))
     pairs = n0(F.col("n"))

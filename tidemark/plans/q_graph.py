@@ -70,7 +70,7 @@ def h6_transitivity(view, table):
 
 @query(f"{_WE}, {_WD}, r AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY weighted, node) AS i FROM d) SELECT win, round(2 * sum(i * weighted) / (count(*) * sum(weighted)) - (count(*) + 1) / count(*), 6) + 0.0 AS gini FROM r GROUP BY 1")
 def h7_gini(view, table):
-    return G.gini(G.degrees(by_window(view), ["window"]), "weighted", ["window"], "node").select(F.col("window").alias("win"), r6("gini").alias("gini"))
+    return G.gini(G.degrees(by_window(view), ["window"]), "weighted", ["window"]).select(F.col("window").alias("win"), r6("gini").alias("gini"))
 
 
 @query(f"{_WE}, {_WD}, t AS (SELECT win, list(node) AS top FROM (SELECT win, node, row_number() OVER (PARTITION BY win ORDER BY degree DESC, node) AS r FROM d) WHERE r <= 10 GROUP BY 1), b AS (SELECT win, top, lag(top) OVER (ORDER BY win) AS old FROM t) SELECT win, round(len(list_intersect(top, old)) / len(list_distinct(list_concat(top, old))), 6) AS stability FROM b WHERE old IS NOT NULL")
@@ -148,6 +148,25 @@ def h17_negative_pairs(view, table):
     return G.negative_pairs(one(view))
 
 
+@query(f"{_E.format(1)} SELECT src, dst, weight AS n, round(avg_gap, 6) AS avg_gap FROM e ORDER BY weight DESC, src, dst LIMIT 20")
+def h17_top_pairs(view, table):
+    return G.top_pairs(one(view)).withColumn("avg_gap", r6("avg_gap"))
+
+
+@query("""WITH s AS (SELECT b.symbol, day FROM v_bars b JOIN (SELECT symbol, avg(volume) + 1.5 * stddev_samp(volume) AS t FROM v_bars GROUP BY 1) t ON b.symbol = t.symbol WHERE volume > t),
+d AS (SELECT DISTINCT day FROM s), n AS (SELECT event_id, m.day, min(d.day) AS spike FROM (SELECT DISTINCT event_id, day FROM v_mention) m JOIN d ON d.day > m.day AND d.day <= m.day + 3 GROUP BY 1, 2)
+SELECT entity, count(DISTINCT spike) AS spikes, count(*) AS events, round(avg(spike - day), 6) AS mean_ahead FROM (SELECT DISTINCT event_id, day, entity FROM v_mention) JOIN n USING (event_id, day) GROUP BY 1""")
+def h17_entities_before_spikes(view, table):
+    """Event, entity, spike: who is mentioned within three days before a spike of any symbol's volume."""
+    days = S.spike_flags(view("v_bars"), "volume", [1.5], ["symbol"]).where("spike_1_5").select("day").distinct()
+    return G.entities_before_spikes(view("v_mention"), days, "day", 3).withColumn("mean_ahead", r6("mean_ahead"))
+
+
+@query(f"{_E.format(3)}, t AS (SELECT max(weight) AS top FROM e), n AS (SELECT src, dst, round(weight / top, 6) AS weight FROM e, t) SELECT * FROM n UNION ALL SELECT dst, src, weight FROM n")
+def h3_static_adjacency(view, table):
+    return G.static_adjacency(one(view)).withColumn("weight", r6("weight"))
+
+
 @query("""WITH m AS (SELECT msg_id, CAST(floor(sec / 86400) AS BIGINT) AS win, category AS entity, impact FROM v_signal),
 b AS (SELECT win, entity, count(*) AS n, sum(impact) AS impact FROM m GROUP BY 1, 2), v AS (SELECT vec_id, embedding[1] AS e1, embedding[64] AS e64 FROM embeddings)
 SELECT b.win, b.entity, n, impact, round(x, 5) + 0.0 AS first, round(y, 5) + 0.0 AS last FROM b LEFT JOIN (SELECT win, entity, avg(e1) AS x, avg(e64) AS y FROM m JOIN v ON msg_id = vec_id GROUP BY 1, 2) s ON b.win = s.win AND b.entity = s.entity""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import joins as D
+from tidemark.operators import ranges as R
 from tidemark.operators import series as S
 from tidemark.plans.registry import query, r6
 
@@ -23,7 +24,8 @@ def _mean(w):
 
 @query(f"SELECT symbol, day, {', '.join(f'round({_mean(w)}, 4) AS ma{w}' for w in (6, 24, 168))}, round(close - {_mean(24)}, 4) + 0.0 AS momentum FROM v_bars")
 def f2_f3_moving_average(view, table):
-    return view("v_bars").select("symbol", "day", *[r6(S.rolling_mean("close", w, K, T), 4).alias(f"ma{w}") for w in (6, 24, 168)], r6(S.momentum("close", 24, K, T), 4).alias("momentum"))
+    means = lambda d, keys: d.select(*K, T, "_halo", *keys[1:], *[r6(S.rolling_mean("close", w, keys, T), 4).alias(f"ma{w}") for w in (6, 24, 168)], r6(S.momentum("close", 24, keys, T), 4).alias("momentum"))
+    return R.bounded(view("v_bars"), K, T, 167, 0, means)
 
 
 @query(f"SELECT symbol, day, {', '.join(f'round(close / lag(close, {k}) OVER w - 1, 6) + 0.0 AS r{k}' for k in (1, 3, 6, 12, 24))}, round(ln(close / lag(close) OVER w), 6) + 0.0 AS lr, round((high - low) / close, 6) AS range_vol FROM v_bars {_W}")
@@ -43,7 +45,11 @@ def _with_r(view):
 CASE WHEN count(r) OVER f = 24 THEN round(stddev_samp(r) OVER f, 6) END AS fwd24 FROM r
 WINDOW b AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), f AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING)""")
 def f7_f11_rolling_vol(view, table):
-    return _with_r(view).select("symbol", "day", r6(S.rolling_vol("r", 20, K, T, 365)).alias("vol20"), r6(S.forward_realized_vol("r", 24, K, T)).alias("fwd24"))
+    def vols(d, keys):
+        d = d.withColumn("r", S.log_return("close", keys, T))
+        return d.select(*K, T, "_halo", *keys[1:], r6(S.rolling_vol("r", 20, keys, T, 365)).alias("vol20"), r6(S.forward_realized_vol("r", 24, keys, T)).alias("fwd24"))
+
+    return R.bounded(view("v_bars"), K, T, 20, 24, vols)
 
 
 @query(f"""{_LR} SELECT symbol, day, {', '.join(f'round(lead(close, {h}) OVER w - close, 4) + 0.0 AS c{h}' for h in (1, 3, 6, 12, 24))},
@@ -78,7 +84,7 @@ def f14_zscore_mask(view, table):
 e AS (SELECT symbol, min(close) FILTER (WHERE r > floor(n * 0.01)) AS lo, max(close) FILTER (WHERE r <= n - floor(n * 0.01)) AS hi FROM r GROUP BY 1)
 SELECT v_bars.symbol, day, round(least(greatest(close, lo), hi), 4) AS close FROM v_bars JOIN e ON v_bars.symbol = e.symbol""")
 def f15_winsorize(view, table):
-    return S.winsorize(view("v_bars"), "close", 0.01, K, "day").select("symbol", "day", r6("close", 4).alias("close"))
+    return S.winsorize(view("v_bars"), "close", 0.01, K).select("symbol", "day", r6("close", 4).alias("close"))
 
 
 @query("""WITH m AS (SELECT symbol, quantile_cont(close, 0.5) AS c, quantile_cont(volume, 0.5) AS v FROM v_bars GROUP BY 1)
@@ -89,7 +95,7 @@ def f16_regime_flags(view, table):
 
 @query("SELECT symbol, day, CASE WHEN count(*) OVER w = 168 THEN round(corr(close, volume) OVER w, 6) + 0.0 END AS r FROM v_bars WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 167 PRECEDING AND CURRENT ROW)")
 def f17_rolling_corr(view, table):
-    return view("v_bars").select("symbol", "day", r6(S.rolling_corr("close", "volume", 168, K, T)).alias("r"))
+    return R.bounded(view("v_bars"), K, T, 167, 0, lambda d, keys: d.select(*K, T, "_halo", *keys[1:], r6(S.rolling_corr("close", "volume", 168, keys, T)).alias("r")))
 
 
 @query(f"""{_LR}, p AS (SELECT a.day, a.symbol AS a, b.symbol AS b, a.r AS x, b.r AS y FROM r a JOIN r b ON a.day = b.day AND a.symbol < b.symbol WHERE a.r IS NOT NULL AND b.r IS NOT NULL),
@@ -184,9 +190,22 @@ def d5_asof_nearest(view, table):
     return D.asof_nearest(s.select("msg_id", "asset", "sec"), right, ["asset"], "sec", "value", 1800, 86400).select("msg_id", "value")
 
 
+@query(" UNION ALL ".join(f"SELECT '{c}' AS closed, category, e AS window_end, count(*) AS n, CAST(sum(k) AS BIGINT) AS k FROM v_signal, LATERAL (SELECT unnest(range(CAST(floor(sec / 3600) AS BIGINT) - 1, CAST(floor(sec / 3600) AS BIGINT) + 27)) * 3600 AS e) WHERE {w} GROUP BY 2, 3" for c, w in (("both", "sec >= e - 86400 AND sec <= e"), ("left", "sec >= e - 86400 AND sec < e"), ("right", "sec > e - 86400 AND sec <= e"))))
+def d6_sliding_sums(view, table):
+    """Sliding windows of each category by differences: two rows an event, not one for each of 24 windows."""
+    parts = [D.sliding_sums(view("v_signal"), "sec", 86400, 3600, {"k": F.col("k")}, c, ["category"]).withColumn("closed", F.lit(c)) for c in ("both", "left", "right")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT day, volume > (SELECT avg(volume) + 1.5 * stddev_samp(volume) FROM v_bars) AS spike_1_5, symbol FROM v_bars")
+def f13_market_spikes(view, table):
+    """Against the mean and deviation of all symbols together."""
+    return S.spike_flags(view("v_bars"), "volume", [1.5], []).select("symbol", "day", "spike_1_5")
+
+
 @query(" UNION ALL ".join(f"SELECT '{c}' AS closed, e AS window_end, count(*) AS n FROM v_signal, LATERAL (SELECT unnest(range(CAST(floor(sec / 3600) AS BIGINT) - 1, CAST(floor(sec / 3600) AS BIGINT) + 27)) * 3600 AS e) WHERE {w} GROUP BY 2" for c, w in (("both", "sec >= e - 86400 AND sec <= e"), ("left", "sec >= e - 86400 AND sec < e"), ("right", "sec > e - 86400 AND sec <= e"))))
 def d6_sliding_assign(view, table):
-    parts = [D.sliding_assign(view("v_signal"), "sec", 86400, 3600, c).groupBy("window_end").agg(F.count(F.lit(1)).alias("n")).withColumn("closed", F.lit(c)) for c in ("both", "left", "right")]
+    parts = [D.sliding_sums(view("v_signal"), "sec", 86400, 3600, {}, c).withColumn("closed", F.lit(c)) for c in ("both", "left", "right")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
