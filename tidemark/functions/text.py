@@ -108,6 +108,17 @@ def effect_label(r: Column | str) -> Column:
     return F.when(a >= 0.5, "large").when(a >= 0.3, "medium").when(a >= 0.1, "small").otherwise("negligible")
 
 
+def strength_label(r: Column | str) -> Column:
+    """Interpretation of a correlation: Strong above 0.5, Moderate above 0.3, else Weak."""
+    a = F.abs(_c(r))
+    return F.when(a > 0.5, "Strong").when(a > 0.3, "Moderate").otherwise("Weak")
+
+
+def significant(p: Column | str, level: float = 0.05) -> Column:
+    """Whether a p value is below ``level``; a missing one is not."""
+    return F.coalesce(_c(p) < level, F.lit(False))
+
+
 def drop_incomplete(df: DataFrame, columns: Sequence[str], how: str = "any") -> DataFrame:
     """Drop rows where any (or all) of the columns is null, NaN or infinite."""
     def bad(c):

@@ -83,35 +83,61 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def entity_stats(mentions: DataFrame) -> DataFrame:
-    return mentions.groupBy("entity").agg(
+    """Mentions, means, least type, ticker (the most frequent, of ties the least; only if there is such a column), categories."""
+    stats = mentions.groupBy("entity").agg(
         F.count(F.lit(1)).alias("mentions"), F.avg("impact").alias("avg_impact"), F.avg("sentiment").alias("avg_sentiment"),
         F.min("type").alias("type"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"),
     )
+    if "ticker" not in mentions.columns:
+        return stats
+    counts = mentions.where("ticker IS NOT NULL AND ticker <> ''").groupBy("entity", "ticker").agg(F.count(F.lit(1)).alias("_k"))
+    first = counts.groupBy("entity").agg(F.min_by("ticker", F.struct((-F.col("_k")).alias("k"), "ticker")).alias("ticker"))
+    return stats.join(first, "entity", "left")
 
 
 def channel_stats(df: DataFrame) -> DataFrame:
     return df.groupBy("channel").agg(F.count(F.lit(1)).alias("messages"), F.avg("views").alias("avg_views"))
 
 
-def daily_discourse(mentions: DataFrame, events: DataFrame, categories: Sequence[str]) -> DataFrame:
-    """Daily features at two grains: of mentions and of events, joined by day."""
+def daily_discourse(mentions: DataFrame, events: DataFrame, categories: Sequence[str], types: Sequence[str] = ()) -> DataFrame:
+    """Daily features at two grains: of mentions and of events, joined by day. Counts by type are given for ``types``, sum and mean
+    of views if events have them (each event counted once)."""
     s, i = F.col("sentiment"), F.col("impact")
     m = mentions.groupBy("day").agg(
         F.count_distinct("entity").alias("entities"), F.count(F.lit(1)).alias("mentions"), F.avg(s).alias("sentiment_mean"), F.coalesce(F.stddev_samp(s), F.lit(0.0)).alias("sentiment_std"),
         (F.count_if(s > 0) / F.count(F.lit(1))).alias("positive_ratio"), (F.count_if(s < 0) / F.count(F.lit(1))).alias("negative_ratio"),
         F.avg(i).alias("impact_mean"), F.sum(i).alias("impact_sum"), (F.count_if(i >= 8) / F.count(F.lit(1))).alias("high_impact_ratio"),
-        *[F.count_if(F.col("category") == c).alias(f"n_{c}") for c in categories],
+        *[F.count_if(F.col("category") == c).alias(f"n_{c}") for c in categories], *[F.count_if(F.col("type") == c).alias(f"n_type_{c}") for c in types],
     )
-    e = events.groupBy("day").agg(F.count_distinct("event_id").alias("events"))
+    if "views" not in events.columns:
+        return m.join(events.groupBy("day").agg(F.count_distinct("event_id").alias("events")), "day")
+    one = events.groupBy("day", "event_id").agg(F.max("views").alias("_v"))
+    e = one.groupBy("day").agg(F.count(F.lit(1)).alias("events"), F.coalesce(F.sum("_v"), F.lit(0)).alias("views_sum"), F.avg("_v").alias("views_mean"))
     return m.join(e, "day")
 
 
+def distinct_sketches(df: DataFrame, keys: Sequence[str], columns: Sequence[str], lg_k: int = 12) -> DataFrame:
+    """(keys, sketch_<column>): HyperLogLog sketches that can be put together; exact for few values, then off by about
+    1 / 2^(lg_k / 2) (1.6 % at 12), whatever the number of rows. A cell is lg_k-sized however many values it has seen."""
+    return df.groupBy(*keys).agg(*[F.hll_sketch_agg(F.col(c).cast("string"), lg_k).alias(f"sketch_{c}") for c in columns])
+
+
+def roll_up_distinct(sketches: DataFrame, window: Column, keys: Sequence[str] = (), name: str = "window") -> DataFrame:
+    """(keys, window, <column>): estimated distinct values of each window from the sketches of its cells, without the rows."""
+    columns = [c for c in sketches.columns if c.startswith("sketch_")]
+    found = sketches.withColumn(name, window).groupBy(*keys, name)
+    return found.agg(*[F.hll_sketch_estimate(F.hll_union_agg(c, F.lit(True))).alias(c.removeprefix("sketch_")) for c in columns])
+
+
 def annotator_summary(long: DataFrame) -> DataFrame:
-    """By model: success rate, impact mean and spread, entity and conflict rate, polarity counts."""
+    """By model: success rate, impact mean and spread, entity and conflict rate, polarity counts; where there is a column of the
+    types found, the share of successful rows that have any."""
+    typed = F.col("ok") & (F.coalesce(F.trim("types"), F.lit("")) != "") if "types" in long.columns else None
+    rate = [] if typed is None else [F.coalesce(F.count_if(typed) / F.nullif(F.count_if("ok"), F.lit(0)), F.lit(0.0)).alias("type_rate")]
     return long.groupBy("model").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col("ok").cast("double")).alias("success_rate"), F.avg("impact").alias("impact_mean"), F.stddev_samp("impact").alias("impact_std"),
         F.avg((F.col("entities") > 0).cast("double")).alias("entity_rate"), F.count_if(F.col("sentiment") > 0).alias("positive"), F.count_if(F.col("sentiment") < 0).alias("negative"),
-        F.avg(F.col("conflict").cast("double")).alias("conflict_rate"),
+        F.avg(F.col("conflict").cast("double")).alias("conflict_rate"), *rate,
     )
 
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.scratch import materialize
 
+#: Aliases that may go to every task: some tens of megabytes as an automaton.
+MOST_ALIASES = 200_000
+
 
 def dedup_keep(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: str = "first") -> DataFrame:
     """One row for each key, the first or last in ``order``, which should name a unique column last."""
@@ -17,18 +21,52 @@ def dedup_keep(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: s
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*by))).where("_n = 1").drop("_n")
 
 
+def alias_hits(df: DataFrame, name: str, aliases: Sequence[tuple[int, str]], whole_word: bool = False, out: str = "hits") -> DataFrame:
+    """``df`` with the distinct numbers of the aliases within the lower-cased ``name`` (as whole words if asked), as an array.
+
+    All aliases are one Aho-Corasick automaton, built once a task, so a name costs one pass over its characters however
+    many aliases there are. ``aliases`` go to every task and are held to ``MOST_ALIASES``. An empty alias is in every name.
+    """
+    import ahocorasick
+
+    if len(aliases) > MOST_ALIASES:
+        raise ValueError(f"{len(aliases)} aliases; at most {MOST_ALIASES} go to every task")
+    pad = " " if whole_word else ""
+    always = sorted({k for k, a in aliases if not pad + a + pad})
+    numbers: dict[str, set[int]] = {}
+    for k, a in aliases:
+        if pad + a + pad:
+            numbers.setdefault(pad + a + pad, set()).add(k)
+
+    @F.pandas_udf("array<int>")
+    def hits(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()
+        for word, of in numbers.items():
+            automaton.add_word(word, tuple(sorted(of)))
+        if numbers:
+            automaton.make_automaton()
+        for batch in names:
+            yield pd.Series([sorted({*always, *(k for _, of in (automaton.iter(pad + text + pad) if numbers else ()) for k in of)}) for text in batch])
+
+    return df.withColumn(out, hits(F.lower(F.coalesce(F.col(name), F.lit("")))))
+
+
 def select_asset_target(df: DataFrame, assets: DataFrame, key: str = "msg_id", whole_word: bool = False) -> DataFrame:
     """The target of greatest impact (missing: 0; first of equals) of each message for each asset it names.
 
     ``assets``: asset, tickers, aliases (arrays); a target fits by upper-cased ticker or by an alias within its
-    lower-cased name (as a whole word if asked).
+    lower-cased name (as a whole word if asked). Tickers are joined by equality; aliases are found by ``alias_hits``.
     """
-    t = df.select(key, F.posexplode("targets").alias("pos", "t"))
-    name = F.lower(F.coalesce("t.name", F.lit("")))
-    fits = lambda a: F.concat(F.lit(" "), name, F.lit(" ")).contains(F.concat(F.lit(" "), a, F.lit(" "))) if whole_word else name.contains(a)
-    hit = F.array_contains("tickers", F.upper(F.coalesce("t.ticker", F.lit("")))) | F.exists("aliases", fits)
-    w = W.partitionBy("asset", key).orderBy(F.coalesce("t.impact", F.lit(0)).desc(), "pos")
-    picked = t.crossJoin(F.broadcast(assets)).where(hit).withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    listed = assets.select("asset", "tickers", "aliases").limit(MOST_ALIASES + 1).collect()  # configuration; alias_hits checks its size
+    words = [(i, a) for i, r in enumerate(listed) for a in (r["aliases"] or []) if a is not None]
+    t = df.select(key, F.posexplode("targets").alias("pos", "t")).select(key, "pos", "t.name", F.upper(F.coalesce("t.ticker", F.lit(""))).alias("_ticker"), F.struct("t.sentiment", "t.impact", "t.category").alias("t"))
+    names = F.lit([r["asset"] for r in listed]).cast("array<string>")
+    tickers = assets.select("asset", F.explode("tickers").alias("_ticker")).distinct().groupBy("_ticker").agg(F.collect_list("asset").alias("_by_ticker"))
+    hits = alias_hits(t, "name", words, whole_word).join(tickers, "_ticker", "left")
+    own = F.array_distinct(F.concat(F.transform("hits", lambda i: F.get(names, i)), F.coalesce("_by_ticker", F.array().cast("array<string>"))))
+    each = hits.select(key, "pos", "t", F.explode(own).alias("asset"))
+    first = F.max_by(F.struct("pos", "t"), F.struct(F.coalesce("t.impact", F.lit(0)).alias("i"), (-F.col("pos")).alias("p")))
+    picked = each.groupBy("asset", key).agg(first.alias("_b")).select("asset", key, "_b.pos", "_b.t")
     return picked.select("asset", key, "pos", F.coalesce("t.sentiment", F.lit(0)).alias("sentiment"), F.coalesce(F.nullif("t.impact", F.lit(0)), F.lit(1)).alias("impact"), F.coalesce("t.category", F.lit("UNKNOWN")).alias("category"))
 
 
@@ -38,17 +76,6 @@ def anti_unprocessed(df: DataFrame, done: DataFrame, key: str = "text") -> DataF
     return df.join(side, (F.xxhash64(df[key]) == F.col("_h")) & (df[key] == F.col("_k")), "left_anti")
 
 
-def with_position(df: DataFrame, order: str, buckets: int = 64) -> DataFrame:
-    """Add _pos, the global place in ``order`` from 0, in two steps: rank within hashed-free ranges, plus their offsets."""
-    cuts = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 100 * buckets)).first()[0] or []
-    edges = F.lit(sorted(set(cuts))).cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
-    cut = df.withColumn("_b", F.size(F.filter(edges, lambda e: e < F.col(order))))
-    sizes = cut.groupBy("_b").agg(F.count(F.lit(1)).alias("_k"))
-    first = sizes.select("_b", F.coalesce(F.sum("_k").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
-    ranked = cut.withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy(order)) - 1)
-    return ranked.join(F.broadcast(first), "_b").withColumn("_pos", F.col("_first") + F.col("_r")).drop("_b", "_r", "_first")
-
-
 def with_place(df: DataFrame, column: str, *order: Column) -> DataFrame:
     """Add ``column``, the global place in any order from 0: rows are range-partitioned and written, ranked within their
     range, and moved on by the sizes of the ranges before."""
@@ -63,7 +90,7 @@ def assign_batches(df: DataFrame, n: int, order: str) -> DataFrame:
     """batch 0 to n - 1 of contiguous rows, total // n each; the last takes the remainder."""
     total = df.count()
     size = max(1, total // n)
-    return with_position(df, order).withColumn("batch", F.least(F.floor(F.col("_pos") / size), F.lit(n - 1)).cast("int")).drop("_pos")
+    return with_place(df, "_pos", F.col(order)).withColumn("batch", F.least(F.floor(F.col("_pos") / size), F.lit(n - 1)).cast("int")).drop("_pos")
 
 
 def union_results(*parts: DataFrame) -> DataFrame:

@@ -44,6 +44,33 @@ def pairs_of(names: Column | str) -> Column:
     return F.flatten(F.transform(c, lambda a: F.transform(F.filter(c, lambda b: b > a), lambda b: F.struct(a.alias("src"), b.alias("dst")))))
 
 
+@F.udtf(returnType="src string, dst string")
+class EntityPairs:
+    """Table function of SQL: the pairs of entities of each event, src < dst.
+
+    ``SELECT * FROM entity_pairs(TABLE(mentions) PARTITION BY event_id)``; the table's last column is the entity, the
+    partition its event. A call holds the distinct entities of one event, which are few.
+    """
+
+    def __init__(self):
+        self.names: set[str] = set()
+
+    def eval(self, row):
+        if (name := row[len(row) - 1]) is not None:
+            self.names.add(name)
+
+    def terminate(self):
+        names = sorted(self.names)
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                yield a, b
+
+
+def register_table_functions(spark) -> None:
+    """``entity_pairs`` for SQL users."""
+    spark.udtf.register("entity_pairs", EntityPairs)
+
+
 def cooccurrence(m: DataFrame, least: int = 3, event: str = "event_id") -> DataFrame:
     edges = event_pairs(m, event).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"), F.avg("gap").alias("avg_gap"))
     return edges.where(F.col("weight") >= least)

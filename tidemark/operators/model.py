@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import trees as T
-from tidemark.operators.stats import gram, unpack
+from tidemark.operators.stats import fdr_bh, gram, unpack
 from tidemark.scratch import materialize
 
 
@@ -284,6 +284,13 @@ def univariate_fit(df: DataFrame, features: Sequence[str], y: str, alpha: float,
     return w.withColumn("slope", b).select(*keys, "feature", "slope", r2("train").alias("train_r2"), r2("test").alias("test_r2"))
 
 
+def ranked_features(cells: DataFrame, key: str = "target", level: float = 0.05) -> DataFrame:
+    """Screened features of each target by |r|: key, feature, n, r, p, q (Benjamini-Hochberg within the target), significant
+    (q at most ``level``) and rank."""
+    scored = fdr_bh(cells, [key], "p", ["feature"]).withColumn("significant", F.col("q") <= level)
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc(F.abs("r")), "feature")))
+
+
 def feature_sets(ranked: DataFrame, sizes: Sequence[int], key: str = "target") -> DataFrame:
     """Top features of each target by |r|: key, size, features (in order)."""
     r = F.row_number().over(W.partitionBy(key).orderBy(F.desc(F.abs("r")), "feature"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranges import LEAST, value_counts
+from tidemark.operators.ranges import LEAST, running, value_counts
 
 
 def _w(keys: Sequence[str], order: str):
@@ -204,6 +204,31 @@ def complete_grid(df: DataFrame, keys: Sequence[str], order: str, step: int = 1)
     return grid.join(df.withColumn("observed", F.lit(True)), [*keys, order], "left").withColumn("observed", F.coalesce("observed", F.lit(False)))
 
 
+def coverage_intervals(collected: DataFrame, keys: Sequence[str], time: str, gap: int) -> DataFrame:
+    """(keys, first, last): runs of collection times at most ``gap`` apart; repeated times count once."""
+    times = collected.select(*keys, time).distinct()
+    w = _w(keys, time)
+    run = times.withColumn("_new", F.coalesce((F.col(time) - F.lag(time).over(w) > gap).cast("int"), F.lit(1)))
+    run = run.withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return run.groupBy(*keys, "_run").agg(F.min(time).alias("first"), F.max(time).alias("last")).drop("_run")
+
+
+def hour_states(grid: DataFrame, intervals: DataFrame, keys: Sequence[str], hour: str, step: int = 3600) -> DataFrame:
+    """``grid`` (with ``observed``) and state: observed, empty (no rows, though a source was collected in that hour) or
+    uncovered (nothing was collected, so that it is not known whether there was anything).
+
+    Intervals are cut to hours by differences: +1 at the first hour, -1 after the last one, and a running sum over the hours
+    at which something changes, so overlapping intervals of many sources cost two rows each.
+    """
+    at = lambda c: F.floor(F.col(c) / step).cast("long")
+    change = lambda c, v: F.struct(c.alias(hour), F.lit(v).alias("_d"))
+    moves = intervals.select(*keys, F.inline(F.array(change(at("first"), 1), change(at("last") + 1, -1)))).groupBy(*keys, hour).agg(F.sum("_d").alias("_d"))
+    held = running(grid.join(moves, [*keys, hour], "full_outer").withColumn("_d", F.coalesce("_d", F.lit(0))), keys, hour, {"_before": "_d"})
+    covered = F.col("_before") + F.col("_d") > 0
+    state = F.when(F.col("observed"), "observed").when(covered, "empty").otherwise("uncovered")
+    return held.where("observed IS NOT NULL").withColumn("state", state).drop("_before", "_d")
+
+
 def future_realized_variance(r: str, horizon: int, keys: Sequence[str], order: str) -> Column:
     """Sum of squared returns over the next ``horizon`` steps, null unless all of them are there."""
     over = _w(keys, order).rangeBetween(1, horizon)

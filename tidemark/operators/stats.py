@@ -79,6 +79,35 @@ def kendall_cells(long: DataFrame, keys: Sequence[str], most: int = LEAST) -> Da
     return out.select(*keys, "n", ((concordant - F.col("_d")) / F.sqrt((pairs - F.col("_n1")) * (pairs - F.col("_n2")))).alias("tau"))
 
 
+def without_each_source(long: DataFrame, keys: Sequence[str], source: str) -> DataFrame:
+    """(keys, source, share, dominant, n, r, slope): x and y of each cell without one of its sources, for every source at once.
+
+    Moments are summed by cell and source in one pass; those of the others are the cell's less the source's, by the rule
+    that puts two groups' moments together, so leaving each source out costs no further pass. r and slope are null where
+    nothing varies without the source; ``dominant`` marks the source of most rows (of ties the least).
+    """
+    d = complete(long)
+    parts = materialize(d.groupBy(*keys, source).agg(
+        F.count(F.lit(1)).alias("_n"), F.avg("x").alias("_mx"), F.avg("y").alias("_my"), (F.var_pop("x") * F.count(F.lit(1))).alias("_xx"), (F.var_pop("y") * F.count(F.lit(1))).alias("_yy"), (F.covar_pop("x", "y") * F.count(F.lit(1))).alias("_xy")
+    ), "moments")
+    n = F.sum("_n")
+    means = parts.groupBy(*keys).agg(n.alias("N"), *[(F.sum(F.col("_n") * F.col(f"_m{c}")) / n).alias(f"M{c.upper()}") for c in "xy"])
+    off = lambda c: F.col(f"_m{c}") - F.col(f"M{c.upper()}")
+    sums = [F.sum(F.col(f"_{a}{b}") + F.col("_n") * off(a) * off(b)).alias(f"{a}{b}".upper()) for a, b in ("xx", "yy", "xy")]
+    whole = parts.join(means, list(keys)).groupBy(*keys, "N", "MX", "MY").agg(*sums, F.max("_n").alias("_most"))
+    least = parts.join(whole.select(*keys, "_most"), list(keys)).where("_n = _most").groupBy(*keys).agg(F.min(source).alias("_top"))
+    both = parts.join(whole, list(keys)).join(least, list(keys))
+    rest = F.col("N") - F.col("_n")
+    away = lambda c: off(c) * F.col("N") / F.nullif(rest, F.lit(0))
+    left = {f"_r{a}{b}": F.col(f"{a}{b}".upper()) - F.col(f"_{a}{b}") - away(a) * away(b) * F.col("_n") * rest / F.col("N") for a, b in ("xx", "yy", "xy")}
+    noise = lambda c: F.col(f"_r{c}") > 1e-12 * F.col(c.upper())
+    both = both.withColumns(left).withColumns({"_okx": noise("xx"), "_oky": noise("yy")})
+    return both.select(
+        *keys, source, (F.col("_n") / F.col("N")).alias("share"), (F.col(source) == F.col("_top")).alias("dominant"), rest.alias("n"),
+        F.when(F.col("_okx") & F.col("_oky"), F.col("_rxy") / F.sqrt(F.col("_rxx") * F.col("_ryy"))).alias("r"), F.when(F.col("_okx"), F.col("_rxy") / F.col("_rxx")).alias("slope"),
+    )
+
+
 def ols_cells(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     return complete(long).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2")

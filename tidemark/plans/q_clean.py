@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import annotations as A
 from tidemark.functions import text as T
 from tidemark.operators import dedup as C
+from tidemark.operators import stats as I
 from tidemark.plans.registry import query, r6
 from tidemark.sources import io
 
@@ -98,6 +99,11 @@ def b15_b16_log_and_effect(view, table):
     return view("v_signal").withColumns(T.log_features(["value"])).select("msg_id", r6("log_value").alias("log_value"), r6("log1p_value").alias("log1p_value"), T.effect_label(F.col("sentiment") * F.col("k") / 100).alias("label"))
 
 
+@query("SELECT msg_id, CASE WHEN abs(sentiment * k / 100) > 0.5 THEN 'Strong' WHEN abs(sentiment * k / 100) > 0.3 THEN 'Moderate' ELSE 'Weak' END AS strength, k IS NOT NULL AND k / 1000.0 < 0.05 AS significant FROM v_signal")
+def b16_strength_and_significance(view, table):
+    return view("v_signal").select("msg_id", T.strength_label(F.col("sentiment") * F.col("k") / 100).alias("strength"), T.significant(F.col("k") / 1000.0).alias("significant"))
+
+
 @query("SELECT msg_id AS m_msg_id, k AS m_k FROM v_signal WHERE k % 10 NOT IN (0, 1)")
 def b17_b18_drop_incomplete(view, table):
     x = F.when(F.col("k") % 10 == 0, F.lit(None)).when(F.col("k") % 10 == 1, F.lit(float("inf"))).otherwise(F.col("value"))
@@ -129,6 +135,15 @@ def c2_select_asset_target(view, table):
     return C.select_asset_target(msgs, assets).select("asset", "msg_id", "impact", F.lit(True).alias("found"))
 
 
+@query("""WITH a AS (SELECT range AS id, lower('e' || (range % 60) || CASE WHEN range % 2 = 0 THEN '' ELSE '.' || range END) AS alias FROM range(2000))
+SELECT entity, count(DISTINCT id) AS hits FROM (SELECT DISTINCT entity FROM v_mention) m JOIN a ON contains(lower(entity), alias) GROUP BY 1""")
+def c2_many_aliases(view, table):
+    """2,000 aliases looked up in one pass over each name."""
+    aliases = [(i, f"e{i % 60}" + ("" if i % 2 == 0 else f".{i}")) for i in range(2000)]
+    names = view("v_mention").select("entity").distinct()
+    return C.alias_hits(names, "entity", aliases).where(F.size("hits") > 0).select("entity", F.size("hits").cast("bigint").alias("hits"))
+
+
 @query("SELECT msg_id FROM v_message WHERE text NOT IN (SELECT text FROM v_message WHERE msg_id % 3 = 0)")
 def c3_anti_unprocessed(view, table):
     m = view("v_message")
@@ -209,3 +224,13 @@ def m9_normalize_category(view, table):
 @query("SELECT channel AS source, count(*) AS n, round(count(*) / (SELECT count(*) FROM v_signal), 6) AS share FROM v_signal GROUP BY 1")
 def m10_source_concentration(view, table):
     return C.concentration(view("v_signal"), "channel").withColumn("share", r6("share"))
+
+
+@query("""WITH s AS (SELECT DISTINCT asset, channel FROM v_signal), c AS (SELECT asset, channel, count(*) AS n FROM v_signal GROUP BY 1, 2),
+d AS (SELECT asset, channel, row_number() OVER (PARTITION BY asset ORDER BY n DESC, channel) = 1 AS dominant, n / sum(n) OVER (PARTITION BY asset) AS share FROM c)
+SELECT s.asset, s.channel, round(any_value(share), 6) AS share, any_value(dominant) AS dominant, count(*) AS n, round(corr(k, value), 6) + 0.0 AS r, round(regr_slope(value, k), 6) + 0.0 AS slope
+FROM s JOIN v_signal v ON v.asset = s.asset AND v.channel <> s.channel JOIN d ON d.asset = s.asset AND d.channel = s.channel GROUP BY 1, 2""")
+def m10_without_each_source(view, table):
+    """Correlation and slope of each asset without each of its channels, the dominant one marked."""
+    long = view("v_signal").select("asset", "channel", F.col("k").cast("double").alias("x"), F.col("value").alias("y"))
+    return I.without_each_source(long, ["asset"], "channel").withColumns({c: r6(c) for c in ("share", "r", "slope")})

@@ -96,6 +96,41 @@ def e10_entity_stats(view, table):
     return B.entity_stats(view("v_mention")).withColumns({c: r6(c) for c in ("avg_impact", "avg_sentiment")})
 
 
+@query("""WITH c AS (SELECT entity, 'T' || (l_partkey % 7) AS ticker, count(*) AS n FROM v_mention WHERE l_partkey % 7 > 1 GROUP BY 1, 2), t AS (SELECT entity, ticker FROM c QUALIFY row_number() OVER (PARTITION BY entity ORDER BY n DESC, ticker) = 1)
+SELECT v.entity, count(*) AS mentions, any_value(t.ticker) AS ticker FROM v_mention v LEFT JOIN t ON v.entity = t.entity GROUP BY 1""")
+def e10_entity_tickers(view, table):
+    """Most frequent ticker of each entity; some mentions have none."""
+    ticker = F.when(F.col("l_partkey") % 7 > 1, F.concat(F.lit("T"), F.col("l_partkey") % 7)).when(F.col("l_partkey") % 7 == 1, "")
+    return B.entity_stats(view("v_mention").withColumn("ticker", ticker)).select("entity", "mentions", "ticker")
+
+
+@query("""WITH m AS (SELECT day, count(*) FILTER (WHERE type = 'F') AS n_type_F, count(*) FILTER (WHERE type = 'O') AS n_type_O FROM v_mention GROUP BY 1),
+e AS (SELECT CAST(floor(epoch(o_orderdate) / 86400) AS BIGINT) AS day, count(*) AS events, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS views_sum, round(avg(CAST(floor(o_totalprice) AS BIGINT)), 4) AS views_mean FROM orders GROUP BY 1)
+SELECT m.*, events, views_sum, views_mean FROM m JOIN e ON m.day = e.day""")
+def e12_views_and_types(view, table):
+    """Counts by type of entity, and views of the day's events."""
+    day = F.expr("CAST(floor(timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', o_orderdate) / 86400) AS BIGINT)").alias("day")
+    events = table("orders").select(F.col("o_orderkey").alias("event_id"), day, F.floor("o_totalprice").cast("bigint").alias("views"))
+    out = B.daily_discourse(view("v_mention"), events, [], ["F", "O"])
+    return out.select("day", "n_type_F", "n_type_O", "events", "views_sum", r6("views_mean", 4).alias("views_mean"))
+
+
+@query("SELECT CAST(floor(day / 30) AS BIGINT) AS month, count(DISTINCT entity) AS entity, count(DISTINCT category) AS category FROM v_mention GROUP BY 1")
+def e12_distinct_roll_up(view, table):
+    """Distinct entities of 30-day windows from daily sketches; few values are counted exactly."""
+    daily = B.distinct_sketches(view("v_mention"), ["day"], ["entity", "category"])
+    return B.roll_up_distinct(daily, F.floor(F.col("day") / 30), name="month")
+
+
+@query("""WITH a AS (SELECT role AS model, length(text) > 40 AS ok, length(text) % 3 > 0 AS typed FROM conversations)
+SELECT model, count(*) AS n, round(count(*) FILTER (WHERE ok AND typed) / count(*) FILTER (WHERE ok), 6) AS type_rate FROM a GROUP BY 1""")
+def e13_type_rate(view, table):
+    """Share of valid annotations that name a type."""
+    n = F.length("text")
+    long = table("conversations").select(F.col("role").alias("model"), (n > 40).alias("ok"), F.lit(1.0).alias("impact"), F.lit(1).alias("entities"), F.lit(0).alias("sentiment"), F.lit(False).alias("conflict"), F.when(n % 3 == 1, "TOKEN").when(n % 3 == 2, "TOKEN|CEX").otherwise("").alias("types"))
+    return B.annotator_summary(long).select("model", "n", r6("type_rate").alias("type_rate"))
+
+
 @query("SELECT channel, count(*) AS messages, round(avg(views), 6) AS avg_views FROM v_message GROUP BY 1")
 def e11_channel_stats(view, table):
     return B.channel_stats(view("v_message")).withColumn("avg_views", r6("avg_views"))

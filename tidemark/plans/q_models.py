@@ -161,6 +161,21 @@ def j12_feature_sets(view, table):
     return M.feature_sets(I.pearson_cells(long, ["target", "feature"]), [2, 3])
 
 
+@query("WITH c AS (" + " UNION ALL ".join(f"SELECT symbol AS target, '{f}' AS feature, count(*) AS n, corr({f}, close) AS r FROM v_bars GROUP BY 1" for f in _FEATS) + """)
+SELECT target, feature, n, round(r, 6) + 0.0 AS r, row_number() OVER (PARTITION BY target ORDER BY abs(r) DESC, feature) AS rank FROM c""")
+def j12_ranked_features(view, table):
+    """Features by |r|; the significance by false discovery rate is tested against its definition."""
+    long = view("v_bars").select(F.col("symbol").alias("target"), F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x"), F.col("close").alias("y")) for f in _FEATS])))
+    return M.ranked_features(I.pearson_cells(long, ["target", "feature"])).select("target", "feature", "n", r6("r").alias("r"), "rank")
+
+
+@query(None)
+def j12_significant_features(view, table):
+    """The same with p, q and the flag."""
+    long = view("v_bars").select(F.col("symbol").alias("target"), F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x"), F.col("close").alias("y")) for f in _FEATS])))
+    return M.ranked_features(I.pearson_cells(long, ["target", "feature"])).select("target", "feature", r6("p").alias("p"), r6("q").alias("q"), "significant")
+
+
 @query(None)
 def j13_top_coefficients(view, table):
     fit = M.regressor("forest", "y").trees(features(view), ["own", "x", "c", "ma5"], K)

@@ -144,6 +144,18 @@ def m3_complete_grid(view, table):
     return S.complete_grid(view("v_bars_hourly"), K, "hr").select("symbol", "hr", "observed", r6("close", 4).alias("close"))
 
 
+@query("""WITH t AS (SELECT DISTINCT asset, channel, sec FROM v_signal), b AS (SELECT *, CASE WHEN sec - lag(sec) OVER w <= 21600 THEN 0 ELSE 1 END AS b FROM t WINDOW w AS (PARTITION BY asset, channel ORDER BY sec)),
+r AS (SELECT *, sum(b) OVER (PARTITION BY asset, channel ORDER BY sec ROWS UNBOUNDED PRECEDING) AS run FROM b), i AS (SELECT asset, min(sec) AS first, max(sec) AS last FROM r GROUP BY asset, channel, run),
+g AS (SELECT symbol, unnest(range(min(hr), max(hr) + 1)) AS hr FROM v_bars_hourly GROUP BY symbol)
+SELECT g.symbol, g.hr, CASE WHEN b.hr IS NOT NULL THEN 'observed' WHEN EXISTS (SELECT 1 FROM i WHERE i.asset = g.symbol AND floor(first / 3600) <= g.hr AND floor(last / 3600) >= g.hr) THEN 'empty' ELSE 'uncovered' END AS state
+FROM g LEFT JOIN v_bars_hourly b ON g.symbol = b.symbol AND g.hr = b.hr""")
+def m3_hour_states(view, table):
+    """Every hour of each asset: observed, empty while one of its channels was being collected, or not covered at all."""
+    collected = view("v_signal").select(F.col("asset").alias("symbol"), "channel", "sec")
+    grid = S.complete_grid(view("v_bars_hourly").select("symbol", "hr"), K, "hr")
+    return S.hour_states(grid, S.coverage_intervals(collected, ["symbol", "channel"], "sec", 21600), K, "hr").select("symbol", "hr", "state")
+
+
 _HR = "WITH r AS (SELECT *, CASE WHEN hr - lag(hr) OVER w = 1 THEN ln(close / lag(close) OVER w) END AS r FROM v_bars_hourly WINDOW w AS (PARTITION BY symbol ORDER BY hr))"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import sliding_sums
 from tidemark.plans.registry import query, r6
 from tidemark.scratch import scratch_dir
 from tidemark.streaming import streams as L
@@ -24,8 +25,11 @@ def l1_stream_tumbling(view, table):
 
 @query("""WITH x AS (SELECT category, impact, unnest(range(hr + 1, hr + 25)) AS win FROM v_signal) SELECT category, win, count(*) AS n, sum(impact) AS impact FROM x GROUP BY 1, 2""")
 def l2_stream_sliding(view, table):
-    out = L.replay(signals(view, "category", "impact"), lambda s: L.sliding_counts(s, "48 hours"), close="73 hours")
-    return out.select("category", F.expr(_HR.format("end")).alias("win"), "n", "impact")
+    """Steps of an hour are counted by the stream, windows of 24 are put together from them by differences."""
+    out = L.replay(signals(view, "category", "impact"), lambda s: L.step_counts(s, "48 hours"), close="73 hours")
+    steps = out.select("category", F.expr(_HR.format("start")).alias("hr"), "rows", F.col("impact"))
+    found = sliding_sums(steps, "hr", 24, 1, {"rows": F.col("rows"), "impact": F.col("impact")}, keys=["category"], name="win")
+    return found.select("category", "win", F.col("rows").alias("n"), "impact")
 
 
 @query("SELECT count(DISTINCT (k, category)) AS n FROM v_signal")
@@ -55,7 +59,7 @@ def l5_stream_upsert(view, table):
     s = signals(view, "user_id", "sec")
     base = scratch_dir(s.sparkSession)
     L.write_in_order(s, base)
-    stream = s.sparkSession.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    stream = s.sparkSession.readStream.schema(s.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
     query = L.upsert_sink(stream, f"{base}/out", "user_id", f"{base}/state").start()
     query.awaitTermination()
     return L.read_upserts(s.sparkSession, f"{base}/out", s.schema, query.lastProgress["batchId"]).select("user_id", "sec")
@@ -73,3 +77,16 @@ def l6_late_groups(view, table):
     out = L.tumbling_sentiment(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     out.awaitTermination()
     return spark.createDataFrame([(L.dropped_late(out),)], "late bigint")
+
+
+@query("""WITH b AS (SELECT k % 6 AS b, epoch_us(ts) AS t FROM v_signal), m AS (SELECT b, max(t) AS m FROM b GROUP BY 1), w AS (SELECT b, max(m) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 259200000000 AS w FROM m)
+SELECT b.b AS batch, count(*) AS late FROM b JOIN w ON b.b = w.b WHERE t < w GROUP BY 1""")
+def l6_late_rows(view, table):
+    """Rows more than three days behind what earlier batches have shown, taken out before any aggregate. Batches are by k."""
+    s = signals(view, "asset", "k")
+    spark, base = s.sparkSession, scratch_dir(s.sparkSession)
+    for b in range(6):
+        s.where(F.col("k") % 6 == b).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    L.late_rows_sink(stream, f"{base}/out", f"{base}/state", "72 hours").start().awaitTermination()
+    return L.read_split(spark, f"{base}/out", s.schema).groupBy("batch").agg(F.count(F.lit(1)).alias("late"))

@@ -34,3 +34,13 @@ def k5_pair_rows(view, table):
     names = view("v_mention").groupBy("event_id").agg(F.array_sort(F.collect_set("entity")).alias("names"))
     pairs = names.select("event_id", F.explode(G.pairs_of("names")).alias("p"))
     return pairs.groupBy("event_id").agg(F.count("p").alias("pairs"))
+
+
+@query("WITH o AS (SELECT DISTINCT event_id, entity FROM v_mention) SELECT a.entity AS src, b.entity AS dst, count(*) AS n FROM o a JOIN o b ON a.event_id = b.event_id AND a.entity < b.entity GROUP BY 1, 2")
+def k5_pairs_table_function(view, table):
+    """Pairs of each event by a table function in SQL, with the event as its partition."""
+    m = view("v_mention").select("event_id", "entity")
+    spark = m.sparkSession
+    G.register_table_functions(spark)
+    m.createOrReplaceTempView("tidemark_mentions")
+    return spark.sql("SELECT src, dst, count(*) AS n FROM entity_pairs(TABLE(tidemark_mentions) PARTITION BY event_id) GROUP BY src, dst")

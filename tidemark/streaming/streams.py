@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from tidemark.operators.buckets import weighted_avg
 from tidemark.scratch import materialize, scratch_dir
@@ -27,6 +30,15 @@ def sliding_counts(signals: DataFrame, late: str = "2 hours", width: str = "24 h
     )
 
 
+def step_counts(signals: DataFrame, late: str = "2 hours", step: str = "1 hour") -> DataFrame:
+    """Counts and impact of a window's steps: a row enters one step, however wide the windows are that are put together from
+    steps afterwards (``joins.sliding_sums``)."""
+    return (
+        signals.withWatermark("ts", late).groupBy(F.window("ts", step).alias("w"), "category")
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum("impact").alias("impact")).select("category", F.col("w.start").alias("start"), "rows", "impact")
+    )
+
+
 def dedup_stream(messages: DataFrame, keys: Sequence[str], late: str = "1 day") -> DataFrame:
     """First row of each key within the watermark; keep a hash of long texts in ``keys`` rather than the texts."""
     return messages.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
@@ -74,34 +86,93 @@ def read_upserts(spark: SparkSession, path: str, schema, n: int) -> DataFrame:
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def write_in_order(df: DataFrame, base: str, files: int = 4, order: str = "ts") -> None:
-    """Rows as ``files`` Parquet files in ``base``/in, written one after the other in ``order``: a stream takes them up by age."""
+def write_in_order(df: DataFrame, base: str, slices: int = 4, order: str = "ts", files: int = 4) -> None:
+    """Rows as Parquet files in ``base``/in, in ``slices`` of ``order`` written one after the other: a stream takes them up by age.
+    Each slice is written by ``files`` tasks, as one to ``files`` files."""
     at = F.unix_micros(order)
-    cuts = df.agg(F.percentile_approx(at, [i / files for i in range(1, files)])).first()[0] or []
+    cuts = df.agg(F.percentile_approx(at, [i / slices for i in range(1, slices)])).first()[0] or []
     for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
         part = df if lo is None else df.where(at >= lo)
-        (part if hi is None else part.where(at < hi)).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        (part if hi is None else part.where(at < hi)).repartition(files).write.mode("append").parquet(f"{base}/in")
 
 
-def replay(df: DataFrame, transform: Callable[[DataFrame], DataFrame], files: int = 4, order: str = "ts", mode: str = "append", close: str | None = None) -> DataFrame:
-    """Run ``transform`` as a stream over ``df`` split into files by ``order``, and give what it wrote. ``close`` is how long
+def replay(df: DataFrame, transform: Callable[[DataFrame], DataFrame], slices: int = 4, order: str = "ts", mode: str = "append", close: str | None = None, files: int = 4) -> DataFrame:
+    """Run ``transform`` as a stream over ``df`` split into slices by ``order``, and give what it wrote. ``close`` is how long
     after the last event marker rows (null but for ``order``) follow: if that is the lateness and a window's width or more,
     the watermark passes every window with events, and the markers' own windows stay open."""
     spark: SparkSession = df.sparkSession
     base = scratch_dir(spark)
-    write_in_order(df, base, files, order)
+    write_in_order(df, base, slices, order, files)
     if close:
         last = df.agg((F.max(order) + F.expr(f"INTERVAL {close}")).alias(order)).where(F.col(order).isNotNull())
         marker = last.select(*[(F.col(order) if f.name == order else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema])
-        for _ in range(2):  # the second file's batch is the first to see the watermark that the first one moved
+        # a batch takes ``files`` files; the markers' second batch is the first to see the watermark that the first one moved
+        for _ in range(2 * files):
             marker.coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
     out = transform(stream)
     query = out.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
+class LateGroups(StreamingQueryListener):
+    """Adds up, over every progress record of every query that runs while it is attached, the groups that were dropped as
+    later than the watermark (after partial aggregation), by query id. ``spark.streams.addListener(LateGroups())``."""
+
+    def __init__(self):
+        self.dropped: dict[str, int] = {}
+        self.batches: dict[str, set[int]] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p, own = event.progress, str(event.progress.id)
+        if p.batchId not in self.batches.setdefault(own, set()):  # an idle trigger repeats its last record
+            self.batches[own].add(p.batchId)
+            self.dropped[own] = self.dropped.get(own, 0) + sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.id))
+
+    def total(self, query, wait: float = 60.0) -> int:
+        """Groups dropped by a finished query; records arrive a little after it ends."""
+        until = time.monotonic() + wait
+        while str(query.id) not in self.ended and time.monotonic() < until:
+            time.sleep(0.05)
+        if str(query.id) not in self.ended:
+            raise TimeoutError("the query's end was not reported")
+        return self.dropped.get(str(query.id), 0)
+
+
+def late_rows_sink(stream: DataFrame, path: str, checkpoint: str, late: str = "2 hours", order: str = "ts"):
+    """Split a stream by its own watermark before any aggregate: rows earlier than the latest time of the batches before less
+    ``late`` are told apart from all others, in one folder a batch. A batch that is run again writes the same folder.
+    ``read_split`` gives either. Rows without a time are not late."""
+    spark = stream.sparkSession
+
+    def split(batch: DataFrame, n: int) -> None:
+        before = spark.read.schema("batch bigint, mark timestamp").parquet(f"{path}/marks/batch={n - 1}").first()["mark"] if n else None
+        rows = materialize(batch, "batch")
+        mark = rows.agg((F.max(order) - F.expr(f"INTERVAL {late}")).alias("mark")).select(F.greatest("mark", F.lit(before).cast("timestamp")).alias("mark"))
+        mark.coalesce(1).write.mode("overwrite").parquet(f"{path}/marks/batch={n}")
+        is_late = F.coalesce(F.col(order) < F.lit(before).cast("timestamp"), F.lit(False))
+        rows.withColumn("late", is_late).write.mode("overwrite").partitionBy("late").parquet(f"{path}/rows/batch={n}")
+
+    return stream.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def read_split(spark: SparkSession, path: str, schema, late: bool = True) -> DataFrame:
+    """The late rows, or the others, of ``late_rows_sink``, with the batch. Only their folders are read."""
+    fields = [*schema.fields, StructField("batch", LongType()), StructField("late", BooleanType())]
+    return spark.read.schema(StructType(fields)).parquet(f"{path}/rows").where(F.col("late") == late).drop("late")
+
+
 def dropped_late(query) -> int:
-    """Rows that a finished query dropped as later than its watermark."""
+    """Groups that a finished query dropped as later than its watermark, from its own records. A query keeps its last ones
+    only: raises if some are gone; attach ``LateGroups`` before a longer query."""
+    if query.lastProgress and query.lastProgress["batchId"] + 1 > len({p["batchId"] for p in query.recentProgress}):
+        raise ValueError("the query's first progress records are gone; attach LateGroups before it starts")
     return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p.get("stateOperators", []))
