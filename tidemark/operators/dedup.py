@@ -55,13 +55,19 @@ def select_asset_target(df: DataFrame, assets: DataFrame, key: str = "msg_id", w
     """The target of greatest impact (missing: 0; first of equals) of each message for each asset it names.
 
     ``assets``: asset, tickers, aliases (arrays); a target fits by upper-cased ticker or by an alias within its
-    lower-cased name (as a whole word if asked). Tickers are joined by equality; aliases are found by ``alias_hits``.
+    lower-cased name (as a whole word if asked). Tickers are joined by equality with a list of
+    checked size; aliases are found by ``alias_hits``.
     """
     listed = assets.select("asset", "tickers", "aliases").limit(MOST_ALIASES + 1).collect()  # configuration; alias_hits checks its size
     words = [(i, a) for i, r in enumerate(listed) for a in (r["aliases"] or []) if a is not None]
     t = df.select(key, F.posexplode("targets").alias("pos", "t")).select(key, "pos", "t.name", F.upper(F.coalesce("t.ticker", F.lit(""))).alias("_ticker"), F.struct("t.sentiment", "t.impact", "t.category").alias("t"))
     names = F.lit([r["asset"] for r in listed]).cast("array<string>")
-    tickers = assets.select("asset", F.explode("tickers").alias("_ticker")).distinct().groupBy("_ticker").agg(F.collect_list("asset").alias("_by_ticker"))
+    by_ticker: dict[str, list[str]] = {}
+    for asset, ticker in sorted({(r["asset"], x) for r in listed for x in (r["tickers"] or []) if x is not None}):
+        by_ticker.setdefault(ticker, []).append(asset)
+    if len(by_ticker) > MOST_ALIASES:
+        raise ValueError(f"{len(by_ticker)} tickers; at most {MOST_ALIASES} go to every task")
+    tickers = F.broadcast(df.sparkSession.createDataFrame(list(by_ticker.items()), "_ticker string, _by_ticker array<string>"))  # bounded above
     hits = alias_hits(t, "name", words, whole_word).join(tickers, "_ticker", "left")
     own = F.array_distinct(F.concat(F.transform("hits", lambda i: F.get(names, i)), F.coalesce("_by_ticker", F.array().cast("array<string>"))))
     each = hits.select(key, "pos", "t", F.explode(own).alias("asset"))
