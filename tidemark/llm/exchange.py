@@ -7,9 +7,11 @@ once for each block that has it, so no n-gram is hot, and nothing that grows wit
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -72,3 +74,10 @@ def own_place(docs: DataFrame) -> Column:
     except AnalysisException:
         return F.lit(0)
     return place
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs that are over: it does so once the driver has collected their plans, which a
+    driver with little to do may not come to for long, while the next step's files are added to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

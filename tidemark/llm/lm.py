@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.llm.exchange import U64, follow, own_place, pack_keys, pack_numbers, shard_bounds, unpack_keys, unpack_numbers
+from tidemark.llm.exchange import U64, follow, own_place, pack_keys, pack_numbers, release, shard_bounds, unpack_keys, unpack_numbers
 from tidemark.scratch import materialize
 
 START, END = U64(0x5BD1E9955BD1E995), U64(0xC2B2AE3D27D4EB4F)
@@ -271,7 +271,12 @@ def score_texts(
         (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0).alias("held_out"),
         F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), own_place(docs)), F.lit(n_blocks)).cast("int").alias("block"),
     )
-    answered = lambda asked: materialize(asked.groupBy("order", "shard").applyInArrow(_answer, _ANSWER_SQL), "answers")
+
+    def answered(asked: DataFrame) -> DataFrame:
+        found = materialize(asked.groupBy("order", "shard").applyInArrow(_answer, _ANSWER_SQL), "answers")
+        release(docs.sparkSession)
+        return found
+
     answers = answered(rows.groupBy("block").applyInArrow(_ask(shards), _ASK_SQL))
     tokens, types = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     answers = answers.select("block", "order", "shard", "totals")
