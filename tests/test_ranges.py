@@ -40,6 +40,21 @@ def test_pieces_equal_one_window(series, least):
         assert a[:3] == b[:3] and abs(a.s - b.s) < 1e-9
 
 
+def test_lags_in_pieces_equal_one_window(series):
+    named = series.where("key IS NOT NULL").withColumnRenamed("t", "at")
+    def close(a, b):
+        return len(a) == len(b) > 0 and all(x[:-1] == y[:-1] and ((x[-1] is None and y[-1] is None) or abs(x[-1] - y[-1]) < 1e-9) for x, y in zip(a, b, strict=True))
+
+    auto = [listed(S.autocorr(named, "y", [1, 4], ["key"], "at", least).select("key", "lag", "r"), "key", "lag") for least in (50, 10_000)]
+    assert close(*auto)
+    hac = [listed(I.hac_cells(named, ["key"], "at", 5, most=least).where("n > 2").select("key", "n", "se"), "key") for least in (50, 10_000)]
+    assert close(*hac)
+    risk = lambda d, by: d.select(*by, "at", "_halo", S.past_risk("y", 40, by, "at").alias("v"))
+    assert close(*[listed(R.bounded(named, ["key"], "at", 40, 0, risk, least).select("key", "at", "v"), "key", "at") for least in (50, 10_000)])
+    seq = lambda d, by: S.sequence_windows(d, ["y"], 2, by, "at", 1).select(*by, "at", "_halo", F.col("window")[0]["y"].alias("v"))
+    assert close(*[listed(R.bounded(named, ["key"], "at", 1, 0, seq, least).select("key", "at", "v"), "key", "at") for least in (50, 10_000)])
+
+
 @pytest.mark.parametrize("least", [11, 10_000])
 def test_ranks_equal_one_window(series, least):
     want = series.select("key", "t", F.when(F.col("x").isNotNull(), I.average_rank("x", ["key"]) - F.count(F.when(F.col("x").isNull(), 1)).over(W.partitionBy("key"))).alias("x"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranges import LEAST, running, value_counts
+from tidemark.operators.ranges import LEAST, bounded, running, value_counts
 
 
 def _w(keys: Sequence[str], order: str):
@@ -156,10 +156,10 @@ def rebased_share(long: DataFrame, c: str, entity: str, order: str) -> DataFrame
     return long.withColumns({"index": 100 * F.col(c) / first, "share": F.col(c) / F.sum(c).over(W.partitionBy(order))})
 
 
-def autocorr(df: DataFrame, c: str, lags: Sequence[int], keys: Sequence[str], order: str) -> DataFrame:
-    """Correlation with the series ``lag`` rows back: keys, lag, r; all lags in one aggregate."""
-    w = _w(keys, order)
-    wide = df.select(*keys, F.col(c).alias("_x"), *[F.lag(c, k).over(w).alias(f"_{k}") for k in lags])
+def autocorr(df: DataFrame, c: str, lags: Sequence[int], keys: Sequence[str], order: str, least: int = LEAST) -> DataFrame:
+    """Correlation with the series ``lag`` rows back: keys, lag, r; all lags in one aggregate, long series in pieces."""
+    lagged = lambda d, by: d.select(*by, "_halo", F.col(c).alias("_x"), *[F.lag(c, k).over(_w(by, order)).alias(f"_{k}") for k in lags])
+    wide = bounded(df.select(*dict.fromkeys([*keys, order, c])), keys, order, max(lags), 0, lagged, least)
     long = wide.select(*keys, "_x", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_{k}").alias("_y")) for k in lags])).alias("z")).select(*keys, "_x", "z.*")
     return long.where("_x IS NOT NULL AND _y IS NOT NULL").groupBy(*keys, "lag").agg(corr("_x", "_y").alias("r"))
 

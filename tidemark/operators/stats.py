@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.dist import chi2_pvalue, f_pvalue, t_pvalue, t_two_sided
-from tidemark.operators.ranges import LEAST, average_ranks, running, split_long
+from tidemark.operators.ranges import LEAST, average_ranks, bounded, running, split_long
 from tidemark.operators.series import corr
 from tidemark.scratch import materialize
 
@@ -119,13 +119,14 @@ def residuals(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     return d.join(ols_cells(d, keys), list(keys)).withColumn("u", F.col("y") - F.col("intercept") - F.col("slope") * F.col("x"))
 
 
-def hac_cells(long: DataFrame, keys: Sequence[str], order: str, lags: int = 10, corrected: bool = True) -> DataFrame:
-    """Slope with Newey-West standard error (Bartlett weights) and t test. All lags come from one window pass."""
+def hac_cells(long: DataFrame, keys: Sequence[str], order: str, lags: int = 10, corrected: bool = True, most: int = LEAST) -> DataFrame:
+    """Slope with Newey-West standard error (Bartlett weights) and t test. All lags come from one window pass, in which cells of
+    more than ``most`` rows are cut into pieces."""
     u = residuals(long, keys)
-    w = W.partitionBy(*keys).orderBy(order)
     z0, z1 = F.col("u"), F.col("u") * F.col("x")
     rows = u.select(*keys, order, "x", "n", "slope", z0.alias("_z0"), z1.alias("_z1"))
-    rows = rows.withColumns({f"_{k}_{j}": F.lag(f"_z{k}", j).over(w) for k in (0, 1) for j in range(1, lags + 1)})
+    past = lambda d, by: d.withColumns({f"_{k}_{j}": F.lag(f"_z{k}", j).over(W.partitionBy(*by).orderBy(order)) for k in (0, 1) for j in range(1, lags + 1)})
+    rows = bounded(rows, keys, order, lags, 0, past, most)
 
     def s(a: int, b: int) -> Column:
         total = F.sum(F.col(f"_z{a}") * F.col(f"_z{b}"))

@@ -13,9 +13,15 @@ K, T = ["symbol"], "day"
 _W = "WINDOW w AS (PARTITION BY symbol ORDER BY day)"
 
 
+def _in_pieces(df, time, before, after, columns):
+    """symbol, time and ``columns(keys)``, whose windows reach so many rows back and ahead; long series are cut."""
+    return R.bounded(df, K, time, before, after, lambda d, keys: d.select(*keys, time, "_halo", *columns(keys)))
+
+
 @query(f"SELECT symbol, day, round(close - lag(close, 1) OVER w, 4) + 0.0 AS d1, round(close - lag(close, 3) OVER w, 4) + 0.0 AS d3, round(close - 2 * lag(close, 1) OVER w + lag(close, 2) OVER w, 4) + 0.0 AS dd FROM v_bars {_W}")
 def f1_diff(view, table):
-    return view("v_bars").select("symbol", "day", r6(S.diff("close", 1, K, T), 4).alias("d1"), r6(S.diff("close", 3, K, T), 4).alias("d3"), r6(S.second_diff("close", K, T), 4).alias("dd"))
+    cols = lambda by: [r6(S.diff("close", 1, by, T), 4).alias("d1"), r6(S.diff("close", 3, by, T), 4).alias("d3"), r6(S.second_diff("close", by, T), 4).alias("dd")]
+    return _in_pieces(view("v_bars"), T, 3, 0, cols)
 
 
 def _mean(w):
@@ -30,8 +36,8 @@ def f2_f3_moving_average(view, table):
 
 @query(f"SELECT symbol, day, {', '.join(f'round(close / lag(close, {k}) OVER w - 1, 6) + 0.0 AS r{k}' for k in (1, 3, 6, 12, 24))}, round(ln(close / lag(close) OVER w), 6) + 0.0 AS lr, round((high - low) / close, 6) AS range_vol FROM v_bars {_W}")
 def f4_f5_f6_returns(view, table):
-    cols = [r6(S.returns("close", k, K, T)).alias(f"r{k}") for k in (1, 3, 6, 12, 24)]
-    return view("v_bars").select("symbol", "day", *cols, r6(S.log_return("close", K, T)).alias("lr"), r6(S.range_vol()).alias("range_vol"))
+    cols = lambda by: [*[r6(S.returns("close", k, by, T)).alias(f"r{k}") for k in (1, 3, 6, 12, 24)], r6(S.log_return("close", by, T)).alias("lr"), r6(S.range_vol()).alias("range_vol")]
+    return _in_pieces(view("v_bars"), T, 24, 0, cols)
 
 
 _LR = "WITH r AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY day)) AS r FROM v_bars)"
@@ -55,10 +61,13 @@ def f7_f11_rolling_vol(view, table):
 @query(f"""{_LR} SELECT symbol, day, {', '.join(f'round(lead(close, {h}) OVER w - close, 4) + 0.0 AS c{h}' for h in (1, 3, 6, 12, 24))},
 CASE WHEN lead(day, 5) OVER w = day + 5 THEN round(lead(close, 5) OVER w, 4) END AS level5, round(abs(lead(r) OVER w), 6) AS abs_next, sign(lead(r) OVER w) + 0.0 AS sign_next FROM r {_W}""")
 def f8_f9_f10_forward_targets(view, table):
-    df = _with_r(view)
-    cols = [r6(S.forward_change("close", h, K, T), 4).alias(f"c{h}") for h in (1, 3, 6, 12, 24)]
-    nxt = S.forward_value("r", 1, K, T)
-    return df.select("symbol", "day", *cols, r6(S.forward_value("close", 5, K, T, 1), 4).alias("level5"), r6(F.abs(nxt)).alias("abs_next"), (F.signum(nxt) + F.lit(0.0)).alias("sign_next"))
+    def targets(d, keys):
+        d = d.withColumn("r", S.log_return("close", keys, T))
+        cols = [r6(S.forward_change("close", h, keys, T), 4).alias(f"c{h}") for h in (1, 3, 6, 12, 24)]
+        nxt = S.forward_value("r", 1, keys, T)
+        return d.select(*keys, T, "_halo", *cols, r6(S.forward_value("close", 5, keys, T, 1), 4).alias("level5"), r6(F.abs(nxt)).alias("abs_next"), (F.signum(nxt) + F.lit(0.0)).alias("sign_next"))
+
+    return R.bounded(view("v_bars"), K, T, 1, 24, targets)
 
 
 @query("SELECT a.symbol, a.day, CAST(l.lag AS INT) AS lag, round(b.close, 4) AS value FROM v_bars a CROSS JOIN (SELECT unnest([1, 2, 3, 6, 12, 24, 48, 72]) AS lag) l JOIN v_bars b ON b.symbol = a.symbol AND b.day = a.day - l.lag")
@@ -117,13 +126,13 @@ def f20_autocorr(view, table):
 
 @query(f"SELECT symbol, day, round(coalesce(CASE WHEN day - lag(day) OVER w = 1 THEN lag(close) OVER w END, 0), 4) AS baseline FROM v_bars {_W}")
 def f21_persistence(view, table):
-    return view("v_bars").select("symbol", "day", r6(S.persistence("close", K, T, 1), 4).alias("baseline"))
+    return _in_pieces(view("v_bars"), T, 1, 0, lambda by: [r6(S.persistence("close", by, T, 1), 4).alias("baseline")])
 
 
 @query("""SELECT symbol, day, 24 AS length, round(s, 4) AS total FROM (SELECT symbol, day, count(*) OVER w AS n, min(day) OVER w AS d, sum(close) OVER w AS s FROM v_bars
 WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)) WHERE n = 24 AND day - d = 23""")
 def f22_sequence_windows(view, table):
-    seq = S.sequence_windows(view("v_bars"), ["close"], 24, K, T, 1)
+    seq = R.bounded(view("v_bars"), K, T, 23, 0, lambda d, keys: S.sequence_windows(d, ["close"], 24, keys, T, 1))
     return seq.select("symbol", "day", F.size("window").alias("length"), r6(F.aggregate("window", F.lit(0.0), lambda a, x: a + x["close"]), 4).alias("total"))
 
 
@@ -162,8 +171,11 @@ _HR = "WITH r AS (SELECT *, CASE WHEN hr - lag(hr) OVER w = 1 THEN ln(close / la
 @query(f"""{_HR} SELECT symbol, hr, CASE WHEN count(r) OVER f = 24 THEN round(sum(r * r) OVER f, 6) END AS rv24, {', '.join(f'round(sqrt(avg(r * r) OVER (PARTITION BY symbol ORDER BY hr RANGE BETWEEN {h - 1} PRECEDING AND CURRENT ROW)), 6) AS risk{h}' for h in (24, 168, 720))}
 FROM r WINDOW f AS (PARTITION BY symbol ORDER BY hr RANGE BETWEEN 1 FOLLOWING AND 24 FOLLOWING)""")
 def m4_m5_risk(view, table):
-    df = view("v_bars_hourly").withColumn("r", S.log_return("close", K, "hr", 1))
-    return df.select("symbol", "hr", r6(S.future_realized_variance("r", 24, K, "hr")).alias("rv24"), *[r6(S.past_risk("r", h, K, "hr")).alias(f"risk{h}") for h in (24, 168, 720)])
+    def risks(d, keys):
+        d = d.withColumn("r", S.log_return("close", keys, "hr", 1))
+        return d.select(*keys, "hr", "_halo", r6(S.future_realized_variance("r", 24, keys, "hr")).alias("rv24"), *[r6(S.past_risk("r", h, keys, "hr")).alias(f"risk{h}") for h in (24, 168, 720)])
+
+    return R.bounded(view("v_bars_hourly"), K, "hr", 720, 24, risks)  # hours are unique, so a range of hours has no more rows
 
 
 @query("""WITH f AS (SELECT asset AS symbol, hr, count(*) AS n FROM v_signal GROUP BY 1, 2) SELECT f.symbol, f.hr, n, round(close, 4) AS close FROM f JOIN v_bars_hourly b ON f.symbol = b.symbol AND f.hr = b.hr""")
