@@ -55,6 +55,63 @@ def test_lags_in_pieces_equal_one_window(series):
     assert close(*[listed(R.bounded(named, ["key"], "at", 1, 0, seq, least).select("key", "at", "v"), "key", "at") for least in (50, 10_000)])
 
 
+def same(a, b, tolerance=1e-9):
+    """Rows that agree, numbers up to rounding."""
+    close = lambda x, y: x == y or (isinstance(x, float) and isinstance(y, float) and (abs(x - y) <= tolerance * max(1.0, abs(x)) or x != x and y != y))
+    return len(a) == len(b) > 0 and all(all(map(close, x, y)) for x, y in zip(a, b, strict=True))
+
+
+@pytest.mark.parametrize("least", [50, 10_000])
+def test_flags_and_slices_in_pieces_equal_one_window(series, least):
+    w = W.partitionBy("key").orderBy("t")
+    past, week = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(-6, 0)
+    want = series.withColumn("causal", F.coalesce(F.col("x") > F.avg("x").over(past) + F.stddev_samp("x").over(past), F.lit(False)))
+    got = S.causal_spikes(series, "x", 1.0, ["key"], "t", least=least)
+    assert got.columns == want.columns and listed(got, "key", "t") == listed(want, "key", "t")
+
+    whole = W.partitionBy("key")
+    want = series.withColumns({"bull": F.col("y") > F.avg("y").over(week), "above_median": F.col("y") > F.percentile("y", 0.5).over(whole), "high_vol": F.col("x") > F.percentile("x", 0.5).over(whole)})
+    got = S.regime_flags(series, "y", "x", 7, ["key"], "t", least)
+    assert listed(got.select(want.columns), "key", "t") == listed(want, "key", "t")
+
+    size = F.greatest(F.floor(F.count(F.lit(1)).over(whole) / 4), F.lit(1))
+    want = series.withColumn("slice", F.least(F.floor((F.row_number().over(w) - 1) / size), F.lit(3)).cast("int"))
+    assert listed(S.consecutive_slices(series, 4, ["key"], "t", least), "key", "t") == listed(want, "key", "t")
+
+    got = S.rebased_share(series, "y", "key", "t").select("key", "t", "index", "share")
+    want = series.select("key", "t", (100 * F.col("y") / F.first("y").over(w.rowsBetween(W.unboundedPreceding, 0))).alias("index"), (F.col("y") / F.sum("y").over(W.partitionBy("t"))).alias("share"))
+    assert same(listed(got, "key", "t"), listed(want, "key", "t"))
+
+
+def test_pair_correlations_in_pieces_equal_one_window(spark):
+    rng = random.Random(5)
+    long = spark.createDataFrame([(e, t, rng.random()) for e in "abc" for t in rng.sample(range(400), 300)], "e string, t long, r double").cache()
+    a, b = (listed(S.rolling_avg_pair_corr(long, "r", 10, "e", "t", least), "t") for least in (20, 10_000))
+    assert same(a, b)
+
+
+def test_stationarity_and_lagged_fits_in_pieces_equal_one_window(series):
+    long = series.where("key IS NOT NULL AND key <> 'one'").withColumn("x", F.coalesce("x", F.lit(0.2)))
+    for screen in (
+        lambda least: I.granger_screen(long, ["key"], "t", 3, least).select("key", "lag", "n", "f"),
+        lambda least: I.adf_screen(long, ["key"], "t", least=least).select("key", "n", "adf_lag", "adf"),
+        lambda least: I.kpss_screen(long, ["key"], "t", least).select("key", "kpss_lags", "kpss"),
+        lambda least: I.controlled_lag_regression(long, ["key"], "t", "y", "x", "x", [1, 2], least).select("key", "lag", "n", "t"),
+        lambda least: I.var_irf(long, ["key"], "t", ["x", "y"], 2, 3, least).select("key", "step", "impulse", "response", "value"),
+    ):
+        cut, whole = (sorted(map(tuple, screen(least).collect()), key=lambda r: r[:-1]) for least in (60, 10_000))
+        assert same(cut, whole, 1e-6)
+
+
+def test_medians_and_flags_of_empty_and_null_series(spark):
+    none = spark.createDataFrame([], "key string, t long, x double")
+    nulls = spark.createDataFrame([("a", t, None) for t in range(5)], "key string, t long, x double")
+    assert R.key_medians(none, ["key"], {"x": "m"}).collect() == [] and S.causal_spikes(none, "x", 1.0, ["key"], "t").collect() == []
+    assert [r.m for r in R.key_medians(nulls, ["key"], {"x": "m"}).collect()] == [None]
+    assert {r.causal for r in S.causal_spikes(nulls, "x", 1.0, ["key"], "t", least=2).collect()} == {False}
+    assert [r.causal for r in S.causal_spikes(nulls.withColumn("x", F.lit(3.7)), "x", 1.0, [], "t").collect()] == [False] * 5
+
+
 @pytest.mark.parametrize("least", [11, 10_000])
 def test_ranks_equal_one_window(series, least):
     want = series.select("key", "t", F.when(F.col("x").isNotNull(), I.average_rank("x", ["key"]) - F.count(F.when(F.col("x").isNull(), 1)).over(W.partitionBy("key"))).alias("x"))

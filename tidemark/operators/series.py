@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranges import LEAST, bounded, running, value_counts
+from tidemark.operators.ranges import LEAST, beside, bounded, key_medians, running, value_counts
+from tidemark.scratch import materialize
 
 
 def _w(keys: Sequence[str], order: str):
@@ -104,9 +105,16 @@ def spike_flags(df: DataFrame, c: str, ks: Sequence[float], keys: Sequence[str])
     return joined.withColumns(flags).drop("_m", "_s")
 
 
-def causal_spike_flag(c: str, k: float, keys: Sequence[str], order: str) -> Column:
-    past = _w(keys, order).rowsBetween(W.unboundedPreceding, -1)
-    return F.coalesce(F.col(c) > F.avg(c).over(past) + k * F.stddev_samp(c).over(past), F.lit(False))
+def causal_spikes(df: DataFrame, c: str, k: float, keys: Sequence[str], order: str, name: str = "causal", least: int = LEAST) -> DataFrame:
+    """``name``: above mean + k sample deviations of the key's rows before; false where fewer than two are there. Null values do
+    not count. Moments are running sums of the height above the key's least value, carried from piece to piece."""
+    d = beside(df, df.groupBy(*keys).agg(F.min(c).alias("_low")), keys).withColumn("_v", (F.col(c) - F.col("_low")).cast("double"))
+    d = d.withColumns({"_one": F.col("_v").isNotNull().cast("long"), "_vv": F.col("_v") * F.col("_v")})
+    d = running(d, keys, order, {"_n": "_one", "_s": "_v", "_ss": "_vv"}, least=least)
+    several = F.when(F.col("_n") > 1, F.col("_n"))
+    spread = F.sqrt(F.greatest((F.col("_ss") - F.col("_s") * F.col("_s") / several) / (several - 1), F.lit(0.0)))
+    flag = F.coalesce(F.col("_v") > F.col("_s") / several + k * spread, F.lit(False))
+    return d.withColumn(name, flag).drop("_low", "_v", "_one", "_vv", "_n", "_s", "_ss")
 
 
 def zscore_mask(df: DataFrame, columns: Sequence[str], z: float, keys: Sequence[str]) -> DataFrame:
@@ -128,10 +136,11 @@ def winsorize(df: DataFrame, c: str, p: float, keys: Sequence[str], tie: str | N
     return df.join(ends, list(keys)).withColumn(c, F.least(F.greatest(c, "_lo"), "_hi")).drop("_lo", "_hi")
 
 
-def regime_flags(df: DataFrame, c: str, vol: str, w: int, keys: Sequence[str], order: str) -> DataFrame:
+def regime_flags(df: DataFrame, c: str, vol: str, w: int, keys: Sequence[str], order: str, least: int = LEAST) -> DataFrame:
     """bull: above the ``w``-row mean; above_median, high_vol: above the key's median."""
-    medians = df.groupBy(*keys).agg(F.percentile(c, 0.5).alias("_c"), F.percentile(vol, 0.5).alias("_v"))
-    flagged = df.withColumn("bull", F.col(c) > rolling_mean(c, w, keys, order)).join(medians, list(keys))
+    medians = key_medians(df, keys, {c: "_c", vol: "_v"}, least)
+    bull = lambda d, by: d.withColumn("bull", F.col(c) > rolling_mean(c, w, by, order))
+    flagged = beside(bounded(df, keys, order, w - 1, 0, bull, least), medians, keys)
     return flagged.withColumns({"above_median": F.col(c) > F.col("_c"), "high_vol": F.col(vol) > F.col("_v")}).drop("_c", "_v")
 
 
@@ -140,20 +149,25 @@ def rolling_corr(x: str, y: str, w: int, keys: Sequence[str], order: str) -> Col
     return F.when(F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).over(over) == w, corr(x, y, over))
 
 
-def rolling_avg_pair_corr(long: DataFrame, c: str, w: int, entity: str, order: str) -> DataFrame:
+def rolling_avg_pair_corr(long: DataFrame, c: str, w: int, entity: str, order: str, least: int = LEAST) -> DataFrame:
     """Mean over entity pairs of their correlation over the ``w`` rows before, by time. Entities are a fixed small set."""
     a = long.select(F.col(entity).alias("_a"), order, F.col(c).alias("_x"))
     b = long.select(F.col(entity).alias("_b"), order, F.col(c).alias("_y"))
-    pairs = a.join(b, order).where("_a < _b AND _x IS NOT NULL AND _y IS NOT NULL")
-    over = W.partitionBy("_a", "_b").orderBy(order).rowsBetween(-w, -1)
-    rolled = pairs.withColumn("_r", F.when(F.count(F.lit(1)).over(over) == w, corr("_x", "_y", over)))
-    return rolled.groupBy(order).agg(F.avg("_r").alias("avg_corr"))
+    pairs = materialize(a.join(b, order).where("_a < _b AND _x IS NOT NULL AND _y IS NOT NULL"), "pairs")
+
+    def rolled(d: DataFrame, by: list[str]) -> DataFrame:
+        over = _w(by, order).rowsBetween(-w, -1)
+        return d.withColumn("_r", F.when(F.count(F.lit(1)).over(over) == w, corr("_x", "_y", over)))
+
+    return bounded(pairs, ["_a", "_b"], order, w, 0, rolled, least).groupBy(order).agg(F.avg("_r").alias("avg_corr"))
 
 
 def rebased_share(long: DataFrame, c: str, entity: str, order: str) -> DataFrame:
     """index: 100 at the entity's first time; share: of the time's total."""
-    first = F.first(c).over(W.partitionBy(entity).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    return long.withColumns({"index": 100 * F.col(c) / first, "share": F.col(c) / F.sum(c).over(W.partitionBy(order))})
+    first = long.groupBy(entity).agg(F.min_by(c, order).alias("_first"))
+    total = long.groupBy(order).agg(F.sum(c).alias("_total"))
+    d = beside(beside(long, first, [entity]), total, [order])
+    return d.withColumns({"index": 100 * F.col(c) / F.col("_first"), "share": F.col(c) / F.col("_total")}).drop("_first", "_total")
 
 
 def autocorr(df: DataFrame, c: str, lags: Sequence[int], keys: Sequence[str], order: str, least: int = LEAST) -> DataFrame:
@@ -176,11 +190,11 @@ def sequence_windows(df: DataFrame, columns: Sequence[str], length: int, keys: S
     return seq.where(whole)
 
 
-def consecutive_slices(df: DataFrame, n: int, keys: Sequence[str], order: str) -> DataFrame:
+def consecutive_slices(df: DataFrame, n: int, keys: Sequence[str], order: str, least: int = LEAST) -> DataFrame:
     """slice 0 to n - 1 of equal length in time order; the last takes the remainder."""
-    w = _w(keys, order)
-    size = F.greatest(F.floor(F.count(F.lit(1)).over(W.partitionBy(*keys)) / n), F.lit(1))
-    return df.withColumn("slice", F.least(F.floor((F.row_number().over(w) - 1) / size), F.lit(n - 1)).cast("int"))
+    sizes = df.groupBy(*keys).agg(F.greatest(F.floor(F.count(F.lit(1)) / n), F.lit(1)).alias("_size"))
+    placed = beside(bounded(df, keys, order, 0, 0, lambda d, by: d, least, "_rn"), sizes, keys)
+    return placed.withColumn("slice", F.least(F.floor((F.col("_rn") - 1) / F.col("_size")), F.lit(n - 1)).cast("int")).drop("_rn", "_size")
 
 
 def cross_section_mean(long: DataFrame, c: str, order: str) -> DataFrame:

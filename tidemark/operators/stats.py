@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.dist import chi2_pvalue, f_pvalue, t_pvalue, t_two_sided
-from tidemark.operators.ranges import LEAST, average_ranks, bounded, running, split_long
+from tidemark.operators.ranges import LEAST, average_ranks, beside, bounded, running, split_long
 from tidemark.operators.series import corr
 from tidemark.scratch import materialize
 
@@ -252,15 +252,15 @@ def lagged_rows(values: Sequence[Sequence[float]], lags: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def granger_screen(long: DataFrame, keys: Sequence[str], order: str, lags: int = 7) -> DataFrame:
+def granger_screen(long: DataFrame, keys: Sequence[str], order: str, lags: int = 7, least: int = LEAST) -> DataFrame:
     """F test of y on its own lags with and without those of x, for each number of lags: keys, lag, n, f, p.
 
     Products are summed once, over the rows that have all lags; what a smaller number of lags has besides are each
     cell's first rows, which travel with the sums."""
-    w = W.partitionBy(*keys).orderBy(order)
-    d = complete(long).select(*keys, order, "x", "y").withColumns({"_rn": F.row_number().over(w), "one": F.lit(1.0)})
     past = [f"{c}{j}" for c in "yx" for j in range(1, lags + 1)]
-    d = d.withColumns({f"{c}{j}": F.lag(c, j).over(w) for c in "yx" for j in range(1, lags + 1)})
+    lagged = lambda d, by: d.withColumns({f"{c}{j}": F.lag(c, j).over(W.partitionBy(*by).orderBy(order)) for c in "yx" for j in range(1, lags + 1)})
+    d = complete(long).select(*keys, order, "x", "y", F.lit(1.0).alias("one"))
+    d = bounded(d, keys, order, lags, 0, lagged, least, "_rn")
     head = F.array_sort(F.collect_list(F.when(F.col("_rn") <= lags, F.struct("_rn", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x")))))
     cells = gram(d, keys, ["y", "one", *past], F.col("_rn") > lags, head.alias("head"), F.count(F.lit(1)).alias("rows"))
 
@@ -302,16 +302,21 @@ def adf_lags(n: Column) -> Column:
     return F.greatest(F.least(F.ceil(12 * F.pow(n / 100, F.lit(0.25))), F.floor(n / 2) - 2), F.lit(0)).cast("int")
 
 
-def adf_screen(d: DataFrame, keys: Sequence[str], order: str, max_lag: int | None = None) -> DataFrame:
+def adf_screen(d: DataFrame, keys: Sequence[str], order: str, max_lag: int | None = None, least: int = LEAST) -> DataFrame:
     """ADF with constant of column y, lags by AIC on a common sample, then refitted: keys, n, adf, adf_lag, adf_critical (5 %), adf_p.
 
     One aggregate over the common sample; the rows that a smaller number of lags has besides are each cell's first ones."""
-    w = W.partitionBy(*keys).orderBy(order)
-    d = d.select(*keys, order, F.col("y").cast("double").alias("y")).withColumns({"_rn": F.row_number().over(w), "_n": F.count(F.lit(1)).over(W.partitionBy(*keys))})
-    d = d.withColumn("_most", F.lit(max_lag) if max_lag is not None else adf_lags(F.col("_n")))
-    most = d.agg(F.max("_most")).first()[0] or 0
-    d = d.withColumns({"d0": F.col("y") - F.lag("y").over(w), "one": F.lit(1.0), "y1": F.lag("y").over(w)})
-    d = d.withColumns({f"d{j}": F.coalesce(F.lag("d0", j).over(w), F.lit(0.0)) for j in range(1, most + 1)})
+    d = d.select(*keys, order, F.col("y").cast("double").alias("y"))
+    sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = materialize(sizes.withColumn("_most", F.lit(max_lag) if max_lag is not None else adf_lags(F.col("_n"))), "lags")
+    most = sizes.agg(F.max("_most")).first()[0] or 0
+
+    def lagged(d: DataFrame, by: list[str]) -> DataFrame:
+        w = W.partitionBy(*by).orderBy(order)
+        d = d.withColumns({"d0": F.col("y") - F.lag("y").over(w), "one": F.lit(1.0), "y1": F.lag("y").over(w)})
+        return d.withColumns({f"d{j}": F.coalesce(F.lag("d0", j).over(w), F.lit(0.0)) for j in range(1, most + 1)})
+
+    d = beside(bounded(d, keys, order, most + 1, 0, lagged, least, "_rn"), sizes, keys)
     head = F.array_sort(F.collect_list(F.when(F.col("_rn") <= F.col("_most") + 1, F.struct("_rn", "y"))))
     columns = ["d0", "one", "y1", *[f"d{j}" for j in range(1, most + 1)]]
     cells = gram(d, keys, columns, F.col("_rn") > F.col("_most") + 1, head.alias("head"), F.max("_most").alias("most"), F.max("_n").alias("rows"))
@@ -344,17 +349,17 @@ def adf_screen(d: DataFrame, keys: Sequence[str], order: str, max_lag: int | Non
     return cells.withColumn("z", adf("rows", "most", "g", "head")).select(*keys, F.col("rows").alias("n"), "z.*")
 
 
-def kpss_screen(d: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+def kpss_screen(d: DataFrame, keys: Sequence[str], order: str, least: int = LEAST) -> DataFrame:
     """KPSS of column y around its level: keys, kpss_lags, kpss, kpss_p (clipped to 0.01 and 0.1). The number of lags
     follows the series' own first n^(2/9) autocovariances: 1.1447 (s1 / s0)^(2/3) n^(1/3)."""
-    w = W.partitionBy(*keys).orderBy(order)
-    whole = W.partitionBy(*keys)
-    e = d.withColumns({"_n": F.count(F.lit(1)).over(whole), "e": F.col("y") - F.avg("y").over(whole)}).select(*keys, order, "_n", "e")
-    e = materialize(e.withColumn("_s", F.sum("e").over(w.rowsBetween(W.unboundedPreceding, 0))), "residuals")
+    whole = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("y").alias("_mean"))
+    e = beside(d.select(*keys, order, "y"), whole, keys).select(*keys, order, "_n", (F.col("y") - F.col("_mean")).alias("e"))
+    e = running(e, keys, order, {"_s": "e"}, least=least)
+    e = materialize(e.withColumn("_s", F.col("_s") + F.coalesce("e", F.lit(0.0))), "residuals")
 
     def products(upto: int) -> DataFrame:
-        lagged = e.withColumns({f"_l{j}": F.lag("e", j).over(w) for j in range(1, upto + 1)})
-        return lagged.groupBy(*keys).agg(
+        lagged = lambda d, by: d.withColumns({f"_l{j}": F.lag("e", j).over(W.partitionBy(*by).orderBy(order)) for j in range(1, upto + 1)})
+        return bounded(e, keys, order, upto, 0, lagged, least).groupBy(*keys).agg(
             F.max("_n").alias("_n"), F.sum(F.col("_s") * F.col("_s")).alias("_eta"), F.sum(F.col("e") * F.col("e")).alias("_g0"),
             F.array(*[F.coalesce(F.sum(F.col("e") * F.col(f"_l{j}")), F.lit(0.0)) for j in range(1, upto + 1)]).cast("array<double>").alias("_g"),
         )
@@ -395,8 +400,8 @@ def stationarity_screen(long: DataFrame, keys: Sequence[str], order: str, max_la
 def make_stationary(long: DataFrame, keys: Sequence[str], order: str, **settings) -> DataFrame:
     """y, differenced once in the cells that are not stationary as they are."""
     verdict = stationarity_screen(long, keys, order, **settings).select(*keys, "stationary")
-    step = F.col("y") - F.lag("y").over(W.partitionBy(*keys).orderBy(order))
-    joined = long.withColumn("_d", step).join(verdict, list(keys), "left")
+    step = lambda d, by: d.withColumn("_d", F.col("y") - F.lag("y").over(W.partitionBy(*by).orderBy(order)))
+    joined = bounded(long, keys, order, 1, 0, step).join(verdict, list(keys), "left")
     return joined.withColumn("y", F.when(F.col("stationary"), F.col("y")).otherwise(F.col("_d"))).drop("_d")
 
 
@@ -427,21 +432,26 @@ def fit_cells(cells: DataFrame, keys: Sequence[str], xs: Sequence[str]) -> DataF
     return cells.withColumn("z", F.explode(fit("n", "g"))).select(*keys, "n", "z.*")
 
 
-def controlled_lag_regression(df: DataFrame, keys: Sequence[str], order: str, y: str, feature: str, control: str, lags: Sequence[int]) -> DataFrame:
+def controlled_lag_regression(df: DataFrame, keys: Sequence[str], order: str, y: str, feature: str, control: str, lags: Sequence[int], least: int = LEAST) -> DataFrame:
     """y on its own lag k, the control's and the feature's, for each k, in one pass over the rows; all p values are kept and
     BH-corrected."""
-    w = W.partitionBy(*keys).orderBy(order)
-    lagged = df.select(*keys, F.col(y).cast("double").alias("_y"), F.lit(1.0).alias("_one"), *[F.lag(c, k).over(w).alias(f"{n}_{k}") for k in lags for n, c in (("own", y), ("control", control), ("feature", feature))])
-    cells = gram_sets(lagged, keys, {k: ["_y", "_one", f"own_{k}", f"control_{k}", f"feature_{k}"] for k in lags}, "lag").where("n > 0")
+    columns = (("own", y), ("control", control), ("feature", feature))
+
+    def lagged(d: DataFrame, by: list[str]) -> DataFrame:
+        w = W.partitionBy(*by).orderBy(order)
+        return d.select(*by, "_halo", F.col(y).cast("double").alias("_y"), F.lit(1.0).alias("_one"), *[F.lag(c, k).over(w).alias(f"{n}_{k}") for k in lags for n, c in columns])
+
+    rows = bounded(df.select(*dict.fromkeys([*keys, order, y, control, feature])), keys, order, max(lags), 0, lagged, least)
+    cells = gram_sets(rows, keys, {k: ["_y", "_one", f"own_{k}", f"control_{k}", f"feature_{k}"] for k in lags}, "lag").where("n > 0")
     return fdr_bh(fit_cells(cells, [*keys, "lag"], ["own", "control", "feature"]).where("term = 'feature'"), keys, "p", ["lag"])
 
 
-def var_irf(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], lags: int, horizon: int) -> DataFrame:
+def var_irf(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], lags: int, horizon: int, least: int = LEAST) -> DataFrame:
     """VAR by least squares for each cell and its impulse responses: keys, step, impulse, response, value."""
-    w = W.partitionBy(*keys).orderBy(order)
     k = len(columns)
     past = [(c, j) for j in range(1, lags + 1) for c in columns]
-    d = df.select(*keys, *columns, F.lit(1.0).alias("_one"), *[F.lag(c, j).over(w).alias(f"{c}_{j}") for c, j in past])
+    lagged = lambda d, by: d.select(*by, "_halo", *columns, F.lit(1.0).alias("_one"), *[F.lag(c, j).over(W.partitionBy(*by).orderBy(order)).alias(f"{c}_{j}") for c, j in past])
+    d = bounded(df.select(*dict.fromkeys([*keys, order, *columns])), keys, order, lags, 0, lagged, least)
     cells = gram(d, keys, [*columns, "_one", *[f"{c}_{j}" for c, j in past]])
 
     @F.pandas_udf("array<struct<step:int,impulse:string,response:string,value:double>>")

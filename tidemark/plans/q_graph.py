@@ -127,7 +127,11 @@ def h13_assortativity(view, table):
     return G.assortativity(by_window(view), ["window"]).select(F.col("window").alias("win"), r6("assortativity").alias("assortativity"))
 
 
-@query(None)
+@query(f"""{_E.format(3).replace("WITH ", "WITH RECURSIVE ", 1)}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), v AS (SELECT DISTINCT src AS node FROM b),
+r AS (SELECT 0 AS k, node AS root, node, CAST(1 AS DOUBLE) AS w FROM v UNION ALL SELECT r.k + 1, r.root, b.dst, sum(r.w) FROM r JOIN b ON r.node = b.src WHERE r.k < 12 GROUP BY 1, 2, 3),
+s AS (SELECT root, node, min(k) AS d, arg_min(w, k) AS w FROM r GROUP BY 1, 2),
+u AS (SELECT a.node, sum(a.w * c.w / t.w) AS dep FROM s t JOIN s a ON a.root = t.root JOIN s c ON c.root = a.node AND c.node = t.node WHERE a.d + c.d = t.d AND a.node <> t.root AND a.node <> t.node GROUP BY 1),
+n AS (SELECT count(*) AS n FROM v) SELECT v.node, round(coalesce(dep, 0) / greatest((n - 1) * (n - 2), 1), 6) AS betweenness FROM v CROSS JOIN n LEFT JOIN u ON v.node = u.node""")
 def h14_betweenness(view, table):
     return G.betweenness(edges(view)).withColumn("betweenness", r6("betweenness"))
 

@@ -302,6 +302,15 @@ def j18_pca_project(view, table):
     return out.select("vec_id", F.transform("projected", lambda x: F.round(x, 4)).alias("projected"))
 
 
+@query("""WITH v AS (SELECT vec_id, generate_subscripts(embedding, 1) AS d, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+m AS (SELECT d, avg(v) AS m FROM v WHERE vec_id % 2 = 0 GROUP BY 1) SELECT vec_id, round(sum(power(v - m, 2)), 4) AS length FROM v JOIN m ON v.d = m.d GROUP BY 1""")
+def j18_pca_lengths(view, table):
+    """Squared length of each vector's projection on all components: a turn keeps it, so it is that of the centred vector."""
+    d = table("embeddings")
+    out = M.pca_project(d, "embedding", d.select(F.max(F.size("embedding"))).first()[0], F.col("vec_id") % 2 == 0)
+    return out.select("vec_id", r6(F.aggregate("projected", F.lit(0.0), lambda a, x: a + x * x), 4).alias("length"))
+
+
 _M = f"{_P}, m AS (SELECT CASE WHEN fold % 2 = 0 THEN 'even' ELSE 'odd' END AS features, cell AS model, 1 - sum(power(y - p, 2)) / (var_pop(y) * count(*)) AS r2, avg(power(y - p, 2)) AS mse FROM t GROUP BY 1, 2)"
 
 
@@ -320,8 +329,18 @@ def j20_leaderboard(view, table):
     return M.leaderboard(_metrics(view), 4).select("features", "model", r6("r2").alias("r2"))
 
 
+@query(f"{_P} SELECT round(avg(abs(y - p) - abs(y)), 6) + 0.0 AS mean FROM t")
+def m8_paired_difference(view, table):
+    """The mean that the interval of m8 is around."""
+    return _bootstrap(view).select(r6("mean").alias("mean"))
+
+
+def _bootstrap(view):
+    p = predictions(view).withColumns({"a": F.abs(F.col("y") - F.col("prediction")), "b": F.abs(F.col("y"))})
+    return M.block_bootstrap(p, "a", "b", "day", 20, 500)
+
+
 @query(None)
 def m8_block_bootstrap(view, table):
-    p = predictions(view).withColumns({"a": F.abs(F.col("y") - F.col("prediction")), "b": F.abs(F.col("y"))})
-    out = M.block_bootstrap(p, "a", "b", "day", 20, 500)
+    out = _bootstrap(view)
     return out.select(*[r6(c, 4).alias(c) for c in ("mean", "lo", "hi")])

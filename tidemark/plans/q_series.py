@@ -79,7 +79,7 @@ def f12_lag_matrix(view, table):
 SELECT b.symbol, day, volume > m + 2 * s AS spike_2, volume > m + 1.5 * s AS spike_1_5,
 coalesce(volume > avg(volume) OVER p + 2 * stddev_samp(volume) OVER p, false) AS causal FROM v_bars b JOIN s ON b.symbol = s.symbol WINDOW p AS (PARTITION BY b.symbol ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def f13_spike_flags(view, table):
-    df = view("v_bars").withColumn("causal", S.causal_spike_flag("volume", 2.0, K, T))
+    df = S.causal_spikes(view("v_bars"), "volume", 2.0, K, T)
     return S.spike_flags(df, "volume", [2, 1.5], K).select("symbol", "day", "spike_2", "spike_1_5", "causal")
 
 

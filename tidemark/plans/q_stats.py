@@ -121,10 +121,25 @@ def i10_controlled_lags(view, table):
     return out.select("cell", "lag", "n", r6("p", 4).alias("p"), r6("q", 4).alias("q"))
 
 
+@query(f"""WITH {_L}, g AS (SELECT cell, day % 7 AS dow, avg(x) AS x, avg(close) AS c, avg(y) AS y FROM l GROUP BY 1, 2),
+z AS (SELECT l.cell, l.x - g.x AS x, l.close - g.c AS c, l.y - g.y AS y FROM l JOIN g ON l.cell = g.cell AND l.day % 7 = g.dow),
+m AS (SELECT cell, count(*) AS n, sum(x * x) AS xx, sum(c * c) AS cc, sum(x * c) AS xc, sum(x * y) AS xy, sum(c * y) AS cy, sum(y * y) AS yy FROM z GROUP BY 1),
+b AS (SELECT *, xx * cc - xc * xc AS det, (xy * cc - cy * xc) / (xx * cc - xc * xc) AS bx, (cy * xx - xy * xc) / (xx * cc - xc * xc) AS bc FROM m),
+s AS (SELECT *, (yy - bx * xy - bc * cy) / (n - 9) AS s2 FROM b)
+SELECT cell, 'x' AS term, n, round(bx / sqrt(s2 * cc / det), 4) + 0.0 AS t FROM s UNION ALL SELECT cell, 'close', n, round(bc / sqrt(s2 * xx / det), 4) + 0.0 FROM s""")
+def i11_controlled_t(view, table):
+    """The t statistics of the regressors beside a constant and six weekday dummies; the SQL takes weekday means off instead."""
+    return _weekday_fit(view).where("term IN ('x', 'close')").select("cell", "term", "n", r6("t", 4).alias("t"))
+
+
 @query(None)
 def i11_controlled_ols(view, table):
+    return _weekday_fit(view).select("cell", "term", "n", r6("t", 4).alias("t"), r6("p", 4).alias("p"))
+
+
+def _weekday_fit(view):
     df = cells(view).withColumns({f"dow{d}": (F.col("day") % 7 == d).cast("double") for d in range(1, 7)})
-    return I.regress_cells(df, K, "y", ["x", "close", *[f"dow{d}" for d in range(1, 7)]]).select("cell", "term", "n", r6("t", 4).alias("t"), r6("p", 4).alias("p"))
+    return I.regress_cells(df, K, "y", ["x", "close", *[f"dow{d}" for d in range(1, 7)]])
 
 
 @query(f"WITH {_L}, o AS (SELECT cell, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM l GROUP BY 1) SELECT l.cell, count(*) AS n, round(count(*) * regr_r2(power(y - a - b * x, 2), x), 6) + 0.0 AS lm FROM l JOIN o ON l.cell = o.cell GROUP BY 1")
