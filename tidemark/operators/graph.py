@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.components import connected_components
+from tidemark.operators.dedup import with_place
 from tidemark.operators.ranges import LEAST, running, value_counts
 from tidemark.operators.series import corr
 from tidemark.scratch import materialize
@@ -140,16 +141,17 @@ def hub_degrees(e: DataFrame, hubs: Sequence[str], keys: Sequence[str]) -> DataF
 
 
 def triangles(e: DataFrame, keys: Sequence[str] = (), d: DataFrame | None = None) -> DataFrame:
-    """Triangles by keys: for each edge, how many neighbours its ends share. Edges are turned from the end of lower
-    degree, so no list of neighbours is longer than the root of twice the edges, and each triangle counts once."""
+    """Triangles by keys: for each edge, how many neighbours its ends share. Nodes are numbered by keys and
+    degree and edges turned to the higher number, so no list of neighbours is longer than the root of twice the edges, and
+    each triangle counts once. The tables are short as files and long in memory, so they are merged, never broadcast."""
     pairs = e.select(*keys, "src", "dst").distinct()
     d = (degrees(e, keys) if d is None else d).select(*keys, "node", "degree")
-    with_d = pairs.join(d.withColumnsRenamed({"node": "src", "degree": "_ds"}), [*keys, "src"]).join(d.withColumnsRenamed({"node": "dst", "degree": "_dd"}), [*keys, "dst"])
-    up = F.struct("_ds", "src") < F.struct("_dd", "dst")
-    out = with_d.select(*keys, F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b"))
+    ids = materialize(with_place(d, "_id", *keys, F.col("degree"), F.col("node")).select(*keys, "node", "_id"), "numbers").hint("merge")
+    numbered = pairs.join(ids.withColumnsRenamed({"node": "src", "_id": "_s"}), [*keys, "src"]).join(ids.withColumnsRenamed({"node": "dst", "_id": "_d"}), [*keys, "dst"])
+    out = numbered.select(*keys, F.least("_s", "_d").alias("a"), F.greatest("_s", "_d").alias("b"))
     lists = materialize(out.groupBy(*keys, "a").agg(F.collect_list("b").alias("of_a")), "neighbours")
     edges = lists.select(*keys, "of_a", F.explode("of_a").alias("b"))
-    both = edges.join(lists.withColumnsRenamed({"a": "b", "of_a": "of_b"}), [*keys, "b"])
+    both = edges.join(lists.select(F.col("a").alias("b"), F.col("of_a").alias("of_b")).hint("merge"), "b")
     return both.groupBy(*keys).agg(F.sum(F.size(F.array_intersect("of_a", "of_b"))).alias("triangles"))
 
 
