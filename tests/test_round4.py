@@ -22,3 +22,11 @@ def test_triangles_broadcast_nothing_but_range_starts(spark):
     edges = {k: {(a, b) for w, a, b in rows if w == k} for k in range(3)}
     want = {k: sum((a, b) in s and (b, c) in s and (a, c) in s for a in x for b in x for c in x if a < b < c) for k, s in edges.items() for x in [{n for p in s for n in p}]}
     assert {r.w: r.triangles for r in got.collect()} == want
+
+
+def test_a_text_is_split_once_for_all_its_shingles(spark):
+    text = " ".join(f"word{i}" for i in range(20_000))
+    df = spark.createDataFrame([(i, i, text + f" {i}") for i in range(4)], "msg_id int, day int, text string").coalesce(1)
+    began = dt.datetime.now()
+    got = {r.msg_id: r.status for r in G.text_novelty(df, "day", 7, 0.5).collect()}
+    assert got == {0: "new", 1: "reprint", 2: "reprint", 3: "reprint"} and (dt.datetime.now() - began).total_seconds() < 60

@@ -491,11 +491,12 @@ def text_novelty(df: DataFrame, day: str, days: int, least: float, key: str = "m
     Two sets of likeness ``least`` share one of the rarest shingles of both: a set of n keeps its n - ceil(least n) + 1
     rarest, which meet in an equi join. Equal texts are compared once, whatever their number.
     """
-    w = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
-    grams = F.when(F.size(w) < words, F.array(F.array_join(w, " "))).otherwise(
+    split = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
+    grams = lambda w: F.when(F.size(w) < words, F.array(F.array_join(w, " "))).otherwise(
         F.transform(F.sequence(F.lit(0), F.size(w) - words), lambda i: F.array_join(F.slice(w, i + 1, words), " "))
     )
-    sets = df.select(key, day, F.array_sort(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))).alias("g"))
+    once = F.transform(F.array(split), grams)[0]  # a bound name: an expression would be split anew for each shingle
+    sets = df.select(key, day, F.sort_array(F.array_distinct(F.transform(once, lambda g: F.xxhash64(g)))).alias("g"))
     rows = materialize(sets.withColumn("h", F.xxhash64("g")), "grams")
     kinds = materialize(rows.groupBy("h").agg(F.any_value("g").alias("g")), "kinds")
     flat = kinds.select("h", F.size("g").alias("n"), F.explode("g").alias("x"))
