@@ -30,3 +30,10 @@ def test_a_text_is_split_once_for_all_its_shingles(spark):
     began = dt.datetime.now()
     got = {r.msg_id: r.status for r in G.text_novelty(df, "day", 7, 0.5).collect()}
     assert got == {0: "new", 1: "reprint", 2: "reprint", 3: "reprint"} and (dt.datetime.now() - began).total_seconds() < 60
+
+
+def test_logarithms_of_zero_and_below(spark):
+    df = spark.createDataFrame([(0.0,), (-0.5,), (-1.0,), (-2.0,), (None,), (3.0,)], "x double")
+    got = [tuple(r) for r in df.select(*T.log_features(["x"]).values()).collect()]
+    assert got[0] == (-math.inf, 0.0) and math.isnan(got[1][0]) and abs(got[1][1] - math.log(0.5)) < 1e-12
+    assert math.isnan(got[2][0]) and got[2][1] == -math.inf and all(map(math.isnan, got[3])) and got[4] == (None, None) and abs(got[5][0] - math.log(3)) < 1e-12

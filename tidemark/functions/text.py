@@ -99,7 +99,12 @@ def calendar_features(ts: Column | str) -> dict[str, Column]:
 
 
 def log_features(columns: Sequence[str]) -> dict[str, Column]:
-    return {k: v for c in columns for k, v in ((f"log_{c}", F.log(F.nullif(F.greatest(F.col(c), F.lit(0.0)), F.lit(0.0)))), (f"log1p_{c}", F.log1p(c)))}
+    """Natural logarithms of x and of 1 + x: -inf of 0, NaN below, as in NumPy; null of null only."""
+
+    def log(x: Column, f: Column) -> Column:
+        return F.when(x == 0, float("-inf")).when(x < 0, float("nan")).otherwise(f)
+
+    return {k: v for c in columns for k, v in ((f"log_{c}", log(F.col(c), F.log(c))), (f"log1p_{c}", log(F.col(c) + 1, F.log1p(c))))}
 
 
 def effect_label(r: Column | str) -> Column:
