@@ -37,3 +37,19 @@ def test_logarithms_of_zero_and_below(spark):
     got = [tuple(r) for r in df.select(*T.log_features(["x"]).values()).collect()]
     assert got[0] == (-math.inf, 0.0) and math.isnan(got[1][0]) and abs(got[1][1] - math.log(0.5)) < 1e-12
     assert math.isnan(got[2][0]) and got[2][1] == -math.inf and all(map(math.isnan, got[3])) and got[4] == (None, None) and abs(got[5][0] - math.log(3)) < 1e-12
+
+
+def test_sessions_a_whole_gap_apart_are_two(spark):
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    rows = [(1, 0.0), (1, 21600.0), (2, 0.0), (2, 21599.999999), (3, 0.0), (3, 21600.1)]
+    df = spark.createDataFrame([(u, start + dt.timedelta(seconds=x)) for u, x in rows], "user_id int, ts timestamp")
+    out = L.replay(df, lambda x: L.entity_sessions(x, "user_id", "6 hours", "48 hours"), close="72 hours")
+    assert sorted((r.user_id, r.n) for r in out.collect()) == [(1, 1), (1, 1), (2, 2), (3, 1), (3, 1)]
+
+
+def test_stream_sessions_count_whole_seconds(spark):
+    from tidemark.plans import q_streams
+
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    df = spark.createDataFrame([(1, start + dt.timedelta(seconds=0.9)), (1, start + dt.timedelta(seconds=21600.1))], "user_id long, ts timestamp")
+    assert sorted((r["first"], r.n) for r in q_streams.l7_stream_sessions(lambda name: df, None).collect()) == [(1704067200, 1), (1704088800, 1)]
