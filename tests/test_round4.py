@@ -53,3 +53,18 @@ def test_stream_sessions_count_whole_seconds(spark):
     start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
     df = spark.createDataFrame([(1, start + dt.timedelta(seconds=0.9)), (1, start + dt.timedelta(seconds=21600.1))], "user_id long, ts timestamp")
     assert sorted((r["first"], r.n) for r in q_streams.l7_stream_sessions(lambda name: df, None).collect()) == [(1704067200, 1), (1704088800, 1)]
+
+
+def test_joined_views_are_dealt_by_their_rows(spark, monkeypatch):
+    from tidemark.plans import catalog, fixtures
+
+    sf = "/root/testdata/sf0.001"
+    names = ("v_mention", "d8_unordered_pairs", "h3_windowed_cooccurrence")
+    make = lambda name: catalog.QUERIES[name](spark, sf) if name in catalog.QUERIES else fixtures.view(spark, sf, name)
+    whole = [sorted(map(tuple, make(name).collect())) for name in names]
+    monkeypatch.setattr(fixtures, "ROWS", 500)
+    n = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 500)
+    assert fixtures.parts(spark, sf, "v_mention") == n > 4 and fixtures.parts(spark, sf, "v_signal") == 0
+    p = plan(fixtures.view(spark, sf, "v_mention"))
+    assert "REPARTITION_BY_NUM" in p and f", {n})" in p
+    assert [sorted(map(tuple, make(name).collect())) for name in names] == whole

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.scratch import shuffle_partitions
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 VIEWS = {
@@ -40,6 +42,10 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
 SELECT doc_id AS msg_id, source AS channel, text, doc_id % 60 AS day, n_chars AS views FROM documents""",
 }
 
+#: Tables that a view joins by key, with that key; both are dealt by it into parts of about ``ROWS`` rows of the longer one.
+JOINED = {"v_mention": {"lineitem": "l_orderkey", "orders": "o_orderkey"}}
+ROWS = 250_000
+
 
 def _words(sql: str, sec: str, least: str, most: str) -> str:
     sql = re.sub(r"SEC\((\w+)\)", sec, sql)
@@ -66,7 +72,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Parts that the tables of a joined view are dealt into, so that a task's memory does not grow with them; 0 leaves short
+    tables to the session. Parquet keeps the number of rows in its footers."""
+    rows = max((table(spark, sf_dir, t).count() for t in JOINED.get(name, ())), default=0)
+    return max(shuffle_partitions(spark), -(-rows // ROWS)) if rows > ROWS else 0
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view as a DataFrame over the tables of ``sf_dir``."""
-    sql = re.sub(r"\b(FROM|JOIN) (\w+)", lambda m: f"{m[1]} parquet.`{sf_dir}/{m[2]}.parquet`" if m[2] in TABLES else m[0], spark_sql(VIEWS[name]))
+    n = parts(spark, sf_dir, name)
+
+    def source(t: str) -> str:
+        path = f"parquet.`{sf_dir}/{t}.parquet`"
+        return f"(SELECT /*+ REPARTITION({n}, {JOINED[name][t]}) */ * FROM {path})" if n else path
+
+    sql = re.sub(r"\b(FROM|JOIN) (\w+)", lambda m: f"{m[1]} {source(m[2])}" if m[2] in TABLES else m[0], spark_sql(VIEWS[name]))
     return spark.sql(sql)
