@@ -68,3 +68,12 @@ def test_joined_views_are_dealt_by_their_rows(spark, monkeypatch):
     p = plan(fixtures.view(spark, sf, "v_mention"))
     assert "REPARTITION_BY_NUM" in p and f", {n})" in p
     assert [sorted(map(tuple, make(name).collect())) for name in names] == whole
+
+
+def test_the_next_spike_is_looked_up_once_for_each_time(spark, monkeypatch):
+    asked, real = [], G.precedes_spike
+    monkeypatch.setattr(G, "precedes_spike", lambda events, *a, **b: asked.extend(map(tuple, events.collect())) or real(events, *a, **b))
+    m = spark.createDataFrame([(1, 1, "a"), (2, 1, "a"), (2, 1, "b"), (3, 4, "a"), (3, 4, "a"), (4, 9, "b")], "event_id int, day int, entity string")
+    got = G.entities_before_spikes(m, spark.createDataFrame([(3,), (5,)], "day int"), "day", 3)
+    assert {r.entity: (r.spikes, r.events, r.mean_ahead) for r in got.collect()} == {"a": (2, 3, 5 / 3), "b": (1, 1, 2.0)}
+    assert sorted(asked) == [(1,), (4,), (9,)]

@@ -103,11 +103,12 @@ def top_pairs(m: DataFrame, k: int = 20, event: str = "event_id") -> DataFrame:
 
 
 def entities_before_spikes(m: DataFrame, spikes: DataFrame, time: str, most: int, event: str = "event_id") -> DataFrame:
-    """(entity, spikes, events, mean_ahead): what is mentioned in events whose next spike is at most ``most`` ahead."""
-    events = m.select(event, time).distinct()
-    ahead = precedes_spike(events, spikes, time, most).select(event, time, "spike", "ahead")
-    found = m.select(event, time, "entity").distinct().join(ahead, [event, time])
-    return found.groupBy("entity").agg(F.countDistinct("spike").alias("spikes"), F.count(F.lit(1)).alias("events"), F.avg("ahead").alias("mean_ahead"))
+    """(entity, spikes, events, mean_ahead): what is mentioned in events whose next spike is at most ``most`` ahead. The next
+    spike hangs on the time alone, so it is looked up once for each time, and an entity's events are counted by time before."""
+    ahead = precedes_spike(m.select(time).distinct(), spikes, time, most).select(time, "spike", "ahead")
+    found = m.select(event, time, "entity").distinct().groupBy("entity", time).agg(F.count(F.lit(1)).alias("_k")).join(ahead, time)
+    mean = F.sum(F.col("_k") * F.col("ahead")) / F.sum("_k")
+    return found.groupBy("entity").agg(F.countDistinct("spike").alias("spikes"), F.sum("_k").alias("events"), mean.alias("mean_ahead"))
 
 
 def _ends(e: DataFrame, keys: Sequence[str]) -> DataFrame:
