@@ -17,11 +17,13 @@ U64 = np.uint64
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
-    x = x ^ (x >> U64(30))
-    x = x * U64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> U64(27))
-    x = x * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    shifted = x >> U64(30)
+    x = x ^ shifted  # the only copies; what follows is done in place
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= np.right_shift(x, U64(27), out=shifted)
+    x *= U64(0x94D049BB133111EB)
+    x ^= np.right_shift(x, U64(31), out=shifted)
+    return x
 
 
 def follow(before: np.ndarray, symbol: np.ndarray) -> np.ndarray:

@@ -59,14 +59,23 @@ def gram_keys(codes: np.ndarray, order: int) -> list[np.ndarray]:
     return keys
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted, each once. A plain sort of numbers is several times faster than the argsort behind numpy's index forms."""
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
 class Stretch:
-    """The distinct n-grams of the highest order in a stretch, with the keys of all their suffixes and contexts."""
+    """The distinct n-grams of the highest order in a stretch, as they come, with the keys of all their suffixes and contexts."""
 
     def __init__(self, codes: np.ndarray, owner: np.ndarray, order: int):
         keys = gram_keys(codes, order)
         at = np.flatnonzero(owner[order - 1 :] >= 0).astype(np.int32)
         self.owner = owner[order - 1 :][at]
-        _, first, self.of = np.unique(keys[-1][at], return_index=True, return_inverse=True)
+        found = pa.array(keys[-1][at]).dictionary_encode()  # by hash, without a sort
+        self.of = found.indices.to_numpy()
+        first = np.empty(len(found.dictionary), dtype=np.int64)
+        first[self.of[::-1]] = np.arange(len(at) - 1, -1, -1)  # the last write is the first place
         self.place = at[first]
         self.suffixes = [key[self.place + (order - 1 - k)] for k, key in enumerate(keys)]
         # the context of a suffix of k + 1 symbols is the n-gram of k symbols that ends one place before
@@ -74,11 +83,15 @@ class Stretch:
 
 
 class Model:
-    """Part of the model that a block has asked for: log10 probabilities and backoff weights by sorted key; NaN where unseen."""
+    """Part of the model that a block has asked for: log10 probabilities and backoff weights by sorted key; NaN where unseen.
+
+    What n-grams of the highest order come to is remembered for the block's next stretches, for about ``most`` of them; others
+    are worked out each time."""
 
-    def __init__(self, keys: np.ndarray, log_p: np.ndarray, back: np.ndarray, unseen: float):
+    def __init__(self, keys: np.ndarray, log_p: np.ndarray, back: np.ndarray, unseen: float, most: int = 2_000_000):
         nan = np.float32(np.nan)
         self.keys, self.log_p, self.back, self.unseen = np.append(keys, U64(2**64 - 1)), np.append(log_p, nan), np.append(back, nan), unseen
+        self.most, self.known, self.sums, self.fresh = most, np.zeros(0, U64), np.zeros(0), []
 
     def look_up(self, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.keys, keys)
@@ -86,8 +99,28 @@ class Model:
 
     def score(self, stretch: Stretch) -> np.ndarray:
         """log10 probability of each predicted symbol of the stretch."""
-        order = len(stretch.suffixes)
-        total, open_ = np.zeros(len(stretch.place)), np.arange(len(stretch.place))
+        top, total = stretch.suffixes[-1], np.zeros(len(stretch.place))
+        hit = np.zeros(len(top), dtype=bool)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, top), len(self.known) - 1)
+            hit = self.known[at] == top
+            total[hit] = self.sums[at[hit]]
+        new = np.flatnonzero(~hit)
+        total[new] = self.work_out(stretch, new)
+        self.remember(top[new], total[new])
+        return total[stretch.of]
+
+    def remember(self, keys: np.ndarray, sums: np.ndarray) -> None:
+        if len(self.known) < self.most:
+            self.fresh.append((keys, sums))
+            if 4 * sum(len(k) for k, _ in self.fresh) > len(self.known):  # few merges, each of many
+                keys, sums = (np.concatenate(x) for x in zip((self.known, self.sums), *self.fresh, strict=True))
+                self.known, first = np.unique(keys, return_index=True)
+                self.sums, self.fresh = sums[first], []
+
+    def work_out(self, stretch: Stretch, which: np.ndarray) -> np.ndarray:
+        """Sums of the stretch's distinct n-grams at the places ``which``: the longest known suffix, and the backoffs above it."""
+        order, total, open_ = len(stretch.suffixes), np.zeros(len(stretch.place)), which
         for k in range(order - 1, -1, -1):
             p = self.look_up(stretch.suffixes[k][open_], self.log_p)
             seen = ~np.isnan(p)
@@ -97,7 +130,7 @@ class Model:
                 b = self.look_up(stretch.contexts[k - 1][open_], self.back)
                 total[open_] += np.where(np.isnan(b), 0.0, b)
         total[open_] += self.unseen
-        return total[stretch.of]
+        return total[which]
 
 
 def trusted_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, sample_chars: int) -> DataFrame:
@@ -178,10 +211,10 @@ def block_keys(texts: Sequence[pa.Scalar], order: int, stretch: int) -> np.ndarr
     found, held = np.zeros(0, U64), []
     for codes, owner in stretches(texts, order, stretch):
         part = Stretch(codes, owner, order)
-        held += [np.unique(k) for k in (*part.suffixes, *part.contexts)]
+        held += [distinct(k) for k in (*part.suffixes, *part.contexts)]
         if sum(map(len, held)) > 8 * stretch:
-            found, held = np.unique(np.concatenate([found, *held])), []
-    return np.unique(np.concatenate([found, *held]))
+            found, held = distinct(np.concatenate([found, *held])), []
+    return distinct(np.concatenate([found, *held]))
 
 
 def _keyed(shards: int, order: int):
