@@ -77,3 +77,16 @@ def test_the_next_spike_is_looked_up_once_for_each_time(spark, monkeypatch):
     got = G.entities_before_spikes(m, spark.createDataFrame([(3,), (5,)], "day int"), "day", 3)
     assert {r.entity: (r.spikes, r.events, r.mean_ahead) for r in got.collect()} == {"a": (2, 3, 5 / 3), "b": (1, 1, 2.0)}
     assert sorted(asked) == [(1,), (4,), (9,)]
+
+
+def test_models_aggregate_the_bars_once(spark):
+    from tidemark.operators import series as S
+    from tidemark.plans import fixtures, q_models
+
+    sf = "/root/testdata/sf0.001"
+    bars = fixtures.view(spark, sf, "v_bars")
+    asked = []
+    d = S.spike_flags(q_models.features(lambda name: asked.append(name) or bars), "y", [1.5], ["cell"])
+    assert asked == ["v_bars"] and any("lineitem" in f for f in bars.inputFiles()) and not any("lineitem" in f for f in d.inputFiles())
+    got = q_models.cells(lambda name: bars).select("cell", "day", "x", "c")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, bars.select("symbol", "day", "volume", "close").collect()))

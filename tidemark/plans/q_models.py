@@ -18,7 +18,8 @@ _F = "f AS (SELECT *, floor(n / 6) AS size, n - (6 - fold) * floor(n / 6) AS b F
 
 
 def cells(view):
-    return view("v_bars").select(F.col("symbol").alias("cell"), "day", F.col("volume").alias("x"), S.range_vol().alias("y"), F.col("close").alias("c"))
+    """A row a symbol and day, written: models ask for it several times, and each time would aggregate the whole of lineitem."""
+    return materialize(view("v_bars"), "bars").select(F.col("symbol").alias("cell"), "day", F.col("volume").alias("x"), S.range_vol().alias("y"), F.col("close").alias("c"))
 
 
 def folds(view):
