@@ -90,3 +90,14 @@ def test_models_aggregate_the_bars_once(spark):
     assert asked == ["v_bars"] and any("lineitem" in f for f in bars.inputFiles()) and not any("lineitem" in f for f in d.inputFiles())
     got = q_models.cells(lambda name: bars).select("cell", "day", "x", "c")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, bars.select("symbol", "day", "volume", "close").collect()))
+
+
+def test_window_metrics_are_the_same_in_dealt_parts(spark, monkeypatch):
+    from tidemark.plans import catalog, fixtures
+
+    names = ("h4_graph_basics", "h5_hub_degrees", "h7_gini", "h12_windowed_modularity", "h13_assortativity", "h15_centralization")
+    rows = lambda: {n: sorted(map(tuple, catalog.QUERIES[n](spark, "/root/testdata/sf0.001").collect())) for n in names}
+    whole, dealt, real = rows(), [], fixtures.parts
+    monkeypatch.setattr(fixtures, "ROWS", 500)
+    monkeypatch.setattr(fixtures, "parts", lambda *a: dealt.append(real(*a)) or dealt[-1])
+    assert rows() == whole and len(dealt) >= len(names) and min(dealt) > 4
