@@ -19,6 +19,7 @@ from tidemark.operators.components import connected_components
 from tidemark.operators.dedup import with_place
 from tidemark.operators.ranges import LEAST, running, value_counts
 from tidemark.operators.series import corr
+from tidemark.operators.shingles import candidates, meeting
 from tidemark.scratch import materialize
 
 
@@ -489,29 +490,18 @@ def text_novelty(df: DataFrame, day: str, days: int, least: float, key: str = "m
     """new, update or reprint of each message by its greatest Jaccard likeness to those of the ``days`` before: reprint from
     0.95 on, update from ``least`` on. likeness is exact where it reaches ``least`` and 0 below.
 
-    Two sets of likeness ``least`` share one of the rarest shingles of both: a set of n keeps its n - ceil(least n) + 1
-    rarest, which meet in an equi join. Equal texts are compared once, whatever their number.
+    Sets that can have a partner at all (``shingles.candidates``) meet on one of their rarest shingles; the rest are new
+    unless their own text came before. Equal texts are compared once.
     """
-    split = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
-    grams = lambda w: F.when(F.size(w) < words, F.array(F.array_join(w, " "))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.size(w) - words), lambda i: F.array_join(F.slice(w, i + 1, words), " "))
-    )
-    once = F.transform(F.array(split), grams)[0]  # a bound name: an expression would be split anew for each shingle
-    sets = df.select(key, day, F.sort_array(F.array_distinct(F.transform(once, lambda g: F.xxhash64(g)))).alias("g"))
-    rows = materialize(sets.withColumn("h", F.xxhash64("g")), "grams")
-    kinds = materialize(rows.groupBy("h").agg(F.any_value("g").alias("g")), "kinds")
-    flat = kinds.select("h", F.size("g").alias("n"), F.explode("g").alias("x"))
-    rank = F.row_number().over(W.partitionBy("h").orderBy("_f", "x"))
-    rare = flat.join(flat.groupBy("x").agg(F.count(F.lit(1)).alias("_f")), "x").withColumn("_r", rank)
-    rare = materialize(rare.where(F.col("_r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("h", "n", "x"), "rare")
-    other = rare.select(F.col("h").alias("p"), F.col("n").alias("m"), "x")
-    fits = (F.col("h") < F.col("p")) & (F.col("n") >= F.col("m") * least - 1e-9) & (F.col("m") >= F.col("n") * least - 1e-9)
-    pairs = rare.join(other, "x").where(fits).select("h", "p").distinct()
-    a, b = kinds.select("h", F.col("g").alias("_a")), kinds.select(F.col("h").alias("p"), F.col("g").alias("_b"))
+    sets = candidates(df, text, day, least, words)
+    pairs = materialize(meeting(sets, days, least), "pairs")
+    a, b = sets.select("h", F.col("g").alias("_a")), sets.select(F.col("h").alias("p"), F.col("g").alias("_b"))
     both = F.size(F.array_intersect("_a", "_b"))
     like = pairs.join(a, "h").join(b, "p").select("h", "p", (both / (F.size("_a") + F.size("_b") - both)).alias("s")).where(F.col("s") >= least)
     like = materialize(like, "likeness")
-    equal = kinds.where("g IS NOT NULL").select("h", F.col("h").alias("p"), F.lit(1.0).alias("s"))
+    texts = df.select(key, day, F.when(F.col(text).isNotNull(), F.xxhash64(text)).alias("t"))
+    rows = materialize(texts.join(sets.select("h", F.explode("ts").alias("t")), "t", "left").select(key, day, F.coalesce("h", "t").alias("h")), "rows")
+    equal = rows.where("h IS NOT NULL").select("h").distinct().select("h", F.col("h").alias("p"), F.lit(1.0).alias("s"))
     every = like.unionByName(like.select(F.col("p").alias("h"), F.col("h").alias("p"), "s")).unionByName(equal)
     seen = rows.select("h", day).distinct()
     past = seen.select(F.col("h").alias("p"), F.explode(F.sequence(F.col(day) + 1, F.col(day) + days)).alias(day)).distinct()
