@@ -19,7 +19,7 @@ from tidemark.operators.components import connected_components
 from tidemark.operators.dedup import with_place
 from tidemark.operators.ranges import LEAST, running, value_counts
 from tidemark.operators.series import corr
-from tidemark.operators.shingles import candidates, meeting
+from tidemark.operators.shingles import candidates, likeness, meeting
 from tidemark.scratch import materialize
 
 
@@ -495,10 +495,7 @@ def text_novelty(df: DataFrame, day: str, days: int, least: float, key: str = "m
     """
     sets = candidates(df, text, day, least, words)
     pairs = materialize(meeting(sets, days, least), "pairs")
-    a, b = sets.select("h", F.col("g").alias("_a")), sets.select(F.col("h").alias("p"), F.col("g").alias("_b"))
-    both = F.size(F.array_intersect("_a", "_b"))
-    like = pairs.join(a, "h").join(b, "p").select("h", "p", (both / (F.size("_a") + F.size("_b") - both)).alias("s")).where(F.col("s") >= least)
-    like = materialize(like, "likeness")
+    like = likeness(sets, pairs, least)
     texts = df.select(key, day, F.when(F.col(text).isNotNull(), F.xxhash64(text)).alias("t"))
     rows = materialize(texts.join(sets.select("h", F.explode("ts").alias("t")), "t", "left").select(key, day, F.coalesce("h", "t").alias("h")), "rows")
     equal = rows.where("h IS NOT NULL").select("h").distinct().select("h", F.col("h").alias("p"), F.lit(1.0).alias("s"))

@@ -20,6 +20,8 @@ from tidemark.scratch import materialize, shuffle_partitions
 
 #: Texts of a block, blocks whose shingles a shard counts, and rows that a text has at least if it counts as frequent.
 BLOCK, BLOCKS, FREQUENT = 512, 32, 1000
+#: Sets, and members of sets, that are compared with as many others in one go.
+SETS, MEMBERS = 512, 1 << 18
 LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -147,3 +149,40 @@ def meeting(sets: DataFrame, days: int, least: float) -> DataFrame:
     fits = (F.col("a.h") < F.col("b.h")) & (F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= need) & (F.least("a.n", "b.n") >= need) & near
     begins = ~F.coalesce(F.col("a.before") == F.col("b.before"), F.lit(False))
     return a.join(b, F.col("a.x") == F.col("b.x")).where(fits & begins).select(F.col("a.h").alias("h"), F.col("b.h").alias("p")).distinct()
+
+
+def _compare(least: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        x, n = _sets(sets)
+        values, x = np.unique(x, return_inverse=True)
+        ends, h = np.cumsum(n), sets["h"].to_numpy()
+        order = np.argsort(h)
+        a, b = (order[np.searchsorted(h, pairs[c].to_numpy(), sorter=order)] for c in "hp")
+        common, marked, last = np.empty(len(a), np.int64), np.zeros(len(values), bool), -1
+        for k in np.argsort(a, kind="stable"):
+            if a[k] != last:
+                marked[:] = False
+                last = a[k]
+                marked[x[ends[last] - n[last] : ends[last]]] = True
+            common[k] = np.count_nonzero(marked[x[ends[b[k]] - n[b[k]] : ends[b[k]]]])
+        alike = common / (n[a] + n[b] - common)
+        return pa.table({"h": pairs["h"], "p": pairs["p"], "s": pa.array(alike)}).filter(pa.array(alike >= least))
+
+    return run
+
+
+def likeness(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """(h, p, s): ``pairs`` of ``candidates`` with their Jaccard likeness, where it is at least ``least``.
+
+    A set is labelled by the least hash among its own and its partners', which copies of one text mostly have in common.
+    The pairs between two labels are compared together, so that a set travels once for each and not for each pair; a label
+    of many sets is split.
+    """
+    both = pairs.unionByName(pairs.select(F.col("p").alias("h"), F.col("h").alias("p")))
+    labels = materialize(both.groupBy("h").agg(F.least("h", F.min("p")).alias("label")).join(sets.select("h", "n"), "h"), "labels")
+    sizes = labels.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / SETS), F.ceil(F.sum("n") / MEMBERS)).alias("_parts"))
+    homes = labels.join(sizes, "label").select("h", F.xxhash64("label", F.pmod("h", "_parts")).alias("_home"))
+    met = pairs.join(homes, "h").join(homes.select(F.col("h").alias("p"), F.col("_home").alias("_other")), "p")
+    met = materialize(met.select("h", "p", F.xxhash64(F.least("_home", "_other"), F.greatest("_home", "_other")).alias("meet")), "met")
+    members = met.select(F.col("meet").alias("at"), F.explode(F.array("h", "p")).alias("h")).distinct().join(sets.select("h", "g"), "h")
+    return materialize(met.groupBy("meet").cogroup(members.groupBy("at")).applyInArrow(_compare(least), "h bigint, p bigint, s double"), "likeness")
